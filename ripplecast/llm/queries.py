@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, simhash
+from . import decontam, sharding, simhash, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_decontamination": op3_decontamination}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.with_checksums(tokenfiles.token_files(_table(spark, sf_dir, "documents")))
+
+
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(_table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op3_decontamination": op3_decontamination,
+    "op9_token_files": op9_token_files,
+    "op10_kd_shards": op10_kd_shards,
+}
 ORACLES: dict[str, str] = {}
