@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, sharding, simhash, tokenfiles
+from . import decontam, sharding, simhash, substring, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=20, digest=True)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.with_checksums(tokenfiles.token_files(_table(spark, sf_dir, "documents")))
 
@@ -41,6 +45,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_decontamination": op3_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
     "op9_token_files": op9_token_files,
     "op10_kd_shards": op10_kd_shards,
 }
