@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, sharding, simhash, substring, tokenfiles
+from . import decontam, quality, sharding, simhash, substring, tokenfiles, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=20, digest=True)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.with_checksums(tokenfiles.token_files(_table(spark, sf_dir, "documents")))
 
@@ -46,6 +54,8 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_decontamination": op3_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_quality": op7_quality,
+    "op8_top_k": op8_top_k,
     "op9_token_files": op9_token_files,
     "op10_kd_shards": op10_kd_shards,
 }
