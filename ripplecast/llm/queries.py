@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, quality, sharding, simhash, substring, tokenfiles, topk
+from . import decontam, linededup, quality, sharding, simhash, substring, tokenfiles, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,120 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.drop_recurring_lines(docs, min_docs=3, lead=3, similarity=0.8)
+    return kept.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
+OP4_SQL = r"""
+WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+cut AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM raw),
+plain AS (SELECT doc_id, line_no, trim(regexp_replace(line, '[\s\x0B]+', ' ', 'g')) AS plain FROM cut),
+masked AS (
+  SELECT doc_id, line_no, CASE WHEN regexp_replace(m, '<\*>| ', '', 'g') = '' THEN plain ELSE m END AS masked
+  FROM (SELECT *, regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM plain WHERE plain <> '')),
+lines AS (
+  SELECT *, len(string_split(masked, ' ')) AS n_tokens, concat_ws(' ', len(string_split(masked, ' ')), array_to_string(string_split(masked, ' ')[1:3], ' ')) AS leaf FROM masked),
+uniq AS (SELECT leaf, masked, count(*) AS n FROM lines GROUP BY ALL),
+crowded AS (SELECT * FROM uniq WHERE leaf IN (SELECT leaf FROM uniq GROUP BY leaf HAVING count(*) > 1)),
+tok AS (SELECT leaf, n, unnest(string_split(masked, ' ')) AS token, unnest(range(len(string_split(masked, ' ')))) AS place FROM crowded),
+votes AS (SELECT leaf, place, token, sum(n) AS votes FROM tok GROUP BY ALL),
+winner AS (SELECT leaf, place, token FROM votes QUALIFY row_number() OVER (PARTITION BY leaf, place ORDER BY votes DESC, token) = 1),
+each_tok AS (SELECT leaf, masked, unnest(string_split(masked, ' ')) AS token, unnest(range(len(string_split(masked, ' ')))) AS place FROM crowded),
+alike AS (
+  SELECT e.leaf, e.masked, count(*) FILTER (WHERE e.token = w.token) AS same, count(*) AS n
+  FROM each_tok e JOIN winner w USING (leaf, place) GROUP BY ALL),
+placed AS (
+  SELECT doc_id, line_no, CASE WHEN same >= 0.8 * a.n THEN 'centre ' || leaf ELSE 'line ' || masked END AS template
+  FROM lines l LEFT JOIN alike a USING (leaf, masked)),
+common AS (
+  SELECT template, min((doc_id, line_no)) AS first FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
+gone AS (SELECT DISTINCT doc_id, line_no FROM placed JOIN common USING (template) WHERE (doc_id, line_no) <> first),
+kept AS (
+  SELECT doc_id, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY line_no) AS text
+  FROM cut LEFT JOIN (SELECT *, true AS out FROM gone) USING (doc_id, line_no) WHERE out IS NULL GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(n_lines, 1) END AS n_lines,
+  CASE WHEN d.text IS NULL THEN NULL ELSE sha256(coalesce(k.text, '')) END AS text_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), window=20, digest=True)
 
 
+#: Captures derived from pages: the page itself, then one to three later visits of its URL, by turns
+#: a 304 with its validators right, wrong or absent, and a full response.
+CAPTURES = """
+SELECT page_id * 4 + visit AS record_id, url, visit,
+  timestamp_micros(1704067200000000 + ((page_id * 7919) % 86400) * 1000000 + visit * 90000000000) AS ts,
+  CASE WHEN visit > 0 AND (page_id + visit) % 4 <> 0 THEN 'revisit' ELSE 'response' END AS kind,
+  CASE WHEN visit > 0 AND (page_id + visit) % 4 <> 0 THEN 304 ELSE 200 END AS status,
+  md5(CASE WHEN (page_id + visit) % 5 = 0 THEN concat('x', html) ELSE html END) AS tag, html, page_id
+FROM (SELECT page_id, url, html, explode(sequence(0, CAST(page_id % 4 AS INT))) AS visit FROM pages)
+"""
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.sql(CAPTURES.replace("FROM pages", "FROM {pages}"), pages=_table(spark, sf_dir, "pages"))
+    tag = F.when(F.col("page_id") % 7 != 0, F.concat(F.when(F.col("visit") % 2 == 1, F.lit("W/")).otherwise(F.lit("")), F.lit('"'), "tag", F.lit('"')))
+    date = F.when(F.col("page_id") % 14 != 0, F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string")))
+    full = F.col("kind") == "response"
+    said = F.create_map(
+        F.lit("etag"), tag, F.lit("last-modified"), date, F.lit("date"), F.concat(F.lit("visit "), F.col("visit").cast("string")),
+        F.lit("content-length"), F.when(full, F.length("html").cast("string")).otherwise(F.lit("0")),
+        F.lit("content-type"), F.when(full, F.lit("text/html")), F.lit("x-cache"), F.when(~full, F.lit("hit")),
+    )
+    return rows.select(
+        "record_id", "url", "ts", "kind", "status",
+        F.map_filter(said, lambda _, v: v.isNotNull()).alias("headers"),
+        F.when(full, F.sha2("html", 256)).alias("payload_sha256"),
+        F.when(full, F.octet_length("html").cast("long")).alias("payload_bytes"),
+    )
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(captures(spark, sf_dir), ("payload_sha256", "payload_bytes"))
+    lines = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])))
+    return found.select("record_id", "canonical_url", "matched_id", "outcome", F.array_join(lines, "; ").alias("headers"), "payload_sha256", "payload_bytes")
+
+
+OP6_SQL = r"""
+WITH visits AS (SELECT page_id, url, html, unnest(range(page_id % 4 + 1)) AS visit FROM pages),
+rec AS (
+  SELECT page_id * 4 + visit AS record_id, page_id, visit, html, ((page_id * 7919) % 86400) + visit * 90000 AS at,
+    visit > 0 AND (page_id + visit) % 4 <> 0 AS revisit,
+    CASE WHEN page_id % 7 <> 0 THEN '"' || md5(CASE WHEN (page_id + visit) % 5 = 0 THEN 'x' || html ELSE html END) || '"' END AS tag,
+    CASE WHEN page_id % 14 <> 0 THEN 'day ' || (page_id % 28) END AS day,
+    regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', ''), ':(80|443)$', '')
+      || regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)', 2), '/+$', '') AS place,
+    array_to_string(list_sort(list_filter(string_split(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(\?[^#]*)?', 3), '^\?', ''), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS query
+  FROM visits),
+r AS (SELECT *, place || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM rec),
+matched AS (
+  SELECT v.*, s.record_id AS matched_id, s.tag AS s_tag, s.day AS s_day, s.html AS s_html
+  FROM (SELECT * FROM r WHERE revisit) v LEFT JOIN (SELECT * FROM r WHERE NOT revisit) s ON s.canonical_url = v.canonical_url AND s.at < v.at
+  QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY s.at DESC NULLS LAST, s.record_id DESC) = 1),
+judged AS (
+  SELECT *, CASE WHEN matched_id IS NULL THEN 'missing' WHEN tag IS NOT NULL AND s_tag IS NOT NULL THEN CASE WHEN tag = s_tag THEN 'resolved' ELSE 'mismatch' END
+    WHEN day IS NOT NULL AND s_day IS NOT NULL THEN CASE WHEN day = s_day THEN 'resolved' ELSE 'mismatch' END ELSE 'unconfirmed' END AS outcome
+  FROM matched)
+SELECT record_id, canonical_url, matched_id, outcome,
+  array_to_string(list_sort(list_filter([
+    'content-length: ' || CASE WHEN outcome = 'resolved' THEN length(s_html) ELSE 0 END,
+    CASE WHEN outcome = 'resolved' THEN 'content-type: text/html' END,
+    'date: visit ' || visit,
+    'etag: ' || CASE WHEN tag IS NOT NULL THEN CASE WHEN visit % 2 = 1 THEN 'W/' ELSE '' END || tag WHEN outcome = 'resolved' THEN
+      (SELECT CASE WHEN any_value(x.visit) % 2 = 1 THEN 'W/' ELSE '' END FROM r x WHERE x.record_id = matched_id) || s_tag END,
+    'last-modified: ' || coalesce(day, CASE WHEN outcome = 'resolved' THEN s_day END),
+    'x-cache: hit'], lambda x: x IS NOT NULL)), '; ') AS headers,
+  CASE WHEN outcome = 'resolved' THEN sha256(s_html) END AS payload_sha256,
+  CASE WHEN outcome = 'resolved' THEN strlen(s_html) END AS payload_bytes
+FROM judged
+"""
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
@@ -53,10 +163,12 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_decontamination": op3_decontamination,
+    "op4_line_dedup": op4_line_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_quality": op7_quality,
     "op8_top_k": op8_top_k,
     "op9_token_files": op9_token_files,
     "op10_kd_shards": op10_kd_shards,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_warc_revisits": OP6_SQL}
