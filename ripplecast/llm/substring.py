@@ -155,7 +155,8 @@ def sketch(docs: DataFrame, window: int, bits: int) -> list[bytes]:
 
 
 _WINDOW = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("tag", "<u4"), ("start", "<i4")])
-_ANSWER = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("packed", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("answer", pa.bool_()), ("packed", pa.binary())])
+_SENT_KIND = "bucket int, answer boolean, packed binary"
 
 
 def _first_and_later(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,41 +178,52 @@ def _by_document(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.flatnonzero(np.r_[True, (found["doc"][1:] != found["doc"][:-1]) | (found["tag"][1:] != found["tag"][:-1])][: len(found)])
 
 
-def _pack(found: np.ndarray) -> bytes:
+def _pack(found: np.ndarray, columns: tuple[str, ...]) -> bytes:
+    """found by document, each document's id once; ``columns`` of its windows."""
     found, at = _by_document(found)
     sizes = np.diff(np.r_[at, len(found)]).astype("<u4")
     head = np.array([len(found), len(at)], "<u4")
-    columns = (head, found["doc"][at], found["tag"][at], sizes, found["a"], found["b"], found["start"])
-    return b"".join(np.ascontiguousarray(x).tobytes() for x in columns)
+    parts = (head, found["doc"][at], found["tag"][at], sizes, *(found[c] for c in columns))
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in parts)
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    n, docs = np.frombuffer(raw, "<u4", 2)
+def _unpack(raw: bytes, columns: tuple[str, ...]) -> np.ndarray:
+    n, docs = (int(x) for x in np.frombuffer(raw, "<u4", 2))
     at, got = 8, []
-    for kind, size in (("<i8", docs), ("<u4", docs), ("<u4", docs), ("<u8", n), ("<u4", n), ("<i4", n)):
-        got.append(np.frombuffer(raw, kind, int(size), at))
+    for kind, size in (("<i8", docs), ("<u4", docs), ("<u4", docs), *((_WINDOW[c], n) for c in columns)):
+        got.append(np.frombuffer(raw, kind, size, at))
         at += got[-1].nbytes
-    out = np.empty(int(n), _WINDOW)
-    out["doc"], out["tag"], out["a"], out["b"], out["start"] = np.repeat(got[0], got[2]), np.repeat(got[1], got[2]), *got[3:]
+    out = np.zeros(n, _WINDOW)
+    out["doc"], out["tag"] = np.repeat(got[0], got[2]), np.repeat(got[1], got[2])
+    for c, x in zip(columns, got[3:], strict=True):
+        out[c] = x
     return out
 
 
-def _answers(later: np.ndarray, bucket: int) -> Iterator[pa.RecordBatch]:
-    """One row a document of ``later`` with its starts."""
-    later, at = _by_document(later)
-    if len(at):
-        starts = [x.astype("<i4").tobytes() for x in np.split(later["start"], at[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(at), pa.int32()), pa.array(later["doc"][at]), pa.array(later["tag"][at].astype(np.int64)), pa.array(starts, pa.binary())], schema=_ANSWER)
+_KEYS, _STARTS = ("a", "b", "start"), ("start",)
 
 
-def repeats(docs: DataFrame, window: int, bits: int, buckets: int, at_once: int = 1_500_000) -> DataFrame:
-    """(doc_id, tag, packed): starts, packed as int32, of windows whose words also start earlier.
+def _dealt(found: np.ndarray, to: np.ndarray, answer: bool, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """found, packed into a row for each value of ``to``."""
+    by = np.argsort(to, kind="stable")
+    found, to = found[by], to[by]
+    cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]][: len(to)])
+    for part, k in zip(np.split(found, cuts[1:]), to[cuts].tolist(), strict=len(found) > 0):
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([answer]), pa.array([_pack(part, columns)], pa.binary())], schema=_SENT)
+
+
+def _owner(doc: np.ndarray, parts: int) -> np.ndarray:
+    return ((_finish(doc.astype(np.uint64)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def repeats(docs: DataFrame, window: int, bits: int, buckets: int, parts: int, at_once: int = 1_500_000) -> DataFrame:
+    """(doc_id, tag, packed), one row a document: starts, packed as int32, of windows whose words also start earlier.
 
     Windows that the sketch estimates to occur once are left out. Of the others each task
     sends the first of every word sequence (by a 96-bit hash) to the bucket that owns the
     hash and answers its later ones itself, so a sequence costs one row a task at most,
-    however common it is. The bucket then answers all but the first of each. Windows travel
-    packed, a row a bucket; answers travel with them.
+    however common it is. The bucket then answers all but the first of each. Windows and answers
+    travel packed, one row for each bucket or each of ``parts`` shares of the documents.
     """
     shared = docs.sparkSession.sparkContext.broadcast(sketch(docs, window, bits))
 
@@ -222,12 +234,9 @@ def repeats(docs: DataFrame, window: int, bits: int, buckets: int, at_once: int
         def send() -> Iterator[pa.RecordBatch]:
             first, later = _first_and_later(np.concatenate(held))
             held.clear()
-            yield from _answers(later, 0)
+            yield from _dealt(later, _owner(later["doc"], parts), True, _STARTS)
             bucket = ((first["a"] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
-            first, bucket = first[by], bucket[by]
-            for part, k in zip(np.split(first, np.flatnonzero(np.diff(bucket)) + 1), np.unique(bucket), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([_pack(part)], pa.binary())], schema=_ANSWER)
+            yield from _dealt(first, bucket, False, _KEYS)
 
         for ids, tags, begins, h, starts in _chunks(batches, window):
             g, at = anchors(h, window)
@@ -251,21 +260,36 @@ def repeats(docs: DataFrame, window: int, bits: int, buckets: int, at_once: int
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        for row in itertools.chain((r for b in batches for r in zip(*(b.column(k) for k in range(4)), strict=True)), [None]):
+        for row in itertools.chain((r for b in batches for r in zip(*(b.column(k) for k in range(3)), strict=True)), [None]):
             k = row[0].as_py() if row else None
             if k != now and held:
-                yield from _answers(_first_and_later(np.concatenate(held))[1], now)
+                later = _first_and_later(np.concatenate(held))[1]
+                yield from _dealt(later, _owner(later["doc"], parts), True, _STARTS)
                 held = []
             now = k
-            if row and row[1].is_valid:
-                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], f.type) for x, f in zip(row, _ANSWER, strict=True)], schema=_ANSWER)
+            if row and row[1].as_py():
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()], f.type) for x, f in zip(row, _SENT, strict=True)], schema=_SENT)
             elif row:
-                held.append(_unpack(row[3].as_py()))
+                held.append(_unpack(row[2].as_py(), _KEYS))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for row in itertools.chain((r for b in batches for r in zip(b.column(0), b.column(2), strict=True)), [None]):
+            k = row[0].as_py() if row else None
+            if k != now and held:
+                found, at = _by_document(np.concatenate(held))
+                starts = [x.astype("<i4").tobytes() for x in np.split(found["start"], at[1:])]
+                for j in range(0, len(at), 1000):
+                    some = at[j : j + 1000]
+                    yield pa.RecordBatch.from_arrays([pa.array(found["doc"][some]), pa.array(found["tag"][some].astype(np.int64)), pa.array(starts[j : j + 1000], pa.binary())], names=["doc_id", "tag", "packed"])
+                held = []
+            now = k
+            if row:
+                held.append(_unpack(row[1].as_py(), _STARTS))
 
-    kind = "bucket int, doc_id long, tag long, packed binary"
-    sent = docs.mapInArrow(candidates, kind).withColumn("to", F.when(F.col("doc_id").isNull(), F.col("bucket")).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")))
-    sent = sent.select(F.col("to").alias("bucket"), "doc_id", "tag", "packed")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, kind).select("doc_id", "tag", "packed")
+    sent = docs.mapInArrow(candidates, _SENT_KIND).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    settled = sent.mapInArrow(settle, _SENT_KIND).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return settled.mapInArrow(gather, "doc_id long, tag long, packed binary")
 
 
 def kept_words(raw: bytes, found: list[tuple[int, bytes]], window: int) -> tuple[int, int, bytes]:
@@ -304,8 +328,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, max_bits: int = 27, id_col
     known = base.where("doc_id is not null")
     words = (known.agg(F.sum(F.length("text"))).first()[0] or 0) // 6  # enough to size tables by
     bits = min(max_bits, max(16, math.ceil(math.log2(max(words, 1) / 6)) + 1))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), words // 3_000_000)
-    found = materialise(repeats(known, window, bits, buckets), "substring-starts")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = materialise(repeats(known, window, bits, max(parts, words // 3_000_000), parts), "substring-starts")
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "packed")).alias("found"))
     kind = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string")
 
