@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,35 +29,69 @@ FORMAT = {
 DELTA = FORMAT | {"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"}
 
 
+#: ASCII marks other than the apostrophe, which some pre-tokens hold together with letters.
+_MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+
 class WordEncoder:
     """Ids of whole texts, by way of a bounded cache of words.
 
-    Exact for tokenizers whose pre-tokenizer never joins text across ASCII white space, which
-    holds for those that drop white space.
+    Exact for tokenizers that fold ASCII case, drop white space and never join letters with the marks behind
+    them, so that a text is encoded as its words one by one, and a word as its letters and the
+    marks behind. A text that may hold a special token's name is encoded as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task a core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
 
-    def encode(self, text: bytes | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        words = (text or b"").split()
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
         known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            pass
-        if len(known) > self.limit:
-            known.clear()
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        new = [w for w in words if w not in known]
+        for k in range(0, len(new), 50_000):
+            split = {}
+            for w in new[k : k + 50_000]:
+                core = w.rstrip(_MARKS)
+                split[w] = (core, w[len(core) :]) if core and core[-1].isalpha() else (w, "")
+            wanted = list(dict.fromkeys(x for pair in split.values() for x in pair if x))
+            found = dict(zip(wanted, self._ids(wanted), strict=True)) | {"": b""}
+            known.update((w, found[core] + found[tail]) for w, (core, tail) in split.items())
+        out = [known[w] for w in words]
+        for w in new if len(known) > self.limit else ():  # the first words of a corpus hold its frequent ones
+            del known[w]
+        return out
+
+    def encode(self, texts: pa.Array, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (binary), those of ``end`` after each, and the number of ids of each."""
+        texts = pc.fill_null(texts, b"").cast(pa.string())
+        whole = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        plain = pc.if_else(pc.match_substring(texts, "<|"), "", texts) if len(whole) else texts
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
+        words = lists.flatten().dictionary_encode()
+        ids = self._words(words.dictionary.to_pylist())
+        at = np.cumsum([0, *map(len, ids)]) // 4
+        taken = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4"))).take(words.indices)
+        of_word = np.r_[0, np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))]
+        ends = of_word[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        flat = taken.flatten().to_numpy(zero_copy_only=False)
+        if len(whole):
+            each = np.split(flat, ends[:-1])
+            for k in whole.tolist():
+                each[k] = np.frombuffer(self._ids([texts[k].as_py()])[0], "<i4")
+            flat, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+        flat = np.insert(flat, np.repeat(ends, len(end)), np.tile(end, len(ends)))
+        return flat, np.diff(ends, prepend=0) + len(end)
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One a worker process, so that tasks share what is known."""
+    return WordEncoder(path)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", options: dict[str, str] = FORMAT) -> None:
@@ -65,17 +102,16 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    end = np.array([] if end_id is None else [end_id], np.int32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = WordEncoder(tokenizer_path), 0
+        encoder, at = _encoder(tokenizer_path), 0
         for b in batches:
-            for k in range(0, b.num_rows, 1000):
-                part = b.slice(k, 1000)
-                ids = [encoder.encode(t.as_py()) + end for t in part.column(1)]
-                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            for k in range(0, b.num_rows, 4000):
+                part = b.slice(k, 4000)
+                flat, sizes = encoder.encode(part.column(1), end)
                 ends = np.cumsum(sizes)
-                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<u4").view("<i4")))
+                tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(at + ends - sizes), pa.array(sizes), tokens], schema=schema)
                 at += int(ends[-1])
 
@@ -100,6 +136,8 @@ def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: in
         rows = rows.where(F.col("doc_id") >= low)
     if high is not None:
         rows = rows.where(F.col("doc_id") < high)
+    if before.count() <= 100_000:  # one row a file, so the token lists needn't be shuffled to meet them
+        before = F.broadcast(before)
     return rows.join(before, "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", *(["tokens"] if tokens else []))
 
 
