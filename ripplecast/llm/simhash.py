@@ -122,7 +122,7 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def plan(distinct: DataFrame, radius: int, choices: tuple[int, ...] = (3, 4, 5), probe: float = 20.0) -> Plan:
+def plan(distinct: DataFrame, radius: int, choices: tuple[int, ...] = (2, 3, 4, 5, 6), probe: float = 20.0) -> Plan:
     """Choose the bit groups and thresholds of least estimated work, from statistics of all fingerprints.
 
     Collected to the driver: the 64 x 64 counts of bits set together and one number a group.
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies: of each class the row of the smallest id stays.
 
     Rows without an id stay; of repeated rows of the kept id all stay.
