@@ -5,18 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import catalog_history
 
 Query = Callable[[SparkSession, str], DataFrame]
+_CATALOGS = (catalog_history,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {k: v for c in _CATALOGS for k, v in c.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for c in _CATALOGS for k, v in c.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    return queries()["s1_ingest_commits"](spark, sf_dir)
