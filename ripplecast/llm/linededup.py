@@ -11,60 +11,56 @@ WILD = "<*>"
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, lead: int) -> DataFrame:
-    """(doc_id, line_no, tokens, leaf, exact) of every line that isn't blank.
+    """(doc_id, line_no, masked, leaf, exact) of every line that isn't blank.
 
-    A token with a digit is a variable field and becomes a wildcard. The leaf of the tree is
-    the number of tokens and the ``lead`` first of them; exact is a hash of all.
+    Lines lose spaces, tabs and carriage returns at their ends; tokens lie between single spaces. A token with a
+    digit is a variable field and becomes a wildcard. The leaf of the tree is the number of tokens and the
+    ``lead`` first of them; exact is a hash of all.
     """
     line = F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line")
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), line)
-    plain = F.trim(F.regexp_replace("line", r"[\s\x0B]+", " "))
-    rows = rows.select("doc_id", "line_no", plain.alias("plain")).where("plain != ''")
-    masked = F.regexp_replace("plain", r"[^ ]*[0-9][^ ]*", WILD)
+    rows = rows.select("doc_id", "line_no", F.btrim("line", F.lit(" \t\r")).alias("plain")).where("plain != ''")
+    masked = F.regexp_replace("plain", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", WILD)
     # a line of variable fields alone has no template to share
-    rows = rows.select("doc_id", "line_no", F.when(F.regexp_replace(masked, r"<\*>| ", "") == "", F.col("plain")).otherwise(masked).alias("masked"))
-    tokens = F.split("masked", " ")
-    return rows.select(
-        "doc_id",
-        "line_no",
-        "masked",
-        F.xxhash64(F.size(tokens), F.slice(tokens, 1, lead)).alias("leaf"),
-        F.xxhash64("masked").alias("exact"),
-    )
+    masked = F.when(~F.col("plain").rlike("[0-9]") | (F.regexp_replace(masked, r"<\*>| ", "") == ""), F.col("plain")).otherwise(masked)
+    rows = rows.select("doc_id", "line_no", masked.alias("masked"))
+    spaces = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit("")))
+    return rows.select("doc_id", "line_no", "masked", F.xxhash64(spaces, F.substring_index("masked", " ", lead)).alias("leaf"), F.xxhash64("masked").alias("exact"))
 
 
-def templates(lines: DataFrame, similarity: float) -> DataFrame:
-    """(leaf, exact, template): the template of every distinct masked line of a leaf that holds several.
+def templates(lines: DataFrame, hashed: DataFrame, similarity: float, small: int = 2_000_000) -> DataFrame:
+    """(leaf, exact, template) of the distinct lines of a leaf that holds several; hashed: lines without their text.
 
     A leaf's centre has at each place the token that most of its lines have (ties to the smaller). Lines
     that agree with it in at least ``similarity`` of their places share its template, in which
-    the other places are variable; every other line is a template of its own.
+    the other places are variable; every other line is a template of its own. The text is
+    gathered for crowded leaves only, which are broadcast up to ``small`` of them.
     """
-    distinct = lines.groupBy("leaf", "exact").agg(F.count("*").alias("n"), F.min("masked").alias("masked"))
+    crowded = hashed.groupBy("leaf").agg(F.min("exact").alias("a"), F.max("exact").alias("z")).where("a != z").select("leaf")
+    crowded = materialise(crowded, "lines-crowded")
+    crowded = F.broadcast(crowded) if crowded.count() <= small else crowded
+    distinct = lines.join(crowded, "leaf", "left_semi").groupBy("leaf", "exact").agg(F.count("*").alias("n"), F.min("masked").alias("masked"))
     distinct = materialise(distinct, "lines-distinct")
-    several = distinct.groupBy("leaf").count().where("count > 1").select("leaf")
-    crowded = materialise(distinct.join(several, "leaf", "left_semi"), "lines-crowded")
     place = F.posexplode(F.split("masked", " ")).alias("place", "token")
-    votes = crowded.select("leaf", "n", place).groupBy("leaf", "place", "token").agg(F.sum("n").alias("votes"))
-    # array order: most votes first, then the smaller token
+    votes = distinct.select("leaf", "n", place).groupBy("leaf", "place", "token").agg(F.sum("n").alias("votes"))
     winner = votes.groupBy("leaf", "place").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "token")).alias("w"))
     centre = winner.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", F.col("w.token").alias("token")))).alias("centre"))
     tokens = F.split("masked", " ")
     same = F.size(F.filter(F.zip_with(tokens, F.col("centre.token"), lambda a, b: a == b), lambda x: x))
-    return crowded.join(centre, "leaf").select("leaf", "exact", F.when(same >= similarity * F.size(tokens), F.xxhash64("leaf", F.lit("centre"))).otherwise(F.col("exact")).alias("template"))
+    return distinct.join(centre, "leaf").select("leaf", "exact", F.when(same >= similarity * F.size(tokens), F.xxhash64("leaf", F.lit("centre"))).otherwise(F.col("exact")).alias("template"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 3, lead: int = 3, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no) of the lines to drop: of each template that occurs in at least min_docs
     documents, every line but the first (least doc_id, then line)."""
     lines = line_rows(docs, id_col, text_col, lead)
-    found = materialise(templates(lines, similarity), "lines-templates")
-    placed = lines.select("doc_id", "line_no", "leaf", "exact").join(found, ["leaf", "exact"], "left").select("doc_id", "line_no", F.coalesce("template", "exact").alias("template"))
-    placed = materialise(placed, "lines-placed")
+    hashed = materialise(lines.drop("masked"), "lines-hashed")
+    found = materialise(templates(lines, hashed, similarity).where("template != exact"), "lines-templates")
+    placed = hashed.join(found, ["leaf", "exact"], "left").select("doc_id", "line_no", F.coalesce("template", "exact").alias("template"))
     per_doc = placed.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no"))
     common = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first")).where(F.col("docs") >= min_docs)
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no"))
-    return placed.join(common, "template").where(later).select("doc_id", "line_no")
+    return placed.join(materialise(common, "lines-common"), "template").where(later).select("doc_id", "line_no")
 
 
 def _without(text: Column, dropped: Column) -> Column:

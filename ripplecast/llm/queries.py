@@ -42,7 +42,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 cut AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM raw),
-plain AS (SELECT doc_id, line_no, trim(regexp_replace(line, '[\s\x0B]+', ' ', 'g')) AS plain FROM cut),
+plain AS (SELECT doc_id, line_no, trim(line, concat(' ', chr(9), chr(13))) AS plain FROM cut),
 masked AS (
   SELECT doc_id, line_no, CASE WHEN regexp_replace(m, '<\*>| ', '', 'g') = '' THEN plain ELSE m END AS masked
   FROM (SELECT *, regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM plain WHERE plain <> '')),
