@@ -23,7 +23,7 @@ _STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 _BASE = np.uint64(0x100000001B3)
 _FILTER_BITS = 20
-_UNIT = 2.0**28  # of a probability: beside the number of a node it still fits a double exactly, so draws don't hang on it
+_UNIT = 2.0**28  # of a probability: coarse enough that rounding of sums can't move a draw
 
 
 def _hash(sums: np.ndarray, start: np.ndarray | slice, end: np.ndarray | slice, size: int) -> np.ndarray:
@@ -88,21 +88,19 @@ class Lattices:
 
     A piece of rank r weighs 1 / (r + 2) to the power alpha, pieces being ranked by the order of
     their merges; characters without a piece are spelled in bytes. Node 0 is the start of any chunk. The
-    edges into node k end at k + (their cumulated probability), so one binary search
-    draws an edge for every node of a batch.
+    edges into a node lie together, the likeliest first, with their cumulated probability; so an edge is
+    drawn for every node of a batch by stepping from the first, mostly no further than one.
     """
 
-    def __init__(self, path: str, alpha: float, limit: int = 2_500_000):
+    def __init__(self, path: str, alpha: float, limit: int = 1_500_000):
         self.pieces, self.alpha, self.limit = vocabulary(path), alpha, limit
-        self.clear()
-
-    def clear(self) -> None:
         self.ends: dict[bytes, int] = {}
         self.nodes = 0
-        self.parts = [(np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        self.parts = [(np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(1, np.int32))]
+        self.n_edges = 0
 
-    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cumulated, piece, node before) of all edges."""
+    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(cumulated probability, piece, node before) of all edges, and the first edge of each node."""
         if len(self.parts) > 1:
             self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
         return self.parts[0]
@@ -166,30 +164,38 @@ class Lattices:
             mass = np.add.reduceat(odds, heads)
             total[row[first[a:z]], end[first[a:z]]] = top + np.log(mass)
             share[e:f] = odds / mass[own]
-        order, run = np.arange(len(row)) - first[of], share
+        by = np.lexsort((-share, of))
+        run, piece, before = share[by], piece[by], node[row, start][by].astype(np.int32)
+        order = np.arange(len(row)) - first[of]
         for k in range(1, int(order.max()) + 1):
             at = np.flatnonzero(order == k)
             run[at] += run[at - 1]
         run[np.r_[first[1:], len(row)] - 1] = 1
-        run = np.floor(np.minimum(run, 1) * _UNIT) / _UNIT
-        self.parts.append((self.nodes + 1 + of + run, piece, node[row, start]))
+        self.parts.append((np.floor(np.minimum(run, 1) * _UNIT) / _UNIT, piece, before, (self.n_edges + first).astype(np.int32)))
+        self.n_edges += len(row)
         self.ends.update(zip(chunks, node[np.arange(len(chunks)), sizes].tolist(), strict=True))
         self.nodes += len(first)
 
     def encode(self, texts: list[bytes], seeds: list[int]) -> list[np.ndarray]:
-        """Ids of each text, sampled by its seed alone."""
-        if self.nodes > self.limit:
-            self.clear()
+        """Ids of each text, sampled by its seed alone.
+
+        Past the limit new chunks are forgotten after the call: those met first hold the frequent ones.
+        """
         ends, sizes = [], []
         for text in texts:
             chunks = _CHUNK.findall(b" " + text) if text else []  # the space that decoding takes off again
             ends += chunks
             sizes.append(len(chunks))
-        new = set(ends).difference(self.ends)
+        new, kept = set(ends).difference(self.ends), (self.nodes, self.n_edges)
         if new:
             self.add(sorted(new))
         at = np.fromiter(map(self.ends.__getitem__, ends), np.int64, len(ends))
-        cumulated, piece, before = self.edges()
+        cumulated, piece, before, first = self.arrays()
+        if new and self.nodes > self.limit:
+            self.nodes, self.n_edges = kept
+            self.parts = [(*(x[: kept[1]] for x in self.parts[0][:3]), first[: kept[0] + 1])]
+            for c in new:
+                del self.ends[c]
         place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         state = np.repeat(np.array(seeds, np.uint64), sizes) + place.astype(np.uint64) * _STEPS[0]
         live, drawn, lengths = np.arange(len(at)), [], np.zeros(len(at), np.int64)
@@ -199,7 +205,11 @@ class Lattices:
             u = (u ^ (u >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
             u = (u ^ (u >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
             u = ((u ^ (u >> np.uint64(31))) >> np.uint64(36)).astype(float) / _UNIT
-            edge = np.searchsorted(cumulated, at[live] + u, side="right")
+            edge = first[at[live]]
+            on = np.flatnonzero(cumulated[edge] <= u)
+            while len(on):
+                edge[on] += 1
+                on = on[cumulated[edge[on]] <= u[on]]
             lengths[live] += 1
             drawn.append((live, piece[edge]))
             at[live] = before[edge]
@@ -215,6 +225,12 @@ class Lattices:
         return b"".join(map(self.pieces.table.__getitem__, ids.tolist()))[1:]
 
 
+@cache
+def _lattices(path: str, alpha: float) -> Lattices:
+    """One a worker process, so that tasks share what is filtered."""
+    return Lattices(path, alpha)
+
+
 def encode(docs: DataFrame, path: str | None = None, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, pieces array<int>, n_pieces, lossless) of every row; with digest ids_crc32 in place of pieces.
 
@@ -228,10 +244,10 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = 1.0, seed: i
     last = "ids_crc32 long" if digest else "pieces array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(path, alpha)
+        lattices = _lattices(path, alpha)
         for b in batches:
-            for k in range(0, b.num_rows, 300):
-                part = b.slice(k, 300)
+            for k in range(0, b.num_rows, 1500):
+                part = b.slice(k, 1500)
                 texts = [t.as_py() or b"" for t in part.column(1)]
                 ids = lattices.encode(texts, [xxhash.xxh64_intdigest(str(x).encode(), seed) for x in part.column(0).to_pylist()])
                 same = [lattices.decode(x) == t for x, t in zip(ids, texts, strict=True)]
