@@ -24,10 +24,9 @@ FROM (SELECT c.*, lag(sha) OVER (PARTITION BY repository_id ORDER BY day_s, k) A
 """
 
 CHANGED_FILES = """
-SELECT l_orderkey AS change_id, concat('src/m', l_suppkey % 10, '/part_', l_partkey, '.py') AS path, l_linenumber AS ord,
-  CAST(l_quantity AS INT) AS added, CAST(l_linenumber * 3 AS INT) AS deleted, l_partkey AS part,
-  CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'deleted' WHEN l_tax = 0 THEN 'renamed' ELSE 'modified' END AS change_type
-FROM {lineitem}
+SELECT l_orderkey AS change_id, concat('src/m', m, '/part_', l_partkey, '.py') AS path, l_linenumber AS ord, CAST(max(l_quantity) AS INT) AS added, CAST(l_linenumber * 3 AS INT) AS deleted, l_partkey AS part,
+  CASE WHEN max(l_returnflag) = 'R' AND l_linenumber = 1 THEN 'deleted' WHEN max(l_tax) = 0 THEN 'renamed' ELSE 'modified' END AS change_type
+FROM (SELECT *, l_suppkey % 10 AS m FROM {lineitem}) l GROUP BY l_orderkey, m, l_partkey, l_linenumber
 """
 
 #: One file's part of a rendered unified diff.
