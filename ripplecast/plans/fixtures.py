@@ -24,7 +24,7 @@ FROM (SELECT c.*, lag(sha) OVER (PARTITION BY repository_id ORDER BY day_s, k) A
 """
 
 CHANGED_FILES = """
-SELECT l_orderkey AS change_id, concat('src/m', m, '/part_', l_partkey, '.py') AS path, l_linenumber AS ord, CAST(max(l_quantity) AS INT) AS added, CAST(l_linenumber * 3 AS INT) AS deleted, l_partkey AS part,
+SELECT l_orderkey AS change_id, concat('src/m', m, '/d', l_partkey % 50, '/part_', l_partkey, '.py') AS path, l_linenumber AS ord, CAST(max(l_quantity) AS INT) AS added, CAST(l_linenumber * 3 AS INT) AS deleted, l_partkey AS part,
   CASE WHEN max(l_returnflag) = 'R' AND l_linenumber = 1 THEN 'deleted' WHEN max(l_tax) = 0 THEN 'renamed' ELSE 'modified' END AS change_type
 FROM (SELECT *, l_suppkey % 10 AS m FROM {lineitem}) l GROUP BY l_orderkey, m, l_partkey, l_linenumber
 """
@@ -97,7 +97,7 @@ FROM {changed_files} GROUP BY change_id
 """
 
 MATCHES = """
-SELECT o_orderkey AS change_id, vec_id, concat('commit ', vec_id) AS sha, abs(embedding[1]) * 2 AS similarity, vec_id % 7 = 0 AS is_regression, (vec_id * 31 + o_orderkey) % 97 AS place
+SELECT o_orderkey AS change_id, vec_id, concat('commit ', vec_id) AS sha, round(abs(CAST(embedding[1] AS DOUBLE)) * 2, 4) AS similarity, vec_id % 7 = 0 AS is_regression, (vec_id * 31 + o_orderkey) % 97 AS place
 FROM {orders} JOIN {embeddings} ON vec_id % 100 = o_orderkey % 100 WHERE o_orderkey % 3 <> 0
 """
 
@@ -121,7 +121,7 @@ FROM {customer} WHERE c_custkey % 5 = 0
 
 OWNERSHIP = """
 SELECT user_id, path, weight FROM (
-  SELECT o_custkey AS user_id, concat('src/m', l_suppkey % 10, '/part_', l_partkey, '.py') AS path,
+  SELECT o_custkey AS user_id, concat('src/m', l_suppkey % 10, '/d', l_partkey % 50, '/part_', l_partkey, '.py') AS path,
     count(*) * 1.0E0 / sum(count(*)) OVER (PARTITION BY l_partkey, l_suppkey % 10) AS weight
   FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_custkey, l_suppkey % 10, l_partkey) w
 WHERE user_id % 5 = 0
@@ -139,12 +139,12 @@ _SHA = re.compile(r"SHA\(((?:[^()]|\([^()]*\))*)\)")
 def spark_words(sql: str) -> str:
     sql = _SHA.sub(r"sha2(\1, 256)", sql)
     sql = sql.replace("EPOCH(", "unix_timestamp(").replace("ARR(", "array(")
-    return sql.replace("abs(embedding[1])", "abs(embedding[0])")
+    return sql.replace("embedding[1]", "embedding[0]")
 
 
 def duck_words(sql: str) -> str:
     sql = _SHA.sub(r"sha256(\1)", sql)
-    return re.sub(r"EPOCH\((\w+)\)", r"CAST(epoch(\1) AS BIGINT)", sql).replace("ARR(", "list_value(")
+    return re.sub(r"EPOCH\((\w+)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", sql).replace("ARR(", "list_value(")
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

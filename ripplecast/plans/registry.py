@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_code, catalog_history
+from . import catalog_code, catalog_history, catalog_risk
 
 Query = Callable[[SparkSession, str], DataFrame]
-_CATALOGS = (catalog_history, catalog_code)
+_CATALOGS = (catalog_history, catalog_code, catalog_risk)
 
 
 def queries() -> dict[str, Query]:
