@@ -60,7 +60,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 3, lead: int = 3, similarit
     per_doc = placed.groupBy("template", "doc_id").agg(F.min("line_no").alias("line_no"))
     common = per_doc.groupBy("template").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "line_no")).alias("first")).where(F.col("docs") >= min_docs)
     later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("line_no") != F.col("first.line_no"))
-    return placed.join(materialise(common, "lines-common"), "template").where(later).select("doc_id", "line_no")
+    return placed.join(materialise(common, "lines-common").hint("merge"), "template").where(later).select("doc_id", "line_no")
 
 
 def _without(text: Column, dropped: Column) -> Column:
@@ -92,6 +92,6 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, lead: int = 3, simi
     key, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     dropped = recurring_lines(safe, min_docs, lead, similarity, key, text)
     gone = materialise(dropped.distinct().groupBy("doc_id").agg(F.collect_list("line_no").alias("__gone")), "lines-dropped")
-    joined = safe.join(gone, safe[key].cast("long") == gone["doc_id"], "left")
+    joined = safe.join(gone.hint("merge"), safe[key].cast("long") == gone["doc_id"], "left")  # grows with docs: never broadcast
     changed = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(_without(F.col(text), F.col("__gone")))
     return joined.select(*[changed.alias(c) if c == text else F.col(c) for c in safe.columns]).toDF(*names)

@@ -286,4 +286,4 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 6, id_col: str = "do
     """
     classes = near_duplicates(docs, width, radius, id_col, text_col)
     drop = classes.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti")
+    return docs.join(drop.hint("merge"), id_col, "left_anti")  # grows with docs: never broadcast
