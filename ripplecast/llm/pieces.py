@@ -92,7 +92,7 @@ class Lattices:
     drawn for every node of a batch by stepping from the first, mostly no further than one.
     """
 
-    def __init__(self, path: str, alpha: float, limit: int = 1_500_000):
+    def __init__(self, path: str, alpha: float, limit: int = 600_000):
         self.pieces, self.alpha, self.limit = vocabulary(path), alpha, limit
         self.ends: dict[bytes, int] = {}
         self.nodes = 0
@@ -111,7 +111,7 @@ class Lattices:
         for c in chunks:
             by_width.setdefault((len(c) - 1).bit_length(), []).append(c)
         for width, own in by_width.items():
-            at_once = max(1, (1 << 19) >> width)
+            at_once = max(1, (1 << 16) >> width)
             for k in range(0, len(own), at_once):
                 self._filter(own[k : k + at_once])
 
@@ -179,7 +179,8 @@ class Lattices:
     def encode(self, texts: list[bytes], seeds: list[int]) -> list[np.ndarray]:
         """Ids of each text, sampled by its seed alone.
 
-        Past the limit new chunks are forgotten after the call: those met first hold the frequent ones.
+        Past the limit new chunks are forgotten after the call: those met first hold the frequent ones. What
+        is kept is under the limit and one call's chunks.
         """
         ends, sizes = [], []
         for text in texts:
@@ -191,7 +192,7 @@ class Lattices:
             self.add(sorted(new))
         at = np.fromiter(map(self.ends.__getitem__, ends), np.int64, len(ends))
         cumulated, piece, before, first = self.arrays()
-        if new and self.nodes > self.limit:
+        if new and self.nodes > self.limit and kept[0] > self.limit // 2:
             self.nodes, self.n_edges = kept
             self.parts = [(*(x[: kept[1]] for x in self.parts[0][:3]), first[: kept[0] + 1])]
             for c in new:
@@ -246,8 +247,8 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = 1.0, seed: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(path, alpha)
         for b in batches:
-            for k in range(0, b.num_rows, 1500):
-                part = b.slice(k, 1500)
+            for k in range(0, b.num_rows, 500):
+                part = b.slice(k, 500)
                 texts = [t.as_py() or b"" for t in part.column(1)]
                 ids = lattices.encode(texts, [xxhash.xxh64_intdigest(str(x).encode(), seed) for x in part.column(0).to_pylist()])
                 same = [lattices.decode(x) == t for x, t in zip(ids, texts, strict=True)]

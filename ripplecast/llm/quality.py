@@ -40,7 +40,7 @@ def _shape_of(m: re.Match) -> bytes:
 class Units:
     """Row numbers of words and of their shapes, by way of a bounded cache."""
 
-    def __init__(self, limit: int = 600_000):
+    def __init__(self, limit: int = 150_000):
         self.known, self.limit = {}, limit
 
     def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
@@ -49,13 +49,13 @@ class Units:
         try:
             packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
         except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    shape = _SHAPE.sub(_shape_of, w)[:24]
-                    known[w] = (xxhash.xxh3_64_intdigest(w.lower()) >> 18) << 16 | (WORDS + 1 + xxhash.xxh3_64_intdigest(shape) % (SHAPES - 1))
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            for w in new:
+                shape = _SHAPE.sub(_shape_of, w)[:24]
+                known[w] = (xxhash.xxh3_64_intdigest(w.lower()) >> 18) << 16 | (WORDS + 1 + xxhash.xxh3_64_intdigest(shape) % (SHAPES - 1))
             packed = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            for w in new if len(known) > self.limit else ():  # the first words of a corpus hold its frequent ones
+                del known[w]
         word, shape = packed >> 16, packed & 65535
         for d in (1, 2):
             shape[d:][word[d:] == word[:-d]] = _REPEAT
