@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,3 +79,16 @@ def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
 def values(column: pa.Array) -> np.ndarray:
     """A numeric Arrow column without nulls as numpy."""
     return column.to_numpy(zero_copy_only=False)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """run, giving freed memory back to the system after each task: a worker process lives on between stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+        if trim:
+            trim(0)
+
+    return wrapped

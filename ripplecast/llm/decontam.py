@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidied
+
 SHINGLE = 3
 
 #: ASCII letters fold to lower case, digits and all bytes of non-ASCII characters stay, the rest separates words.
@@ -121,7 +123,7 @@ def order_by_rarity(docs: DataFrame, block: Block, text_col: str) -> Block:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), size, np.int32)), pa.array(k.astype(np.int32)), pa.array(n[k])], schema=schema)
 
     counts = {size: np.zeros(len(codes), np.int64) for size, codes in block.shingles.items()}
-    per_task = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "size int, k int, n long")
+    per_task = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(tidied(count), "size int, k int, n long")
     for r in per_task.groupBy("size", "k").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["size"]][r["k"]] = r["n"]
     shared.unpersist()
@@ -196,7 +198,7 @@ def _scan(docs: DataFrame, block: Block, text_col: str, first: bool, last: bool,
             yield pa.RecordBatch.from_arrays([*own_columns, pa.array(sizes_all, pa.int64()), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*carry, *names])
 
     schema = T.StructType([*fields, T.StructField("__n_words", T.LongType()), T.StructField("__spans", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def _covered(spans: DataFrame) -> DataFrame:

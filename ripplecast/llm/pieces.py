@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 #: No piece holds a space after another character, or a line end; so the lattice falls apart at these.
 _CHUNK = re.compile(rb" +[^ \n]*|\n|[^ \n]+")
 _STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
@@ -258,7 +260,7 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = 1.0, seed: i
                     own = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]).astype(np.int32)), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(same), own], names=["doc_id", "n_pieces", "lossless", last.split()[0]])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, f"doc_id long, n_pieces long, lossless boolean, {last}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tidied(run), f"doc_id long, n_pieces long, lossless boolean, {last}")
 
 
 def decode(rows: DataFrame, path: str | None = None, pieces_col: str = "pieces") -> DataFrame:

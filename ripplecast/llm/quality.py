@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 WORDS = 1 << 13  # hashed word vectors
 SHAPES = 1 << 11  # hashed vectors of letter-case and punctuation shapes
 DIM, NONZERO = 32, 4  # of a vector; of an index vector
@@ -112,7 +114,7 @@ def context_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             now = k
 
     kind = "block int, table binary"
-    sums = docs.select("text").mapInArrow(count, kind).repartition(_BLOCKS, "block").sortWithinPartitions("block").mapInArrow(merge, kind).collect()
+    sums = docs.select("text").mapInArrow(tidied(count), kind).repartition(_BLOCKS, "block").sortWithinPartitions("block").mapInArrow(merge, kind).collect()
     table = np.zeros((_ROWS, DIM + 1))
     for (a, z), r in ((((x := np.array_split(np.arange(_ROWS), _BLOCKS)[r.block])[0], x[-1] + 1), r) for r in sums):
         table[a:z] = np.frombuffer(zlib.decompress(r.table), np.int64).reshape(-1, DIM + 1)
@@ -222,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> tuple[n
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pooled(units, shared.value, t.as_py()).tobytes() for t in b.column(2)], pa.binary())], schema=schema)
 
     chosen = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")  # max_rows ids
-    rows = chosen.mapInArrow(features, "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(2 * max_rows).collect()
+    rows = chosen.mapInArrow(tidied(features), "doc_id long, quality int, x binary").orderBy("doc_id", "x").limit(2 * max_rows).collect()
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, width)
     y = np.array([r.quality for r in rows], np.int64)
     validate = np.array([zlib.crc32(str(r.doc_id).encode()) % 5 == 1 for r in rows], bool)
@@ -247,7 +249,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: st
             x = np.stack([pooled(units, vectors, t.as_py()) for t in b.column(1)]).astype(np.float64) if b.num_rows else np.zeros((0, 4 * DIM + 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.scores(x))], schema=schema)
 
-    scored = plain.mapInArrow(run, "doc_id long, score double")
+    scored = plain.mapInArrow(tidied(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(_fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -266,4 +268,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, te
                 x = np.stack([pooled(units, vectors, t.as_py()) for t in b.column(at).cast(pa.binary())]).astype(np.float64)
                 yield b.filter(pa.array(net.scores(x) >= threshold))
 
-    return safe.mapInArrow(run, safe.schema).toDF(*names)
+    return safe.mapInArrow(tidied(run), safe.schema).toDF(*names)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, components, materialise, values
+from .common import batch, components, materialise, tidied, values
 
 BITS = 64
 _SEED = 42
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
             found = np.fromiter((fingerprint(t, width) for t in (x.as_py() for x in b.column(1))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], schema=schema)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 @dataclass(frozen=True)
@@ -256,7 +256,7 @@ def links(distinct: DataFrame, chosen: Plan, radius: int, block_rows: int = 8192
                 held = [h[cut:] for h in held]
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(compare, "u long, v long")
+    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(tidied(compare), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

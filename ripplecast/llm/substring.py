@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidied
 
 ROWS = 2  # of the sketch
 GRAM = 10  # words that stand for a window in the sketch
@@ -287,7 +287,7 @@ def repeats(docs: DataFrame, window: int, bits: int, buckets: int, parts: int, a
             if row:
                 held.append(_unpack(row[1].as_py(), _STARTS))
 
-    sent = docs.mapInArrow(candidates, _SENT_KIND).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    sent = docs.mapInArrow(tidied(candidates), _SENT_KIND).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     settled = sent.mapInArrow(settle, _SENT_KIND).repartition(parts, "bucket").sortWithinPartitions("bucket")
     return settled.mapInArrow(gather, "doc_id long, tag long, packed binary")
 
@@ -343,4 +343,4 @@ def remove_repeats(docs: DataFrame, window: int = 20, max_bits: int = 27, id_col
 
     alone = base.where("doc_id is null").withColumn("found", F.lit(None).cast("array<struct<tag:long,packed:binary>>"))
     joined = known.join(found, "doc_id", "left").select("doc_id", "text", "found")
-    return joined.unionByName(alone).mapInArrow(answer, kind)
+    return joined.unionByName(alone).mapInArrow(tidied(answer), kind)

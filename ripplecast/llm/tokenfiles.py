@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, tidied
 
 FORMAT = {
     "compression": "zstd",
@@ -41,7 +41,7 @@ class WordEncoder:
     marks behind. A text that may hold a special token's name is encoded as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task a core
         from tokenizers import Tokenizer
 
@@ -107,8 +107,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = _encoder(tokenizer_path), 0
         for b in batches:
-            for k in range(0, b.num_rows, 4000):
-                part = b.slice(k, 4000)
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
                 flat, sizes = encoder.encode(part.column(1), end)
                 ends = np.cumsum(sizes)
                 tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
@@ -121,7 +121,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         .sortWithinPartitions("doc_id", "text")
         .withColumn("part", F.spark_partition_id())
     )
-    ordered.mapInArrow(encode, "doc_id long, part int, at long, n_tokens long, tokens array<int>").write.options(**options).parquet(path)
+    ordered.mapInArrow(tidied(encode), "doc_id long, part int, at long, n_tokens long, tokens array<int>").write.options(**options).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, low: int | None = None, high: int | None = None, tokens: bool = True) -> DataFrame:
