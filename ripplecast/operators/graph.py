@@ -141,6 +141,18 @@ def _gather(dims: DataFrame, keys: list[str]) -> DataFrame:
     return dims.groupBy(*keys).agg(listed.alias("vector"))
 
 
+def _layer(own: np.ndarray, other: np.ndarray, last: bool):
+    @F.pandas_udf("array<double>")
+    def apply(vector: pd.Series, mean: pd.Series) -> pd.Series:
+        x = np.stack(vector)
+        y = x @ own + np.stack([np.zeros(x.shape[1]) if v is None else np.asarray(v) for v in mean]) @ other
+        if not last:
+            y = np.maximum(y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9), 0)
+        return pd.Series(list(y))
+
+    return apply
+
+
 def network_scores(vectors: DataFrame, edges: DataFrame, layers: int = 3, hidden: int = 16, seed: int = 11) -> DataFrame:
     """(snapshot_id, node_id, logit) after message-passing layers with seeded weights.
 
@@ -154,16 +166,7 @@ def network_scores(vectors: DataFrame, edges: DataFrame, layers: int = 3, hidden
         own, other = rng.normal(0, width**-0.5, (width, out)), rng.normal(0, width**-0.5, (width, out))
         both = current.join(neighbour_mean(current, edges).withColumnRenamed("vector", "mean"), ["snapshot_id", "node_id"], "left")
 
-        @F.pandas_udf("array<double>")
-        def apply(vector: pd.Series, mean: pd.Series, own=own, other=other, last=k == layers) -> pd.Series:
-            x = np.stack(vector)
-            m = np.stack([np.zeros(x.shape[1]) if v is None else np.asarray(v) for v in mean])
-            y = x @ own + m @ other
-            if not last:
-                y = np.maximum(y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9), 0)
-            return pd.Series(list(y))
-
-        current, width = stored(both.select("snapshot_id", "node_id", apply("vector", "mean").alias("vector")), "network"), out
+        current, width = stored(both.select("snapshot_id", "node_id", _layer(own, other, k == layers)("vector", "mean").alias("vector")), "network"), out
     return current.select("snapshot_id", "node_id", F.col("vector")[0].alias("logit"))
 
 

@@ -141,9 +141,9 @@ def trained(rows: DataFrame) -> DataFrame:
     data = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="x").transform(rows.withColumn("y", F.col("is_regression").cast("double")))
     risk = LinearRegression(featuresCol="x", labelCol="risk_label", predictionCol="risk_hat").fit(data)
     flag = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="pr", rawPredictionCol="raw", predictionCol="yes", maxIter=20).fit(data)
-    trees = GBTClassifier(featuresCol="x", labelCol="y", probabilityCol="pt", rawPredictionCol="rt", predictionCol="yt", maxIter=5, maxDepth=3, seed=3).fit(data)
+    trees = GBTClassifier(featuresCol="x", labelCol="y", predictionCol="yt", maxIter=5, maxDepth=3, seed=3).fit(data)
     out = trees.transform(flag.transform(risk.transform(data)))
-    return out.select("change_id", "risk_hat", vector_to_array("pr")[1].alias("p_hat"), vector_to_array("pt")[1].alias("p_trees"))
+    return out.select("change_id", "risk_hat", vector_to_array("pr")[1].alias("p_hat"), vector_to_array("probability")[1].alias("p_trees"))
 
 
 def score(changes: DataFrame, matches: DataFrame) -> DataFrame:
