@@ -15,16 +15,22 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once, where body names it in an inner function."""
+    return F.transform(F.array(value), body)[0]
+
+
 def digest_embedding(text: Column, dims: int = 384) -> Column:
     """V1: bytes b of a chain of SHA-256 digests as b / 255 * 2 - 1, ``dims`` of them, at unit length."""
-    digests, last = [], F.sha2(text, 256)
-    for _ in range(-(-dims // 32)):
-        digests.append(last)
-        last = F.sha2(F.unhex(last), 256)
-    hexed = F.concat(*digests)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(hexed, i * 2 + 1, 2), 16, 10).cast("double") / 255 * 2 - 1)
-    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: x / norm)
+    start = F.struct(F.sha2(text, 256).alias("last"), F.sha2(text, 256).alias("whole"))
+
+    def longer(s: Column, _: Column) -> Column:
+        return _let(F.sha2(F.unhex(s["last"]), 256), lambda h: F.struct(h.alias("last"), F.concat(s["whole"], h).alias("whole")))
+
+    chain = F.aggregate(F.sequence(F.lit(1), F.lit(-(-dims // 32) - 1)), start, longer, lambda s: s["whole"])
+    raw = lambda h: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.conv(F.substring(h, i * 2 + 1, 2), 16, 10).cast("double") / 255 * 2 - 1)
+    norm = lambda r: F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
+    return _let(chain, lambda h: _let(raw(h), lambda r: _let(norm(r), lambda n: F.transform(r, lambda x: x / n))))
 
 
 def code_text(code: Column, language: Column) -> Column:

@@ -174,4 +174,5 @@ def duck(text: str) -> str:
     body = duck_words(_NAME.sub(r"\1", text)).strip()
     if not ctes:
         return body
-    return f"WITH {', '.join(ctes)}{', ' + body[5:] if body.upper().startswith('WITH ') else ' ' + body}"
+    word = next((w for w in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(w)), "")
+    return f"{word or 'WITH '}{', '.join(ctes)}{', ' + body[len(word) :] if word else ' ' + body}"
