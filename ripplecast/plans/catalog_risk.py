@@ -229,7 +229,7 @@ own AS (SELECT change_id, user_id, count(DISTINCT o.path) AS n_owned FROM (SELEC
 nn AS (SELECT change_id, count(*) AS n FROM tg GROUP BY 1),
 ov AS (SELECT change_id, user_id, least(sum(weight) / max(n), 1) AS overlap FROM tg JOIN nn USING (change_id) JOIN {{ownership}} w ON w.path = tg.path GROUP BY 1, 2),
 ex AS (SELECT DISTINCT change_id, user_id FROM tg JOIN {{reviewers}} ON contains(lower(path), lower(expertise_area))),
-cand AS (SELECT change_id, user_id FROM own UNION SELECT change_id, user_id FROM ex),
+cand AS (SELECT change_id, user_id FROM (SELECT DISTINCT change_id FROM tg) c, {{reviewers}}),
 sc AS (SELECT c.change_id, username, user_id, expertise_area, coalesce(n_owned, 0) AS n_owned, coalesce(overlap, 0) AS overlap, ownership_score, ex.user_id IS NOT NULL AS expert,
   round(least(0.3 * ownership_score + 0.5 * coalesce(overlap, 0) + CASE WHEN ex.user_id IS NOT NULL THEN 0.2 ELSE 0 END, 1), 4) AS score
   FROM cand c JOIN {{reviewers}} USING (user_id) LEFT JOIN own USING (change_id, user_id) LEFT JOIN ov USING (change_id, user_id) LEFT JOIN ex USING (change_id, user_id))
