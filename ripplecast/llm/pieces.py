@@ -94,7 +94,7 @@ class Lattices:
     drawn for every node of a batch by stepping from the first, mostly no further than one.
     """
 
-    def __init__(self, path: str, alpha: float, limit: int = 600_000):
+    def __init__(self, path: str, alpha: float, limit: int = 300_000):
         self.pieces, self.alpha, self.limit = vocabulary(path), alpha, limit
         self.ends: dict[bytes, int] = {}
         self.nodes = 0
@@ -249,8 +249,8 @@ def encode(docs: DataFrame, path: str | None = None, alpha: float = 1.0, seed: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattices = _lattices(path, alpha)
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
                 texts = [t.as_py() or b"" for t in part.column(1)]
                 ids = lattices.encode(texts, [xxhash.xxh64_intdigest(str(x).encode(), seed) for x in part.column(0).to_pylist()])
                 same = [lattices.decode(x) == t for x, t in zip(ids, texts, strict=True)]
