@@ -153,10 +153,10 @@ WITH m AS (SELECT change_id, path, max(p) AS p, max(importance) AS importance, m
 o AS (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY place) AS o FROM m),
 s1 AS (SELECT change_id, arg_min(similarity, (place, vec_id)) AS sim, arg_min(is_regression, (place, vec_id)) AS reg FROM {{matches}} GROUP BY change_id),
 x AS (SELECT o.change_id, path, CASE WHEN reg AND o <= 3 THEN least(p + 0.15 * sim, 0.99) ELSE p END AS p, importance, o FROM o LEFT JOIN s1 USING (change_id))
-SELECT change_id, path, round(p, 5) AS p, round(importance, 5) AS importance, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY p DESC, o) AS n FROM x) y WHERE n <= 10""")
+SELECT change_id, path, round(p, 6) AS p, round(importance, 6) AS importance, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY p DESC, o) AS n FROM x) y WHERE n <= 10""")
 def _k11(s, d):
     first = fixture(s, d, "matches").groupBy("change_id").agg(F.min_by(F.struct("similarity", "is_regression"), F.struct("place", "vec_id")).alias("m")).select("change_id", "m.*")
-    return K.merge_files(sql(s, d, AFFECTED), first).select("change_id", "path", F.round("p", 5).alias("p"), F.round("importance", 5).alias("importance"), "rank")
+    return K.merge_files(sql(s, d, AFFECTED), first).select("change_id", "path", r(F.col("p")).alias("p"), r(F.col("importance")).alias("importance"), "rank")
 
 
 @query("k12_trained_models")
