@@ -23,9 +23,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays. Six differing bits of 64 are an angle of 0.29, a cosine of 0.96:
-    over the shingle sets of five words a Jaccard similarity of about 0.9."""
-    return simhash.keep_one(docs, width=5, radius=6)
+    """One document of each class stays: documents link at a Jaccard similarity of 0.8 of their sets of five-word shingles."""
+    return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

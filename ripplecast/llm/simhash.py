@@ -1,4 +1,4 @@
-"""SimHash near-duplicate classes by a generalised pigeonhole search over the fingerprints."""
+"""Near-duplicate classes: SimHash by a generalised pigeonhole search over the fingerprints, and verified shingle similarity."""
 
 from __future__ import annotations
 
@@ -19,19 +19,27 @@ BITS = 64
 _SEED = 42
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = np.arange(8, dtype=np.int64) * 256
+#: MinHash: slots of a signature, and slots of a band.
+SLOTS, BAND = 125, 5
+_FLIP, _FACTOR = np.random.default_rng(_SEED).integers(0, 2**64, (2, SLOTS), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
 
 
-def fingerprint(text: bytes | None, width: int) -> int:
-    """64-bit SimHash of the ``width``-word shingles; 0 where there is no word."""
+def shingles(text: bytes | None, width: int) -> np.ndarray:
+    """Hashes of the ``width``-word shingles, in order; of all words where there are fewer; none where there is no word."""
     words = (text or b"").lower().split()  # bytes: folds A-Z and splits on ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, _SEED)
+        return np.array([digest(joined, _SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = np.array([digest(joined[a:b], _SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], dtype=np.uint64)
+    return np.array([digest(joined[a:b], _SEED) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist())], dtype=np.uint64)
+
+
+def fingerprint(text: bytes | None, width: int) -> int:
+    """64-bit SimHash of the ``width``-word shingles; 0 where there is no word."""
+    hashes = shingles(text, width)
     seen = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
     ones = (seen @ _BYTE_BITS).ravel()
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
@@ -279,11 +287,156 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     )
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each class the row of the smallest id stays.
+def signature(hashes: np.ndarray, block: int = 256) -> np.ndarray:
+    """16 bits of the least value of each of the SLOTS permutations: two sets agree in a slot about as often as their Jaccard similarity."""
+    low = np.full(SLOTS, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), block):
+        low = np.minimum(low, ((hashes[k : k + block, None] ^ _FLIP) * _FACTOR).min(axis=0))
+    return (low >> np.uint64(24)).astype(np.uint16)
+
+
+def set_rows(docs: DataFrame, width: int, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
+    """(doc_id, digest, n, sig) of the shingle set of every row, or with ``whole`` (doc_id, digest, hashes)."""
+    kind = [("n", pa.int32()), ("sig", pa.binary())] if not whole else [("hashes", pa.list_(pa.int64()))]
+    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), *kind])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                sets = [np.unique(shingles(t.as_py(), width)) for t in part.column(1)]
+                digest = np.fromiter((xxhash.xxh64_intdigest(h.tobytes(), _SEED) for h in sets), np.uint64, len(sets)).view(np.int64)
+                if whole:
+                    rest = {"hashes": [h.view(np.int64) for h in sets]}
+                else:
+                    rest = {"n": [len(h) for h in sets], "sig": [signature(h).tobytes() for h in sets]}
+                yield batch(schema, doc_id=part.column(0), digest=digest, **rest)
+
+    kind = "hashes array<long>" if whole else "n int, sig binary"
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tidied(run), f"doc_id long, digest long, {kind}")
+
+
+def band_keys(distinct: DataFrame) -> DataFrame:
+    """(key, digest): one row a band of BAND slots."""
+    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = _signatures(b.column(1)).astype(np.uint64)
+            for band in range(SLOTS // BAND):
+                key = np.zeros(len(sig), np.uint64)
+                for k in range(BAND):
+                    key = _mix(key ^ sig[:, band * BAND + k], band)
+                yield batch(schema, key=key.view(np.int64), digest=b.column(0))
+
+    return distinct.select("digest", "sig").mapInArrow(run, "key long, digest long")
+
+
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
+
+
+def bucket_pairs(group: np.ndarray, digest: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, similarity: float, rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket, of different labels, that may reach ``similarity``: by size surely, by signature within four
+    standard deviations; rows sorted by group."""
+    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / SLOTS)
+    d = 0
+    while (d := d + 1) < len(group):
+        at = np.flatnonzero(group[:-d] == group[d:])
+        if not len(at):
+            return
+        small, large = np.minimum(n[at], n[at + d]), np.maximum(n[at], n[at + d])
+        at = at[(label[at] != label[at + d]) & (small + 1e-9 >= similarity * large)]
+        for k in range(0, len(at), rows):
+            i = at[k : k + rows]
+            i = i[(sig[i] == sig[i + d]).mean(axis=1) >= least]
+            if len(i):
+                yield np.minimum(digest[i], digest[i + d]), np.maximum(digest[i], digest[i + d])
+
+
+def bucket_candidates(shared: DataFrame, known: DataFrame, similarity: float, block_rows: int = 8192) -> DataFrame:
+    """(a, b): all pairs that share a bucket and may be alike, but for those that ``known`` (digest, label, n, sig) labels as one.
+
+    A bucket over block_rows rows is dealt into blocks, of which every pair is compared.
+    """
+    blocks = F.when(F.col("size") > block_rows, F.ceil(F.col("size") / block_rows)).otherwise(1).cast("int")
+    dealt = (
+        shared.withColumn("blocks", blocks)
+        .withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "digest")
+        .join(known, "digest")
+        .select("group", "digest", "label", "n", "sig")
+    )
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                new = [*(values(b.column(k)) for k in range(4)), _signatures(b.column(4))]
+                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            if held is None or not len(held[0]):
+                continue
+            cut = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+            if cut:
+                for a, z in bucket_pairs(*(h[:cut] for h in held), similarity):
+                    yield batch(schema, a=a, b=z)
+                held = [h[cut:] for h in held]
+
+    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(tidied(compare), "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``similarity``, counted exactly."""
+    one, two = (sets.select(F.col("digest").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    both = F.size(F.array_intersect("ha", "hb"))
+    found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("ha") + F.size("hb")).alias("total"))
+    return found.where(F.col("both") + 1e-9 >= similarity * (F.col("total") - F.col("both"))).select("a", "b")
+
+
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", small: int = 2_000_000) -> DataFrame:
+    """(doc_id, component_id) of every row with an id: documents link where the Jaccard similarity of their sets of
+    ``width``-word shingles is at least ``similarity``; component_id is the smallest doc_id reachable.
+
+    Candidates share a band of MinHash slots (25 bands of 5 find a pair of similarity 0.8 with probability
+    0.99995); every link is verified on the sets. First each member of a bucket is compared with the bucket's
+    least, then all pairs of members that are not yet in one component. Texts without a word are alike.
+    """
+    docs = docs.where(F.col(id_col).isNotNull())
+    rows = materialise(set_rows(docs, width, id_col, text_col), "near-rows")
+    distinct = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-distinct")
+    keys = band_keys(distinct)
+    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("digest").alias("first")).where("size > 1")
+    shared = materialise(keys.join(buckets, "key"), "near-shared")
+    wanted = materialise(shared.select("digest").distinct(), "near-wanted")
+    known = distinct.join(wanted, "digest")
+    ids = known.select(F.col("node").alias(id_col)).distinct()
+    ids = F.broadcast(ids) if wanted.count() <= small else ids.hint("merge")
+    texts = set_rows(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), width, id_col, text_col, whole=True)
+    sets = materialise(texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("hashes").alias("hashes")), "near-sets")
+    nodes = distinct.select("digest", "node")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        u, v = (nodes.select(F.col("digest").alias(c), F.col("node").alias(n)) for c, n in ("au", "bv"))
+        return pairs.join(u, "a").join(v, "b").select("u", "v")
+
+    stars = shared.where("digest != first").select(F.col("first").alias("a"), F.col("digest").alias("b")).distinct()
+    stars = materialise(linked(alike(stars, sets, similarity)), "near-stars")
+    label = components(stars, "near-labels").withColumnRenamed("root", "label")
+    known = known.join(label, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), "n", "sig")
+    rest = materialise(bucket_candidates(shared, known, similarity), "near-candidates")
+    found = components(stars.unionByName(linked(alike(rest, sets, similarity))), "near-links")
+    classes = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    return rows.select("doc_id", "digest").join(classes, "digest").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies: of each class of similar_texts the row of the smallest id stays.
 
     Rows without an id stay; of repeated rows of the kept id all stay.
     """
-    classes = near_duplicates(docs, width, radius, id_col, text_col)
+    classes = similar_texts(docs, width, similarity, id_col, text_col)
     drop = classes.where("component_id < doc_id").select(F.col("doc_id").alias(id_col)).distinct()
     return docs.join(drop.hint("merge"), id_col, "left_anti")  # grows with docs: never broadcast

@@ -111,6 +111,62 @@ def test_simhash_links_and_splits_large_buckets(spark):
         assert all(found.get(k, k) == v for k, v in want.items())
 
 
+def shingle_set(t, width=5):
+    w = spaced(fold(t))
+    return {" ".join(w[k : k + width]) for k in range(max(len(w) - width, 0) + 1)} if w else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_near_copies_are_found_and_verified(spark, docs, odd):
+    """Planted pairs of J 0.7 to 1 among the documents: the classes are those of all pairs at 0.8, by band of similarity."""
+    rng = np.random.default_rng(7)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    planted = []
+    for k in range(400):
+        words = [f"p{k}x{n}" for n in range(int(rng.integers(80, 400)))]
+        other = list(words)
+        for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.002, 0.036))), replace=False):
+            other[at] = f"q{k}"
+        planted.append((10_000 + 2 * k, " ".join(words), " ".join(other)))
+    rows += [(i + n, t) for i, *pair in planted for n, t in enumerate(pair)]
+    # a chain of which only near members are alike
+    chain = [f"c{n}" for n in range(200)]
+    rows += [(30_000 + k, " ".join(chain[10 * k : 10 * k + 150])) for k in range(6)]
+    rows += [(i, t) for i, t, *_ in ODD if i is not None and i not in {r[0] for r in rows}]
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.01)):
+        band = [i for i, *_ in planted if low <= jaccard(sets[i], sets[i + 1]) < high]
+        assert len(band) >= 20 and all(got[i + 1] == i for i in band), low
+    below = [i for i, *_ in planted if jaccard(sets[i], sets[i + 1]) < 0.8]
+    assert len(below) >= 20 and all(got[i + 1] == i + 1 for i in below)
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y)) and jaccard(x, y) >= 0.8 and top(a) != top(b):
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    assert got == {i: top(i) for i in sets}
+
+
+def test_near_candidates_split_large_buckets(spark):
+    """Every pair of a bucket is a candidate however the bucket is dealt, but for those of one label."""
+    sig = np.arange(simhash.SLOTS, dtype=np.uint16).tobytes()
+    shared = spark.createDataFrame([(1, k, 40) for k in range(40)], "key long, digest long, size long")
+    known = spark.createDataFrame([(k, k // 2, 100, bytearray(sig)) for k in range(40)], "digest long, label long, n int, sig binary")
+    want = {(a, b) for a, b in itertools.combinations(range(40), 2) if a // 2 != b // 2}
+    for block in (8192, 7):
+        assert {(r.a, r.b) for r in simhash.bucket_candidates(shared, known, 0.8, block).collect()} == want
+
+
 def test_allocation_prefers_cheap_groups():
     assert simhash.allocate([[0, 100, 1000], [0, 1, 2], [0, 1, 50]], 0)[0] == (-1, 1, 0)
 
