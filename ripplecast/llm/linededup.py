@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import components, materialise
 
 WILD = "<*>"
 
@@ -33,8 +33,9 @@ def templates(lines: DataFrame, hashed: DataFrame, similarity: float, small: int
 
     A leaf's centre has at each place the token that most of its lines have (ties to the smaller). Lines
     that agree with it in at least ``similarity`` of their places share its template, in which
-    the other places are variable; every other line is a template of its own. The text is
-    gathered for crowded leaves only, which are broadcast up to ``small`` of them.
+    the other places are variable. Of the other lines those that link among themselves share one, by ``others``, and
+    each of the rest is a template of its own. The text is gathered for crowded leaves only, which are broadcast
+    up to ``small`` of them.
     """
     crowded = hashed.groupBy("leaf").agg(F.min("exact").alias("a"), F.max("exact").alias("z")).where("a != z").select("leaf")
     crowded = materialise(crowded, "lines-crowded")
@@ -46,8 +47,48 @@ def templates(lines: DataFrame, hashed: DataFrame, similarity: float, small: int
     winner = votes.groupBy("leaf", "place").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "token")).alias("w"))
     centre = winner.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("place", F.col("w.token").alias("token")))).alias("centre"))
     tokens = F.split("masked", " ")
-    same = F.size(F.filter(F.zip_with(tokens, F.col("centre.token"), lambda a, b: a == b), lambda x: x))
-    return distinct.join(centre, "leaf").select("leaf", "exact", F.when(same >= similarity * F.size(tokens), F.xxhash64("leaf", F.lit("centre"))).otherwise(F.col("exact")).alias("template"))
+    agrees = _same(tokens, F.col("centre.token")) >= similarity * F.size(tokens)
+    placed = materialise(distinct.join(centre, "leaf").select("leaf", "exact", "masked", agrees.alias("agrees")), "lines-centred")
+    more = others(placed.where("not agrees").select("leaf", "exact", tokens.alias("tokens")), similarity)
+    named = F.when(F.col("agrees"), F.xxhash64("leaf", F.lit("centre"))).when(F.col("root").isNotNull(), F.xxhash64("leaf", F.lit("group"), "root")).otherwise(F.col("exact"))
+    return placed.join(more, placed["exact"] == more["node"], "left").select("leaf", "exact", named.alias("template"))
+
+
+def _same(a: Column, b: Column) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
+
+
+def others(lines: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the lines (leaf, exact, tokens) that link to another of their leaf: node is exact, root the
+    least of its group. Lines link where they agree in at least ``similarity`` of their places.
+
+    Two such lines differ in at most m places, so they agree in one of m + 1 runs of places. Lines that share a run are
+    first compared with the least of them; of runs that then still hold several groups, every line outside the
+    main group is compared with all of another group.
+    """
+    lines = materialise(lines, "lines-others")
+    n = F.size("tokens")
+    runs = (n - F.ceil(F.lit(similarity) * n) + 1).cast("int")
+    start, end = (F.floor(k * n / F.col("runs")).cast("int") for k in (F.col("k"), F.col("k") + 1))
+    keyed = lines.withColumn("runs", runs).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+    keyed = keyed.select(F.xxhash64("leaf", "k", F.slice("tokens", start + 1, end - start)).alias("key"), "exact")
+    shared = keyed.groupBy("key").agg(F.min("exact").alias("least"), F.max("exact").alias("z")).where("least != z").select("key", "least")
+    keyed = materialise(keyed.join(shared, "key"), "lines-runs")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        one, two = (lines.select(F.col("exact").alias(c), F.col("tokens").alias(t)) for c, t in ("ua", "vb"))
+        return pairs.distinct().join(one, "u").join(two, "v").where(_same(F.col("a"), F.col("b")) >= similarity * F.size("a")).select("u", "v")
+
+    stars = materialise(linked(keyed.where("exact != least").select(F.col("least").alias("u"), F.col("exact").alias("v"))), "lines-stars")
+    labels = components(stars, "lines-labels")
+    rows = keyed.join(labels, keyed["exact"] == labels["node"], "left").select("key", "exact", F.coalesce("root", "exact").alias("label"))
+    rows = materialise(rows, "lines-labelled")
+    sizes = rows.groupBy("key", "label").count()
+    main = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).where("labels > 1").select("key", "main")
+    outside = rows.join(main, "key").where("label != main").select("key", F.col("exact").alias("x"), F.col("label").alias("own"))
+    pairs = outside.join(rows, "key").where("label != own").select(F.least("x", "exact").alias("u"), F.greatest("x", "exact").alias("v"))
+    groups = components(stars.unionByName(linked(pairs)), "lines-groups")
+    return groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 3, lead: int = 3, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,7 +119,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 3, lead: int = 3, simi
 
     Lines are parsed by a tree of fixed depth: number of tokens, then the ``lead`` first
     tokens, with digit-bearing tokens as wildcards; lines of a leaf that agree in
-    ``similarity`` of their places form one template. Of a template found in min_docs or more documents
+    ``similarity`` of their places form one template, of which a leaf may hold several. Of a template found in min_docs or more documents
     the first line stays and all others go, so no content is lost altogether. Blank lines
     always stay.
 

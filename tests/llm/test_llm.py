@@ -248,6 +248,40 @@ def test_line_templates(spark):
     assert (got[20], got[21], got[22], got[23]) == ("only in two", "only in two", None, "")
 
 
+def test_a_leaf_holds_several_templates(spark):
+    """Two templates in one leaf, the second smaller, and an even mix of two: each keeps its first line alone."""
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
+    rows = [(k, f"read more about {word(k)} in the daily news of our town") for k in range(9)]
+    rows += [(20 + k, f"read more about {word(k)} at a shop which sells old maps") for k in range(5)]
+    rows += [(40 + 2 * k + n, f"this page was {word(k)} {rest}") for k in range(4) for n, rest in enumerate(("b d f h j l n", "c e g i k m o"))]
+    # neighbours alone agree: a chain is one template
+    rows += [(60 + k, " ".join(["to be continued", *("new" if n < k else "old" for n in range(7))])) for k in range(8)]
+    rows += [(80, "read more about nothing that any other line here would say"), (81, "read more about two pages"), (82, "read more about six ships")]
+    got = {r.doc_id: r.text for r in linededup.drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {i for i, t in got.items() if t}
+    assert kept & set(range(20)) == {0} and kept & set(range(20, 40)) == {20}
+    assert kept & set(range(40, 60)) == {40, 41} and {80, 81, 82} <= kept
+
+
+def test_line_groups_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    bases = [[str(x) for x in rng.integers(0, 4, 12)] for _ in range(30)]
+    lines = sorted({tuple(str(rng.integers(0, 9)) if rng.random() < 0.1 else x for x in b) for b in bases for _ in range(12)})
+    parent = list(range(len(lines)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        if sum(x == y for x, y in zip(lines[a], lines[b])) >= 0.8 * 12 and top(a) != top(b):
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    frame = spark.createDataFrame([(1, k, list(t)) for k, t in enumerate(lines)], "leaf long, exact long, tokens array<string>")
+    got = {r.node: r.root for r in linededup.others(frame, 0.8).collect()}
+    assert len(set(map(top, parent))) > 5 and [got.get(k, k) for k in range(len(lines))] == [top(k) for k in range(len(lines))]
+
+
 def test_line_dedup_is_native_and_takes_odd_rows(odd, none):
     out = linededup.drop_recurring_lines(odd)
     assert out.columns == odd.columns and out.count() == len(ODD) and linededup.drop_recurring_lines(none).count() == 0
