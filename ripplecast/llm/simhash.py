@@ -1,7 +1,9 @@
-"""Near-duplicate classes: SimHash by a generalised pigeonhole search over the fingerprints, and verified shingle similarity."""
+"""Near-duplicate classes by SimHash: a generalised pigeonhole search over fingerprints of 64 bits within an exact radius,
+and over long fingerprints for a shingle similarity that is then verified."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -19,9 +21,11 @@ BITS = 64
 _SEED = 42
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_AT = np.arange(8, dtype=np.int64) * 256
-#: MinHash: slots of a signature, and slots of a band.
-SLOTS, BAND = 125, 5
-_FLIP, _FACTOR = np.random.default_rng(_SEED).integers(0, 2**64, (2, SLOTS), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
+#: Words of 64 bits of a long fingerprint: those that keys are made of, then those that compare rows of a bucket.
+LONG, CHECK = 14, 2
+_WORDS = LONG + CHECK
+_FLIP, _FACTOR = np.random.default_rng(_SEED).integers(0, 2**64, (2, _WORDS), dtype=np.uint64) | np.array([[0], [1]], np.uint64)
+_LONG_AT = np.arange(8 * _WORDS, dtype=np.int64) * 256
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
@@ -66,14 +70,14 @@ class Plan:
     cost: float
 
 
-def bit_groups(cov: np.ndarray, m: int) -> tuple[tuple[int, ...], ...]:
-    """Greedy grouping of correlated bits into m groups of near-equal width."""
+def bit_groups(cov: np.ndarray, m: int, used: int = BITS) -> tuple[tuple[int, ...], ...]:
+    """Greedy grouping of correlated bits into m groups of near-equal width, of ``used`` bits in all."""
     dev = np.sqrt(np.clip(np.diag(cov), 1e-12, None))
     corr = np.abs(cov / np.outer(dev, dev))
     np.fill_diagonal(corr, 0)
     left, out = list(range(BITS)), []
     for k in range(m):
-        size = math.ceil(len(left) / (m - k))
+        size = math.ceil((used - sum(map(len, out))) / (m - k))
         group = [max(left, key=lambda b: (corr[b, left].sum(), -b))]
         left.remove(group[0])
         while len(group) < size:
@@ -117,9 +121,10 @@ def group_costs(group: tuple[int, ...], ones: np.ndarray, n: int, equal_pairs: f
 
 
 def gather_bits(fps: np.ndarray, group: tuple[int, ...]) -> np.ndarray:
-    out = np.zeros(len(fps), np.uint64)
+    """The bits of ``group``, packed; fps: one word a row, or a column for each word."""
+    words, out = fps[:, None] if fps.ndim == 1 else fps, np.zeros(len(fps), np.uint64)
     for k, b in enumerate(group):
-        out |= ((fps >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+        out |= ((words[:, b >> 6] >> np.uint64(b & 63)) & np.uint64(1)) << np.uint64(k)
     return out
 
 
@@ -173,17 +178,20 @@ def plan(distinct: DataFrame, radius: int, choices: tuple[int, ...] = (2, 3, 4,
     return best
 
 
-def probe_keys(fps: np.ndarray, chosen: Plan) -> Iterator[np.ndarray]:
-    """Keys such that two fingerprints within the radius share one: in some group they differ in at
-    most t of its bits, so they agree once the right t bits are masked out."""
+def probes(chosen: Plan) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(number, bits that the key fixes) of every key a row gets."""
     salt = 0
     for group, t in zip(chosen.groups, chosen.thresholds, strict=True):
-        if t < 0:
-            continue
-        value = gather_bits(fps, group)
-        for masked in itertools.combinations(range(len(group)), t):
+        for masked in itertools.combinations(group, t) if t >= 0 else ():
             salt += 1
-            yield _mix(value & ~np.uint64(sum(1 << b for b in masked)), salt)
+            yield salt, tuple(b for b in group if b not in masked)
+
+
+def probe_keys(fps: np.ndarray, chosen: Plan) -> Iterator[tuple[np.ndarray, tuple[int, ...]]]:
+    """Keys, and the bits they fix, such that two fingerprints within the radius share one: in some group they differ in at
+    most t of its bits, so they agree once the right t bits are left out."""
+    for salt, fixed in probes(chosen):
+        yield _mix(gather_bits(fps, fixed), salt), fixed
 
 
 def _group_links(fps: np.ndarray, radius: int, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -222,49 +230,84 @@ def bucket_links(group: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: in
     return np.concatenate(us), np.concatenate(vs)
 
 
+def _mask(bits: tuple[int, ...]) -> int:
+    return sum(1 << b for b in bits)
+
+
+def split_again(fps: np.ndarray, key: np.ndarray, fixed: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, keys, fixed bits) of a further pigeonhole step inside buckets whose rows agree in the bits ``fixed``.
+
+    What two rows of a bucket differ in lies in the free bits; of radius + 1 parts of these they agree in one at least.
+    """
+    for mask in np.unique(fixed):
+        rows = np.flatnonzero(fixed == mask)
+        free = [b for b in range(BITS) if not int(mask) >> b & 1]
+        for k in range(radius + 1):
+            part = tuple(free[k :: radius + 1])
+            yield rows, _mix(gather_bits(fps[rows], part) ^ _mix(key[rows], 7), k + 1), np.full(len(rows), mask | np.uint64(_mask(part)), np.uint64)
+
+
 def links(distinct: DataFrame, chosen: Plan, radius: int, block_rows: int = 8192) -> DataFrame:
     """Links (u, v) between representatives (``node``) of distinct fingerprints (``fp``).
 
-    A bucket of up to block_rows rows is one task group. A larger one is dealt into blocks and
-    every pair of blocks becomes a group, so no group passes 2 * block_rows rows and no
-    pair goes unchecked; each group returns at most one link a row.
+    Rows of a bucket are compared in one task. A bucket of more than block_rows rows is first split by a
+    further pigeonhole step on the bits that its key leaves free, again and again, each time at the cost of radius + 1 keys
+    for its rows alone. As fingerprints are distinct, a bucket of few free bits is small: the steps end, and
+    no pair within the radius goes unchecked. Each bucket returns at most one link a row.
     """
-    key_schema = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("fixed", pa.int64()), ("fp", pa.int64()), ("node", pa.int64())])
+    kind = "key long, fixed long, fp long, node long"
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = values(b.column(0)).view(np.uint64)
-            for keys in probe_keys(fps, chosen):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0), b.column(1)], schema=key_schema)
-
-    keys = distinct.select("fp", "node").mapInArrow(keyed, "key long, fp long, node long")
-    large = keys.groupBy("key").count().where(F.col("count") > block_rows).select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
-    large = materialise(large, "simhash-large")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = (
-        keys.join(large, "key", "left")
-        .withColumn("own", F.coalesce(own, F.lit(0)))
-        .withColumn("other", other)
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "fp", "node")
-    )
+            for keys, fixed in probe_keys(fps, chosen):
+                mask = np.full(len(fps), _mask(fixed), np.uint64)
+                yield batch(schema, key=keys.view(np.int64), fixed=mask.view(np.int64), fp=b.column(0), node=b.column(1))
+
+    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, fixed, fps, node = (values(c) for c in b.columns)
+            for rows, keys, mask in split_again(fps.view(np.uint64), key.view(np.uint64), fixed.view(np.uint64), radius):
+                yield batch(schema, key=keys.view(np.int64), fixed=mask.view(np.int64), fp=fps[rows], node=node[rows])
+
     link_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                held = [np.concatenate((h, values(b.column(k)))) for k, h in enumerate(held)]
-            if not len(held[0]):
-                continue
-            cut = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-            if cut:
-                u, v = bucket_links(held[0][:cut], held[1][:cut].view(np.uint64), held[2][:cut], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=link_schema)
-                held = [h[cut:] for h in held]
+        for key, fps, ids in whole_groups(batches):
+            u, v = bucket_links(key, fps.view(np.uint64), ids, radius)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=link_schema)
 
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(tidied(compare), "u long, v long")
+    keys, ready = distinct.select("fp", "node").mapInArrow(keyed, kind), []
+    while True:
+        large = materialise(keys.groupBy("key").count().where(F.col("count") > block_rows).select("key"), "simhash-large")
+        if large.isEmpty():
+            ready.append(keys)
+            break
+        ready.append(keys.join(large, "key", "left_anti"))
+        keys = materialise(keys.join(large, "key").select(*schema.names).mapInArrow(finer, kind), "simhash-finer")
+    found = [k.select("key", "fp", "node").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidied(compare), "u long, v long") for k in ready]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by the first, cut where it changes; a column of equal-sized binaries becomes rows of words."""
+    held = None
+    for b in itertools.chain(batches, [None]):
+        if b is not None and b.num_rows:
+            new = [words_of(c) if pa.types.is_binary(c.type) else values(c) for c in b.columns]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+        if held is None or not len(held[0]):
+            continue
+        cut = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+        if cut:
+            yield [h[:cut] for h in held]
+            held = [h[cut:] for h in held]
+
+
+def words_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -287,12 +330,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     )
 
 
-def signature(hashes: np.ndarray, block: int = 256) -> np.ndarray:
-    """16 bits of the least value of each of the SLOTS permutations: two sets agree in a slot about as often as their Jaccard similarity."""
-    low = np.full(SLOTS, 2**64 - 1, np.uint64)
-    for k in range(0, len(hashes), block):
-        low = np.minimum(low, ((hashes[k : k + block, None] ^ _FLIP) * _FACTOR).min(axis=0))
-    return (low >> np.uint64(24)).astype(np.uint16)
+def long_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """SimHash of a set of shingle hashes in _WORDS words; each word comes from hashes mixed anew."""
+    x = (hashes[:, None] ^ _FLIP) * _FACTOR
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    raw = x.view(np.uint8).reshape(len(hashes), 8 * _WORDS)
+    if len(hashes) < 128:
+        ones = np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    else:
+        seen = np.zeros(256 * 8 * _WORDS, np.int64)
+        for k in range(0, len(raw), 4096):
+            seen += np.bincount((raw[k : k + 4096] + _LONG_AT).ravel(), minlength=len(seen))
+        ones = (seen.reshape(-1, 256).astype(np.float64) @ _BYTE_BITS.astype(np.float64)).ravel()
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
 def set_rows(docs: DataFrame, width: int, id_col: str, text_col: str, whole: bool = False) -> DataFrame:
@@ -309,126 +360,298 @@ def set_rows(docs: DataFrame, width: int, id_col: str, text_col: str, whole: boo
                 if whole:
                     rest = {"hashes": [h.view(np.int64) for h in sets]}
                 else:
-                    rest = {"n": [len(h) for h in sets], "sig": [signature(h).tobytes() for h in sets]}
+                    rest = {"n": [len(h) for h in sets], "sig": [long_fingerprint(h).tobytes() for h in sets]}
                 yield batch(schema, doc_id=part.column(0), digest=digest, **rest)
 
     kind = "hashes array<long>" if whole else "n int, sig binary"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(tidied(run), f"doc_id long, digest long, {kind}")
 
 
-def band_keys(distinct: DataFrame) -> DataFrame:
-    """(key, digest): one row a band of BAND slots."""
-    schema = pa.schema([("key", pa.int64()), ("digest", pa.int64())])
+def differing_share(similarity: float) -> float:
+    """The greatest expected share of bits in which sets of at least this Jaccard similarity differ.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A bit differs with probability angle / pi, and the cosine of sets a, b is at least 2 J / (1 + J), as
+    their common part is J / (1 + J) of |a| + |b|.
+    """
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def cover(costs: list[list[float]], gains: list[list[float]], needed: float, steps: int = 400) -> tuple[tuple[int, ...], float]:
+    """Thresholds t_i >= -1 of least summed costs[i][t_i + 1] whose gains sum to ``needed`` at least, by dynamic programming on
+    gains in units of needed / steps; where none reach it, the largest."""
+    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    for row, gain in zip(costs, gains, strict=True):
+        step: dict[int, tuple[float, tuple[int, ...]]] = {}
+        for got, (cost, chosen) in best.items():
+            for t, (c, g) in enumerate(zip(row, gain, strict=True), start=-1):
+                at = min(steps, got + int(g / needed * steps))
+                if at not in step or cost + c < step[at][0]:
+                    step[at] = (cost + c, (*chosen, t))
+        best = step
+    cost, chosen = best[max(best)]
+    return chosen, cost
+
+
+def word_groups(both: np.ndarray, n: int, width: int) -> list[tuple[int, ...]]:
+    """Groups of ``width`` correlated bits of each word; what is left of a word stays unused."""
+    out = []
+    for w in range(LONG):
+        ones = np.diag(both[w])
+        cov = both[w] / max(n, 1) - np.outer(ones, ones) / max(n, 1) ** 2
+        out += [tuple(64 * w + b for b in g) for g in bit_groups(cov, 64 // width, 64 - 64 % width)]
+    return out
+
+
+def similarity_plan(distinct: DataFrame, similarity: float, miss: float, widths: tuple[int, ...] = (8, 10, 12, 14, 16, 18, 20, 24), probe: float = 20.0) -> tuple[Plan, float]:
+    """Bit groups and thresholds of least estimated work that leave out a pair at ``similarity`` with a probability of
+    ``miss`` at most; and a bound on the rows of a bucket.
+
+    Bits differ independently with probability ``differing_share``, so a group of w bits finds the pair where a binomial
+    number of differing bits is within its threshold. The width follows from bit frequencies of all
+    fingerprints, the thresholds from exact counts of equal pairs in each group. Collected: the counts of bits set together within
+    a word, and two numbers a group.
+    """
+    schema = pa.schema([("at", pa.int32()), ("n", pa.int64())])
+    upper = np.flatnonzero(np.triu(np.ones((64, 64), bool)).ravel())
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = np.zeros((LONG, 64, 64))
         for b in batches:
-            sig = _signatures(b.column(1)).astype(np.uint64)
-            for band in range(SLOTS // BAND):
-                key = np.zeros(len(sig), np.uint64)
-                for k in range(BAND):
-                    key = _mix(key ^ sig[:, band * BAND + k], band)
-                yield batch(schema, key=key.view(np.int64), digest=b.column(0))
+            for k in range(0, b.num_rows, 4096):
+                sig = words_of(b.column(0).slice(k, 4096))[:, :LONG]
+                bits = np.unpackbits(np.ascontiguousarray(sig).view(np.uint8), axis=1, bitorder="little").reshape(len(sig), LONG, 64).astype(np.float32)
+                both += np.einsum("rwi,rwj->wij", bits, bits, optimize=True)
+        at = (np.arange(LONG)[:, None] * 4096 + upper).ravel()
+        yield batch(schema, at=at.astype(np.int32), n=both.reshape(LONG, -1)[:, upper].ravel().astype(np.int64))
+
+    n = distinct.count()
+    both = np.zeros(LONG * 4096)
+    for r in distinct.select("sig").mapInArrow(together, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        both[r["at"]] = r["n"]
+    both = both.reshape(LONG, 64, 64)
+    both = np.maximum(both, both.transpose(0, 2, 1))
+    ones, p = np.concatenate([np.diag(w) for w in both]), differing_share(similarity)
+    needed = -math.log(miss)
+
+    def thresholds(groups: list[tuple[int, ...]], pairs: list[float]) -> tuple[Plan, float]:
+        hits = [np.cumsum([0.0, *(math.comb(len(g), d) * p**d * (1 - p) ** (len(g) - d) for d in range(3))]) for g in groups]
+        costs = [group_costs(g, ones, n, e, 2, probe) for g, e in zip(groups, pairs, strict=True)]
+        chosen, cost = cover(costs, [(-np.log1p(-h)).tolist() for h in hits], needed)
+        return Plan(tuple(groups), chosen, cost), cost
+
+    def expected(group: tuple[int, ...]) -> float:
+        f = ones[list(group)] / max(n, 1)
+        return float(np.prod(1 - 2 * f * (1 - f))) * n * n / 2
+
+    guesses = [thresholds(g := word_groups(both, n, w), [expected(x) for x in g]) for w in widths]
+    groups = min(guesses, key=lambda x: x[1])[0].groups
+    key_schema = pa.schema([("g", pa.int32()), ("v", pa.int64())])
+
+    def group_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if b.num_rows):
+            sig = words_of(b.column(0))
+            for k, group in enumerate(groups):
+                yield batch(key_schema, g=np.full(len(sig), k, np.int32), v=gather_bits(sig, group).view(np.int64))
 
-    return distinct.select("digest", "sig").mapInArrow(run, "key long, digest long")
+    counts = distinct.select("sig").mapInArrow(group_values, "g int, v long").groupBy("g", "v").count()
+    found = {r.g: r for r in counts.groupBy("g").agg(F.sum(F.expr("count * (count - 1D) / 2")).alias("p"), F.max("count").alias("most")).collect()}
+    chosen, _ = thresholds(list(groups), [float(found[k].p) if k in found else 0.0 for k in range(len(groups))])
+    most = max((found[k].most << t for k, t in enumerate(chosen.thresholds) if t >= 0 and k in found), default=0)
+    return chosen, most
 
 
-def _signatures(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, SLOTS)
+def limit_of(similarity: float, words: int) -> int:
+    """Differing bits of so many words, four standard deviations over the expected."""
+    p, n = differing_share(similarity), 64 * words
+    return math.floor(p * n + 4 * math.sqrt(n * p * (1 - p)))
 
 
-def bucket_pairs(group: np.ndarray, digest: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, similarity: float, rows: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one bucket, of different labels, that may reach ``similarity``: by size surely, by signature within four
-    standard deviations; rows sorted by group."""
-    least = similarity - 4 * math.sqrt(similarity * (1 - similarity) / SLOTS)
+def _near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) <= limit
+
+
+def bucket_candidates(key: np.ndarray, node: np.ndarray, n: np.ndarray, check: np.ndarray, similarity: float, wide: int = 512, dense: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, u, v) of rows sorted by key: pairs of a bucket that are near in their check words and in size; bucket is 0.
+
+    A bucket of over ``wide`` rows, or with more than ``dense`` such pairs a row, gives instead a star for
+    each of its components, under the bucket's key: members that are then not alike are compared by ``rest_of_stars``.
+    """
+    limit = limit_of(similarity, CHECK)
+    edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[edges, len(key)])
+    of = np.repeat(np.arange(len(edges)), size)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    live = np.flatnonzero(size[of] <= wide)
     d = 0
-    while (d := d + 1) < len(group):
-        at = np.flatnonzero(group[:-d] == group[d:])
-        if not len(at):
-            return
-        small, large = np.minimum(n[at], n[at + d]), np.maximum(n[at], n[at + d])
-        at = at[(label[at] != label[at + d]) & (small + 1e-9 >= similarity * large)]
-        for k in range(0, len(at), rows):
-            i = at[k : k + rows]
-            i = i[(sig[i] == sig[i + d]).mean(axis=1) >= least]
-            if len(i):
-                yield np.minimum(digest[i], digest[i + d]), np.maximum(digest[i], digest[i + d])
-
-
-def bucket_candidates(shared: DataFrame, known: DataFrame, similarity: float, block_rows: int = 8192) -> DataFrame:
-    """(a, b): all pairs that share a bucket and may be alike, but for those that ``known`` (digest, label, n, sig) labels as one.
-
-    A bucket over block_rows rows is dealt into blocks, of which every pair is compared.
+    while len(live := live[live + d + 1 < edges[of[live]] + size[of[live]]]):
+        d += 1
+        j = live + d
+        i = live[np.minimum(n[live], n[j]) + 1e-9 >= similarity * np.maximum(n[live], n[j])]
+        i = i[_near(check[i], check[i + d], limit)]
+        left.append(i)
+        right.append(i + d)
+    left, right = np.concatenate(left), np.concatenate(right)
+    full = (np.bincount(of[left], minlength=len(edges)) > dense * size) | (size > wide)
+    plain = ~full[of[left]]
+    found = [(np.zeros(int(plain.sum()), np.int64), node[left[plain]], node[right[plain]])]
+    for k in np.flatnonzero(full).tolist():
+        at = slice(edges[k], edges[k] + size[k])
+        by = np.argsort(node[at], kind="stable")
+        member, root = _stars(check[at][by], n[at][by], limit, similarity)
+        found.append((np.full(len(member), key[edges[k]]), node[at][by][root], node[at][by][member]))
+    bucket, u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+    return bucket, np.minimum(u, v), np.maximum(u, v)
+
+
+def _stars(check: np.ndarray, n: np.ndarray, limit: int, similarity: float, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) of a spanning star for each component of one bucket."""
+    todo, members, roots = np.arange(len(n)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(todo):
+        root, todo, front = todo[0], todo[1:], todo[:1]
+        while len(front) and len(todo):
+            near = np.zeros(len(todo), bool)
+            for k in range(0, len(front), block):
+                rest = np.flatnonzero(~near)
+                a, b = front[k : k + block, None], todo[rest][None]
+                near[rest] = (_near(check[a], check[b], limit) & (np.minimum(n[a], n[b]) + 1e-9 >= similarity * np.maximum(n[a], n[b]))).any(axis=0)
+            front, todo = todo[near], todo[~near]
+            members.append(front)
+            roots.append(np.full(len(front), root))
+    return np.concatenate(members), np.concatenate(roots)
+
+
+_ALIKE = "bucket long, u long, v long"
+
+
+def candidates(distinct: DataFrame, chosen: Plan, most: float, similarity: float, block_rows: int = 8192) -> DataFrame:
+    """(bucket, u, v) by ``bucket_candidates`` over all buckets of the plan's keys.
+
+    Where a bucket may pass block_rows rows, the rows of such buckets are dealt by size: sets alike in ``similarity`` lie
+    in the same or in neighbouring classes of sizes, so each row goes to its own class and the next.
     """
-    blocks = F.when(F.col("size") > block_rows, F.ceil(F.col("size") / block_rows)).otherwise(1).cast("int")
-    dealt = (
-        shared.withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("group"), "digest")
-        .join(known, "digest")
-        .select("group", "digest", "label", "n", "sig")
-    )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("sig", pa.binary())])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b for b in batches if b.num_rows):
+            sig = words_of(b.column(2))
+            check = pa.array([x.tobytes() for x in sig[:, LONG:]], pa.binary())
+            for keys, _ in probe_keys(sig, chosen):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(0), b.column(1), check], schema=schema)
+
+    # of sets this small only equal ones are alike
+    some = distinct.where(F.col("n") >= math.ceil(similarity / (1 - similarity) - 1e-9)).select("node", "n", "sig")
+    keys = some.mapInArrow(keyed, "key long, node long, n int, sig binary")
+    if most > block_rows:
+        large = materialise(keys.groupBy("key").count().where(F.col("count") > block_rows).select("key", F.lit(True).alias("large")), "near-large")
+        own = F.floor(F.log("n") / -math.log(similarity)).cast("int")
+        classes = F.when(F.col("large"), F.array(own, own + 1)).otherwise(F.array(F.lit(-1)))
+        keys = keys.join(large, "key", "left").withColumn("class", F.explode(classes))
+        keys = keys.withColumn("key", F.when(F.col("large"), F.xxhash64("key", "class")).otherwise(F.col("key"))).select(*schema.names)
+    out_schema = pa.schema([("bucket", pa.int64()), ("u", pa.int64()), ("v", pa.int64())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                new = [*(values(b.column(k)) for k in range(4)), _signatures(b.column(4))]
-                held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
-            if held is None or not len(held[0]):
-                continue
-            cut = len(held[0]) if b is None else int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-            if cut:
-                for a, z in bucket_pairs(*(h[:cut] for h in held), similarity):
-                    yield batch(schema, a=a, b=z)
-                held = [h[cut:] for h in held]
-
-    parts = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(tidied(compare), "a long, b long").distinct()
+        for key, node, n, check in whole_groups(batches):
+            bucket, u, v = bucket_candidates(key, node, n, check, similarity)
+            yield batch(out_schema, bucket=bucket, u=u, v=v)
+
+    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(tidied(compare), _ALIKE)
+
+
+def near_pairs(pairs: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """The distinct pairs (u, v) whose whole fingerprints are near enough to be worth an exact count."""
+    limit = limit_of(similarity, _WORDS)
+    one, two = (distinct.select(F.col("node").alias(c), F.col("sig").alias(f"s{c}")) for c in "uv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.select(["u", "v"]).filter(pa.array(_near(words_of(b.column(2)), words_of(b.column(3)), limit)))
+
+    return pairs.select("u", "v").where("u != v").distinct().join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def rest_of_stars(stars: DataFrame, labels: DataFrame, distinct: DataFrame, similarity: float, block_rows: int = 8192) -> DataFrame:
+    """(u, v): pairs of different labels, near in their whole fingerprints, among the members of each star (bucket, u, v).
+
+    Stars whose members all got one label are done. The members of a star of over block_rows are dealt by size, as
+    in ``candidates``.
+    """
+    rows = stars.select(F.xxhash64("bucket", "u").alias("star"), F.explode(F.array("u", "v")).alias("node")).distinct()
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    rows = materialise(rows, "near-stars-labelled")
+    open_ = rows.groupBy("star").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count("*").alias("size")).where("a != z").select("star", "size")
+    rows = rows.join(open_, "star").join(distinct.select("node", "n", "sig"), "node")
+    own = F.floor(F.log("n") / -math.log(similarity)).cast("int")
+    classes = F.when(F.col("size") > block_rows, F.array(own, own + 1)).otherwise(F.array(F.lit(-1)))
+    rows = rows.withColumn("class", F.explode(classes)).select(F.xxhash64("star", "class").alias("group"), "node", "label", "n", "sig")
+    limit = limit_of(similarity, _WORDS)
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, node, label, n, sig in whole_groups(batches):
+            for at in np.split(np.arange(len(group)), np.flatnonzero(group[1:] != group[:-1]) + 1):
+                for u, v in cross_label_pairs(node[at], label[at], n[at], sig[at], limit, similarity):
+                    yield batch(schema, u=u, v=v)
+
+    parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "group").sortWithinPartitions("group").mapInArrow(tidied(compare), "u long, v long").distinct()
+
+
+def cross_label_pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, sig: np.ndarray, limit: int, similarity: float, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of rows of different labels; rows of the most frequent label aren't compared among themselves."""
+    kinds, of, size = np.unique(label, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(of != size.argmax())
+    for k in range(0, len(rest), block):
+        a = rest[k : k + block]
+        i, j = np.nonzero((of[a, None] != of[None]) & (np.minimum(n[a, None], n[None]) + 1e-9 >= similarity * np.maximum(n[a, None], n[None])))
+        for c in range(0, len(i), 1 << 16):
+            x, y = a[i[c : c + (1 << 16)]], j[c : c + (1 << 16)]
+            near = _near(sig[x], sig[y], limit)
+            x, y = node[x[near]], node[y[near]]
+            yield np.minimum(x, y), np.maximum(x, y)
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have a Jaccard similarity of at least ``similarity``, counted exactly."""
-    one, two = (sets.select(F.col("digest").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    both = F.size(F.array_intersect("ha", "hb"))
-    found = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("ha") + F.size("hb")).alias("total"))
-    return found.where(F.col("both") + 1e-9 >= similarity * (F.col("total") - F.col("both"))).select("a", "b")
+    """The pairs (u, v) whose shingle sets have a Jaccard similarity of at least ``similarity``, counted exactly."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "uv")
+    both = F.size(F.array_intersect("hu", "hv"))
+    found = pairs.join(one, "u").join(two, "v").select("u", "v", both.alias("both"), (F.size("hu") + F.size("hv")).alias("total"))
+    return found.where(F.col("both") + 1e-9 >= similarity * (F.col("total") - F.col("both"))).select("u", "v")
 
 
-def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", small: int = 2_000_000) -> DataFrame:
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", miss: float = 0.001, small: int = 2_000_000, block_rows: int = 8192) -> DataFrame:
     """(doc_id, component_id) of every row with an id: documents link where the Jaccard similarity of their sets of
     ``width``-word shingles is at least ``similarity``; component_id is the smallest doc_id reachable.
 
-    Candidates share a band of MinHash slots (25 bands of 5 find a pair of similarity 0.8 with probability
-    0.99995); every link is verified on the sets. First each member of a bucket is compared with the bucket's
-    least, then all pairs of members that are not yet in one component. Texts without a word are alike.
+    Candidates agree in a bit group of their long SimHash up to its threshold; the plan finds a pair at the
+    similarity with a calculated probability of 1 - ``miss``, more similar ones more surely, and every link is verified on
+    the sets. First each document is compared with the least of its candidates, then only candidates not yet in one
+    component. Texts without a word are alike; different texts of one id count as one document.
     """
     docs = docs.where(F.col(id_col).isNotNull())
     rows = materialise(set_rows(docs, width, id_col, text_col), "near-rows")
-    distinct = materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "near-distinct")
-    keys = band_keys(distinct)
-    buckets = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("digest").alias("first")).where("size > 1")
-    shared = materialise(keys.join(buckets, "key"), "near-shared")
-    wanted = materialise(shared.select("digest").distinct(), "near-wanted")
-    known = distinct.join(wanted, "digest")
-    ids = known.select(F.col("node").alias(id_col)).distinct()
+    distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    distinct = materialise(distinct, "near-distinct")
+    chosen, most = similarity_plan(distinct, similarity, miss)
+    found = materialise(candidates(distinct, chosen, most, similarity, block_rows), "near-candidates")
+    pairs = materialise(near_pairs(found, distinct, similarity), "near-pairs")
+    stars = found.where("bucket != 0")
+    ends = pairs.select("u", "v").unionByName(stars.select("u", "v")).select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = materialise(distinct.select("digest", "node").join(ends, "node"), "near-wanted")
+    ids = wanted.select(F.col("node").alias(id_col)).distinct()
     ids = F.broadcast(ids) if wanted.count() <= small else ids.hint("merge")
     texts = set_rows(docs.select(id_col, text_col).join(ids, id_col, "left_semi"), width, id_col, text_col, whole=True)
-    sets = materialise(texts.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.first("hashes").alias("hashes")), "near-sets")
-    nodes = distinct.select("digest", "node")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        u, v = (nodes.select(F.col("digest").alias(c), F.col("node").alias(n)) for c, n in ("au", "bv"))
-        return pairs.join(u, "a").join(v, "b").select("u", "v")
-
-    stars = shared.where("digest != first").select(F.col("first").alias("a"), F.col("digest").alias("b")).distinct()
-    stars = materialise(linked(alike(stars, sets, similarity)), "near-stars")
-    label = components(stars, "near-labels").withColumnRenamed("root", "label")
-    known = known.join(label, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), "n", "sig")
-    rest = materialise(bucket_candidates(shared, known, similarity), "near-candidates")
-    found = components(stars.unionByName(linked(alike(rest, sets, similarity))), "near-links")
-    classes = nodes.join(found, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
+    sets = materialise(texts.join(wanted, "digest").groupBy("digest", "node").agg(F.first("hashes").alias("hashes")), "near-sets")
+    least = pairs.groupBy("v").agg(F.min("u").alias("u"))
+    first = materialise(alike(least, sets, similarity), "near-first")
+    labels = components(first, "near-labels")
+    one, two = (labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "uv")
+    open_ = pairs.join(one, "u", "left").join(two, "v", "left").where("coalesce(ru, u) != coalesce(rv, v)").select("u", "v")
+    rest = open_.unionByName(rest_of_stars(stars, labels, distinct, similarity, block_rows)).distinct()
+    rest = materialise(alike(rest, sets, similarity), "near-rest")
+    linked = components(first.unionByName(rest), "near-links")
+    classes = distinct.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "digest").join(classes, "digest").select("doc_id", "component_id")
 
 

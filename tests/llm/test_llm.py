@@ -157,14 +157,65 @@ def test_near_copies_are_found_and_verified(spark, docs, odd):
     assert got == {i: top(i) for i in sets}
 
 
-def test_near_candidates_split_large_buckets(spark):
-    """Every pair of a bucket is a candidate however the bucket is dealt, but for those of one label."""
-    sig = np.arange(simhash.SLOTS, dtype=np.uint16).tobytes()
-    shared = spark.createDataFrame([(1, k, 40) for k in range(40)], "key long, digest long, size long")
-    known = spark.createDataFrame([(k, k // 2, 100, bytearray(sig)) for k in range(40)], "digest long, label long, n int, sig binary")
-    want = {(a, b) for a, b in itertools.combinations(range(40), 2) if a // 2 != b // 2}
-    for block in (8192, 7):
-        assert {(r.a, r.b) for r in simhash.bucket_candidates(shared, known, 0.8, block).collect()} == want
+def test_buckets_give_pairs_or_stars_and_the_rest_of_stars():
+    """Every near pair of a bucket is a candidate, or its ends lie in one star of which pairs of different labels come back."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, (30, simhash.CHECK), dtype=np.uint64)
+    check = base[np.arange(600) % 30] ^ (np.uint64(1) << rng.integers(0, 64, (600, simhash.CHECK), dtype=np.uint64))
+    key = np.sort(rng.integers(1, 40, 600))
+    node, n = rng.permutation(600), rng.integers(90, 130, 600)
+    limit = simhash.limit_of(0.8, simhash.CHECK)
+    near = lambda i, j: int(np.bitwise_count(check[i] ^ check[j]).sum()) <= limit and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])
+    want = {(min(node[i], node[j]), max(node[i], node[j])) for i, j in itertools.combinations(range(600), 2) if key[i] == key[j] and near(i, j)}
+    bucket, u, v = simhash.bucket_candidates(key, node, n, check, 0.8)
+    assert not bucket.any() and set(zip(u, v)) == want
+    bucket, u, v = simhash.bucket_candidates(key, node, n, check, 0.8, wide=10, dense=0)
+    star = {m: (b, a) for b, a, z in zip(bucket, u, v) for m in (a, z) if b}
+    key_of = dict(zip(node, key))
+    for a, z in want:
+        assert key_of[a] == key_of[z] and star[a][0] == star[z][0] == key_of[a]
+    label = node // 3
+    wide = np.repeat(check, 2, axis=1)[:, : simhash._WORDS]
+    got = {p for x, y in simhash.cross_label_pairs(node, label, n, wide, 2 * limit, 0.8) for p in zip(x, y)}
+    all_near = {(min(node[i], node[j]), max(node[i], node[j])) for i, j in itertools.combinations(range(600), 2) if near(i, j) and label[i] != label[j]}
+    biggest = collections.Counter(label.tolist()).most_common(1)[0][1]
+    assert biggest == 3 and got == all_near
+
+
+def test_long_fingerprints_differ_as_expected():
+    rng = np.random.default_rng(4)
+    share = []
+    for size in (40, 100, 127, 128, 500, 5000):
+        common = rng.integers(0, 2**64, size * 8 // 9 * 9 // 9, dtype=np.uint64)
+        a, b = (np.concatenate([common, rng.integers(0, 2**64, size // 9, dtype=np.uint64)]) for _ in range(2))
+        x, y = simhash.long_fingerprint(a), simhash.long_fingerprint(b)
+        votes = [int(np.bitwise_count(simhash.long_fingerprint(np.array([h]))).sum()) for h in a[:3]]
+        assert all(300 < v < 700 for v in votes)
+        share.append(np.bitwise_count(x ^ y).sum() / (64 * simhash._WORDS) - simhash.differing_share(len(common) / (len(common) + 2 * (size // 9))))
+    assert max(map(abs, share)) < 0.05
+    one = rng.integers(0, 2**64, 131, dtype=np.uint64)
+    x = np.stack([np.unpackbits(simhash.long_fingerprint(one[[k]]).view(np.uint8), bitorder="little") for k in range(131)])
+    assert (np.unpackbits(simhash.long_fingerprint(one).view(np.uint8), bitorder="little") == (2 * x.sum(axis=0) > 131)).all()
+
+
+def test_near_copies_in_blocks(spark):
+    """Tiny blocks and a group of many near copies give the same classes."""
+    rng = np.random.default_rng(8)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for k in range(900):
+        words = list(base) if k < 700 else [f"u{k}x{n}" for n in range(60)]
+        words[int(rng.integers(0, len(words)))] = f"z{k}"
+        rows.append((k, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (8192, 50):
+        got = {r.doc_id: r.component_id for r in simhash.similar_texts(frame, block_rows=block).collect()}
+        assert all(got[k] == (0 if k < 700 else k) for k in got) and len(got) == 900
+
+
+def test_cover_reaches_what_is_needed():
+    chosen, cost = simhash.cover([[0, 5, 20], [0, 1, 4]], [[0, 1, 3], [0, 1, 3]], 2.0)
+    assert (chosen, cost) == ((-1, 1), 4)
 
 
 def test_allocation_prefers_cheap_groups():
