@@ -58,13 +58,13 @@ def _same(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
-def others(lines: DataFrame, similarity: float) -> DataFrame:
+def others(lines: DataFrame, similarity: float, small: int = 32) -> DataFrame:
     """(node, root) of the lines (leaf, exact, tokens) that link to another of their leaf: node is exact, root the
     least of its group. Lines link where they agree in at least ``similarity`` of their places.
 
-    Two such lines differ in at most m places, so they agree in one of m + 1 runs of places. Lines that share a run are
-    first compared with the least of them; of runs that then still hold several groups, every line outside the
-    main group is compared with all of another group.
+    Two such lines differ in at most m places, so they agree in one of m + 1 runs of places. All pairs that share a run of
+    at most ``small`` lines are compared. The lines of a larger run are first compared with the least of them; of runs that then
+    still hold several groups, every line outside the main group is compared with all of another group.
     """
     lines = materialise(lines, "lines-others")
     n = F.size("tokens")
@@ -72,22 +72,26 @@ def others(lines: DataFrame, similarity: float) -> DataFrame:
     start, end = (F.floor(k * n / F.col("runs")).cast("int") for k in (F.col("k"), F.col("k") + 1))
     keyed = lines.withColumn("runs", runs).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
     keyed = keyed.select(F.xxhash64("leaf", "k", F.slice("tokens", start + 1, end - start)).alias("key"), "exact")
-    shared = keyed.groupBy("key").agg(F.min("exact").alias("least"), F.max("exact").alias("z")).where("least != z").select("key", "least")
+    shared = keyed.groupBy("key").agg(F.min("exact").alias("least"), F.count("*").alias("size")).where("size > 1")
     keyed = materialise(keyed.join(shared, "key"), "lines-runs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         one, two = (lines.select(F.col("exact").alias(c), F.col("tokens").alias(t)) for c, t in ("ua", "vb"))
         return pairs.distinct().join(one, "u").join(two, "v").where(_same(F.col("a"), F.col("b")) >= similarity * F.size("a")).select("u", "v")
 
-    stars = materialise(linked(keyed.where("exact != least").select(F.col("least").alias("u"), F.col("exact").alias("v"))), "lines-stars")
-    labels = components(stars, "lines-labels")
-    rows = keyed.join(labels, keyed["exact"] == labels["node"], "left").select("key", "exact", F.coalesce("root", "exact").alias("label"))
-    rows = materialise(rows, "lines-labelled")
-    sizes = rows.groupBy("key", "label").count()
-    main = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).where("labels > 1").select("key", "main")
-    outside = rows.join(main, "key").where("label != main").select("key", F.col("exact").alias("x"), F.col("label").alias("own"))
-    pairs = outside.join(rows, "key").where("label != own").select(F.least("x", "exact").alias("u"), F.greatest("x", "exact").alias("v"))
-    groups = components(stars.unionByName(linked(pairs)), "lines-groups")
+    few = keyed.where(F.col("size") <= small).select("key", F.col("exact").alias("u"))
+    pairs = few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v")
+    large = keyed.where(F.col("size") > small)
+    stars = materialise(linked(pairs.unionByName(large.where("exact != least").select(F.col("least").alias("u"), F.col("exact").alias("v")))), "lines-stars")
+    groups = components(stars, "lines-groups")
+    if not large.isEmpty():
+        rows = large.join(groups, large["exact"] == groups["node"], "left").select("key", "exact", F.coalesce("root", "exact").alias("label"))
+        rows = materialise(rows, "lines-labelled")
+        sizes = rows.groupBy("key", "label").count()
+        main = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).where("labels > 1").select("key", "main")
+        outside = rows.join(main, "key").where("label != main").select("key", F.col("exact").alias("x"), F.col("label").alias("own"))
+        pairs = outside.join(rows, "key").where("label != own").select(F.least("x", "exact").alias("u"), F.greatest("x", "exact").alias("v"))
+        groups = components(stars.unionByName(linked(pairs)), "lines-groups")
     return groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
 
 

@@ -329,8 +329,9 @@ def test_line_groups_match_brute_force(spark):
         if sum(x == y for x, y in zip(lines[a], lines[b])) >= 0.8 * 12 and top(a) != top(b):
             parent[max(top(a), top(b))] = min(top(a), top(b))
     frame = spark.createDataFrame([(1, k, list(t)) for k, t in enumerate(lines)], "leaf long, exact long, tokens array<string>")
-    got = {r.node: r.root for r in linededup.others(frame, 0.8).collect()}
-    assert len(set(map(top, parent))) > 5 and [got.get(k, k) for k in range(len(lines))] == [top(k) for k in range(len(lines))]
+    for small in (32, 2):
+        got = {r.node: r.root for r in linededup.others(frame, 0.8, small).collect()}
+        assert len(set(map(top, parent))) > 5 and [got.get(k, k) for k in range(len(lines))] == [top(k) for k in range(len(lines))]
 
 
 def test_line_dedup_is_native_and_takes_odd_rows(odd, none):
