@@ -41,31 +41,53 @@ class WordEncoder:
     marks behind. A text that may hold a special token's name is encoded as a whole.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already runs a task a core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(path), limit, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        for k in range(0, len(new), 50_000):
-            split = {}
-            for w in new[k : k + 50_000]:
-                core = w.rstrip(_MARKS)
-                split[w] = (core, w[len(core) :]) if core and core[-1].isalpha() else (w, "")
-            wanted = list(dict.fromkeys(x for pair in split.values() for x in pair if x))
-            found = dict(zip(wanted, self._ids(wanted), strict=True)) | {"": b""}
-            known.update((w, found[core] + found[tail]) for w, (core, tail) in split.items())
-        out = [known[w] for w in words]
-        for w in new if len(known) > self.limit else ():  # the first words of a corpus hold its frequent ones
-            del known[w]
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.known, self.lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+    def _ids(self, texts: list[str], at_once: int = 20_000) -> pa.ListArray:
+        flat, sizes = array("i"), []
+        for k in range(0, len(texts), at_once):
+            for e in self.tokenizer.encode_batch_fast(texts[k : k + at_once], add_special_tokens=False):
+                ids = e.ids
+                flat.extend(ids)
+                sizes.append(len(ids))
+        return _lists(np.cumsum([0, *sizes]), np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32))
+
+    def _parts(self, parts: pa.StringArray) -> pa.ListArray:
+        """Ids of distinct letters or marks; the first of a corpus, which hold its frequent ones, stay known up to the limit."""
+        at = pc.index_in(parts, self.known)
+        new = parts.filter(pc.is_null(at))
+        if not len(new):
+            return self.lists.take(at)
+        found = self._ids(new.to_pylist())
+        place = at.to_numpy(zero_copy_only=False).copy()
+        place[np.isnan(place)] = len(self.known) + np.arange(len(new))
+        out = pa.concat_arrays([self.lists, found]).take(pa.array(place.astype(np.int32)))
+        room = max(0, min(len(new), self.limit - len(self.known)))
+        if room:
+            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
+            self.lists = pa.concat_arrays([self.lists, found.slice(0, room)])
         return out
 
+    def _words(self, words: pa.StringArray) -> pa.ListArray:
+        """Ids of distinct words."""
+        core = pc.utf8_rtrim(words, characters=_MARKS)
+        split = pc.and_(pc.not_equal(pc.binary_length(core), pc.binary_length(words)), pc.match_substring_regex(core, r"\pL$"))
+        core = pc.if_else(split, core, words)
+        cut = np.flatnonzero(split.to_numpy(zero_copy_only=False))
+        tails = [w[len(c) :] for w, c in zip(words.take(pa.array(cut)).to_pylist(), core.take(pa.array(cut)).to_pylist(), strict=True)]
+        tail = np.zeros(len(words), np.int64)  # "" is the first part
+        parts = pa.concat_arrays([pa.array([""], pa.string()), pa.array(tails, pa.string()), core]).dictionary_encode()
+        of = parts.indices.to_numpy(zero_copy_only=False)
+        tail[cut] = of[1 : len(cut) + 1]
+        pairs = np.stack([of[len(cut) + 1 :], tail], axis=1).ravel()
+        both = self._parts(parts.dictionary).take(pa.array(pairs))
+        return _lists(both.offsets.to_numpy()[::2], both.values.to_numpy(zero_copy_only=False))
+
     def encode(self, texts: pa.Array, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (binary), those of ``end`` after each, and the number of ids of each."""
         texts = pc.fill_null(texts, b"").cast(pa.string())
@@ -73,19 +95,21 @@ class WordEncoder:
         plain = pc.if_else(pc.match_substring(texts, "<|"), "", texts) if len(whole) else texts
         lists = pc.ascii_split_whitespace(pc.ascii_lower(plain))
         words = lists.flatten().dictionary_encode()
-        ids = self._words(words.dictionary.to_pylist())
-        at = np.cumsum([0, *map(len, ids)]) // 4
-        taken = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4"))).take(words.indices)
-        of_word = np.r_[0, np.cumsum(taken.value_lengths().to_numpy(zero_copy_only=False))]
-        ends = of_word[np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
-        flat = taken.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        # of each text its words, then the end; a text encoded whole has an entry of its own
+        of = np.insert(words.indices.to_numpy(zero_copy_only=False), ends, len(words.dictionary))
+        rows = np.arange(len(texts)) + ends
+        table = [self._words(words.dictionary), _lists(np.array([0, len(end)]), end)]
         if len(whole):
-            each = np.split(flat, ends[:-1])
-            for k in whole.tolist():
-                each[k] = np.frombuffer(self._ids([texts[k].as_py()])[0], "<i4")
-            flat, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
-        flat = np.insert(flat, np.repeat(ends, len(end)), np.tile(end, len(ends)))
-        return flat, np.diff(ends, prepend=0) + len(end)
+            table.append(self._ids([texts[k].as_py() for k in whole.tolist()]))
+            of = np.insert(of, rows[whole], len(words.dictionary) + 1 + np.arange(len(whole)))
+            rows = rows + np.searchsorted(whole, np.arange(len(texts)), side="right")
+        taken = pa.concat_arrays(table).take(pa.array(of))
+        return taken.values.to_numpy(zero_copy_only=False), np.diff(taken.offsets.to_numpy()[rows + 1], prepend=0).astype(np.int64)
+
+
+def _lists(at: np.ndarray, flat: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat, pa.int32()))
 
 
 @cache
@@ -107,8 +131,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = _encoder(tokenizer_path), 0
         for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
+            for k in range(0, b.num_rows, 4000):
+                part = b.slice(k, 4000)
                 flat, sizes = encoder.encode(part.column(1), end)
                 ends = np.cumsum(sizes)
                 tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat))
