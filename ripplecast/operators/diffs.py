@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,36 +14,63 @@ PYTHON_FUNCTION, PYTHON_CLASS = r"^(?:async\s+)?def\s+(\w+)\s*\(", r"^class\s+(\
 OTHER_FUNCTION, OTHER_CLASS = r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)", r"^(?:export\s+)?class\s+(\w+)"
 
 
+def _sections(diff: Column) -> Column:
+    """Each file's part of a diff: from 'diff --git' on, or from a pair of '---' and '+++' lines before a hunk where there is
+    no such line. What stands before the first file is left out."""
+    pair = r"\n(?=--- [^\n]*\n\+\+\+ [^\n]*\n@@ -)"
+
+    def files(section: Column) -> Column:
+        parts = F.split(F.regexp_replace(section, "\n$", ""), pair)
+        # the first pair of a git section is its own
+        whole = F.when((F.size(parts) == 1) | parts[0].contains("\n@@ "), parts).otherwise(F.concat(F.array(F.concat_ws("\n", F.slice(parts, 1, 2))), F.slice(parts, 3, 1 << 30)))
+        return F.when(section.startswith("diff --git "), whole).otherwise(F.filter(parts, lambda x: x.rlike(r"^--- [^\n]*\n\+\+\+ ")))
+
+    return F.flatten(F.transform(F.split(diff, r"(?dm)^(?=diff --git )"), files))
+
+
+def _file(section: Column) -> Column:
+    """(path, change_type, old_path, added, deleted) of one file's part."""
+    hunks = F.split(section, r"\n(?=@@ )")
+    head, bodies = hunks[0], F.slice(hunks, 2, 1 << 30)
+    lines = F.flatten(F.transform(bodies, lambda h: F.slice(F.split(h, "\n"), 2, 1 << 30)))
+    said = lambda pattern: F.regexp_extract(head, rf"(?dm){pattern}", 1)
+    first = lambda *c: F.coalesce(*[F.when(x != "", x) for x in c])
+    null = F.lit("/dev/null")
+    source = first(said(r"^--- ([^\t\n]+)"), F.when(head.rlike(r"(?dm)^new file mode "), null), said(r"^diff --git (a/.*) b/"))
+    target = first(said(r"^\+\+\+ ([^\t\n]+)"), F.when(head.rlike(r"(?dm)^deleted file mode "), null), said(r"^diff --git a/.* (b/.*)$"))
+    old, new = F.regexp_replace(source, "^a/", ""), F.regexp_replace(target, "^b/", "")
+    alone = F.size(bodies) == 1
+    deleted = (target == null) | (alone & bodies[0].rlike(r"^@@ -\S+ \+0,0 @@"))
+    added = (source == null) | (alone & bodies[0].rlike(r"^@@ -0,0 "))
+    kind = F.when(deleted, "deleted").when(added, "added").when(old != new, "renamed").otherwise("modified")
+    count = lambda mark: F.size(F.filter(lines, lambda x: x.startswith(mark))).cast("long")
+    return F.named_struct(
+        F.lit("path"), F.when(deleted & (source != null), old).otherwise(new), F.lit("change_type"), kind, F.lit("old_path"), F.when(kind == "renamed", old),
+        F.lit("added"), count("+"), F.lit("deleted"), count("-"),
+    )
+
+
 def diff_lines(diffs: DataFrame) -> DataFrame:
-    """A1: (change_id, line_no, file_ord, hunk_ord, kind, text) of diffs (change_id, diff); blank diffs give no rows.
+    """A1: (change_id, line_no, file_ord, hunk_ord, kind, text, file) of diffs (change_id, diff); blank diffs give no rows.
 
-    One explode, then running counts over the lines of a change.
+    line_no rises along a change; lines before the first hunk of a file have hunk_ord 0. A diff is cut into files, hunks and
+    lines inside its row, so nothing is shuffled; ``file`` tells of the file as ``file_changes`` does.
     """
-    text = F.regexp_replace("diff", "\n$", "")
-    rows = diffs.where(F.trim("diff") != "").select("change_id", F.posexplode(F.split(text, "\n")).alias("line_no", "text"))
-    run = W.partitionBy("change_id").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumn("file_ord", F.sum(F.col("text").startswith("diff --git ").cast("int")).over(run))
-    rows = rows.withColumn("hunk_ord", F.sum(F.col("text").startswith("@@ ").cast("int")).over(run.partitionBy("change_id", "file_ord")))
-    kind = (
-        F.when(F.col("text").startswith("@@ "), "hunk").when(F.col("hunk_ord") == 0, "hdr").when(F.col("text").startswith("+"), "add").when(F.col("text").startswith("-"), "del").otherwise("ctx")
-    )
-    return rows.withColumn("kind", kind)
+    rows = diffs.where(F.trim("diff") != "").select("change_id", F.posexplode(_sections(F.col("diff"))).alias("at", "section"))
+    rows = rows.select("change_id", (F.col("at") + 1).alias("file_ord"), _file(F.col("section")).alias("file"), F.posexplode(F.split("section", r"\n(?=@@ )")).alias("hunk_ord", "part"))
+    rows = rows.select("change_id", "file_ord", "hunk_ord", "file", F.posexplode(F.split("part", "\n")).alias("place", "text"))
+    line_no = F.shiftleft(F.col("file_ord").cast("long"), 43) + F.shiftleft(F.col("hunk_ord").cast("long"), 23) + F.col("place")
+    kind = F.when(F.col("hunk_ord") == 0, "hdr").when(F.col("place") == 0, "hunk").when(F.col("text").startswith("+"), "add").when(F.col("text").startswith("-"), "del").otherwise("ctx")
+    return rows.select("change_id", line_no.alias("line_no"), "file_ord", "hunk_ord", kind.alias("kind"), "text", "file")
 
 
 def file_changes(lines: DataFrame) -> DataFrame:
-    """A2: one row a file: path, change_type, added, deleted, language, old_path."""
-    head = lambda prefix: F.max(F.when((F.col("kind") == "hdr") & F.col("text").startswith(prefix), F.substring("text", len(prefix) + 1, 1 << 20)))
-    files = lines.where("file_ord > 0").groupBy("change_id", "file_ord").agg(
-        head("--- ").alias("source"), head("+++ ").alias("target"), head("rename from ").alias("renamed"),
-        F.sum((F.col("kind") == "add").cast("int")).alias("added"), F.sum((F.col("kind") == "del").cast("int")).alias("deleted"),
-    )
-    source, target = F.regexp_replace("source", "^a/", ""), F.regexp_replace("target", "^b/", "")
-    kind = F.when(F.col("target") == "/dev/null", "deleted").when(F.col("source") == "/dev/null", "added").when(source != target, "renamed").otherwise("modified")
-    return files.select(
-        "change_id", "file_ord",
-        F.when(F.col("target") == "/dev/null", source).otherwise(target).alias("path"), kind.alias("change_type"), "added", "deleted",
-        F.when(kind == "renamed", source).alias("old_path"),
-    ).withColumn("language", C.language(F.col("path")))
+    """A2: one row a file: path, change_type, added, deleted, language, old_path; from its first line, without a shuffle.
+
+    Without '---' and '+++' lines (a pure rename, an empty or binary file) the 'diff --git' line and the file modes tell.
+    """
+    first = F.col("line_no") == F.shiftleft(F.col("file_ord").cast("long"), 43)
+    return lines.where(first).select("change_id", "file_ord", "file.path", "file.change_type", "file.added", "file.deleted", "file.old_path").withColumn("language", C.language(F.col("path")))
 
 
 def change_summary(files: DataFrame) -> DataFrame:
@@ -57,20 +84,22 @@ def change_summary(files: DataFrame) -> DataFrame:
     )
 
 
-def modified_symbols(lines: DataFrame, files: DataFrame) -> DataFrame:
+def modified_symbols(lines: DataFrame) -> DataFrame:
     """A4: (change_id, symbol): path::name of definitions on added or removed lines, in order of first sight (``place``)."""
     name = F.trim(F.split(F.regexp_extract(F.trim(F.substring("text", 2, 1 << 20)), HUNK_SYMBOL, 1), r"\(")[0])
-    hits = lines.where(F.col("kind").isin("add", "del")).select("change_id", "file_ord", "line_no", name.alias("name")).where("name != ''")
-    named = hits.join(files.select("change_id", "file_ord", "path"), ["change_id", "file_ord"])
+    named = lines.where(F.col("kind").isin("add", "del")).select("change_id", "line_no", F.col("file.path").alias("path"), name.alias("name")).where("name != ''")
     first = named.groupBy("change_id", F.concat("path", F.lit("::"), "name").alias("symbol")).agg(F.min("line_no").alias("line_no"))
     return first.select("change_id", "symbol", F.row_number().over(W.partitionBy("change_id").orderBy("line_no")).alias("place"))
 
 
 def light_stats(diffs: DataFrame) -> DataFrame:
     """A5: counts straight from the lines; files that are deleted don't count."""
-    rows = diffs.select("change_id", F.explode(F.split("diff", "\n")).alias("text"))
-    plus, minus = F.col("text").startswith("+") & ~F.col("text").startswith("+++"), F.col("text").startswith("-") & ~F.col("text").startswith("---")
-    out = rows.groupBy("change_id").agg(F.sum(F.col("text").startswith("+++ b/").cast("int")).alias("n_files"), F.sum(plus.cast("int")).alias("added"), F.sum(minus.cast("int")).alias("deleted"))
+    lines = F.split("diff", "\n")
+    count = lambda test: F.size(F.filter(lines, test)).cast("long")
+    out = diffs.select(
+        "change_id", count(lambda x: x.startswith("+++ b/")).alias("n_files"),
+        count(lambda x: x.startswith("+") & ~x.startswith("+++")).alias("added"), count(lambda x: x.startswith("-") & ~x.startswith("---")).alias("deleted"),
+    )
     return out.withColumn("deleted_ratio", F.col("deleted") / F.greatest(F.col("added") + F.col("deleted"), F.lit(1)))
 
 

@@ -63,11 +63,16 @@ def _d9(s, d):
 
 
 @query("a1_diff_lines", """
-SELECT change_id, sum(CASE WHEN change_type = 'deleted' THEN 0 ELSE added END) AS n_add, sum(deleted) AS n_del, count(*) AS n_hunks, count(*) AS n_files FROM {changed_files} GROUP BY change_id""")
+WITH f AS (SELECT change_id, row_number() OVER (PARTITION BY change_id ORDER BY f.ord, part) AS file_ord, string_split(regexp_replace(part, '\\n$', ''), chr(10)) AS l FROM {file_diffs} f),
+t AS (SELECT change_id, file_ord, unnest(l) AS text, unnest(range(len(l))) AS pos, list_position(list_transform(l, lambda x: starts_with(x, '@@ ')), true) - 1 AS hunk FROM f),
+k AS (SELECT *, CASE WHEN pos < hunk THEN 'hdr' WHEN pos = hunk THEN 'hunk' WHEN starts_with(text, '+') THEN 'add' WHEN starts_with(text, '-') THEN 'del' ELSE 'ctx' END AS kind FROM t)
+SELECT change_id, file_ord, count(*) FILTER (WHERE kind = 'add') AS n_add, count(*) FILTER (WHERE kind = 'del') AS n_del, count(*) FILTER (WHERE kind = 'hdr') AS n_hdr,
+  sha256(string_agg(kind || ' ' || text, chr(10) ORDER BY pos)) AS digest FROM k GROUP BY change_id, file_ord""")
 def _a1(s, d):
     rows = A.diff_lines(_diffs(s, d))
     n = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
-    return rows.groupBy("change_id").agg(n("add").alias("n_add"), n("del").alias("n_del"), n("hunk").alias("n_hunks"), F.max("file_ord").alias("n_files"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.concat_ws(" ", "kind", "text").alias("said")))), lambda x: x["said"]), "\n")
+    return rows.groupBy("change_id", "file_ord").agg(n("add").alias("n_add"), n("del").alias("n_del"), n("hdr").alias("n_hdr"), F.sha2(said, 256).alias("digest"))
 
 
 @query("a2_file_changes", """
@@ -90,8 +95,7 @@ def _a3(s, d):
 SELECT change_id, symbol, row_number() OVER (PARTITION BY change_id ORDER BY o) AS place FROM (
   SELECT change_id, concat(path, '::fn_', part) AS symbol, min((f.ord, path)) AS o FROM {changed_files} f WHERE change_type <> 'deleted' GROUP BY 1, 2) x""")
 def _a4(s, d):
-    lines = A.diff_lines(_diffs(s, d))
-    return A.modified_symbols(lines, A.file_changes(lines))
+    return A.modified_symbols(A.diff_lines(_diffs(s, d)))
 
 
 @query("a5_light_stats", """

@@ -32,10 +32,29 @@ def test_diff(spark):
     lines = A.diff_lines(spark.createDataFrame([(1, DIFF), (2, " ")], "change_id long, diff string"))
     files = A.file_changes(lines)
     assert sorted((r.path, r.change_type, r.added, r.deleted) for r in files.collect()) == [("a.py", "modified", 1, 1), ("b.py", "added", 1, 0)]
-    assert [r.symbol for r in A.modified_symbols(lines, files).orderBy("place").collect()] == ["a.py::old", "a.py::new", "b.py::B:"]
+    assert [r.symbol for r in A.modified_symbols(lines).orderBy("place").collect()] == ["a.py::old", "a.py::new", "b.py::B:"]
     assert A.change_summary(files).first().deleted_ratio == 1 / 3
 
 
+ODD_DIFFS = [
+    # no git line, a line that looks like a header inside a hunk, a time after the name, and a second file behind it
+    (1, "preamble\n--- a/x.py\t2024-01-01\n+++ b/x.py\t2024-01-02\n@@ -1,2 +1,2 @@\n--- gone\n+++ here\n ctx\n--- /dev/null\n+++ b/new.py\n@@ -0,0 +1 @@\n+def made():\n"),
+    (2, "diff --git a/old name.py b/new name.py\nsimilarity index 100%\nrename from old name.py\nrename to new name.py\ndiff --git a/e.py b/e.py\nnew file mode 100644\nindex 0000000..e69de29\ndiff --git a/z.bin b/z.bin\ndeleted file mode 100644\nBinary files a/z.bin and /dev/null differ\n"),
+    (3, "diff --git a/p.md b/p.md\n--- a/p.md\n+++ b/p.md\n@@ -0,0 +1,2 @@\n+a\n+b\n"),
+    (4, "diff --git a/d.py b/d.py\n--- a/d.py\n+++ /dev/null\n@@ -1,1 +0,0 @@\n-def f():\n--- a/q.js\n+++ b/q.js\n@@ -1 +1 @@\n-x\n+y\n@@ -9 +9 @@\n-u\n+v"),
+    (5, None), (6, ""), (7, "no diff at all"),
+]
+
+
+def test_odd_diffs(spark):
+    files = A.file_changes(A.diff_lines(spark.createDataFrame(ODD_DIFFS, "change_id long, diff string")))
+    assert sorted((r.change_id, r.file_ord, r.path, r.change_type, r.added, r.deleted, r.old_path) for r in files.collect()) == [
+        (1, 1, "x.py", "modified", 1, 1, None), (1, 2, "new.py", "added", 1, 0, None),
+        (2, 1, "new name.py", "renamed", 0, 0, "old name.py"), (2, 2, "e.py", "added", 0, 0, None), (2, 3, "z.bin", "deleted", 0, 0, None),
+        (3, 1, "p.md", "added", 2, 0, None), (4, 1, "d.py", "deleted", 0, 1, None), (4, 2, "q.js", "modified", 2, 2, None),
+    ]
+
+
 FILES = [
     ("app/service.py", "import utils\nfrom os import path\nclass Base:\nclass Svc(Base):\ndef run(x):\n    helper(x)\n    run(x)\n    requests.get(u)"),
     ("app/a_helper.py", "def helper(x):\n    return x"),
