@@ -128,7 +128,10 @@ def source_lines(sources: DataFrame) -> DataFrame:
 
 def symbols(sources: DataFrame) -> DataFrame:
     """(path, kind, name, line_no): functions, classes and import lines."""
-    rows = source_lines(sources)
+    return symbols_of(source_lines(sources))
+
+
+def symbols_of(rows: DataFrame) -> DataFrame:
     python = F.col("language") == "python"
     found = lambda a, b: F.when(python, F.regexp_extract("text", a, 1)).otherwise(F.regexp_extract("text", b, 1))
     imports = F.when(F.col("text").startswith("import ") | (python & F.col("text").startswith("from ")), F.col("text")).otherwise("")

@@ -212,10 +212,42 @@ def _g15(s, d):
     return G.dedup_first(twice.unionByName(twice.withColumn("weight", F.col("weight") - 0.5)), ["source_id", "target_id", "edge_type"], [F.desc("weight")]).select("source_id", "target_id", "edge_type", "weight")
 
 
-@query("g7_g16_snapshot_build")
+#: Nodes and edges of the rendered files, as rows (what, a, b, kind, x).
+NODES = f"""n AS (
+SELECT DISTINCT concat('file:', path) AS a, path AS b, 'file' AS kind, coalesce({LANG}, '') AS x FROM {{sources}}
+UNION SELECT concat('class:', path, '::C', doc_id), path, 'class', '' FROM {{sources}} UNION SELECT concat('function:', path, '::f_', doc_id), path, 'function', '' FROM {{sources}}
+UNION SELECT concat('module:doc_', (doc_id * 7) % 1000), '', 'module', '' FROM {{sources}} UNION SELECT concat('service:', kind, ':', name), '', 'service', '' FROM ext
+UNION SELECT 'service:user_service', '', 'service', '' FROM {{sources}} WHERE doc_id % 5 = 0)"""
+EXTERNAL = """ext AS (
+SELECT doc_id, path, CASE doc_id % 6 WHEN 1 THEN 'db' WHEN 2 THEN 'mq' WHEN 3 THEN 'db' ELSE 'api' END AS kind, CASE doc_id % 6 WHEN 0 THEN 'requests' WHEN 1 THEN 'sqlalchemy' WHEN 2 THEN 'kafka' WHEN 3 THEN 'redis_db' ELSE 'fetch' END AS name FROM {sources} WHERE doc_id % 6 <> 5
+UNION ALL SELECT doc_id, path, 'db', 'redis_db' FROM {sources} WHERE doc_id % 6 = 0)"""
+
+
+def _edges_sql(mine: str, targets: str, earlier: str) -> str:
+    """Edges out of the files ``mine``; imports, calls and bases end in the files ``targets``, of other files only where ``earlier``."""
+    return f"""
+SELECT concat('file:', path) AS a, concat('class:', path, '::C', doc_id) AS b, 'composition' AS kind, 1.0 AS x FROM {{sources}} WHERE {mine}
+UNION SELECT concat('file:', path), concat('function:', path, '::f_', doc_id), 'composition', 1.0 FROM {{sources}} WHERE {mine}
+UNION SELECT concat('file:', path), concat('module:doc_', (doc_id * 7) % 1000), 'import', 1.0 FROM {{sources}} WHERE {mine}
+UNION SELECT concat('file:', s.path), concat('file:', t.path), 'import', 2.0 FROM {{sources}} s JOIN {{sources}} t ON t.doc_id = (s.doc_id * 7) % 1000 AND t.doc_id % 4 <> 3 AND t.path <> s.path WHERE {mine.replace("doc_id", "s.doc_id")} AND {targets.replace("doc_id", "t.doc_id")}
+UNION SELECT concat('class:', s.path, '::C', s.doc_id), concat('class:', t.path, '::C', t.doc_id), 'inheritance', 1.0 FROM {{sources}} s JOIN {{sources}} t ON t.doc_id = s.doc_id - 1 AND ({earlier}) WHERE {mine.replace("doc_id", "s.doc_id")} AND {targets.replace("doc_id", "t.doc_id")}
+UNION SELECT concat('function:', s.path, '::f_', s.doc_id), concat('function:', t.path, '::f_', t.doc_id), 'call', 1.0 FROM {{sources}} s JOIN {{sources}} t ON t.doc_id = s.doc_id - 1 AND ({earlier}) WHERE {mine.replace("doc_id", "s.doc_id")} AND {targets.replace("doc_id", "t.doc_id")}
+UNION SELECT concat('file:', path), concat('class:', path, '::C', doc_id), 'call', 1.0 FROM {{sources}} WHERE doc_id % 4 = 0 AND {mine}
+UNION SELECT concat('file:', path), concat('service:', kind, ':', name), CASE kind WHEN 'api' THEN 'api_call' WHEN 'db' THEN 'database_access' ELSE 'message_queue' END, 1.0 FROM ext WHERE {mine}
+UNION SELECT concat('file:', path), 'service:user_service', 'microservice', 1.0 FROM {{sources}} WHERE doc_id % 5 = 0 AND {mine}"""
+
+
+GRAPH_ROWS = "SELECT 'node' AS what, a, b, kind, x FROM n UNION ALL SELECT 'edge', a, b, kind, CAST(x AS STRING) FROM e"
+
+
+def _graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    nodes = nodes.select(F.lit("node").alias("what"), F.col("node_id").alias("a"), F.coalesce("file_path", F.lit("")).alias("b"), F.col("node_type").alias("kind"), F.coalesce("language", F.lit("")).alias("x"))
+    return nodes.unionByName(edges.select(F.lit("edge").alias("what"), F.col("source_id").alias("a"), F.col("target_id").alias("b"), F.col("edge_type").alias("kind"), F.col("weight").cast("string").alias("x")))
+
+
+@query("g7_g16_snapshot_build", f"WITH {EXTERNAL}, {NODES}, e AS ({_edges_sql('true', 'true', 't.path < s.path')}) {GRAPH_ROWS}")
 def _g16(s, d):
-    nodes, edges = G.build(_sources(s, d))
-    return nodes.select(F.lit("node").alias("what"), F.col("node_type").alias("kind")).unionByName(edges.select(F.lit("edge").alias("what"), F.col("edge_type").alias("kind"))).groupBy("what", "kind").agg(F.count("*").alias("n"))
+    return _graph_rows(*G.build(_sources(s, d)))
 
 
 @query("g8_composition_edges", "SELECT concat('file:', path) AS source_id, concat('class:', path, '::C', doc_id) AS target_id FROM {sources} UNION ALL SELECT concat('file:', path), concat('function:', path, '::f_', doc_id) FROM {sources}")
@@ -238,13 +270,21 @@ def _g10(s, d):
     return G.build(_sources(s, d))[1].where("edge_type = 'inheritance'").select("source_id", "target_id")
 
 
-@query("g17_incremental_rebuild")
+CHANGED_NODES = f"""n0 AS (SELECT * FROM n WHERE b NOT IN (SELECT path FROM {{sources}} WHERE doc_id % 9 IN (0, 1))),
+n1 AS (SELECT * FROM n0 UNION SELECT * FROM n WHERE b IN (SELECT path FROM {{sources}} WHERE doc_id % 9 = 0)
+UNION SELECT concat('function:', path, '::extra_', doc_id), path, 'function', '' FROM {{sources}} WHERE doc_id % 9 = 0 UNION SELECT concat('module:extra_', doc_id % 7), '', 'module', '' FROM {{sources}} WHERE doc_id % 9 = 0)"""
+CHANGED_EDGES = f"""e0 AS ({_edges_sql('true', 'true', 't.path < s.path')}), gone AS (SELECT a AS id FROM n WHERE b IN (SELECT path FROM {{sources}} WHERE doc_id % 9 IN (0, 1))),
+e AS (SELECT * FROM e0 WHERE a NOT IN (SELECT id FROM gone) AND b NOT IN (SELECT id FROM gone) UNION {_edges_sql('doc_id % 9 = 0', 'doc_id % 9 <> 1', 'true')}
+UNION SELECT concat('file:', path), concat('function:', path, '::extra_', doc_id), 'composition', 1.0 FROM {{sources}} WHERE doc_id % 9 = 0
+UNION SELECT concat('file:', path), concat('module:extra_', doc_id % 7), 'import', 1.0 FROM {{sources}} WHERE doc_id % 9 = 0)"""
+
+
+@query("g17_incremental_rebuild", f"WITH {EXTERNAL}, {NODES}, {CHANGED_NODES}, {CHANGED_EDGES} {GRAPH_ROWS.replace('FROM n ', 'FROM n1 ')}")
 def _g17(s, d):
     nodes, edges = G.build(_sources(s, d))
     changed = fixture(s, d, "sources").where("doc_id % 9 = 0").select("path", F.concat("content", "tail").alias("content"))
     removed = fixture(s, d, "sources").where("doc_id % 9 = 1").select("path")
-    nodes, edges = G.rebuild(nodes, edges, changed, removed)
-    return nodes.select(F.lit("node").alias("what"), F.col("node_type").alias("kind")).unionByName(edges.select(F.lit("edge").alias("what"), F.col("edge_type").alias("kind"))).groupBy("what", "kind").agg(F.count("*").alias("n"))
+    return _graph_rows(*G.rebuild(nodes, edges, changed, removed))
 
 
 @query("v1_v2_digest_embeddings", """

@@ -74,12 +74,26 @@ def test_graph_build_and_rebuild(spark):
     assert ("file:app/service.py", "service:api:requests", "api_call", 1.0) in found
     assert ("file:user_service/main.js", "service:user_service", "microservice", 1.0) in found
     assert not any(s == t for s, t, *_ in found)
+    # a file changed into itself keeps its imports, calls and bases in files that stay, and loses what others had in it
+    again = spark.createDataFrame([FILES[0]], "path string, content string")
+    nodes1, edges1 = G.rebuild(nodes, edges, again, again.where("false").select("path"))
+    rebuilt = {(r.source_id, r.target_id, r.edge_type, r.weight) for r in edges1.collect()}
+    assert {r.node_id for r in nodes1.collect()} == {r.node_id for r in nodes.collect()}
+    assert found - rebuilt == {("class:user_service/main.js::M", "class:app/service.py::Svc", "inheritance", 1.0)} and not rebuilt - found
     changed = spark.createDataFrame([("utils.py", "def other():\n    pass")], "path string, content string")
     nodes2, _ = G.rebuild(nodes, edges, changed, spark.createDataFrame([("user_service/main.js",)], "path string"))
     ids = {r.node_id for r in nodes2.collect()}
     assert "function:utils.py::other" in ids and "function:utils.py::util" not in ids and "file:user_service/main.js" not in ids
 
 
+def test_names_resolve_to_classes_first_and_to_earlier_files(spark):
+    files = [("b.py", "def thing(x):\n    pass\nclass thing(Base):\n    pass\nthing(1)\nlater(2)"), ("a.py", "thing(1)"), ("c.py", "def later(x):\n    thing(3)")]
+    nodes, edges = G.build(spark.createDataFrame(files, "path string, content string"))
+    calls = {(r.source_id, r.target_id) for r in edges.where("edge_type = 'call'").collect()}
+    assert calls == {("function:b.py::thing", "class:b.py::thing"), ("function:c.py::later", "class:b.py::thing")}
+    assert {r.language for r in nodes.where("node_type = 'file'").collect()} == {"python"}
+
+
 def test_page_rank_and_reach(spark):
     nodes = spark.createDataFrame([(0, n, "file", n) for n in "abcd"], "snapshot_id int, node_id string, node_type string, file_path string")
     edges = spark.createDataFrame([(0, "a", "b", "import", 1.0), (0, "b", "c", "import", 1.0), (0, "x", "c", "import", 1.0)], "snapshot_id int, source_id string, target_id string, edge_type string, weight double")
