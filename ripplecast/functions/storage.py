@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +26,22 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with each row's place from 1 in the order of its key, by ranges: no task gets more than a range of a key.
+
+    Rows are dealt into ranges of (keys, order) and stored, so that a range is the same when read again; places inside a range
+    are moved on by the rows of the key's ranges before it.
+    """
+    part, before = "__part", "__before"
+    ranged = stored(df.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), "numbered")
+    sizes = ranged.groupBy(*keys, part).agg(F.count("*").alias("__n"))
+    sizes = sizes.withColumn(before, F.sum("__n").over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(part)) - F.col("__n")).drop("__n")  # a row a range
+    local = F.row_number().over(W.partitionBy(*keys, part).orderBy(*order))
+    same = [ranged_key.eqNullSafe(sizes_key) for ranged_key, sizes_key in ((F.col(f"a.{k}"), F.col(f"b.{k}")) for k in [*keys, part])]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    placed = ranged.withColumn(name, local).alias("a").join(F.broadcast(sizes).alias("b"), on)
+    return placed.select(*[F.col(f"a.{c}") for c in df.columns if c != name], (F.col(f"a.{name}") + F.col(f"b.{before}")).alias(name))

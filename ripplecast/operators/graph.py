@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.storage import stored
+from ..functions.storage import numbered, stored
 
 NODE_TYPES = ("file", "class", "function", "module", "service")
 
@@ -26,7 +28,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
 
     Edges are those met while nodes nearer than max_depth are expanded. Each level is one join of the
     frontier with the edges and one anti-join with what was seen; levels are stored, so
-    their plans stay short. With max_nodes only the nearest nodes stay (ties by id).
+    their plans stay short. With max_nodes only the nearest nodes stay (ties by id), and edges between them.
     """
     known = nodes.select("snapshot_id", "node_id")
     both = edges.select("snapshot_id", F.col("source_id").alias("node_id"), F.col("target_id").alias("other")).unionByName(edges.select("snapshot_id", F.col("target_id").alias("node_id"), F.col("source_id").alias("other")))
@@ -41,7 +43,10 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
     found = seen.join(known, ["snapshot_id", "node_id"], "left_semi")
     if max_nodes is not None:
         found = found.withColumn("__n", F.row_number().over(W.partitionBy("snapshot_id").orderBy("depth", "node_id"))).where(F.col("__n") <= max_nodes).drop("__n")
-    return found, met
+        found = stored(found, "bfs-cut")
+        for end in ("source_id", "target_id"):
+            met = met.join(found.select("snapshot_id", F.col("node_id").alias(end)), ["snapshot_id", end], "left_semi")
+    return found, met.select("snapshot_id", "source_id", "target_id", "edge_type", "weight")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -84,31 +89,48 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return rank.join(top, "snapshot_id").select("snapshot_id", "node_id", (F.col("rank") / F.col("top")).alias("rank"))
 
 
-def node_features(nodes: DataFrame, degree: DataFrame, rank: DataFrame, touched: DataFrame) -> DataFrame:
+#: Numbers a node may carry, and what each is divided by.
+PROPERTIES = {"loc": 1000, "function_count": 50, "class_count": 20, "import_count": 30, "api_surface": 10, "db_access": 1, "mq_access": 1, "is_entrypoint": 1, "has_tests": 1, "bugs": 10, "complexity": 50}
+CAPPED = ("loc", "bugs", "complexity")  # at most 1
+
+
+def node_features(nodes: DataFrame, degree: DataFrame, rank: DataFrame, changed: DataFrame, change: DataFrame) -> DataFrame:
     """(snapshot_id, node_id, features array<float> of 32).
 
-    nodes needs node_type, file_path, complexity; touched (path, added, deleted, n_files, ratio, n_functions, delta) has
-    one row a changed path. Numbers that nodes doesn't hold (bugs, loc, counts, access flags) count as 0.
+    nodes needs node_type and file_path; name and the PROPERTIES count where it holds them, else as 0. changed (path) has the
+    files of the change; change is one row (added, deleted, complexity_delta, deleted_ratio, n_functions, n_files) whose last four
+    stand on every node, while each changed file gets a whole-number share of the lines.
     """
     most = max_degree(degree)
-    rows = nodes.join(degree, ["snapshot_id", "node_id"], "left").join(rank, ["snapshot_id", "node_id"], "left").join(F.broadcast(most), "snapshot_id", "left").join(touched, nodes["file_path"] == touched["path"], "left")
+    name = F.coalesce("file_path", "name") if "name" in nodes.columns else F.col("file_path")
+    rows = nodes.withColumn("place", name).join(degree, ["snapshot_id", "node_id"], "left").join(rank, ["snapshot_id", "node_id"], "left").join(F.broadcast(most), "snapshot_id", "left")
+    rows = rows.join(changed.select(F.col("path").alias("place")).distinct().withColumn("hit", F.lit(1.0)), "place", "left")
+    one = change.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"c_{c}") for c in ("added", "deleted", "complexity_delta", "deleted_ratio", "n_functions", "n_files")]).limit(1)
+    rows = rows.join(F.broadcast(one))  # a single row
     get = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    here = lambda c: F.coalesce(c, F.lit(False)).cast("double")
-    path = F.coalesce("file_path", F.lit(""))
-    zero = F.lit(0.0)
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+
+    def held(c: str) -> Column:
+        value = get(c) / PROPERTIES[c] if c in nodes.columns else F.lit(0.0)
+        return F.least(value, F.lit(1.0)) if c in CAPPED else value
+
+    path, hit = F.coalesce("place", F.lit("")), get("hit")
+    share = lambda c: F.when(hit > 0, C.share(F.floor(F.col(f"c_{c}") / F.greatest(F.col("c_n_files"), F.lit(1.0))).cast("double"), 200)).otherwise(0.0)
+    wide = F.greatest(get("max_degree"), F.lit(1.0))
     slots: list[Column] = [(F.col("node_type") == t).cast("double") for t in NODE_TYPES]
     slots += [
-        F.col("path").isNotNull().cast("double"), get("in_degree") / F.greatest(get("max_degree"), F.lit(1.0)), get("out_degree") / F.greatest(get("max_degree"), F.lit(1.0)), get("rank"),
-        C.share(get("complexity"), 50), C.share(get("added"), 200), C.share(get("deleted"), 200), zero, here(F.lower(path).contains("test")), zero, zero, zero, zero, zero, zero, zero,
-        get("delta") / 20, get("ratio"), C.share(get("n_functions"), 20), get("n_files") / 20,
-        (F.col("node_type") == "service").cast("double"), (F.col("node_type") == "module").cast("double"), here(path.contains("init")), here(path.endswith(".py")), here(path.rlike(r"\.(ts|tsx|js|jsx)$")), zero, zero,
+        hit, get("in_degree") / wide, get("out_degree") / wide, get("rank"), held("complexity"), share("added"), share("deleted"), held("bugs"), flag(F.lower(path).contains("test")),
+        held("loc"), held("function_count"), held("class_count"), held("import_count"), held("api_surface"), held("db_access"), held("mq_access"),
+        F.col("c_complexity_delta") / 20, F.col("c_deleted_ratio"), C.share(F.col("c_n_functions"), 20), F.col("c_n_files") / 20,
+        (F.col("node_type") == "service").cast("double"), (F.col("node_type") == "module").cast("double"), flag(F.lower(path).contains("init")), flag(path.endswith(".py")), flag(path.rlike(r"\.(ts|tsx|js|jsx)$")),
+        held("is_entrypoint"), held("has_tests"),
     ]
     return rows.select("snapshot_id", "node_id", F.array(*[s.cast("float") for s in slots]).alias("features"))
 
 
 def index_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(snapshot_id, source_ix, target_ix): ends by their place in the order of ids; unknown ends dropped."""
-    ix = nodes.select("snapshot_id", "node_id", (F.row_number().over(W.partitionBy("snapshot_id").orderBy("node_id")) - 1).alias("ix"))
+    ix = numbered(nodes.select("snapshot_id", "node_id"), ["snapshot_id"], [F.col("node_id")], "place").select("snapshot_id", "node_id", (F.col("place") - 1).alias("ix"))
     a, b = ix.toDF("snapshot_id", "source_id", "source_ix"), ix.toDF("snapshot_id", "target_id", "target_ix")
     return edges.join(a, ["snapshot_id", "source_id"]).join(b, ["snapshot_id", "target_id"]).select("snapshot_id", "source_ix", "target_ix")
 
@@ -141,33 +163,67 @@ def _gather(dims: DataFrame, keys: list[str]) -> DataFrame:
     return dims.groupBy(*keys).agg(listed.alias("vector"))
 
 
-def _layer(own: np.ndarray, other: np.ndarray, last: bool):
+@dataclass(frozen=True)
+class Network:
+    """Weights of a graph network: layers (of the own vector, of the neighbours' mean, bias, scale, shift), then heads of
+    two layers each (w1, b1, w2, b2): a logit a node, risk and regression a graph, confidence a graph."""
+
+    layers: tuple[tuple[np.ndarray, ...], ...]
+    node: tuple[np.ndarray, ...]
+    risk: tuple[np.ndarray, ...]
+    confidence: tuple[np.ndarray, ...]
+    history: int
+
+
+def seeded_network(width: int, hidden: int = 16, out: int = 8, layers: int = 3, history: int = 4, seed: int = 11) -> Network:
+    """A network of given sizes with weights from a seed, for where none is trained."""
+    rng = np.random.default_rng(seed)
+    draw = lambda a, b: rng.normal(0, a**-0.5, (a, b))
+    sizes = [width, *[hidden] * (layers - 1), out]
+    head = lambda a, b, c: (draw(a, b), np.zeros(b), draw(b, c), np.zeros(c))
+    steps = tuple((draw(a, b), draw(a, b), np.zeros(b), np.ones(b), np.zeros(b)) for a, b in zip(sizes, sizes[1:], strict=False))
+    return Network(steps, head(out, 8, 1), head(out + history, 8, 2), head(out + history, 8, 1), history)
+
+
+def _head(x: np.ndarray, w: tuple[np.ndarray, ...]) -> np.ndarray:
+    return np.maximum(x @ w[0] + w[1], 0) @ w[2] + w[3]
+
+
+def _layer(own: np.ndarray, other: np.ndarray, bias: np.ndarray, scale: np.ndarray, shift: np.ndarray):
     @F.pandas_udf("array<double>")
     def apply(vector: pd.Series, mean: pd.Series) -> pd.Series:
         x = np.stack(vector)
-        y = x @ own + np.stack([np.zeros(x.shape[1]) if v is None else np.asarray(v) for v in mean]) @ other
-        if not last:
-            y = np.maximum(y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-9), 0)
-        return pd.Series(list(y))
+        m = np.stack([np.zeros(x.shape[1]) if v is None else np.asarray(v) for v in mean])
+        return pd.Series(list(np.maximum((x @ own + m @ other + bias) * scale + shift, 0)))
 
     return apply
 
 
-def network_scores(vectors: DataFrame, edges: DataFrame, layers: int = 3, hidden: int = 16, seed: int = 11) -> DataFrame:
-    """(snapshot_id, node_id, logit) after message-passing layers with seeded weights.
+def network_scores(vectors: DataFrame, edges: DataFrame, network: Network, history: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """((snapshot_id, node_id, logit), (snapshot_id, risk, regression_logit, confidence)) by a network of given weights.
 
     A layer takes neighbour means in DataFrame operations and applies its matrices in an Arrow batch; the
-    weights are a few thousand numbers.
+    weights are a few thousand numbers. Graphs take the mean of their node vectors and ``history`` (snapshot_id, history
+    array), zeros where there is none.
     """
-    rng = np.random.default_rng(seed)
-    current, width = vectors, len(vectors.select("vector").first()[0])
-    for k in range(layers + 1):
-        out = 1 if k == layers else hidden
-        own, other = rng.normal(0, width**-0.5, (width, out)), rng.normal(0, width**-0.5, (width, out))
+    current = vectors.select("snapshot_id", "node_id", "vector")
+    for weights in network.layers:
         both = current.join(neighbour_mean(current, edges).withColumnRenamed("vector", "mean"), ["snapshot_id", "node_id"], "left")
+        current = stored(both.select("snapshot_id", "node_id", _layer(*weights)("vector", "mean").alias("vector")), "network")
+
+    @F.pandas_udf("double")
+    def logit(vector: pd.Series) -> pd.Series:
+        return pd.Series(_head(np.stack(vector), network.node)[:, 0])
+
+    @F.pandas_udf("risk double, regression_logit double, confidence double")
+    def graph(vector: pd.Series, past: pd.Series) -> pd.DataFrame:
+        x = np.concatenate([np.stack(vector), np.stack([np.zeros(network.history) if v is None else np.asarray(v) for v in past])], axis=1)
+        risk, sigmoid = _head(x, network.risk), lambda v: 1 / (1 + np.exp(-v))
+        return pd.DataFrame({"risk": 100 * sigmoid(risk[:, 0]), "regression_logit": risk[:, 1], "confidence": sigmoid(_head(x, network.confidence)[:, 0])})
 
-        current, width = stored(both.select("snapshot_id", "node_id", _layer(own, other, k == layers)("vector", "mean").alias("vector")), "network"), out
-    return current.select("snapshot_id", "node_id", F.col("vector")[0].alias("logit"))
+    graphs = mean_pool(current)
+    graphs = graphs.join(history, "snapshot_id", "left") if history is not None else graphs.withColumn("history", F.lit(None).cast("array<double>"))
+    return current.select("snapshot_id", "node_id", logit("vector").alias("logit")), graphs.select("snapshot_id", graph("vector", "history").alias("g")).select("snapshot_id", "g.*")
 
 
 def ranked_files(nodes: DataFrame, logits: DataFrame, k: int = 10) -> DataFrame:

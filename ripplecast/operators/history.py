@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.storage import numbered
 
 PREFIX = 7  # the shortest sha, by which prefix joins are keyed
 
@@ -93,19 +94,22 @@ def affected_labels(changes: DataFrame, fixes: DataFrame) -> DataFrame:
     return changes.join(repaired, "change_id", "left").select("change_id", F.array_sort(F.when(F.size(other) == 0, F.slice("files", 1, 3)).otherwise(other)).alias("affected"))
 
 
+def _beside(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """df with the totals of its keys, which are one row a key; without keys a single row."""
+    return df.join(totals, keys, "left") if keys else df.join(F.broadcast(totals))
+
+
 def balance(df: DataFrame, label: str, order: list[Column], ratio: float = 3.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """All positives and the first int(ratio * positives) negatives of each group; without positives all rows."""
-    n = F.sum(F.col(label).cast("int")).over(W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0)))
-    place = F.row_number().over(W.partitionBy(*keys, label).orderBy(*order))
-    kept = df.withColumn("__n", n).withColumn("__place", place).where(F.col(label) | (F.col("__n") == 0) | (F.col("__place") <= F.floor(F.col("__n") * ratio)))
-    return kept.drop("__n", "__place")
+    total = df.groupBy(*keys).agg(F.sum(F.col(label).cast("int")).alias("__n"))
+    rows = _beside(numbered(df, [*keys, label], order, "__place"), total, list(keys))
+    return rows.where(F.col(label) | (F.col("__n") == 0) | (F.col("__place") <= F.floor(F.col("__n") * ratio))).select(*df.columns)
 
 
 def split_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first max(n // 5, 1) rows of each group validate, the rest train."""
-    own = W.partitionBy(*keys)
-    place, n = F.row_number().over(own.orderBy(*order)), F.count("*").over(own)
-    return df.withColumn("split", F.when(place <= F.greatest(F.floor(n / 5), F.lit(1)), "validation").otherwise("train"))
+    rows = _beside(numbered(df, keys, order, "__place"), df.groupBy(*keys).agg(F.count("*").alias("__n")), keys)
+    return rows.withColumn("split", F.when(F.col("__place") <= F.greatest(F.floor(F.col("__n") / 5), F.lit(1)), "validation").otherwise("train")).select(*df.columns, "split")
 
 
 def split_by_time(df: DataFrame, at: str, start: int, width: int) -> DataFrame:
@@ -114,6 +118,18 @@ def split_by_time(df: DataFrame, at: str, start: int, width: int) -> DataFrame:
 
 
 def hard_negatives(df: DataFrame, size: str, label: str, keys: list[str], top: float = 0.9) -> DataFrame:
-    """O3: the largest changes of a repository that caused no regression."""
-    rank = F.percent_rank().over(W.partitionBy(*keys).orderBy(size))
-    return df.withColumn("__rank", rank).where((F.col("__rank") >= top) & ~F.col(label)).drop("__rank")
+    """O3: the largest changes of a repository that caused no regression: of rank (p - 1) / (n - 1) >= top, ties at their least place.
+
+    Ranks come from the counts of each size, of which a key has few against its rows.
+    """
+    sizes = df.groupBy(*keys, size).agg(F.count("*").alias("__c"))
+    placed = numbered(sizes, keys, [F.col(size)], "__place")
+    step = F.floor(F.col("__place") / 4096)
+    blocks = placed.groupBy(*keys, step.alias("__block")).agg(F.sum("__c").alias("__c"))
+    own = W.partitionBy(*keys)
+    blocks = blocks.select(*keys, "__block", (F.sum("__c").over(own.orderBy("__block")) - F.col("__c")).alias("__before"), F.sum("__c").over(own).alias("__n"))
+    inside = F.sum("__c").over(W.partitionBy(*keys, "__block").orderBy("__place")) - F.col("__c")
+    ranked = placed.withColumn("__block", step).withColumn("__inside", inside).join(blocks, [*keys, "__block"])
+    rank = F.when(F.col("__n") > 1, (F.col("__before") + F.col("__inside")) / (F.col("__n") - 1)).otherwise(0.0)
+    rows = df.join(ranked.select(*keys, size, rank.alias("__rank")), [*keys, size])
+    return rows.where((F.col("__rank") >= top) & ~F.col(label)).select(*df.columns)

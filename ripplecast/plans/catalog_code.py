@@ -315,17 +315,34 @@ def _seed_paths(s, d):
     return sql(s, d, "SELECT concat('src/part_', p_partkey, '.py') AS path FROM {part} WHERE p_partkey % 10 = 0 UNION ALL SELECT 'src/m3.py'")
 
 
-@query("r2_subgraph", """
-WITH b AS (SELECT source_id AS a, target_id AS z FROM {edges} UNION SELECT target_id, source_id FROM {edges}),
+REACH = """b AS (SELECT source_id AS a, target_id AS z FROM {edges} UNION SELECT target_id, source_id FROM {edges}),
 s0 AS (SELECT node_id FROM {nodes} WHERE node_id IN (SELECT concat('file:src/part_', p_partkey, '.py') FROM {part} WHERE p_partkey % 40 = 0)),
 s1 AS (SELECT node_id, 0 AS depth FROM s0 UNION ALL SELECT DISTINCT z, 1 FROM b WHERE a IN (SELECT node_id FROM s0) AND z NOT IN (SELECT node_id FROM s0)),
-s2 AS (SELECT * FROM s1 UNION ALL SELECT DISTINCT z, 2 FROM b WHERE a IN (SELECT node_id FROM s1 WHERE depth = 1) AND z NOT IN (SELECT node_id FROM s1))
-SELECT node_id, depth FROM s2 WHERE node_id IN (SELECT node_id FROM {nodes})""")
-def _r2(s, d):
+s2 AS (SELECT * FROM s1 UNION ALL SELECT DISTINCT z, 2 FROM b WHERE a IN (SELECT node_id FROM s1 WHERE depth = 1) AND z NOT IN (SELECT node_id FROM s1)),
+f AS (SELECT node_id, depth FROM s2 WHERE node_id IN (SELECT node_id FROM {nodes})),
+m AS (SELECT source_id, target_id, edge_type, max(weight) AS weight FROM {edges} WHERE source_id IN (SELECT node_id FROM s1) OR target_id IN (SELECT node_id FROM s1) GROUP BY ALL)"""
+
+
+def _reach(s, d, max_nodes: int | None = None) -> tuple[DataFrame, DataFrame]:
     paths = sql(s, d, "SELECT concat('src/part_', p_partkey, '.py') AS path FROM {part} WHERE p_partkey % 40 = 0")
     nodes = fixture(s, d, "nodes")
-    found, _ = R.subgraph(nodes, fixture(s, d, "edges"), R.seeds_for_files(nodes, paths), max_depth=2)
-    return found.select("node_id", "depth")
+    return R.subgraph(nodes, fixture(s, d, "edges"), R.seeds_for_files(nodes, paths), max_depth=2, max_nodes=max_nodes)
+
+
+@query("r2_subgraph", f"WITH {REACH} SELECT node_id, depth FROM f")
+def _r2(s, d):
+    return _reach(s, d)[0].select("node_id", "depth")
+
+
+@query("r2_subgraph_edges", f"WITH {REACH} SELECT source_id, target_id, edge_type, weight FROM m")
+def _r2_edges(s, d):
+    return _reach(s, d)[1].drop("snapshot_id")
+
+
+@query("r2_nearest_500", f"WITH {REACH}, k AS (SELECT node_id, depth, row_number() OVER (ORDER BY depth, node_id) AS n FROM f) SELECT 'node' AS what, node_id AS a, CAST(depth AS STRING) AS b FROM k WHERE n <= 500 UNION ALL SELECT 'edge', source_id, target_id FROM m WHERE source_id IN (SELECT node_id FROM k WHERE n <= 500) AND target_id IN (SELECT node_id FROM k WHERE n <= 500)")
+def _r2_cut(s, d):
+    nodes, edges = _reach(s, d, 500)
+    return nodes.select(F.lit("node").alias("what"), F.col("node_id").alias("a"), F.col("depth").cast("string").alias("b")).unionByName(edges.select(F.lit("edge").alias("what"), F.col("source_id").alias("a"), F.col("target_id").alias("b")))
 
 
 DEGREE = "SELECT node_id, sum(i) AS in_degree, sum(o) AS out_degree FROM (SELECT source_id AS node_id, 0 AS i, 1 AS o FROM {edges} UNION ALL SELECT target_id, 1, 0 FROM {edges}) e GROUP BY node_id"
@@ -357,22 +374,28 @@ def _r5(s, d):
     return R.page_rank(fixture(s, d, "nodes"), fixture(s, d, "edges")).select("node_id", C.rounded(F.col("rank")).alias("rank"))
 
 
-def _touched(s, d):
-    rows = sql(s, d, "SELECT DISTINCT concat('src/part_', l_partkey, '.py') AS path FROM {lineitem} WHERE l_orderkey % 10 = 0")
-    return rows.select("path", F.lit(40).alias("added"), F.lit(10).alias("deleted"), F.lit(2).alias("n_files"), F.lit(0.2).alias("ratio"), F.lit(5).alias("n_functions"), F.lit(4.0).alias("delta"))
+#: What the fixture's nodes carry besides, and the change that is scored.
+PROPERTIES = """SELECT n.*, node_id AS name, length(node_id) * 90 AS loc, complexity % 7 AS function_count, complexity % 3 AS class_count, complexity % 5 AS import_count, complexity % 4 AS api_surface,
+  complexity % 2 AS db_access, complexity % 2 AS mq_access, complexity % 2 AS is_entrypoint, complexity % 2 AS has_tests, complexity % 13 AS bugs FROM {nodes} n"""
+CHANGED_PARTS = "SELECT DISTINCT concat('src/part_', l_partkey, '.py') AS path FROM {lineitem} WHERE l_orderkey % 10 = 0"
+_SLOTS = [
+    *[f"node_type = '{t}'" for t in R.NODE_TYPES], "t.path IS NOT NULL", "coalesce(in_degree, 0) / most", "coalesce(out_degree, 0) / most", "rank", "least(complexity / 50, 1)",
+    "CASE WHEN t.path IS NULL THEN 0 ELSE least((4100 // k) / 200, 1) END", "CASE WHEN t.path IS NULL THEN 0 ELSE least((1700 // k) / 200, 1) END", "least(bugs / 10, 1)", "contains(lower(place), 'test')", "least(loc / 1000, 1)",
+    "function_count / 50", "class_count / 20", "import_count / 30", "api_surface / 10", "db_access", "mq_access", "4.0 / 20", "0.2", "5 / 20", "k / 20", "node_type = 'service'", "node_type = 'module'", "contains(lower(place), 'init')",
+    "ends_with(place, '.py')", "regexp_matches(place, '\\.(ts|tsx|js|jsx)$')", "is_entrypoint", "has_tests",
+]
 
 
 @query("r6_node_features", f"""
-WITH g AS ({DEGREE}), m AS (SELECT greatest(max(in_degree), max(out_degree), 1) AS most FROM g), t AS (SELECT DISTINCT concat('src/part_', l_partkey, '.py') AS path FROM {{lineitem}} WHERE l_orderkey % 10 = 0)
-SELECT n.node_id, node_type = 'file' AS f0, path IS NOT NULL AS f5, round(coalesce(in_degree, 0) / most, 5) AS f6, round(coalesce(out_degree, 0) / most, 5) AS f7, round(least(complexity / 50, 1), 5) AS f9,
-  round(CASE WHEN path IS NULL THEN 0 ELSE 40 / 200 END, 5) AS f10, round(CASE WHEN path IS NULL THEN 0 ELSE 0.1 END, 5) AS f24, node_type = 'module' AS f26
-FROM {{nodes}} n CROSS JOIN m LEFT JOIN g ON g.node_id = n.node_id LEFT JOIN t ON path = file_path""")
+WITH pr AS ({PAGE_RANK.replace("round(rank / (SELECT max(rank) FROM r20), 6)", "rank / (SELECT max(rank) FROM r20)")}), g AS ({DEGREE}), m AS (SELECT greatest(max(in_degree), max(out_degree), 1) AS most FROM g), t AS ({CHANGED_PARTS}), c AS (SELECT count(*) AS k FROM t),
+x AS (SELECT *, coalesce(file_path, name) AS place FROM ({PROPERTIES}) p)
+SELECT x.node_id, {", ".join(f"round(CAST(CAST({e} AS FLOAT) AS DOUBLE), 5) AS f{i}" for i, e in enumerate(_SLOTS))} FROM x CROSS JOIN m CROSS JOIN c LEFT JOIN g ON g.node_id = x.node_id LEFT JOIN pr ON pr.node_id = x.node_id LEFT JOIN t ON t.path = place""")
 def _r6(s, d):
-    nodes = fixture(s, d, "nodes")
-    rank = nodes.select("snapshot_id", "node_id", F.lit(0.0).alias("rank"))
-    rows = R.node_features(nodes, R.degrees(fixture(s, d, "edges")), rank, _touched(s, d))
-    at = lambda i: F.round(F.col("features")[i].cast("double"), 5)
-    return rows.select("node_id", (at(0) == 1).alias("f0"), (at(5) == 1).alias("f5"), at(6).alias("f6"), at(7).alias("f7"), at(9).alias("f9"), at(10).alias("f10"), at(24).alias("f24"), (at(26) == 1).alias("f26"))
+    nodes, edges = sql(s, d, PROPERTIES), fixture(s, d, "edges")
+    changed = sql(s, d, CHANGED_PARTS)
+    change = changed.agg(F.count("*").alias("n_files")).select(F.lit(4100).alias("added"), F.lit(1700).alias("deleted"), F.lit(4.0).alias("complexity_delta"), F.lit(0.2).alias("deleted_ratio"), F.lit(5).alias("n_functions"), "n_files")
+    rows = R.node_features(nodes, R.degrees(edges), R.page_rank(nodes, edges), changed, change)
+    return rows.select("node_id", *[F.round(F.col("features")[i].cast("double"), 5).alias(f"f{i}") for i in range(32)])
 
 
 @query("r7_indexed_edges", """
@@ -390,24 +413,30 @@ def _r8(s, d):
 VECTORS = "SELECT snapshot_id, node_id, ARR(length(node_id) * 1.0E0, complexity * 1.0E0, 1.0E0, CASE node_type WHEN 'file' THEN 2.0E0 ELSE 0.0E0 END) AS vector FROM {nodes}"
 
 
-@query("r10_neighbour_means", f"SELECT target_id AS node_id, round(avg(vector[1]), 6) AS m0, round(avg(vector[2]), 6) AS m1, round(avg(vector[4]), 6) AS m3 FROM {{edges}} JOIN ({VECTORS}) v ON node_id = source_id GROUP BY target_id")
+@query("r10_neighbour_means", f"SELECT target_id AS node_id, round(avg(vector[1]), 6) AS m0, round(avg(vector[2]), 6) AS m1, round(avg(vector[3]), 6) AS m2, round(avg(vector[4]), 6) AS m3 FROM {{edges}} JOIN ({VECTORS}) v ON node_id = source_id GROUP BY target_id")
 def _r10(s, d):
     rows = R.neighbour_mean(sql(s, d, VECTORS), fixture(s, d, "edges"))
-    return rows.select("node_id", *[C.rounded(F.col("vector")[i]).alias(f"m{i}") for i in (0, 1, 3)])
+    return rows.select("node_id", *[C.rounded(F.col("vector")[i]).alias(f"m{i}") for i in range(4)])
 
 
-@query("r11_mean_pooling", f"SELECT round(avg(vector[1]), 6) AS m0, round(avg(vector[2]), 6) AS m1, round(avg(vector[4]), 6) AS m3 FROM ({VECTORS}) v")
+@query("r11_mean_pooling", f"SELECT round(avg(vector[1]), 6) AS m0, round(avg(vector[2]), 6) AS m1, round(avg(vector[3]), 6) AS m2, round(avg(vector[4]), 6) AS m3 FROM ({VECTORS}) v")
 def _r11(s, d):
     rows = R.mean_pool(sql(s, d, VECTORS))
-    return rows.select(*[C.rounded(F.col("vector")[i]).alias(f"m{i}") for i in (0, 1, 3)])
+    return rows.select(*[C.rounded(F.col("vector")[i]).alias(f"m{i}") for i in range(4)])
 
 
 @query("r12_k7_network_files")
 def _r12(s, d):
-    logits = R.network_scores(sql(s, d, VECTORS), fixture(s, d, "edges"))
+    logits, _ = R.network_scores(sql(s, d, VECTORS), fixture(s, d, "edges"), R.seeded_network(4))
     return R.ranked_files(fixture(s, d, "nodes"), logits).select("file_path", "p", "importance", "rank")
 
 
+@query("r12_network_graph_scores")
+def _r12_graphs(s, d):
+    history = fixture(s, d, "nodes").groupBy("snapshot_id").agg(F.array(F.lit(0.5), F.lit(-0.25), F.avg("complexity") / 50, F.lit(0.0)).alias("history"))
+    return R.network_scores(sql(s, d, VECTORS), fixture(s, d, "edges"), R.seeded_network(4), history)[1]
+
+
 IMPORTANCE = "SELECT node_id, node_type, file_path, least(0.1 + CASE WHEN file_path IN (SELECT concat('src/part_', p_partkey, '.py') FROM {part} WHERE p_partkey % 10 = 0) OR file_path = 'src/m3.py' THEN 0.5 ELSE 0 END + CASE WHEN node_type = 'file' THEN 0.2 ELSE 0 END, 1.0) AS importance FROM {nodes}"
 
 

@@ -1,7 +1,7 @@
 """Derived tables on which the analytics queries run, each stated once for Spark and DuckDB.
 
 A fixture is SQL over given tables and other fixtures in braces. A few words differ between
-the dialects: SHA(x), ARR(...), EPOCH(ts) and WORD are replaced for each.
+the dialects: SHA(x), ARR(...), EPOCH(ts) and // are replaced for each.
 """
 
 from __future__ import annotations
@@ -58,7 +58,7 @@ SELECT 0 AS snapshot_id, node_id, node_type, file_path, complexity FROM (
   UNION ALL SELECT concat('module:', n_name), 'module', NULL, 0 FROM {nation}
   UNION ALL SELECT concat('class:src/m', s_suppkey % 10, '.py::S', s_suppkey), 'class', concat('src/m', s_suppkey % 10, '.py'), s_suppkey % 60 FROM {supplier}
   UNION ALL SELECT concat('file:src/part_', p_partkey, '.py'), 'file', concat('src/part_', p_partkey, '.py'), p_size FROM {part}
-  UNION ALL SELECT concat('function:src/o.py::o', o_orderkey), 'function', 'src/o.py', 0 FROM {orders} WHERE o_orderkey % 50 = 0) n
+  UNION ALL SELECT concat('function:src/o.py::o', o_orderkey), 'function', 'src/o.py', 0 FROM {orders}) n
 """
 
 EDGES = """
@@ -66,7 +66,7 @@ SELECT 0 AS snapshot_id, source_id, target_id, edge_type, weight FROM (
   SELECT DISTINCT concat('file:src/part_', l_partkey, '.py') AS source_id, concat('class:src/m', l_suppkey % 10, '.py::S', l_suppkey) AS target_id, 'import' AS edge_type, 2.0E0 AS weight FROM {lineitem}
   UNION ALL SELECT concat('class:src/m', s_suppkey % 10, '.py::S', s_suppkey), concat('module:', n_name), 'composition', 1.0E0 FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
   UNION ALL SELECT concat('module:', n_name), concat('service:', r_name), 'microservice', 1.0E0 FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
-  UNION ALL SELECT DISTINCT concat('function:src/o.py::o', l_orderkey), concat('file:src/part_', l_partkey, '.py'), 'call', 1.0E0 FROM {lineitem} WHERE l_orderkey % 50 = 0
+  UNION ALL SELECT DISTINCT concat('function:src/o.py::o', l_orderkey), concat('file:src/part_', l_partkey, '.py'), 'call', 1.0E0 FROM {lineitem}
   UNION ALL SELECT concat('module:', n_name), 'module:absent', 'import', 1.0E0 FROM {nation}) e
 """
 
@@ -98,7 +98,7 @@ FROM {changed_files} GROUP BY change_id
 
 MATCHES = """
 SELECT o_orderkey AS change_id, vec_id, concat('commit ', vec_id) AS sha, round(abs(CAST(embedding[1] AS DOUBLE)) * 2, 4) AS similarity, vec_id % 7 = 0 AS is_regression, (vec_id * 31 + o_orderkey) % 97 AS place
-FROM {orders} JOIN {embeddings} ON vec_id % 100 = o_orderkey % 100 WHERE o_orderkey % 3 <> 0
+FROM {orders} JOIN {embeddings} ON vec_id // 5 = o_orderkey // 50
 """
 
 PREDICTIONS = """
@@ -115,16 +115,15 @@ FROM (SELECT change_id, path, (part * 13 + change_id) % 89 / 89.0E0 AS score, ma
 """
 
 REVIEWERS = """
-SELECT c_custkey AS user_id, c_name AS username, concat('m', c_nationkey % 10) AS expertise_area, greatest(least(c_acctbal / 10000, 1.0E0), 0.0E0) AS ownership_score
-FROM {customer} WHERE c_custkey % 5 = 0
+SELECT c_custkey AS user_id, c_name AS username, concat('m', c_nationkey % 10) AS expertise_area, greatest(least(c_acctbal / 10000, 1.0E0), 0.0E0) AS ownership_score, c_custkey % 20 AS repository_id
+FROM {customer}
 """
 
 OWNERSHIP = """
-SELECT user_id, path, weight FROM (
+SELECT user_id, path, weight, user_id % 20 AS repository_id FROM (
   SELECT o_custkey AS user_id, concat('src/m', l_suppkey % 10, '/d', l_partkey % 50, '/part_', l_partkey, '.py') AS path,
     count(*) * 1.0E0 / sum(count(*)) OVER (PARTITION BY l_partkey, l_suppkey % 10) AS weight
   FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_custkey, l_suppkey % 10, l_partkey) w
-WHERE user_id % 5 = 0
 """
 
 FIXTURES = {
@@ -139,7 +138,7 @@ _SHA = re.compile(r"SHA\(((?:[^()]|\([^()]*\))*)\)")
 def spark_words(sql: str) -> str:
     sql = _SHA.sub(r"sha2(\1, 256)", sql)
     sql = sql.replace("EPOCH(", "unix_timestamp(").replace("ARR(", "array(")
-    return sql.replace("embedding[1]", "embedding[0]")
+    return re.sub(r"(\w+) // (\d+)", r"(\1 div \2)", sql).replace("embedding[1]", "embedding[0]")
 
 
 def duck_words(sql: str) -> str:

@@ -4,9 +4,11 @@ import json
 import math
 import os
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ripplecast.functions import columns as C
+from ripplecast.functions.storage import numbered
 from ripplecast.operators import code_graph as G
 from ripplecast.operators import diffs as A
 from ripplecast.operators import graph as R
@@ -109,6 +111,45 @@ def test_page_rank_and_reach(spark):
     assert sorted(r.node_id for r in found.collect()) == ["a", "b"] and met.count() == 1
 
 
+def test_subgraph_of_three_and_its_cut(spark):
+    nodes = spark.createDataFrame([(0, n, "file", n) for n in "abc"], "snapshot_id int, node_id string, node_type string, file_path string")
+    edges = spark.createDataFrame([(0, "a", "b", "import", 1.0), (0, "b", "c", "import", 1.0)], "snapshot_id int, source_id string, target_id string, edge_type string, weight double")
+    seeds = spark.createDataFrame([(0, "a")], "snapshot_id int, node_id string")
+    for most, want in ((None, ("abc", 2)), (2, ("ab", 1))):
+        found, met = R.subgraph(nodes, edges, seeds, 2, most)
+        assert ("".join(sorted(r.node_id for r in found.collect())), met.count()) == want
+
+
+def test_network_matches_numpy(spark):
+    rng = np.random.default_rng(1)
+    vectors = {(g, n): rng.normal(size=3) for g in (0, 1) for n in "abcd"}
+    ends = [(0, "a", "b"), (0, "c", "b"), (0, "b", "d"), (1, "a", "d"), (1, "d", "a"), (1, "a", "d")]
+    net = R.seeded_network(3, hidden=5, out=4, layers=2, history=2, seed=3)
+    frame = spark.createDataFrame([(g, n, v.tolist()) for (g, n), v in vectors.items()], "snapshot_id int, node_id string, vector array<double>")
+    edges = spark.createDataFrame(ends, "snapshot_id int, source_id string, target_id string")
+    past = spark.createDataFrame([(1, [0.5, -1.0])], "snapshot_id int, history array<double>")
+    logits, graphs = R.network_scores(frame, edges, net, past)
+    x = dict(vectors)
+    for own, other, bias, scale, shift in net.layers:
+        mean = {k: np.mean([x[k[0], a] for g, a, b in ends if (g, b) == k] or [np.zeros(len(x[k]))], axis=0) for k in x}
+        x = {k: np.maximum((x[k] @ own + mean[k] @ other + bias) * scale + shift, 0) for k in x}
+    head = lambda v, w: np.maximum(v @ w[0] + w[1], 0) @ w[2] + w[3]
+    assert all(math.isclose(r.logit, head(x[r.snapshot_id, r.node_id], net.node)[0], abs_tol=1e-9) for r in logits.collect())
+    for r in graphs.collect():
+        v = np.concatenate([np.mean([x[k] for k in x if k[0] == r.snapshot_id], axis=0), [0.5, -1.0] if r.snapshot_id else [0, 0]])
+        risk = head(v, net.risk)
+        assert math.isclose(r.risk, 100 / (1 + math.exp(-risk[0]))) and math.isclose(r.regression_logit, risk[1]) and math.isclose(r.confidence, 1 / (1 + math.exp(-head(v, net.confidence)[0])))
+
+
+def test_places_by_ranges(spark):
+    rows = spark.createDataFrame([(k % 3 if k % 3 else None, k * 7919 % 1009) for k in range(1000)], "g int, x int").repartition(5)
+    for keys in (["g"], []):
+        got = {}
+        for r in numbered(rows, keys, [F.desc("x")], "place").collect():
+            got.setdefault(r.g if keys else 0, []).append((r.place, -r.x))
+        assert all([p for p, _ in sorted(v)] == list(range(1, len(v) + 1)) and [x for _, x in sorted(v)] == sorted(x for _, x in v) for v in got.values())
+
+
 def test_metrics_by_hand(spark):
     rows = spark.createDataFrame([(1, 0.9, True, 80.0, 70.0), (1, 0.6, False, 50.0, 40.0), (1, 0.4, True, 20.0, 30.0), (1, 0.1, False, 10.0, 0.0)], "suite int, p double, truth boolean, risk double, true_risk double")
     r = M.pooled(rows, ["suite"]).first()
