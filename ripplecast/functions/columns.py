@@ -64,8 +64,8 @@ def normal_url(url: Column) -> Column:
 def normal_path(path: Column) -> Column:
     """Backslashes as slashes; empty and '.' parts collapse."""
     flat = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/")
-    flat = F.regexp_replace(F.regexp_replace(flat, r"(?<=/)(\./)+", ""), r"^(\./)+|/\.?$", "")
-    return F.when(flat == "", ".").otherwise(flat)
+    flat = F.regexp_replace(F.regexp_replace(flat, r"(?<=/)(\./)+", ""), r"^(\./)+|(?<=.)/\.?$", "")
+    return F.when(flat == "", ".").when(flat == "/.", "/").otherwise(flat)
 
 
 def directory(path: Column) -> Column:

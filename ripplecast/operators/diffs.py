@@ -73,13 +73,18 @@ def file_changes(lines: DataFrame) -> DataFrame:
     return lines.where(first).select("change_id", "file_ord", "file.path", "file.change_type", "file.added", "file.deleted", "file.old_path").withColumn("language", C.language(F.col("path")))
 
 
+def _first_of_each(pairs: Column) -> Column:
+    """Of sorted (old_path, path) the first of each old path: a file may be moved and copied at once."""
+    return F.filter(pairs, lambda x, i: (i == 0) | (x["old_path"] != F.get(pairs, i - 1)["old_path"]))
+
+
 def change_summary(files: DataFrame) -> DataFrame:
     """One row a change: files in order, totals, renames, share of deletions."""
     total = F.sum("added") + F.sum("deleted")
     return files.groupBy("change_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("file_ord", "path"))), lambda x: x["path"]).alias("changed_files"),
         F.sum("added").alias("added"), F.sum("deleted").alias("deleted"),
-        F.map_from_entries(F.array_sort(F.collect_set(F.when(F.col("change_type") == "renamed", F.struct("old_path", "path"))))).alias("renamed_files"),
+        F.map_from_entries(_first_of_each(F.array_sort(F.collect_set(F.when(F.col("change_type") == "renamed", F.struct("old_path", "path")))))).alias("renamed_files"),
         F.when(total > 0, F.sum("deleted") / total).otherwise(0.0).alias("deleted_ratio"),
     )
 

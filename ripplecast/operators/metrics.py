@@ -33,12 +33,16 @@ def confusion(rows: DataFrame, keys: list[str], at: float = 0.5) -> DataFrame:
 def auc(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Area under the curve, .5 where a class is absent.
 
-    Counts by distinct p, then a running sum of the negatives below: wins and half the ties, without pairs.
+    Counts by distinct p, then a running sum of the negatives below, by bins of p and inside them: wins and half the ties, without pairs.
     """
-    by_p = rows.groupBy(*keys, "p").agg(F.sum(F.col("truth").cast("long")).alias("pos"), F.sum((~F.col("truth")).cast("long")).alias("neg"))
-    below = F.sum("neg").over(W.partitionBy(*keys).orderBy("p").rowsBetween(W.unboundedPreceding, -1)) if keys else F.sum("neg").over(W.partitionBy(F.lit(0)).orderBy("p").rowsBetween(W.unboundedPreceding, -1))
-    won = F.col("pos") * (F.coalesce("below", F.lit(0)) + F.col("neg") / 2)
-    out = by_p.withColumn("below", below).groupBy(*keys).agg(F.sum(won).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    bin_ = F.floor(F.col("p") * 4096).alias("__bin")
+    by_p = rows.groupBy(*keys, "p").agg(F.sum(F.col("truth").cast("long")).alias("pos"), F.sum((~F.col("truth")).cast("long")).alias("neg")).withColumn("__bin", bin_)
+    # negatives below: those of the bins of p before, at most 4097 rows a key, and those before in the bin
+    bins = by_p.groupBy(*keys, "__bin").agg(F.sum("neg").alias("own"))
+    bins = bins.select(*keys, "__bin", (F.sum("own").over((W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy("__bin")) - F.col("own")).alias("before"))
+    inside = F.sum("neg").over(W.partitionBy(*keys, "__bin").orderBy("p").rowsBetween(W.unboundedPreceding, -1))
+    won = F.col("pos") * (F.col("before") + F.coalesce("below", F.lit(0)) + F.col("neg") / 2)
+    out = by_p.withColumn("below", inside).join(bins, [*keys, "__bin"]).groupBy(*keys).agg(F.sum(won).alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return out.select(*keys, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / (F.col("pos") * F.col("neg"))).otherwise(0.5).alias("roc_auc"))
 
 
@@ -90,14 +94,70 @@ def suite_passes() -> Column:
 
 
 def pooled(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """E1-E3 and E7 over all rows of each key; with the sample as the key, metrics a sample."""
-    return errors(rows, keys).join(confusion(rows, keys), keys).join(auc(rows, keys), keys).join(calibration(rows, keys), keys)
+    """E1-E3 and E7 over all rows of each key, without keys over all rows; with the sample as the key, metrics a sample."""
+    own = keys or ["__all"]
+    rows = rows if keys else rows.withColumn("__all", F.lit(0))
+    return errors(rows, own).join(confusion(rows, own), own).join(auc(rows, own), own).join(calibration(rows, own), own).drop("__all")
+
+
+def sample_metrics(samples: DataFrame, predictions: DataFrame, ranked: DataFrame, k: int = 5) -> DataFrame:
+    """(suite, sample_id, metrics, passed) of the samples that have a prediction; the others are skipped.
+
+    samples: suite, sample_id, risk_score, is_regression, affected_files; predictions: sample_id, risk, p; ranked: sample_id, path, rank.
+    A sample without affected or ranked files has no ranking metrics.
+    """
+    met = samples.join(predictions, "sample_id").select("suite", "sample_id", "risk", F.col("risk_score").alias("true_risk"), "p", F.col("is_regression").alias("truth"))
+    truths = samples.select(F.col("sample_id").alias("change_id"), F.explode("affected_files").alias("path"))
+    files = ranking(ranked.withColumnRenamed("sample_id", "change_id"), truths, k).withColumnRenamed("change_id", "sample_id").withColumnRenamed("reciprocal", "mrr")
+    rows = pooled(met, ["suite", "sample_id"]).drop("n").join(files, "sample_id", "left")
+    return rows.withColumn("passed", sample_passes())
+
+
+def evaluate_suites(samples: DataFrame, predictions: DataFrame, ranked: DataFrame, k: int = 5) -> DataFrame:
+    """One row a suite: mean of each metric over the samples that have it, the verdict on the means (``passed``), and the nested samples."""
+    rows = sample_metrics(samples, predictions, ranked, k)
+    report = suite_report(rows)
+    return report.withColumn("passed", suite_passes())
 
 
 def suite_report(rows: DataFrame) -> DataFrame:
-    """One row a suite with its nested samples, in order of id; rows: suite, sample_id, metrics."""
-    metrics = [c for c in rows.columns if c not in ("suite", "sample_id")]
-    return rows.groupBy("suite").agg(F.array_sort(F.collect_list(F.struct("sample_id", *metrics))).alias("samples"), *[F.avg(m).alias(m) for m in metrics])
+    """One row a suite with its nested samples, in order of id, and the means of their metrics; rows: suite, sample_id, metrics."""
+    metrics = [c for c, kind in rows.dtypes if c not in ("suite", "sample_id") and kind != "boolean"]
+    return rows.groupBy("suite").agg(F.array_sort(F.collect_list(F.struct("sample_id", *[c for c in rows.columns if c not in ("suite", "sample_id")]))).alias("samples"), *[F.avg(m).alias(m) for m in metrics])
+
+
+def summary_views(predictions: DataFrame, files: DataFrame, reviewers: DataFrame, prefix: str = "") -> list[str]:
+    """Temporary views repository_risk (B1), prediction_summary (B4) and reviewer_expertise (reviewers by area); their names."""
+    views = {
+        "repository_risk": risk_summary(predictions), "prediction_summary": detail(predictions, files, reviewers),
+        "reviewer_expertise": reviewers.groupBy("username").agg(F.count("*").alias("n_suggested"), F.avg("score").alias("mean_score")),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in views]
+
+
+# Enumerations that rows are checked against.
+ENUMERATIONS = {
+    "role": ("admin", "analyst", "viewer", "service_account"),
+    "provider": ("github", "gitlab", "bitbucket", "local"),
+    "status": ("pending", "processing", "completed", "failed"),
+    "node_type": ("file", "class", "function", "module", "service"),
+    "edge_type": ("import", "call", "inheritance", "composition", "api_call", "database_access", "message_queue", "microservice"),
+    "issue_type": ("bug", "regression", "feature", "tech_debt"),
+    "job_status": ("queued", "running", "completed", "failed"),
+    "entity_type": ("commit", "pull_request", "issue", "file", "document"),
+}
+RANGES = {"risk": (0, 100), "p": (0, 1), "confidence": (0, 1)}
+
+
+def constraints(rows: DataFrame) -> DataFrame:
+    """Rows with ``broken``, the names of the columns that break their rule, in order; empty for valid rows.
+
+    Checked is what rows has of RANGES, rank (at least 1) and ENUMERATIONS; null breaks nothing.
+    """
+    rules = {c: ~F.col(c).between(low, high) for c, (low, high) in RANGES.items()} | {"rank": F.col("rank") < 1} | {c: ~F.col(c).isin(*v) for c, v in ENUMERATIONS.items()}
+    return rows.withColumn("broken", F.array_compact(F.array(*[F.when(rule, c) for c, rule in rules.items() if c in rows.columns])))
 
 
 def risk_summary(predictions: DataFrame, cap: int = 500, high: float = 75) -> DataFrame:

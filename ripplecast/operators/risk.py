@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -50,7 +50,7 @@ def linear_score(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"linear_p": p, "linear_risk": C.clip(0.85 * logit + 20 * p, 0, 100)})
 
 
-def graph_score(rows: DataFrame, has_graph: bool = True) -> DataFrame:
+def graph_score(rows: DataFrame, has_graph: bool | Column = True) -> DataFrame:
     """K4: graph_risk, graph_p and graph_confidence by the heuristic without a network; a ``memory`` array adds its first 32 sizes."""
     risk = F.least(15 + 0.04 * F.col("added") + 0.06 * F.col("deleted") + 1.5 * F.abs("complexity_delta") + 2.5 * F.col("n_files"), F.lit(90.0))
     if "memory" in rows.columns:
@@ -58,7 +58,7 @@ def graph_score(rows: DataFrame, has_graph: bool = True) -> DataFrame:
         mean = F.aggregate(head, F.lit(0.0), lambda s, x: s + F.abs(x.cast("double"))) / F.greatest(F.size(head), F.lit(1))
         risk = F.when(F.col("memory").isNull(), risk).otherwise(F.least(risk + 5 * mean, F.lit(95.0)))
     ratio = F.when(F.col("added") + F.col("deleted") > 0, F.col("deleted") / (F.col("added") + F.col("deleted"))).otherwise(0.0)
-    return rows.withColumns({"graph_risk": risk, "graph_p": F.least(risk / 100 + 0.2 * ratio, F.lit(0.95)), "graph_confidence": F.lit(0.55 if has_graph else 0.35)})
+    return rows.withColumns({"graph_risk": risk, "graph_p": F.least(risk / 100 + 0.2 * ratio, F.lit(0.95)), "graph_confidence": F.when(F.lit(has_graph) if isinstance(has_graph, bool) else has_graph, 0.55).otherwise(0.35)})
 
 
 def _variance(columns: list[Column]) -> Column:
@@ -96,7 +96,8 @@ def attributions(rows: DataFrame) -> DataFrame:
     """(change_id, feature, value, contribution, output, rank): weight times value, largest first; output adds the base."""
     parts = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"f_{n}").alias("value"), (w * F.col(f"f_{n}")).alias("contribution")) for n, w in zip(FEATURES, WEIGHTS, strict=True)])
     output = F.lit(BASE) + F.aggregate(parts, F.lit(0.0), lambda s, x: s + x["contribution"])
-    ordered = F.array_sort(parts, lambda a, b: F.when(F.abs(a["contribution"]) > F.abs(b["contribution"]), -1).when(F.abs(a["contribution"]) < F.abs(b["contribution"]), 1).when(a["feature"] < b["feature"], -1).otherwise(1))
+    size = lambda x: F.round(F.abs(x["contribution"]), 9)
+    ordered = F.array_sort(parts, lambda a, b: F.when(size(a) > size(b), -1).when(size(a) < size(b), 1).when(a["feature"] < b["feature"], -1).otherwise(1))
     return rows.select("change_id", output.alias("output"), F.posexplode(ordered).alias("at", "e")).select("change_id", "e.feature", "e.value", "e.contribution", "output", (F.col("at") + 1).alias("rank"))
 
 
@@ -113,39 +114,87 @@ def report(attributed: DataFrame) -> DataFrame:
     )
 
 
+# The sentences of an explanation.
+ROOT_CAUSE = "The change touches %d file(s) (+%d/-%d lines) with complexity delta %+.1f. Modified symbols include: %s."
+RISK_TEXT = "Ensemble risk score is %.1f/100 with regression probability %.0f%% and confidence %.0f%%. GNN contributed %.1f, historical signal: %s."
+PAST_TEXT, NO_PAST_TEXT = "%d similar past commit(s) led to regressions", "no strongly similar regression commits found"
+DRIVERS_TEXT = " Top SHAP drivers: %s."
+FILES_TEXT = "Top affected files by break probability: %s. These are ranked by GNN node scores fused with graph proximity to changed files."
+REVIEWERS_TEXT = "Suggested reviewers (%s) have the highest ownership overlap with affected paths and matching expertise areas."
+NO_REVIEWERS_TEXT = "No reviewer profiles are configured for this repository."
+
+
 def sentences(rows: DataFrame) -> DataFrame:
-    """root_cause, risk_text, files_text, reviewers_text; needs changed_files, symbols, affected, reviewers (arrays), sizes, scores, n_past."""
+    """root_cause, risk_text, files_text, reviewers_text.
+
+    rows: changed_files, symbols, affected, reviewers, drivers (arrays of text), sizes, scores, n_past. Drivers, where there are
+    any, end the risk text.
+    """
     listed = lambda c, n, none: F.when(F.size(c) > 0, F.array_join(F.slice(c, 1, n), ", ")).otherwise(none)
-    past = F.when(F.col("n_past") > 0, F.format_string("%d similar past commit(s) led to regressions", "n_past")).otherwise("no strongly similar regression commits found")
+    past = F.when(F.col("n_past") > 0, F.format_string(PAST_TEXT, "n_past")).otherwise(NO_PAST_TEXT)
+    risk = F.format_string(RISK_TEXT, "risk", F.col("p") * 100, F.col("confidence") * 100, "graph_risk", past)
     return rows.withColumns({
-        "root_cause": F.format_string("The change touches %d file(s) (+%d/-%d lines) with complexity delta %+.1f. Modified symbols include: %s.", F.size("changed_files"), "added", "deleted", "complexity_delta", listed("symbols", 5, "none detected")),
-        "risk_text": F.format_string("Ensemble risk score is %.1f/100 with regression probability %.0f%% and confidence %.0f%%. GNN contributed %.1f, historical signal: %s.", "risk", F.col("p") * 100, F.col("confidence") * 100, "graph_risk", past),
-        "files_text": F.format_string("Top affected files by break probability: %s. These are ranked by GNN node scores fused with graph proximity to changed files.", listed("affected", 5, "none flagged")),
-        "reviewers_text": F.when(F.size("reviewers") > 0, F.format_string("Suggested reviewers (%s) have the highest ownership overlap with affected paths and matching expertise areas.", listed("reviewers", 3, ""))).otherwise("No reviewer profiles are configured for this repository."),
+        "root_cause": F.format_string(ROOT_CAUSE, F.size("changed_files"), "added", "deleted", "complexity_delta", listed("symbols", 5, "none detected")),
+        "risk_text": F.concat(risk, F.when(F.size("drivers") > 0, F.format_string(DRIVERS_TEXT, F.array_join("drivers", ", "))).otherwise("")),
+        "files_text": F.format_string(FILES_TEXT, listed("affected", 5, "none flagged")),
+        "reviewers_text": F.when(F.size("reviewers") > 0, F.format_string(REVIEWERS_TEXT, listed("reviewers", 3, ""))).otherwise(NO_REVIEWERS_TEXT),
     })
 
 
 def context_json(rows: DataFrame) -> DataFrame:
-    """(change_id, context): rounded scores and the heads of the lists as one JSON document."""
+    """(change_id, context): rounded scores, the diff's sizes and the heads of the lists as one JSON document.
+
+    rows: as for sentences, and similar_commits (array of sha, similarity, is_regression, message) and similar_bugs (array).
+    """
+    commits = F.transform(F.slice("similar_commits", 1, 5), lambda c: F.struct(F.substring(c["sha"], 1, 8).alias("sha"), F.round(c["similarity"], 3).alias("similarity"), c["is_regression"].alias("is_regression"), F.substring(c["message"], 1, 120).alias("message")))
     return rows.select("change_id", F.to_json(F.struct(
-        F.round("risk", 1).alias("risk"), F.round("p", 3).alias("probability"), F.round("confidence", 3).alias("confidence"),
-        F.slice("affected", 1, 8).alias("affected_files"), F.slice("reviewers", 1, 5).alias("reviewers"), F.slice("changed_files", 1, 15).alias("changed_files"), F.slice("symbols", 1, 10).alias("symbols"),
+        F.struct(F.round("risk", 1).alias("risk_score"), F.round("p", 3).alias("regression_probability"), F.round("confidence", 3).alias("confidence_score"), F.round("graph_risk", 1).alias("gnn_risk_score"), F.round("graph_p", 3).alias("gnn_regression_probability")).alias("ml_predictions"),
+        F.struct(F.slice("changed_files", 1, 15).alias("changed_files"), F.col("added").alias("added_lines"), F.col("deleted").alias("deleted_lines"), F.slice("symbols", 1, 10).alias("modified_functions"), F.round("complexity_delta", 2).alias("complexity_delta")).alias("diff_summary"),
+        F.slice("affected", 1, 8).alias("affected_files"), commits.alias("similar_commits"), F.slice("similar_bugs", 1, 3).alias("similar_bugs"), F.slice("reviewers", 1, 5).alias("suggested_reviewers"),
     )).alias("context"))
 
 
 def trained(rows: DataFrame) -> DataFrame:
-    """(change_id, risk_hat, p_hat, p_trees): least squares for the risk, logistic regression and boosted trees for the regression flag.
+    """(change_id, split, risk_hat, p_hat, p_trees): least squares for the risk, logistic regression and boosted trees for the regression flag.
 
-    rows: the features, risk_label, is_regression.
+    rows: the features, risk_label, is_regression, split. Only rows of split 'train' are learned from.
     """
     data = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="x").transform(rows.withColumn("y", F.col("is_regression").cast("double")))
-    risk = LinearRegression(featuresCol="x", labelCol="risk_label", predictionCol="risk_hat").fit(data)
-    flag = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="pr", rawPredictionCol="raw", predictionCol="yes", maxIter=20).fit(data)
-    trees = GBTClassifier(featuresCol="x", labelCol="y", predictionCol="yt", maxIter=5, maxDepth=3, seed=3).fit(data)
+    own = data.where("split = 'train'")
+    risk = LinearRegression(featuresCol="x", labelCol="risk_label", predictionCol="risk_hat", solver="normal", regParam=0.0).fit(own)
+    flag = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="pr", rawPredictionCol="raw", predictionCol="yes", maxIter=20).fit(own)
+    trees = GBTClassifier(featuresCol="x", labelCol="y", predictionCol="yt", maxIter=5, maxDepth=3, seed=3).fit(own)
     out = trees.transform(flag.transform(risk.transform(data)))
-    return out.select("change_id", "risk_hat", vector_to_array("pr")[1].alias("p_hat"), vector_to_array("probability")[1].alias("p_trees"))
+    return out.select("change_id", "split", "risk_hat", vector_to_array("pr")[1].alias("p_hat"), vector_to_array("probability")[1].alias("p_trees"))
 
 
-def score(changes: DataFrame, matches: DataFrame) -> DataFrame:
-    """K13 (K14 with empty matches): all pending changes through features, components and ensemble."""
-    return ensemble(graph_score(linear_score(features(changes, history(matches)))))
+def trained_nodes(features: DataFrame, targets: DataFrame, weight: float = 0.5) -> DataFrame:
+    """(snapshot_id, node_id, p_hat): logistic regression of affected files on node features (features array); nodes that
+    are no files have weight 0."""
+    rows = features.join(targets, ["snapshot_id", "node_id"]).select("snapshot_id", "node_id", array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("x"), F.col("target").alias("y"), F.when(F.col("is_file"), weight).otherwise(0.0).alias("w"))
+    model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", probabilityCol="pr", rawPredictionCol="raw", predictionCol="yes", maxIter=20, regParam=1e-4).fit(rows)
+    return model.transform(rows).select("snapshot_id", "node_id", vector_to_array("pr")[1].alias("p_hat"))
+
+
+def score(changes: DataFrame, matches: DataFrame, has_graph: bool = True) -> DataFrame:
+    """All pending changes through features, components and ensemble; K14 with empty matches and without a graph."""
+    return ensemble(graph_score(linear_score(features(changes, history(matches))), has_graph))
+
+
+def predicted_files(rows: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
+    """K6: (change_id, path, p, importance, place): the changed files in order, then the graph's other files by name, k in all.
+
+    rows: change_id, repository_id, graph_p, changed_files; files (repository_id, path): file nodes of the repository's graph. The
+    i-th has probability graph_p + .05 i, at most .99; importance is .1, .5 more if changed, .2 more if the graph holds it, and .3 for
+    changed files outside the graph. Of a repository's files only the first that could be needed go on.
+    """
+    own = rows.select("change_id", "repository_id", "graph_p", F.posexplode("changed_files").alias("place", "path")).groupBy("change_id", "repository_id", "graph_p", "path").agg(F.min("place").alias("place"))
+    known = files.select("repository_id", "path").distinct().withColumn("known", F.lit(True))
+    mine = own.join(known, ["repository_id", "path"], "left").select("change_id", "repository_id", "graph_p", "path", F.col("place").cast("long").alias("order"), F.when(F.col("known"), 0.8).otherwise(0.3).alias("importance"))
+    most = 2 * k  # k others are left even where k changed files stand among them
+    heads = known.withColumn("n", F.row_number().over(W.partitionBy("repository_id").orderBy("path"))).where(F.col("n") <= most).select("repository_id", "path", "n")
+    other = rows.select("change_id", "repository_id", "graph_p").join(heads, "repository_id").join(own.select("change_id", "path"), ["change_id", "path"], "left_anti")
+    other = other.select("change_id", "repository_id", "graph_p", "path", (F.col("n") + (1 << 40)).alias("order"), F.lit(0.3).alias("importance"))
+    place = F.row_number().over(W.partitionBy("change_id").orderBy("order"))
+    both = mine.unionByName(other).withColumn("place", place).where(F.col("place") <= k)
+    return both.select("change_id", "path", F.least(F.col("graph_p") + 0.05 * (F.col("place") - 1), F.lit(0.99)).alias("p"), "importance", "place")

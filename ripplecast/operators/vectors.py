@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH, HashingTF, IDF, Normalizer, Tokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,21 +74,19 @@ def unindexed(entities: DataFrame, manifest: DataFrame, cap: int = 500, reindex:
     return rows if reindex else rows.join(manifest.select("repository_id", "entity_id"), ["repository_id", "entity_id"], "left_anti")
 
 
-def top_k(points: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, query_rows: int = 2048) -> DataFrame:
+def top_k(points: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, query_rows: int = 2048, block_rows: int = 20_000) -> DataFrame:
     """V9: (query_id, vec_id, similarity, rank) of the k most similar points that agree with the query on ``keys``.
 
-    Both sides are dealt by (keys, share of the points) and compared in blocks of matrix products, at most
-    query_rows queries at a time; each block returns k rows a query, so that what meets in
+    The points of a key are dealt into shares of about block_rows, and its queries go to each of these; both are compared in
+    blocks of matrix products, at most query_rows queries at a time. Each share returns k rows a query, so that what meets in
     the final ranking is k rows a query and share. Ties go to the smaller id.
     """
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = points.select(*keys, "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"))
-    asked = queries.select(*keys, "query_id", F.col("embedding").alias("wanted"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    dealt = points.join(sizes, keys).select(*keys, "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
+    asked = queries.join(sizes, keys).select(*keys, "query_id", F.col("embedding").alias("wanted"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def unit(vectors: pd.Series) -> np.ndarray:
-        x = np.stack(vectors).astype(float)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return x / np.where(norm == 0, 1, norm)
+        return _unit(np.stack(vectors).astype(float))
 
     def compare(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -106,14 +105,45 @@ def top_k(points: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, q
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def approximate_top_k(points: DataFrame, queries: DataFrame, k: int = 10, width: float = 1.0, tables: int = 4) -> DataFrame:
-    """As V9 without keys, by random projections of unit vectors and an exact ranking of what they gather."""
-    unit = lambda df, i, v: Normalizer(inputCol="raw", outputCol="v").transform(df.select(i, array_to_vector(F.transform(v, lambda x: x.cast("double"))).alias("raw")))
-    a, b = unit(points, "vec_id", "embedding"), unit(queries, "query_id", "embedding")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=5).fit(a)
-    near = model.approxSimilarityJoin(a, b, 1.5, "d").select(F.col("datasetA.vec_id").alias("vec_id"), F.col("datasetB.query_id").alias("query_id"), (1 - F.col("d") * F.col("d") / 2).alias("similarity"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return near.withColumn("rank", place).where(F.col("rank") <= k)
+def approximate_top_k(points: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, sample_rows: int = 8192) -> DataFrame:
+    """As V9 without keys, among the points of the lists nearest to the query.
+
+    Lists are k-means centres of at most sample_rows unit vectors, about the square root of the number of points, and every point is
+    in the list of its nearest centre; a query looks into ``probes`` lists (a third, 8 at least).
+    """
+    n = points.count()
+    lists = lists or max(1, min(1024, int(n**0.5)))
+    probes = min(lists, probes or max(8, -(-lists // 3)))
+    sample = points.select("embedding").orderBy(F.xxhash64("vec_id")).limit(sample_rows).toArrow()["embedding"].to_pylist()
+    centres = _centres(np.array(sample, float), lists)
+
+    def nearest(width: int):
+        @F.pandas_udf("array<int>")
+        def lists_of(vectors: pd.Series) -> pd.Series:
+            return pd.Series(list(np.argsort(-(_unit(np.stack(vectors).astype(float)) @ centres.T), axis=1, kind="stable")[:, :width].astype(np.int32)))
+
+        return lists_of
+
+    placed = points.select("vec_id", "embedding", nearest(1)("embedding")[0].alias("list"))
+    asked = queries.select("query_id", "embedding", F.explode(nearest(probes)("embedding")).alias("list"))
+    return top_k(placed, asked, ["list"], k)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, 1, norm)
+
+
+def _centres(x: np.ndarray, n: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
+    """Unit k-means centres of the rows of x by cosine."""
+    x = _unit(x)
+    c = x[np.random.default_rng(seed).choice(len(x), min(n, len(x)), replace=False)]
+    for _ in range(rounds):
+        of = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, of, x)
+        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), c)
+    return c
 
 
 def model_embedding(texts: DataFrame, dims: int = 256) -> DataFrame:
@@ -124,6 +154,20 @@ def model_embedding(texts: DataFrame, dims: int = 256) -> DataFrame:
     return Normalizer(inputCol="raw", outputCol="v").transform(idf).select("doc_id", vector_to_array("v").alias("vector"))
 
 
+def encode_with(texts: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], batch_rows: int = 256) -> DataFrame:
+    """V3: (doc_id, vector) at unit length by a model of one's own: ``load`` runs once a task and gives a function from texts to rows."""
+
+    @F.pandas_udf("array<double>")
+    def vector(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode = load()
+        for part in parts:
+            said = part.fillna("").tolist()
+            rows = [_unit(np.asarray(encode(said[k : k + batch_rows]), float)) for k in range(0, len(said), batch_rows)]
+            yield pd.Series(list(np.concatenate(rows)) if rows else [])
+
+    return texts.select("doc_id", vector("text").alias("vector"))
+
+
 def historical_hits(found: DataFrame, points: DataFrame) -> DataFrame:
     """Hits with their payload; those without a sha are dropped, a missing flag is false."""
     payload = points.select("vec_id", "commit_sha", F.coalesce("is_regression", F.lit(False)).alias("is_regression"))

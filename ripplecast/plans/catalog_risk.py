@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import graph as R
 from ..operators import history as H
 from ..operators import metrics as M
 from ..operators import reviewers as W
@@ -57,11 +58,11 @@ def _v8(s, d):
 TOP = """
 SELECT query_id, vec_id, round(similarity, 6) AS similarity, n AS rank FROM (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS n FROM (
   SELECT q.vec_id AS query_id, p.vec_id, list_dot_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS similarity
-  FROM {points} q JOIN {points} p ON KEYS WHERE q.vec_id < 20) s) t WHERE n <= 10"""
+  FROM {points} q JOIN {points} p ON KEYS WHERE q.vec_id % 20 = 0) s) t WHERE n <= 10"""
 
 
 def _queries(s, d) -> DataFrame:
-    return fixture(s, d, "points").where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    return fixture(s, d, "points").where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
 
 
 @query("v9_filtered_top_k", TOP.replace("KEYS", "p.collection = q.collection AND p.repository_id = q.repository_id"))
@@ -74,17 +75,19 @@ def _v10(s, d):
     return V.approximate_top_k(fixture(s, d, "points"), _queries(s, d))
 
 
-@query("v11_similar_commits", f"SELECT query_id, vec_id, substr(SHA(CAST(vec_id AS STRING)), 1, 40) AS commit_sha, similarity, vec_id % 7 = 0 AS is_regression, rank FROM ({TOP.replace('KEYS', 'p.collection = q.collection').replace('q.vec_id < 20', 'q.vec_id < 20 AND q.vec_id % 2 = 0')}) h")
+HIT = "SELECT query_id, vec_id, substr(SHA(CAST(vec_id AS STRING)), 1, 40) AS commit_sha, similarity, vec_id % 7 = 0 AS is_regression, rank"
+
+
+@query("v11_similar_commits", f"{HIT} FROM ({TOP.replace('KEYS', chr(39) + 'commits' + chr(39) + ' = p.collection')}) h")
 def _v11(s, d):
     points = fixture(s, d, "points").where("collection = 'commits'")
-    found = V.top_k(points, _queries(s, d).where("query_id % 2 = 0"), ["collection"])
-    return V.historical_hits(found, points).withColumn("similarity", r(F.col("similarity")))
+    return V.historical_hits(V.top_k(points, _queries(s, d).withColumn("collection", F.lit("commits")), ["collection"]), points).withColumn("similarity", r(F.col("similarity")))
 
 
-@query("v12_v13_similar_issues", f"SELECT query_id, vec_id, similarity, rank FROM ({TOP.replace('KEYS', 'p.collection = q.collection').replace('q.vec_id < 20', 'q.vec_id < 20 AND q.vec_id % 2 = 1').replace('n <= 10', 'n <= 5')}) h")
+@query("v12_similar_issues", f"SELECT query_id, vec_id, similarity, rank FROM ({TOP.replace('KEYS', chr(39) + 'issues' + chr(39) + ' = p.collection').replace('n <= 10', 'n <= 5')}) h")
 def _v12(s, d):
     points = fixture(s, d, "points").where("collection = 'issues'")
-    return V.top_k(points, _queries(s, d).where("query_id % 2 = 1"), ["collection"], k=5).select("query_id", "vec_id", r(F.col("similarity")).alias("similarity"), "rank")
+    return V.top_k(points, _queries(s, d).withColumn("collection", F.lit("issues")), ["collection"], k=5).select("query_id", "vec_id", r(F.col("similarity")).alias("similarity"), "rank")
 
 
 # Risk
@@ -126,23 +129,24 @@ def _k3(s, d):
     return K.linear_score(_featured(s, d)).select("change_id", F.round("linear_risk", 4).alias("risk"), F.round("linear_p", 4).alias("p"))
 
 
-@query("k4_graph_heuristic", f"WITH {PAST}, {FEATS}, {LINEAR}, {GRAPH} SELECT change_id, round(g_risk, 6) AS risk, round(g_p, 6) AS p FROM gg")
+@query("k4_graph_heuristic", f"WITH {PAST}, {FEATS}, {LINEAR}, {GRAPH} SELECT change_id, round(g_risk, 9) AS risk, round(g_p, 9) AS p FROM gg")
 def _k4(s, d):
-    return K.graph_score(_featured(s, d)).select("change_id", r(F.col("graph_risk")).alias("risk"), r(F.col("graph_p")).alias("p"))
+    return K.graph_score(_featured(s, d)).select("change_id", F.round("graph_risk", 9).alias("risk"), F.round("graph_p", 9).alias("p"))
 
 
-ENSEMBLE = SCORED + """SELECT change_id, round(risk, 4) AS risk, round(p, 4) AS p, round(greatest(least(0.35 + 0.45 * 0.55 + 0.2 * (1 - least((((g_risk - mr) ** 2 + (l_risk - mr) ** 2 + (h_risk - mr) ** 2) / 3 / 2500 + ((g_p - mp) ** 2 + (l_p - mp) ** 2 + (h_p - mp) ** 2) / 3) / 2, 1)), 1), 0), 4) AS confidence FROM e"""
+CONFIDENCE = """SELECT change_id, round(risk, 4) AS risk, round(p, 4) AS p, round(greatest(least(0.35 + 0.45 * 0.55 + 0.2 * (1 - least((((g_risk - mr) ** 2 + (l_risk - mr) ** 2 + (h_risk - mr) ** 2) / 3 / 2500 + ((g_p - mp) ** 2 + (l_p - mp) ** 2 + (h_p - mp) ** 2) / 3) / 2, 1)), 1), 0), 4) AS confidence FROM e"""
 
 
-@query("k9_k10_k13_ensemble", ENSEMBLE)
+@query("k9_k10_ensemble", SCORED + CONFIDENCE)
 def _k9(s, d):
     return _scored(s, d).select("change_id", F.round("risk", 4).alias("risk"), F.round("p", 4).alias("p"), F.round("confidence", 4).alias("confidence"))
 
 
 @query("k14_benchmark_scores", """
-WITH past AS (SELECT 0 AS change_id, 0.0 AS rate, 0.0 AS sim, 0.0 AS mean WHERE false), """ + f"{FEATS}, {LINEAR}, {GRAPH}, {MIX} SELECT change_id, round(risk, 4) AS risk, round(p, 4) AS p FROM e")
+WITH past AS (SELECT 0 AS change_id, 0.0 AS rate, 0.0 AS sim, 0.0 AS mean WHERE false), """ + f"{FEATS}, {LINEAR}, {GRAPH}, {MIX} " + CONFIDENCE.replace("0.55", "0.35"))
 def _k14(s, d):
-    return K.score(fixture(s, d, "changes"), fixture(s, d, "matches").where("false")).select("change_id", F.round("risk", 4).alias("risk"), F.round("p", 4).alias("p"))
+    rows = K.score(fixture(s, d, "changes"), fixture(s, d, "matches").where("false"), has_graph=False)
+    return rows.select("change_id", F.round("risk", 4).alias("risk"), F.round("p", 4).alias("p"), F.round("confidence", 4).alias("confidence"))
 
 
 AFFECTED = "SELECT change_id, path, score AS p, score / 2 AS importance, rank AS place FROM {ranked} UNION ALL SELECT change_id, path, score * 0.5E0, score, rank + 100 FROM {ranked} WHERE rank % 2 = 1"
@@ -159,10 +163,25 @@ def _k11(s, d):
     return K.merge_files(sql(s, d, AFFECTED), first).select("change_id", "path", r(F.col("p")).alias("p"), r(F.col("importance")).alias("importance"), "rank")
 
 
+def _learnable(s, d) -> DataFrame:
+    commits = fixture(s, d, "commits").select(F.col("k").alias("change_id"), "repository_id", "day_s", "is_regression")
+    rows = H.risk_labels(_featured(s, d).drop("repository_id").join(commits, "change_id").withColumn("is_rollback", F.lit(False)))
+    return H.split_first(rows, ["repository_id"], [F.col("day_s"), F.col("change_id")])
+
+
 @query("k12_trained_models")
 def _k12(s, d):
-    rows = _featured(s, d).join(fixture(s, d, "commits").select(F.col("k").alias("change_id"), "is_regression"), "change_id").withColumn("is_rollback", F.lit(False))
-    return K.trained(H.risk_labels(rows))
+    return K.trained(_learnable(s, d))
+
+
+@query("k12_trained_nodes")
+def _k12_nodes(s, d):
+    nodes, edges = fixture(s, d, "nodes"), fixture(s, d, "edges")
+    affected = sql(s, d, "SELECT concat('src/part_', p_partkey, '.py') AS path FROM {part} WHERE p_size > 40")
+    rank = nodes.select("snapshot_id", "node_id", F.lit(0.0).alias("rank"))
+    change = s.range(1).select(*[F.lit(0.0).alias(c) for c in ("added", "deleted", "complexity_delta", "deleted_ratio", "n_functions", "n_files")])
+    features = R.node_features(nodes, R.degrees(edges), rank, affected.where("false"), change)
+    return K.trained_nodes(features, R.node_targets(nodes, affected)).select("node_id", F.round("p_hat", 4).alias("p_hat"))
 
 
 ATTR = f"""WITH {PAST}, {FEATS}, v AS (SELECT change_id, unnest(['{"', '".join(K.FEATURES)}']) AS feature, unnest([f0, f1, f2, f3, f4, f5, f6, f7, f8, f9]) AS value, unnest([{', '.join(map(str, K.WEIGHTS))}]) AS w FROM f),
@@ -179,27 +198,54 @@ def _x2(s, d):
     return K.top_drivers(K.attributions(_featured(s, d))).groupBy("change_id").agg(F.count("*").alias("n"), F.round(F.sum("contribution"), 5).alias("total"))
 
 
-@query("x5_b5_reports")
+@query("x5_b5_reports", ATTR + """SELECT change_id, round(8 + sum(contribution), 6) AS output, count(*) AS n, string_agg(feature || ' ' || CAST(round(contribution, 3) AS DECIMAL(12, 3)), ', ' ORDER BY rank) AS items FROM a GROUP BY change_id""")
 def _x5(s, d):
-    return K.report(K.attributions(_featured(s, d)))
+    kind = "output double, n int, items array<struct<feature:string,value:double,contribution:double>>"
+    got = K.report(K.attributions(_featured(s, d))).select("change_id", F.from_json("report", kind).alias("x"))
+    said = F.transform("x.items", lambda e: F.concat_ws(" ", e["feature"], F.round(e["contribution"], 3).cast("decimal(12,3)").cast("string")))
+    return got.select("change_id", F.col("x.output").alias("output"), F.col("x.n").cast("long").alias("n"), F.array_join(said, ", ").alias("items"))
 
 
 def _explained(s, d) -> DataFrame:
     files = fixture(s, d, "ranked").groupBy("change_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "path"))), lambda x: x["path"]).alias("affected"))
-    rows = _scored(s, d).join(files, "change_id")
-    empty = F.array().cast("array<string>")
-    past = fixture(s, d, "matches").where("is_regression").groupBy("change_id").agg(F.count("*").alias("n_past"))
-    return rows.join(past, "change_id", "left").fillna({"n_past": 0}).withColumns({"changed_files": F.array_sort("affected"), "symbols": empty, "reviewers": empty})
-
-
-@query("x6_explanations", "SELECT change_id, 'Top affected files by break probability: ' || array_to_string(list(path ORDER BY rank)[1:5], ', ') || '. These are ranked by GNN node scores fused with graph proximity to changed files.' AS files_text, 'No reviewer profiles are configured for this repository.' AS reviewers_text FROM {ranked} GROUP BY change_id")
+    commits = fixture(s, d, "matches").groupBy("change_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "vec_id", "sha", "similarity", "is_regression"))), lambda x: F.struct(x["sha"].alias("sha"), x["similarity"].alias("similarity"), x["is_regression"].alias("is_regression"), x["sha"].alias("message"))).alias("similar_commits"))
+    drivers = K.top_drivers(K.attributions(_featured(s, d))).groupBy("change_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]).alias("drivers"))
+    rows = _scored(s, d).join(files, "change_id").join(commits, "change_id", "left").join(drivers, "change_id", "left")
+    texts = F.array().cast("array<string>")
+    rows = rows.withColumn("n_past", F.greatest(F.coalesce(F.size(F.filter("similar_commits", lambda c: c["is_regression"])), F.lit(0)), F.lit(0)))
+    rows = rows.withColumns({"similar_commits": F.coalesce("similar_commits", F.array().cast("array<struct<sha:string,similarity:double,is_regression:boolean,message:string>>")), "drivers": F.coalesce("drivers", texts)})
+    return rows.withColumns({"changed_files": F.array_sort("affected"), "symbols": F.transform(F.array_sort("affected"), lambda x: F.concat(x, F.lit("::f"))), "reviewers": F.transform("affected", lambda x: F.element_at(F.split(x, "/"), 2)), "similar_bugs": F.array(F.struct(F.col("change_id").alias("issue_id")))})
+
+
+EXPLAINED = SCORED + """, fl AS (SELECT change_id, list(path ORDER BY rank) AS affected, list_sort(list(path)) AS changed FROM {ranked} GROUP BY 1), np AS (SELECT change_id, count(*) FILTER (WHERE is_regression) AS n_past FROM {matches} GROUP BY 1),
+v AS (SELECT change_id, unnest(['""" + "', '".join(K.FEATURES) + "']) AS feature, unnest([f0, f1, f2, f3, f4, f5, f6, f7, f8, f9]) AS value, unnest([" + ", ".join(map(str, K.WEIGHTS)) + """]) AS w FROM f),
+dr AS (SELECT change_id, string_agg(feature, ', ' ORDER BY n) AS drivers FROM (SELECT change_id, feature, w * value AS c, row_number() OVER (PARTITION BY change_id ORDER BY round(w * value, 9) DESC, feature) AS n FROM v) q WHERE n <= 3 AND c > 0.01 GROUP BY 1),
+cf AS (SELECT e.*, greatest(least(0.35 + 0.45 * 0.55 + 0.2 * (1 - least((((g_risk - mr) ** 2 + (l_risk - mr) ** 2 + (h_risk - mr) ** 2) / 3 / 2500 + ((g_p - mp) ** 2 + (l_p - mp) ** 2 + (h_p - mp) ** 2) / 3) / 2, 1)), 1), 0) AS confidence FROM e),
+al AS (SELECT cf.*, affected, changed, coalesce(n_past, 0) AS n_past, drivers FROM cf JOIN fl USING (change_id) LEFT JOIN np USING (change_id) LEFT JOIN dr USING (change_id)) """
+
+
+@query("x6_explanations", EXPLAINED + """SELECT change_id,
+  printf('The change touches %d file(s) (+%d/-%d lines) with complexity delta %+.1f. Modified symbols include: ', CAST(len(affected) AS BIGINT), CAST(added AS BIGINT), CAST(deleted AS BIGINT), complexity_delta) || array_to_string(list_transform(changed[1:5], lambda x: x || '::f'), ', ') || '.' AS root_cause,
+  regexp_extract(CASE WHEN n_past > 0 THEN n_past || ' similar past commit(s) led to regressions' ELSE 'no strongly similar regression commits found' END || '.' || coalesce(' Top SHAP drivers: ' || drivers || '.', ''), '.*') AS risk_tail,
+  'Top affected files by break probability: ' || array_to_string(affected[1:5], ', ') || '. These are ranked by GNN node scores fused with graph proximity to changed files.' AS files_text,
+  'Suggested reviewers (' || array_to_string(list_transform(affected[1:3], lambda x: string_split(x, '/')[2]), ', ') || ') have the highest ownership overlap with affected paths and matching expertise areas.' AS reviewers_text,
+  round(risk, 4) AS risk, round(p, 4) AS p, round(confidence, 4) AS confidence FROM al""")
 def _x6(s, d):
-    return K.sentences(_explained(s, d)).select("change_id", "files_text", "reviewers_text")
+    rows = K.sentences(_explained(s, d))
+    # scores are compared as numbers, since a tie in the last digit shown may round either way
+    said = r"^Ensemble risk score is ([0-9.]+)/100 with regression probability ([0-9]+)% and confidence ([0-9]+)%\. GNN contributed ([0-9.]+), historical signal: (.*)$"
+    near = lambda i, c, scale, off: F.abs(F.regexp_extract("risk_text", said, i).cast("double") - F.col(c) * scale) <= off + 1e-9
+    shown = near(1, "risk", 1, 0.05) & near(2, "p", 100, 0.5) & near(3, "confidence", 100, 0.5) & near(4, "graph_risk", 1, 0.05)
+    return rows.select("change_id", "root_cause", F.when(shown, F.regexp_extract("risk_text", said, 5)).alias("risk_tail"), "files_text", "reviewers_text", *[F.round(c, 4).alias(c) for c in ("risk", "p", "confidence")])
 
 
-@query("x7_explanation_context")
+@query("x7_explanation_context", EXPLAINED + """, sc AS (SELECT change_id, string_agg(substr(sha, 1, 8) || ' ' || CAST(is_regression AS STRING), ', ' ORDER BY place, vec_id) AS commits FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY place, vec_id) AS n FROM {matches}) m WHERE n <= 5 GROUP BY 1)
+SELECT change_id, round(risk, 1) AS risk, array_to_string(affected[1:8], ', ') AS affected, array_to_string(changed[1:15], ', ') AS changed, coalesce(commits, '') AS commits, change_id AS bug, CAST(added AS BIGINT) AS added FROM al LEFT JOIN sc USING (change_id)""")
 def _x7(s, d):
-    return K.context_json(_explained(s, d))
+    kind = "ml_predictions struct<risk_score:double>, diff_summary struct<changed_files:array<string>,added_lines:long>, affected_files array<string>, similar_commits array<struct<sha:string,is_regression:boolean>>, similar_bugs array<struct<issue_id:long>>"
+    got = K.context_json(_explained(s, d)).select("change_id", F.from_json("context", kind).alias("x"))
+    commits = F.transform("x.similar_commits", lambda c: F.concat_ws(" ", c["sha"], c["is_regression"].cast("string")))
+    return got.select("change_id", F.col("x.ml_predictions.risk_score").alias("risk"), F.array_join("x.affected_files", ", ").alias("affected"), F.array_join("x.diff_summary.changed_files", ", ").alias("changed"), F.array_join(commits, ", ").alias("commits"), F.col("x.similar_bugs")[0]["issue_id"].alias("bug"), F.col("x.diff_summary.added_lines").alias("added"))
 
 
 # Reviewers
@@ -207,6 +253,9 @@ def _x7(s, d):
 DIR = "regexp_replace(path, '/[^/]*$', '')"
 
 
+TARGETS = "SELECT r.change_id, path, repository_id FROM {ranked} r JOIN (SELECT change_id, repository_id FROM {predictions}) p ON p.change_id = r.change_id"
+
+
 @query("w2_owned_files", f"SELECT change_id, count(*) AS n_owned, count(DISTINCT user_id) AS n_users, max(path) AS last_path FROM (SELECT DISTINCT change_id, user_id, o.path FROM (SELECT *, {DIR} AS dir FROM {{ownership}} WHERE weight > 0) o JOIN (SELECT DISTINCT change_id, {DIR} AS dir FROM {{ranked}}) t USING (dir)) q GROUP BY change_id")
 def _w2(s, d):
     owned = W.owned_files(fixture(s, d, "ownership"), fixture(s, d, "ranked"))
@@ -224,18 +273,20 @@ def _w4(s, d):
 
 
 @query("w1_w5_reviewer_ranking", f"""
-WITH tg AS (SELECT DISTINCT change_id, path, {DIR} AS dir FROM {{ranked}}),
-own AS (SELECT change_id, user_id, count(DISTINCT o.path) AS n_owned FROM (SELECT *, {DIR} AS dir FROM {{ownership}} WHERE weight > 0) o JOIN (SELECT DISTINCT change_id, dir FROM tg) t USING (dir) GROUP BY 1, 2),
+WITH tg AS (SELECT DISTINCT change_id, repository_id, path, {DIR} AS dir FROM ({TARGETS}) t),
+own AS (SELECT change_id, user_id, count(DISTINCT o.path) AS n_owned FROM (SELECT *, {DIR} AS dir FROM {{ownership}} WHERE weight > 0) o JOIN (SELECT DISTINCT change_id, repository_id, dir FROM tg) t USING (repository_id, dir) GROUP BY 1, 2),
 nn AS (SELECT change_id, count(*) AS n FROM tg GROUP BY 1),
-ov AS (SELECT change_id, user_id, least(sum(weight) / max(n), 1) AS overlap FROM tg JOIN nn USING (change_id) JOIN {{ownership}} w ON w.path = tg.path GROUP BY 1, 2),
-ex AS (SELECT DISTINCT change_id, user_id FROM tg JOIN {{reviewers}} ON contains(lower(path), lower(expertise_area))),
-cand AS (SELECT change_id, user_id FROM (SELECT DISTINCT change_id FROM tg) c, {{reviewers}}),
-sc AS (SELECT c.change_id, username, user_id, expertise_area, coalesce(n_owned, 0) AS n_owned, coalesce(overlap, 0) AS overlap, ownership_score, ex.user_id IS NOT NULL AS expert,
-  round(least(0.3 * ownership_score + 0.5 * coalesce(overlap, 0) + CASE WHEN ex.user_id IS NOT NULL THEN 0.2 ELSE 0 END, 1), 4) AS score
-  FROM cand c JOIN {{reviewers}} USING (user_id) LEFT JOIN own USING (change_id, user_id) LEFT JOIN ov USING (change_id, user_id) LEFT JOIN ex USING (change_id, user_id))
-SELECT change_id, username, score, n_owned, n AS rank FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY score DESC, user_id) AS n FROM sc) x WHERE n <= 5""")
+ov AS (SELECT change_id, user_id, least(sum(weight) / max(n), 1) AS overlap FROM tg JOIN nn USING (change_id) JOIN {{ownership}} w ON w.path = tg.path AND w.repository_id = tg.repository_id GROUP BY 1, 2),
+areas AS (SELECT DISTINCT change_id, area FROM tg JOIN (SELECT DISTINCT lower(expertise_area) AS area FROM {{reviewers}}) a ON contains(lower(path), area)),
+cand AS (SELECT change_id, v.* FROM (SELECT DISTINCT change_id, repository_id FROM tg) c JOIN {{reviewers}} v USING (repository_id)),
+sc AS (SELECT c.change_id, username, c.user_id, expertise_area, ownership_score, coalesce(n_owned, 0) AS n_owned, coalesce(overlap, 0) AS overlap, ar.area IS NOT NULL AS expert,
+  least(0.3 * ownership_score + 0.5 * coalesce(overlap, 0) + CASE WHEN ar.area IS NOT NULL THEN 0.2 ELSE 0 END, 1) AS score
+  FROM cand c LEFT JOIN own USING (change_id, user_id) LEFT JOIN ov USING (change_id, user_id) LEFT JOIN areas ar ON ar.change_id = c.change_id AND ar.area = lower(expertise_area))
+SELECT change_id, username, round(score, 4) AS score, n_owned, n AS rank, CASE WHEN n_owned > 0 THEN 'Owns ' || n_owned || ' affected file(s); overlap=' WHEN expert THEN 'Expertise match in ' || expertise_area ELSE 'Repository contributor (ownership=' END AS reason
+FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY round(score, 9) DESC, user_id) AS n FROM sc) x WHERE n <= 5""")
 def _w1(s, d):
-    return W.recommend(fixture(s, d, "reviewers"), fixture(s, d, "ownership"), fixture(s, d, "ranked")).drop("rationale")
+    rows = W.recommend(fixture(s, d, "reviewers"), fixture(s, d, "ownership"), sql(s, d, TARGETS))
+    return rows.select("change_id", "username", "score", "n_owned", "rank", F.regexp_replace("rationale", r"(?<==)[0-9.]+\)?$", "").alias("reason"))
 
 
 LINES = "SELECT path, o_custkey % 50 AS author, added AS lines FROM {changed_files} JOIN (SELECT DISTINCT o_orderkey, o_custkey FROM {orders}) o ON change_id = o_orderkey"
@@ -259,9 +310,18 @@ def _o6(s, d):
 CHECK = "concat_ws(';', CASE WHEN risk < 0 OR risk > 100 THEN 'risk' END, CASE WHEN p < 0 OR p > 1 THEN 'p' END, CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence' END, CASE WHEN status NOT IN ('pending', 'processing', 'completed', 'failed') THEN 'status' END)"
 
 
-@query("d1_d3_constraints_and_levels", f"SELECT change_id, {CHECK} AS broken, CASE WHEN risk < 25 THEN 'low' WHEN risk < 50 THEN 'medium' WHEN risk < 75 THEN 'high' ELSE 'critical' END AS level FROM {{predictions}}")
+BENT = """SELECT change_id, CASE WHEN change_id % 11 = 0 THEN risk - 50 ELSE risk * 1.02E0 END AS risk, p * 1.05E0 - 0.01E0 AS p, confidence, change_id % 5 AS rank, CASE WHEN change_id % 7 = 0 THEN 'done' ELSE status END AS status,
+  CASE change_id % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'root' ELSE NULL END AS role, CASE change_id % 3 WHEN 0 THEN 'github' ELSE 'svn' END AS provider, CASE change_id % 3 WHEN 0 THEN 'file' ELSE 'folder' END AS node_type,
+  CASE change_id % 3 WHEN 1 THEN 'call' ELSE 'link' END AS edge_type, CASE change_id % 2 WHEN 1 THEN 'bug' ELSE 'task' END AS issue_type, CASE change_id % 2 WHEN 1 THEN 'queued' ELSE 'lost' END AS job_status, CASE change_id % 6 WHEN 1 THEN 'commit' ELSE 'tag' END AS entity_type FROM {predictions}"""
+
+
+@query("d1_d3_constraints_and_levels", f"""
+SELECT change_id, concat_ws(';', CASE WHEN risk < 0 OR risk > 100 THEN 'risk' END, CASE WHEN p < 0 OR p > 1 THEN 'p' END, CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence' END, CASE WHEN change_id % 5 = 0 THEN 'rank' END,
+  CASE WHEN change_id % 4 = 1 THEN 'role' END, CASE WHEN change_id % 3 <> 0 THEN 'provider' END, CASE WHEN change_id % 7 = 0 THEN 'status' END, CASE WHEN change_id % 3 <> 0 THEN 'node_type' END, CASE WHEN change_id % 3 <> 1 THEN 'edge_type' END,
+  CASE WHEN change_id % 2 = 0 THEN 'issue_type' END, CASE WHEN change_id % 2 = 0 THEN 'job_status' END, CASE WHEN change_id % 6 <> 1 THEN 'entity_type' END) AS broken,
+  CASE WHEN risk < 25 THEN 'low' WHEN risk < 50 THEN 'medium' WHEN risk < 75 THEN 'high' ELSE 'critical' END AS level FROM ({BENT}) b""")
 def _d1(s, d):
-    return fixture(s, d, "predictions").select("change_id", F.expr(CHECK).alias("broken"), C.risk_level(F.col("risk")).alias("level"))
+    return M.constraints(sql(s, d, BENT)).select("change_id", F.array_join("broken", ";").alias("broken"), C.risk_level(F.col("risk")).alias("level"))
 
 
 @query("e1_errors", "SELECT repository_id, count(*) AS n, round(sqrt(avg((risk - true_risk) ** 2)), 6) AS rmse, round(avg(abs(risk - true_risk)), 6) AS mae FROM {predictions} GROUP BY repository_id")
@@ -314,18 +374,37 @@ def _e9(s, d):
     return M.macro(long).withColumn("value", r(F.col("value")))
 
 
-@query("e8_e10_e11_e13_pooled_report", f"""
-WITH a AS (SELECT repository_id, tp, fp, fn, tn, CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM ({CONF}) c), b AS (SELECT repository_id, avg(abs(risk - true_risk)) AS mae, sqrt(avg((risk - true_risk) ** 2)) AS rmse FROM {{predictions}} GROUP BY 1)
-SELECT repository_id, round(f1, 6) AS f1, round(rmse, 6) AS rmse, f1 >= 0.8 * 0.67 AND mae <= 15 AS sample_ok, false AS suite_ok FROM a JOIN b USING (repository_id)""")
+#: Predictions of which those of even repositories are close to the truth.
+CLOSE = """SELECT change_id, repository_id, truth, true_risk, CASE WHEN repository_id % 2 = 0 THEN true_risk + change_id % 9 ELSE risk END AS risk, CASE WHEN repository_id % 2 = 0 THEN CASE WHEN truth THEN 0.97E0 ELSE 0.02E0 END ELSE p END AS p FROM {predictions}"""
+POOLED = """SELECT KEY, count(*) AS n, CASE WHEN count(*) FILTER (WHERE p >= 0.5 AND truth) > 0 THEN 2 * count(*) FILTER (WHERE p >= 0.5 AND truth) / (2 * count(*) FILTER (WHERE p >= 0.5 AND truth) + count(*) FILTER (WHERE (p >= 0.5) <> truth)) ELSE 0 END AS f1,
+  avg(abs(risk - true_risk)) AS mae, sqrt(avg((risk - true_risk) ** 2)) AS rmse FROM c GROUP BY ALL"""
+
+
+@query("e8_e10_e11_e13_pooled_report", f"WITH c AS ({CLOSE}), b AS ({POOLED.replace('KEY', 'repository_id')}) SELECT repository_id, n, round(f1, 6) AS f1, round(rmse, 6) AS rmse, f1 >= 0.8 * 0.67 AND mae <= 15 AS sample_ok, repository_id % 2 = 0 AS suite_ok FROM b")
 def _e13(s, d):
-    rows = M.pooled(fixture(s, d, "predictions"), ["repository_id"]).withColumns({n: F.lit(None).cast("double") for n in ("precision_at_k", "recall_at_k", "mrr")})
-    return rows.select("repository_id", r(F.col("f1")).alias("f1"), r(F.col("rmse")).alias("rmse"), M.sample_passes().alias("sample_ok"), M.suite_passes().alias("suite_ok"))
+    rows = M.pooled(sql(s, d, CLOSE), ["repository_id"]).withColumns({n: F.lit(0.75) for n in ("precision_at_k", "recall_at_k", "mrr")})
+    return rows.select("repository_id", "n", r(F.col("f1")).alias("f1"), r(F.col("rmse")).alias("rmse"), M.sample_passes().alias("sample_ok"), M.suite_passes().alias("suite_ok"))
+
+
+@query("e13_overall_report", f"WITH c AS ({CLOSE}) {POOLED.replace('KEY, count', 'count').replace('SELECT', 'SELECT', 1)}".replace("AS f1", "AS f").replace("SELECT count", "SELECT round(max(1), 0) AS one, count"))
+def _e13_all(s, d):
+    rows = M.pooled(sql(s, d, CLOSE), [])
+    return rows.select(F.lit(1.0).alias("one"), "n", F.col("f1").alias("f"), "mae", "rmse")
 
 
-@query("e12_suite_report", "SELECT repository_id % 4 AS suite, count(*) AS n, round(avg(m), 6) AS mae FROM (SELECT repository_id, avg(abs(risk - true_risk)) AS m FROM {predictions} GROUP BY 1) x GROUP BY 1")
+@query("e12_suite_report", f"""
+WITH c AS ({CLOSE}), x AS (SELECT *, repository_id % 4 AS suite FROM c WHERE change_id % 5 <> 0), rk AS ({RANKING.strip()}),
+m AS (SELECT suite, change_id, abs(risk - true_risk) AS mae, CASE WHEN p >= 0.5 AND truth THEN 1 ELSE 0 END AS f1, abs(p - CAST(truth AS INT)) AS ece, precision_at_k, recall_at_k, reciprocal FROM x LEFT JOIN rk USING (change_id)),
+a AS (SELECT suite, count(*) AS n, avg(mae) AS mae, avg(f1) AS f1, avg(ece) AS ece, avg(precision_at_k) AS pk, avg(recall_at_k) AS rec, avg(reciprocal) AS mrr, count(*) FILTER (WHERE f1 >= 0.8 * 0.67 AND mae <= 15) AS n_passed FROM m GROUP BY suite)
+SELECT suite, n, round(mae, 6) AS mae, round(f1, 6) AS f1, round(ece, 6) AS ece, round(pk, 4) AS pk, round(rec, 4) AS rec, round(mrr, 4) AS mrr, n_passed, pk >= 0.7 AND rec >= 0.65 AND f1 >= 0.67 AND 0.5 >= 0.85 AND mae <= 15 AND mrr >= 0.6 AND ece <= 0.05 AS passed FROM a""")
 def _e12(s, d):
-    rows = M.errors(fixture(s, d, "predictions"), ["repository_id"]).select((F.col("repository_id") % 4).alias("suite"), F.col("repository_id").alias("sample_id"), "mae")
-    return M.suite_report(rows).select("suite", F.size("samples").alias("n"), r(F.col("mae")).alias("mae"))
+    close = sql(s, d, CLOSE)
+    hits = fixture(s, d, "ranked").where("hit").groupBy("change_id").agg(F.collect_set("path").alias("affected_files"))
+    samples = close.join(hits, "change_id", "left").select((F.col("repository_id") % 4).alias("suite"), F.col("change_id").alias("sample_id"), F.col("true_risk").alias("risk_score"), F.col("truth").alias("is_regression"), "affected_files")
+    predictions = close.where("change_id % 5 != 0").select(F.col("change_id").alias("sample_id"), "risk", "p")
+    rows = M.evaluate_suites(samples, predictions, fixture(s, d, "ranked").select(F.col("change_id").alias("sample_id"), "path", "rank"))
+    n_passed = F.size(F.filter("samples", lambda x: x["passed"])).cast("long")
+    return rows.select("suite", F.size("samples").cast("long").alias("n"), *[r(F.col(c)).alias(c) for c in ("mae", "f1", "ece")], F.round("precision_at_k", 4).alias("pk"), F.round("recall_at_k", 4).alias("rec"), F.round("mrr", 4).alias("mrr"), n_passed.alias("n_passed"), "passed")
 
 
 @query("b1_o5_risk_summary", """

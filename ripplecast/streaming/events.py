@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..functions import columns as C
 from ..operators.diffs import synthetic_diff
@@ -49,9 +51,9 @@ def pending(events: DataFrame, repositories: DataFrame) -> tuple[DataFrame, Data
     return synthetic_diff(met.where("repository_id is not null")).withColumn("status", F.lit("pending")), met.where("repository_id is null")
 
 
-def error_ratio(events: DataFrame, span: str = "5 minutes", step: str = "1 minute") -> DataFrame:
-    """Share of 5xx a sliding window; events: at timestamp, status."""
-    return events.groupBy(F.window("at", span, step)).agg(F.count("*").alias("n"), F.avg((F.col("status") >= 500).cast("double")).alias("ratio"))
+def error_ratio(events: DataFrame, span: str = "5 minutes", step: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Share of 5xx a sliding window; events: at timestamp, status. A stream keeps windows until they are ``late`` behind."""
+    return events.withWatermark("at", late).groupBy(F.window("at", span, step)).agg(F.count("*").alias("n"), F.avg((F.col("status") >= 500).cast("double")).alias("ratio"))
 
 
 def sustained(ratios: DataFrame, over: float = 0.05, steps: int = 5, step_s: int = 60) -> DataFrame:
@@ -64,37 +66,48 @@ def sustained(ratios: DataFrame, over: float = 0.05, steps: int = 5, step_s: int
 def latency(events: DataFrame, span: str = "5 minutes", exact: bool = False) -> DataFrame:
     """p50, p95, p99 of latency_s a window; exact in batch, sketched in a stream."""
     at = F.expr("percentile(latency_s, array(0.5, 0.95, 0.99))") if exact else F.percentile_approx("latency_s", [0.5, 0.95, 0.99], 10_000)
-    out = events.groupBy(F.window("at", span)).agg(at.alias("q"))
+    out = events.withWatermark("at", "10 minutes").groupBy(F.window("at", span)).agg(at.alias("q"))
     return out.select("window", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"), F.col("q")[2].alias("p99"))
 
 
 def rates(events: DataFrame, span: str = "5 minutes", seconds: int = 300) -> DataFrame:
     """Events a second by handler and window."""
-    return events.groupBy("handler", F.window("at", span)).agg((F.count("*") / seconds).alias("rate"))
+    return events.withWatermark("at", "10 minutes").groupBy("handler", F.window("at", span)).agg((F.count("*") / seconds).alias("rate"))
 
 
 def fixed_window_limits(events: DataFrame, span: str = "60 seconds", most: int = 100) -> DataFrame:
     """T4: hits by key in tumbling windows, flagged over ``most``."""
-    return events.groupBy("user_id", F.window("at", span)).agg(F.count("*").alias("hits")).withColumn("limited", F.col("hits") > most)
+    return events.withWatermark("at", "10 minutes").groupBy("user_id", F.window("at", span)).agg(F.count("*").alias("hits")).withColumn("limited", F.col("hits") > most)
 
 
-def first_hit_limits(events: DataFrame, span_s: int = 60, most: int = 100) -> DataFrame:
-    """T4: (user_id, opened, hits, limited) with windows that open at a key's first hit, as state of the key. Streaming, by event time."""
+def first_hit_limits(events: DataFrame, span_s: int = 60, most: int = 100, late: str = "10 minutes") -> DataFrame:
+    """T4: (user_id, opened, hits, limited), a row a hit, with windows that open at a key's first hit, as state of the key.
 
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    Streaming, by event time (at, and at_s in seconds). The state of a key goes once the watermark, ``late`` behind, has passed its
+    window; hits of one batch are taken in order, and one of an earlier batch's window counts there.
+    """
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         opened, hits = state.get if state.exists else (None, 0)
-        out = []
-        for part in parts:
-            for at in part["at_s"].sort_values():
-                if opened is None or at >= opened + span_s:
-                    opened, hits = int(at), 0
-                hits += 1
-                out.append((key[0], opened, hits, hits > most))
-        if opened is not None:
-            state.update((opened, hits))
-        yield pd.DataFrame(out, columns=["user_id", "opened", "hits", "limited"])
-
-    return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, opened long, hits long, limited boolean", "opened long, hits long", "append", "NoTimeout")
+        at = np.sort(np.concatenate([p["at_s"].to_numpy() for p in parts]))
+        opens, counts, done = [], [], 0
+        while done < len(at):  # a window at a time
+            if opened is None or at[done] >= opened + span_s:
+                opened, hits = int(at[done]), 0
+            n = int(np.searchsorted(at, opened + span_s)) - done
+            opens.append(np.full(n, opened))
+            counts.append(hits + 1 + np.arange(n))
+            hits, done = hits + n, done + n
+        state.update((opened, hits))
+        state.setTimeoutTimestamp(max((opened + span_s) * 1000, state.getCurrentWatermarkMs() + 1))
+        counts = np.concatenate(counts)
+        yield pd.DataFrame({"user_id": key[0], "opened": np.concatenate(opens), "hits": counts, "limited": counts > most})
+
+    own = events.withWatermark("at", late).groupBy("user_id")
+    return own.applyInPandasWithState(update, "user_id long, opened long, hits long, limited boolean", "opened long, hits long", "append", "EventTimeTimeout")
 
 
 def sliding_log(events: DataFrame, span_s: int = 60, most: int = 100) -> DataFrame:
