@@ -108,8 +108,8 @@ def top_drivers(attributed: DataFrame) -> DataFrame:
 
 def report(attributed: DataFrame) -> DataFrame:
     """One JSON report a change: method, base, output and the ordered attributions."""
-    items = F.array_sort(F.collect_list(F.struct("rank", "feature", F.round("value", 6).alias("value"), F.round("contribution", 6).alias("contribution"))))
-    return attributed.groupBy("change_id").agg(F.round(F.first("output"), 6).alias("output"), items.alias("items")).select(
+    items = F.array_sort(F.collect_list(F.struct("rank", "feature", F.round("value", 9).alias("value"), F.round("contribution", 9).alias("contribution"))))
+    return attributed.groupBy("change_id").agg(F.round(F.first("output"), 9).alias("output"), items.alias("items")).select(
         "change_id", F.to_json(F.struct(F.lit("exact linear").alias("method"), F.lit(BASE).alias("base"), "output", F.size("items").alias("n"), "items")).alias("report")
     )
 

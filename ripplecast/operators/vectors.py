@@ -105,17 +105,19 @@ def top_k(points: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, q
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def approximate_top_k(points: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, sample_rows: int = 8192) -> DataFrame:
-    """As V9 without keys, among the points of the lists nearest to the query.
+def approximate_top_k(points: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, sample_rows: int = 8192, recall: float = 0.95) -> DataFrame:
+    """As V9 without keys, among the points of the ``probes`` lists nearest to the query.
 
     Lists are k-means centres of at most sample_rows unit vectors, about the square root of the number of points, and every point is
-    in the list of its nearest centre; a query looks into ``probes`` lists (a third, 8 at least).
+    in the list of its nearest centre. Without ``probes`` as many lists are looked into as give 256 rows of the sample
+    that share of their k nearest in the sample.
     """
     n = points.count()
     lists = lists or max(1, min(1024, int(n**0.5)))
-    probes = min(lists, probes or max(8, -(-lists // 3)))
     sample = points.select("embedding").orderBy(F.xxhash64("vec_id")).limit(sample_rows).toArrow()["embedding"].to_pylist()
-    centres = _centres(np.array(sample, float), lists)
+    sample = _unit(np.array(sample, float))
+    centres = _centres(sample, lists)
+    probes = min(len(centres), probes or _probes(sample, centres, k, recall))
 
     def nearest(width: int):
         @F.pandas_udf("array<int>")
@@ -134,6 +136,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm == 0, 1, norm)
 
 
+def _probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float, rows: int = 256) -> int:
+    """How many lists, from the nearest on, hold the share ``recall`` of the k nearest of the first rows of x."""
+    own, near = x[:rows], x @ centres.T
+    s = own @ x.T
+    s[np.arange(len(own)), np.arange(len(own))] = -np.inf
+    best = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
+    place = np.argsort(np.argsort(-near[: len(own)], axis=1), axis=1)
+    at = np.take_along_axis(place, near.argmax(axis=1)[best], axis=1)
+    return int(np.quantile(at, recall, method="higher")) + 1 if at.size else len(centres)
+
+
 def _centres(x: np.ndarray, n: int, rounds: int = 10, seed: int = 5) -> np.ndarray:
     """Unit k-means centres of the rows of x by cosine."""
     x = _unit(x)

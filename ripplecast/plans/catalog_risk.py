@@ -56,7 +56,7 @@ def _v8(s, d):
 
 
 TOP = """
-SELECT query_id, vec_id, round(similarity, 6) AS similarity, n AS rank FROM (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS n FROM (
+SELECT query_id, vec_id, round(round(similarity, 9), 6) AS similarity, n AS rank FROM (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 9) DESC, vec_id) AS n FROM (
   SELECT q.vec_id AS query_id, p.vec_id, list_dot_product(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(p.embedding::DOUBLE[], p.embedding::DOUBLE[])) AS similarity
   FROM {points} q JOIN {points} p ON KEYS WHERE q.vec_id % 20 = 0) s) t WHERE n <= 10"""
 
@@ -84,7 +84,7 @@ def _v11(s, d):
     return V.historical_hits(V.top_k(points, _queries(s, d).withColumn("collection", F.lit("commits")), ["collection"]), points).withColumn("similarity", r(F.col("similarity")))
 
 
-@query("v12_similar_issues", f"SELECT query_id, vec_id, similarity, rank FROM ({TOP.replace('KEYS', chr(39) + 'issues' + chr(39) + ' = p.collection').replace('n <= 10', 'n <= 5')}) h")
+@query("v12_v13_similar_issues", f"SELECT query_id, vec_id, similarity, rank FROM ({TOP.replace('KEYS', chr(39) + 'issues' + chr(39) + ' = p.collection').replace('n <= 10', 'n <= 5')}) h")
 def _v12(s, d):
     points = fixture(s, d, "points").where("collection = 'issues'")
     return V.top_k(points, _queries(s, d).withColumn("collection", F.lit("issues")), ["collection"], k=5).select("query_id", "vec_id", r(F.col("similarity")).alias("similarity"), "rank")
@@ -137,7 +137,7 @@ def _k4(s, d):
 CONFIDENCE = """SELECT change_id, round(risk, 4) AS risk, round(p, 4) AS p, round(greatest(least(0.35 + 0.45 * 0.55 + 0.2 * (1 - least((((g_risk - mr) ** 2 + (l_risk - mr) ** 2 + (h_risk - mr) ** 2) / 3 / 2500 + ((g_p - mp) ** 2 + (l_p - mp) ** 2 + (h_p - mp) ** 2) / 3) / 2, 1)), 1), 0), 4) AS confidence FROM e"""
 
 
-@query("k9_k10_ensemble", SCORED + CONFIDENCE)
+@query("k9_k10_k13_ensemble", SCORED + CONFIDENCE)
 def _k9(s, d):
     return _scored(s, d).select("change_id", F.round("risk", 4).alias("risk"), F.round("p", 4).alias("p"), F.round("confidence", 4).alias("confidence"))
 
@@ -198,11 +198,11 @@ def _x2(s, d):
     return K.top_drivers(K.attributions(_featured(s, d))).groupBy("change_id").agg(F.count("*").alias("n"), F.round(F.sum("contribution"), 5).alias("total"))
 
 
-@query("x5_b5_reports", ATTR + """SELECT change_id, round(8 + sum(contribution), 6) AS output, count(*) AS n, string_agg(feature || ' ' || CAST(round(contribution, 3) AS DECIMAL(12, 3)), ', ' ORDER BY rank) AS items FROM a GROUP BY change_id""")
+@query("x5_b5_reports", ATTR + """SELECT change_id, round(8 + sum(contribution), 9) AS output, count(*) AS n, string_agg(feature || ' ' || CAST(round(contribution, 9) AS DECIMAL(14, 9)), ', ' ORDER BY rank) AS items FROM a GROUP BY change_id""")
 def _x5(s, d):
     kind = "output double, n int, items array<struct<feature:string,value:double,contribution:double>>"
     got = K.report(K.attributions(_featured(s, d))).select("change_id", F.from_json("report", kind).alias("x"))
-    said = F.transform("x.items", lambda e: F.concat_ws(" ", e["feature"], F.round(e["contribution"], 3).cast("decimal(12,3)").cast("string")))
+    said = F.transform("x.items", lambda e: F.concat_ws(" ", e["feature"], e["contribution"].cast("decimal(14,9)").cast("string")))
     return got.select("change_id", F.col("x.output").alias("output"), F.col("x.n").cast("long").alias("n"), F.array_join(said, ", ").alias("items"))
 
 

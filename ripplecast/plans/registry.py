@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalog_code, catalog_history, catalog_risk
+from . import catalog_code, catalog_flows, catalog_history, catalog_risk
 
 Query = Callable[[SparkSession, str], DataFrame]
-_CATALOGS = (catalog_history, catalog_code, catalog_risk)
+_CATALOGS = (catalog_history, catalog_code, catalog_risk, catalog_flows)
 
 
 def queries() -> dict[str, Query]:

@@ -3,8 +3,10 @@
 import json
 import math
 import os
+import re
 
 import numpy as np
+from conftest import SF
 from pyspark.sql import functions as F
 
 from ripplecast.functions import columns as C
@@ -13,7 +15,10 @@ from ripplecast.operators import code_graph as G
 from ripplecast.operators import diffs as A
 from ripplecast.operators import graph as R
 from ripplecast.operators import metrics as M
+from ripplecast.operators import reviewers as W
 from ripplecast.operators import risk as K
+from ripplecast.operators import scoring as P
+from ripplecast.operators import vectors as V
 from ripplecast.sources import tables as S
 from ripplecast.streaming import events as T
 from ripplecast.streaming import ingest as I
@@ -23,6 +28,8 @@ def test_column_expressions(spark):
     rows = spark.createDataFrame([("src/A/x.TSX", "https://Host/r.git//"), ("build/y.py", None), (None, "")], "path string, url string")
     got = rows.select(C.language(F.col("path")), C.is_source_path(F.col("path")), C.normal_url(F.col("url")), C.directory(F.col("path"))).collect()
     assert [tuple(r) for r in got] == [("typescript", True, "https://host/r", "src/A"), ("python", False, None, "build"), (None, None, "", "")]
+    paths = spark.createDataFrame([("/",), ("",), ("a\\b//c/./",), ("./x",), ("/a/",), ("/.",)], "p string").select(C.normal_path(F.col("p"))).collect()
+    assert [r[0] for r in paths] == ["/", ".", "a/b/c", "x", "/a", "/"]
     text = spark.createDataFrame([("if a:\n elif b:\n x && y ? 1",), ("  ",)], "t string").select(C.complexity(F.col("t"))).collect()
     assert [r[0] for r in text] == [6.0, 0.0]  # 'elif ' holds 'if ' as well
 
@@ -155,6 +162,8 @@ def test_metrics_by_hand(spark):
     r = M.pooled(rows, ["suite"]).first()
     assert (r.tp, r.fp, r.fn, r.tn, r.f1, r.roc_auc, r.rmse, r.mae) == (1, 1, 1, 1, 0.5, 0.75, 10.0, 10.0)
     assert math.isclose(r.ece, (0.1 + 0.6 + 0.6 + 0.1) / 4)
+    whole = M.pooled(rows, []).first()
+    assert (whole.n, whole.tp, whole.roc_auc) == (4, 1, 0.75) and "suite" not in whole.asDict()
 
 
 def test_linear_model(spark):
@@ -166,6 +175,86 @@ def test_linear_model(spark):
     assert math.isclose(r.linear_p, p) and math.isclose(r.linear_risk, 0.85 * logit + 20 * p)
 
 
+def murmur3(term: str, seed: int = 42) -> int:
+    """32-bit MurmurHash3 of the UTF-8 bytes."""
+    data, h, mask = term.encode(), seed, 0xFFFFFFFF
+    rot = lambda x, n: (x << n | x >> (32 - n)) & mask
+    mix = lambda k: rot(k * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+    for k in range(0, len(data) // 4 * 4, 4):
+        h = (rot(h ^ mix(int.from_bytes(data[k : k + 4], "little")), 13) * 5 + 0xE6546B64) & mask
+    h ^= mix(int.from_bytes(data[len(data) // 4 * 4 :], "little")) if len(data) % 4 else 0
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
+def test_model_embedding_matches_term_weights(spark):
+    texts = [(1, "a b b c"), (2, "a d"), (3, None), (4, "B  c zebra"), (5, "a")]
+    got = {r.doc_id: np.array(r.vector) for r in V.model_embedding(spark.createDataFrame(texts, "doc_id long, text string"), dims=32).collect()}
+    counts = {i: np.zeros(32) for i, _ in texts}
+    for i, t in texts:
+        for w in re.split(r"\s", (t or "").lower()):
+            h = murmur3(w)
+            counts[i][(h - 2**32 if h >= 2**31 else h) % 32] += 1
+    idf = np.log((len(texts) + 1) / (sum((c > 0).astype(int) for c in counts.values()) + 1))
+    for i, c in counts.items():
+        want = c * idf
+        assert np.allclose(got[i], want / (np.linalg.norm(want) or 1))
+
+
+def test_a_model_of_ones_own(spark):
+    frame = spark.createDataFrame([(1, "abc"), (2, None), (3, "z")], "doc_id long, text string")
+    got = {r.doc_id: r.vector for r in V.encode_with(frame, lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]), batch_rows=2).collect()}
+    assert np.allclose(got[1], np.array([3, 1]) / math.sqrt(10)) and got[2] == [0.0, 1.0] and np.allclose(got[3], [math.sqrt(0.5)] * 2)
+
+
+def test_approximate_search_recalls_the_exact_one(spark):
+    points = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    queries = points.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    exact = {(r.query_id, r.vec_id) for r in V.top_k(points.withColumn("c", F.lit(1)), queries.withColumn("c", F.lit(1)), ["c"]).collect()}
+    near = {(r.query_id, r.vec_id) for r in V.approximate_top_k(points, queries).collect()}
+    assert len(near & exact) / len(exact) >= 0.9 and len(near) == len(exact)
+    few = V.approximate_top_k(points, queries, probes=4)
+    assert few.groupBy("query_id").count().where("count > 10").isEmpty()
+
+
+def test_trained_models(spark):
+    """The risk is linear in the features, so least squares finds it; the flags of files follow one slot."""
+    rng = np.random.default_rng(2)
+    rows = [(k, "train" if k % 3 else "validation", *rng.random(10).tolist()) for k in range(300)]
+    frame = spark.createDataFrame(rows, "change_id long, split string, " + ", ".join(f"f_{n} double" for n in K.FEATURES))
+    frame = frame.withColumn("risk_label", sum((w * F.col(f"f_{n}") for n, w in zip(K.FEATURES, K.WEIGHTS)), F.lit(3.0))).withColumn("is_regression", F.col("f_added") > 0.5)
+    got = K.trained(frame).join(frame.select("change_id", "risk_label", "is_regression"), "change_id").where("split = 'validation'").collect()
+    assert len(got) == 100 and all(abs(r.risk_hat - r.risk_label) < 1e-6 for r in got)
+    assert np.mean([(r.p_hat >= 0.5) == r.is_regression for r in got]) > 0.9 and np.mean([(r.p_trees >= 0.5) == r.is_regression for r in got]) > 0.9
+    nodes = spark.createDataFrame([(0, f"n{k}", k % 4 > 0, float(k % 2), [float(k % 2), 1.0]) for k in range(80)], "snapshot_id int, node_id string, is_file boolean, target double, features array<float>")
+    p = {r.node_id: r.p_hat for r in K.trained_nodes(nodes.select("snapshot_id", "node_id", "features"), nodes.drop("features")).collect()}
+    assert all((p[f"n{k}"] > 0.5) == (k % 2 == 1) for k in range(80))
+
+
+def test_failed_and_blank_changes(spark):
+    pending = spark.createDataFrame([(1, 1, DIFF), (2, 1, ""), (3, 2, "@@ -1 +1 @@\n-x\n+y"), (4, 2, None)], "change_id long, repository_id int, diff string")
+    points = spark.createDataFrame([(7, 1, "commit", 7, "f" * 40, "m", True, [1.0] * 8), (8, 1, "issue", 8, None, "t", False, [1.0] * 8)], "vec_id long, repository_id int, entity_type string, entity_id long, commit_sha string, title string, is_regression boolean, embedding array<double>")
+    files = spark.createDataFrame([(1, "a.py"), (1, "z.py")], "repository_id int, path string")
+    profiles = spark.createDataFrame([(1, 5, "ann", "a.py", 0.5), (2, 6, "bob", "", 0.9)], "repository_id int, user_id long, username string, expertise_area string, ownership_score double")
+    own = spark.createDataFrame([(1, 5, "b.py", 1.0)], "repository_id int, user_id long, path string, weight double")
+    got = {r.change_id: r for r in P.predict(pending, points, files, profiles, own, dims=8).collect()}
+    assert (got[3].status, got[3].error) == ("failed", "Invalid unified diff") and [got[k].status for k in (1, 2, 4)] == ["completed"] * 3
+    assert sorted(f.path for f in got[1].affected_files) == ["a.py", "b.py", "z.py"] and got[1].suggested_reviewers[0].username == "ann"
+    assert got[1].similar_commits[0].sha == "f" * 40 and got[1].similar_bugs[0].title == "t" and "1 similar past commit(s)" in got[1].risk_text
+    assert got[4].affected_files is None and got[4].similar_commits is None and json.loads(got[1].context)["diff_summary"]["added_lines"] == 2
+
+
+def test_reviewers_by_hand(spark):
+    """Profiles of another repository do not compete; exact scores rank."""
+    profiles = spark.createDataFrame([(1, 1, "alice", "src", 0.8), (1, 2, "bob", "docs", 0.3), (2, 3, "eve", "src", 1.0)], "repository_id int, user_id long, username string, expertise_area string, ownership_score double")
+    own = spark.createDataFrame([(1, 1, "src/a.py", 0.8), (2, 3, "src/a.py", 1.0)], "repository_id int, user_id long, path string, weight double")
+    targets = spark.createDataFrame([(1, 9, "src/a.py")], "repository_id int, change_id long, path string")
+    got = [(r.username, r.score, r.rationale) for r in W.recommend(profiles, own, targets).orderBy("rank").collect()]
+    assert got == [("alice", 0.84, "Owns 1 affected file(s); overlap=0.80"), ("bob", 0.09, "Repository contributor (ownership=0.30)")]
+
+
 def test_sources_round_trip(spark, tmp_path):
     (tmp_path / "suite.json").write_text(json.dumps({"samples": [{"id": "s1", "diff": "d", "ground_truth": {"risk_score": 5.0, "is_regression": True}}]}))
     r = S.read_suites(spark, f"{tmp_path}/suite.json").first()
@@ -183,7 +272,12 @@ def test_sources_round_trip(spark, tmp_path):
         S.append_report(spark.createDataFrame([(k, k * 10)], "report_id int, created_s int"), f"{tmp_path}/reports")
     assert [r.report_id for r in S.list_reports(spark, f"{tmp_path}/reports", 2).collect()] == [2, 1]
     p = spark.createDataFrame([(1, "r", '{"similar_commits":[{"sha":"x"}]}'), (2, "r", None)], "change_id int, repository_id string, payload string")
-    S.write_predictions(p, p.select("change_id", "repository_id"), f"{tmp_path}/out")
+    S.write_predictions(p.where("change_id = 1"), p.where("change_id = 1").select("change_id", "repository_id"), f"{tmp_path}/out")
+    S.write_predictions(p.where("change_id = 2"), p.where("change_id = 2").select("change_id", "repository_id"), f"{tmp_path}/out")
+    S.write_predictions(p.where("change_id = 1"), p.where("false").select("change_id", "repository_id"), f"{tmp_path}/out")
+    assert [r.change_id for r in spark.read.parquet(f"{tmp_path}/out/files").collect()] == [2]
+    S.write_snapshot(snap("a" * 40, "n4"), snap("a" * 40, "e4").where("false"), f"{tmp_path}/snap")
+    assert [r.node_id for r in S.read_snapshot(spark, f"{tmp_path}/snap", "edges").collect()] == ["e2"]
     rows = S.read_payload(spark.read.parquet(f"{tmp_path}/out/predictions")).orderBy("change_id").collect()
     assert rows[0].similar_commits[0].is_regression is False and rows[1].reviewers == []
 
@@ -204,6 +298,14 @@ def test_streams_match_their_batches(spark, tmp_path):
     assert drained(T.error_ratio(stream), "ratio") == sorted(map(str, T.error_ratio(batch).collect()))
     assert drained(T.rates(stream), "rates") == sorted(map(str, T.rates(batch).collect()))
     assert len(drained(T.first_hit_limits(stream, most=10), "limits", "append")) == len(events)
+    for u in (1, 2):
+        opened, hits, want = None, 0, []
+        for s in range(0, 600, 3):
+            if opened is None or s >= opened + 60:
+                opened, hits = s, 0
+            hits += 1
+            want.append((opened, hits, hits > 10))
+        assert sorted((r.opened, r.hits, r.limited) for r in spark.table("limits").where(F.col("user_id") == u).collect()) == sorted(want)
     got = spark.table("limits").where("limited").count()
     assert got == 2 * 10 * 10  # 20 hits a minute and user, of which 10 pass
 
@@ -225,3 +327,9 @@ def test_webhooks_and_commit_stream(spark, tmp_path):
     I.process(I.commit_stream(spark, f"{tmp_path}/commits"), f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/commits").count() == 1
     assert len(spark.read.parquet(f"{tmp_path}/out/vectors").first().vector) == 384
+    # a later batch: one commit is stored already, another repository has a file of the same name
+    (tmp_path / "commits/b.json").write_text("\n".join(json.dumps(commit | x) for x in ({}, {"repository_id": 2, "sha": "b"}, {"repository_id": 3, "sha": "c"})))
+    I.process(I.commit_stream(spark, f"{tmp_path}/commits"), f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()
+    assert sorted((r.repository_id, r.sha) for r in spark.read.parquet(f"{tmp_path}/out/commits").collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    files = spark.read.parquet(f"{tmp_path}/out/nodes").where("node_type = 'file'")
+    assert sorted((r.repository_id, r.file_path) for r in files.collect()) == [(1, "a.py"), (2, "a.py"), (3, "a.py")]
