@@ -441,10 +441,27 @@ def test_top_k_matches_brute_force(spark):
     for block in (4096, 16):
         got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, block_rows=block).collect())
         assert got == sorted(want)
+    for first in (1, 1000):
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(frame, block_rows=16, first=first).collect()) == sorted(want)
     assert topk.top_k(frame.where("vec_id = 2000")).count() == 0
     assert topk.top_k(frame.where("vec_id = 1000 or vec_id = 1001")).count() == 1
 
 
+def test_top_k_of_large_components(spark):
+    """Components saturate at 2**62, scores at the ends of a long; sums in between are exact."""
+    rng = np.random.default_rng(3)
+    rows = [(k, (rng.normal(size=3) * 10.0 ** rng.integers(0, 12)).tolist()) for k in range(120)] + [(k, [3e30 * (-1) ** k, 1.0, -3e30]) for k in range(120, 160)]
+    clip = lambda x, m: max(-m, min(m, x))
+    own = {i: [math.floor(clip(64 * x, 2.0**62)) for x in v] for i, v in rows}
+    got = collections.defaultdict(list)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, block_rows=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 160, 20))
+    for q, found in got.items():
+        score = {i: max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(own[q], v)))) for i, v in own.items() if i != q}
+        assert found == [(i, score[i]) for i in sorted(score, key=lambda i: (-score[i], i))[:5]], q
+
+
 # 9
 
 
