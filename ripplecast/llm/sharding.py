@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,77 +15,77 @@ _BITS = 40  # of a place along a dimension: 20 of the coordinate, then 20 of the
 _BINS = 11  # bits that one histogram resolves
 
 
-@dataclass
-class Node:
-    """A leaf-to-be: how many shards it still holds and the first of them."""
+_NODES = 100_000  # of which a table of some bytes a row may be broadcast
 
-    shards: int
-    first: int
 
-
-def _choose(node: Column, by_node: dict[int, object], kind: str) -> Column:
-    """A value for each node number, as a literal map of at most as many entries as shards."""
-    return F.element_at(F.create_map(*[x for k, v in by_node.items() for x in (F.lit(k), F.lit(v).cast(kind))]), node)
+def _beside(rows: DataFrame, nodes: DataFrame, n: int, how: str = "inner") -> DataFrame:
+    """rows with what nodes (one row a node, n of them) says of their node."""
+    return rows.join(F.broadcast(nodes) if n <= _NODES else nodes, "node", how)
 
 
 def split_points(points: DataFrame, dims: list[str], shards: int, tolerance: float = 0.002) -> DataFrame:
     """Add ``shard`` to points of places ``dims`` (longs under 2**40) and ``weight``.
 
-    Every level takes one aggregate for the boxes and one to four for the medians: histograms
-    of 2048 bins a node, refined where the bin with the cut outweighs the tolerance. The
-    driver sees those bins only.
+    All open nodes of a level are cut together. One aggregate gives histograms of 2048 bins and the bounds of every node and
+    dimension; the widest is cut where the bins' running weight passes the goal, and where the bin with the cut outweighs the tolerance it is
+    resolved by up to three further histograms. Nodes, bins and cuts are tables; the driver gets counts of rows only.
     """
+    spark = points.sparkSession
     total = points.agg(F.sum("weight")).first()[0] or 0
     allowed = tolerance * total / shards
-    nodes = {0: Node(shards, 0)}
-    at = points.withColumn("node", F.lit(0))
-    while any(n.shards > 1 for n in nodes.values()):
-        open_ = [k for k, n in nodes.items() if n.shards > 1]
-        live = at.where(F.col("node").isin(open_))
-        boxes = {r.node: r for r in live.groupBy("node").agg(F.sum("weight").alias("w"), *[(F.max(d) - F.min(d)).alias(d) for d in dims]).collect()}
-        wide = {k: max(range(len(dims)), key=lambda i: (boxes[k][dims[i]], -i)) if k in boxes else 0 for k in open_}
-        goal = {k: (boxes[k].w if k in boxes else 0) * (nodes[k].shards // 2) / nodes[k].shards for k in open_}
-        low, below, depth = dict.fromkeys(open_, 0), dict.fromkeys(open_, 0), 0
-        cut: dict[int, int] = {}
-        place = F.element_at(F.array(*dims), _choose(F.col("node"), wide, "int") + 1)
-        while len(cut) < len(open_):
-            todo = [k for k in open_ if k not in cut]
-            shift = max(_BITS - _BINS * (depth + 1), 0)
-            span = _BITS - _BINS * depth
-            base = _choose(F.col("node"), {k: low[k] for k in todo}, "long")
-            bins = (
-                live.where(F.col("node").isin(todo))
-                .withColumn("off", place - base)
-                .where((F.col("off") >= 0) & (F.col("off") < (1 << span)))
-                .groupBy("node", F.shiftright("off", shift).alias("bin"))
-                .agg(F.sum("weight").alias("w"))
-                .collect()
-            )
-            for k in todo:
-                own = sorted((r.bin, r.w) for r in bins if r.node == k)
-                run, chosen, weight = below[k], 0, 0
-                for b, w in own:
-                    if run + w > goal[k]:
-                        chosen, weight = b, w
-                        break
-                    run, chosen, weight = run + w, b + 1, 0
-                edge = low[k] + (chosen << shift)
-                if weight <= allowed or shift == 0:
-                    cut[k] = edge + (1 << shift if weight and goal[k] - run > weight / 2 else 0)  # the nearer side of the bin
-                else:
-                    low[k], below[k] = edge, run
-            depth += 1
-        left = {k: nodes[k].shards // 2 for k in open_}
-        ids = {k: (2 * k + 1, 2 * k + 2) for k in open_}
-        inside = F.col("node").isin(open_)
-        goes = F.when(place < _choose(F.col("node"), cut, "long"), _choose(F.col("node"), {k: v[0] for k, v in ids.items()}, "int")).otherwise(_choose(F.col("node"), {k: v[1] for k, v in ids.items()}, "int"))
-        at = at.withColumn("node", F.when(inside, goes).otherwise(F.col("node")))
-        for k in open_:
-            n = nodes.pop(k)
-            nodes[ids[k][0]] = Node(left[k], n.first)
-            nodes[ids[k][1]] = Node(n.shards - left[k], n.first + left[k])
-        at = materialise(at, "shard-level")
-    return at.withColumn("shard", _choose(F.col("node"), {k: n.first for k, n in nodes.items()}, "int")).drop("node")
+    at = points.withColumn("node", F.lit(0).cast("long"))
+    nodes = spark.createDataFrame([(0, shards, 0)], "node long, shards int, first int")
+    for level in range((shards - 1).bit_length()):
+        n = min(shards, 1 << level)  # nodes at most
+        open_ = nodes.where("shards > 1").select("node", "shards")
+        live = _beside(at, open_, n)
+        shift = _BITS - _BINS
+        each = F.inline(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("place")) for i, d in enumerate(dims)]))
+        bins = live.select("node", "shards", "weight", each).groupBy("node", "shards", "dim", F.shiftright("place", shift).alias("bin"))
+        bins = materialise(bins.agg(F.sum("weight").alias("w"), F.min("place").alias("a"), F.max("place").alias("z")), "shard-bins")
+        boxes = bins.groupBy("node", "shards", "dim").agg(F.sum("w").alias("w"), (F.max("z") - F.min("a")).alias("width"))
+        wide = boxes.groupBy("node", "shards").agg(F.max(F.struct("width", (-F.col("dim")).alias("late"), "w")).alias("x"))
+        goal = F.col("x.w") * F.floor(F.col("shards") / 2) / F.col("shards")
+        cuts = wide.select("node", (-F.col("x.late")).alias("dim"), goal.alias("goal"), F.lit(0).cast("long").alias("low"), F.lit(0.0).alias("below"), F.lit(None).cast("long").alias("cut"))
+        cuts = _cut(cuts, bins.join(cuts.select("node", "dim"), ["node", "dim"]).select("node", "bin", "w"), shift, allowed)
+        for depth in range(1, 4):
+            cuts = materialise(cuts, "shard-cuts")
+            todo = cuts.where("cut is null")
+            if todo.isEmpty():
+                break
+            span, shift = _BITS - _BINS * depth, max(_BITS - _BINS * (depth + 1), 0)
+            place = F.element_at(F.array(*dims), F.col("dim") + 1)
+            off = _beside(at, todo, n).withColumn("off", place - F.col("low")).where((F.col("off") >= 0) & (F.col("off") < (1 << span)))
+            finer = off.groupBy("node", F.shiftright("off", shift).alias("bin")).agg(F.sum("weight").alias("w"))
+            cuts = _cut(todo, finer, shift, allowed).unionByName(cuts.where("cut is not null"))
+        cuts = materialise(cuts, "shard-cuts")
+        place = F.element_at(F.array(*dims), F.col("dim") + 1)
+        goes = F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(place < F.col("cut"), 1).otherwise(2))
+        at = materialise(_beside(at, cuts.select("node", "dim", "cut"), n, "left").select(*points.columns, goes.alias("node")), "shard-level")
+        half = F.floor(F.col("shards") / 2).cast("int")
+        child = lambda k, own, first: F.struct((2 * F.col("node") + k).alias("node"), own.alias("shards"), first.alias("first"))
+        split = nodes.where("shards > 1").select(F.inline(F.array(child(1, half, F.col("first")), child(2, F.col("shards") - half, F.col("first") + half))))
+        nodes = materialise(nodes.where("shards = 1").unionByName(split), "shard-nodes")
+    return _beside(at, nodes.select("node", F.col("first").alias("shard")), shards).drop("node")
+
+
+def _cut(cuts: DataFrame, bins: DataFrame, shift: int, allowed: float) -> DataFrame:
+    """cuts (node, dim, goal, low, below, cut) after a look at the bins (node, bin, w) of each from its ``low`` on.
+
+    The cut lies in the first bin with which the weight passes the goal, else behind the last; it is made on the nearer side where the
+    bin weighs little or cannot be resolved, else low and below go on to the bin.
+    """
+    run = F.sum("w").over(W.partitionBy("node").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))  # 2048 bins a node at most
+    seen = bins.join(cuts.select("node", "goal", "below"), "node").withColumn("upto", F.col("below") + run)
+    over = F.col("upto") > F.col("goal")
+    first = seen.groupBy("node").agg(F.min(F.when(over, F.struct("bin", "w", "upto"))).alias("hit"), F.max(F.struct("bin", "upto")).alias("last"))
+    rows = cuts.join(first, "node", "left")
+    edge = F.col("low") + F.shiftleft(F.coalesce("hit.bin", F.col("last.bin") + 1, F.lit(0).cast("long")), shift)
+    before = F.coalesce(F.col("hit.upto") - F.col("hit.w"), F.col("last.upto"), F.col("below"))
+    weight = F.coalesce(F.col("hit.w"), F.lit(0))
+    done = (weight <= allowed) | F.lit(shift == 0)
+    nearer = F.when((weight > 0) & (F.col("goal") - before > weight / 2), 1 << shift).otherwise(0)
+    return rows.select("node", "dim", "goal", F.when(done, F.col("low")).otherwise(edge).alias("low"), F.when(done, F.col("below")).otherwise(before).cast("double").alias("below"), F.when(done, edge + nearer).alias("cut"))
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -94,7 +93,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
 
     Give the number of shards or the bytes of one. size is the text's UTF-8 bytes (0 for null)
     plus 16. Equal texts form one point of the tree, with their summed bytes as its weight, and
-    so stay together, except where a group outweighs a hundredth of a shard: such a group is
+    so stay together, except where a group outweighs a quarter of a shard: such a group is
     dealt by id into points of about a five-hundredth, which lie next to each other along
     every dimension, as no shard could else be near the others in bytes. Dimensions: size, smallest
     id and the ``metadata`` columns that docs has (by their hash). slot counts a shard's rows
