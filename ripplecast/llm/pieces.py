@@ -62,6 +62,7 @@ class Vocabulary:
     lengths: tuple[int, ...]
     of_byte: np.ndarray
     table: list[bytes]  # of each id
+    bytes: np.ndarray  # of each hash, padded
 
 
 @cache
@@ -82,7 +83,7 @@ def vocabulary(path: str) -> Vocabulary:
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[hashes >> np.uint64(64 - _FILTER_BITS)] = True
     known = {t: (i, rank) for rank, (i, t) in enumerate(text.items())}
-    return Vocabulary(known, hashes[by], np.array(plain, np.int32)[by], by, seen, tuple(np.unique(sizes).tolist()), np.array([of_byte[b] for b in range(256)], np.int32), table)
+    return Vocabulary(known, hashes[by], np.array(plain, np.int32)[by], by, seen, tuple(np.unique(sizes).tolist()), np.array([of_byte[b] for b in range(256)], np.int32), table, x[by])
 
 
 class Lattices:
@@ -133,6 +134,11 @@ class Lattices:
             k = np.minimum(np.searchsorted(v.hashes, h), len(v.hashes) - 1)
             hit = (v.hashes[k] == h) & (at + size <= sizes[row])
             row, at, k = row[hit], at[hit], k[hit]
+            same = np.ones(len(row), bool)
+            for j in range(size):  # a hash may collide, bytes cannot
+                same &= x[row, at + j] == v.bytes[k, j]
+            if not same.all():
+                row, at, k = row[same], at[same], k[same]
             found.append((row, at, at + size, v.ids[k], -self.alpha * np.log(v.ranks[k] + 2.0)))
             one = wide[row, at] == size
             bare[row[one], at[one]] = False
