@@ -48,7 +48,8 @@ def resolve_revisits(records: DataFrame, carry: tuple[str, ...] = ("payload",),
     The as-of join is two windows: inside a time bin of a URL, and over the last response of
     each of its bins, of which there are at most ``bins``; so a URL with a large share of all rows is
     spread over its bins. Rows without url, ts or id match nothing and, if revisits, are missing. Repeated
-    revisits are each answered. An empty table gives no rows. Further columns are not read.
+    revisits are each answered; of several responses of one id the latest is carried on (of equal times the one of the greatest
+    headers as text). An empty table gives no rows. Further columns are not read.
     """
     own = [f"carry{k}" for k in range(len(carry))]
     rows = records.select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", F.col("kind"), F.coalesce("status", F.lit(0)).alias("status"), "headers", *[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)])
@@ -67,9 +68,13 @@ def resolve_revisits(records: DataFrame, carry: tuple[str, ...] = ("payload",),
     earlier = F.max("mark").over(W.partitionBy("canonical_url", "bin").orderBy("at").rangeBetween(W.unboundedPreceding, -1))
     inside = meta.withColumn("inside", earlier).where("kind = 'revisit'").drop("mark")
     matched = inside.join(carried, ["canonical_url", "bin"]).select("record_id", "at", F.coalesce("inside", "carried")["record_id"].alias("matched_id")).distinct()
-    responses = rows.where(usable & full).select(F.col("record_id").alias("matched_id"), F.col("headers").alias("stored"), *own).dropDuplicates(["matched_id"])
+    said = F.to_json(F.array_sort(F.map_entries("headers")))
+    kept = F.struct(F.col("headers").alias("stored"), *own)
+    responses = rows.where(usable & full).groupBy("record_id").agg(F.max_by(kept, F.struct(micros, said)).alias("kept")).select(F.col("record_id").alias("key"), F.lit(True).alias("known"), "kept.*")
     revisits = rows.where("kind = 'revisit'").drop(*own).withColumn("at", micros)
-    both = revisits.join(matched, ["record_id", "at"], "left").join(responses, "matched_id", "left")
+    # rows without a match are dealt by their own id and meet nothing
+    both = revisits.join(matched, ["record_id", "at"], "left").withColumn("key", F.coalesce("matched_id", F.xxhash64("record_id", "at"))).withColumn("known", F.col("matched_id").isNotNull())
+    both = both.join(responses, ["key", "known"], "left").drop("key", "known")
     etag, kept_etag = _opaque(F.col("headers")["etag"]), _opaque(F.col("stored")["etag"])
     date, kept_date = F.col("headers")["last-modified"], F.col("stored")["last-modified"]
     agree = F.when(etag.isNotNull() & kept_etag.isNotNull(), etag == kept_etag).when(date.isNotNull() & kept_date.isNotNull(), date == kept_date)
