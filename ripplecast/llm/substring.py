@@ -329,7 +329,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, max_bits: int = 27, id_col
     words = (known.agg(F.sum(F.length("text"))).first()[0] or 0) // 6  # enough to size tables by
     bits = min(max_bits, max(16, math.ceil(math.log2(max(words, 1) / 6)) + 1))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialise(repeats(known, window, bits, max(parts, words // 3_000_000), parts), "substring-starts")
+    shares = max(parts, words // 3_000_000)  # each of a bounded number of windows, and so of their answers
+    found = materialise(repeats(known, window, bits, shares, shares), "substring-starts")
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "packed")).alias("found"))
     kind = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept string")
 

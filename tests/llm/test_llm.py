@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and odd inputs."""
 
 import collections
+import datetime
 import hashlib
 import itertools
 import math
@@ -511,6 +512,124 @@ def test_shards(spark, docs, odd, none):
     assert sharding.shard(odd, target_bytes=100_000).count() == len(ODD) and sharding.shard(none, shards=3).count() == 0
 
 
+def brute_shards(points, n):
+    """points: (id, places, weight); the k-d split by exact weighted medians."""
+    out = {}
+
+    def split(own, n, first):
+        if n == 1 or not own:
+            out.update((i, first) for i, *_ in own)
+            return
+        dims = range(len(own[0][1]))
+        wide = max(dims, key=lambda d: (max(p[1][d] for p in own) - min(p[1][d] for p in own), -d))
+        weight = collections.Counter()
+        for _, place, w in own:
+            weight[place[wide]] += w
+        goal, run, cut = sum(weight.values()) * (n // 2) / n, 0, max(weight) + 1
+        for x in sorted(weight):
+            if run + weight[x] > goal:
+                cut = x + (1 if goal - run > weight[x] / 2 else 0)
+                break
+            run += weight[x]
+        split([p for p in own if p[1][wide] < cut], n // 2, first)
+        split([p for p in own if p[1][wide] >= cut], n - n // 2, first + n // 2)
+
+    split(points, n, 0)
+    return out
+
+
+def test_kd_cuts_match_brute_force(spark):
+    rng = np.random.default_rng(6)
+    points = [(k, tuple(int(x) for x in rng.integers(0, 2 ** int(rng.integers(4, 40)), 3)), int(rng.integers(1, 50))) for k in range(400)]
+    points += [(400 + k, (7, 7, 7), 3) for k in range(60)]  # of one place
+    frame = spark.createDataFrame([(i, *place, w) for i, place, w in points], "id long, a long, b long, c long, weight long")
+    for n in (1, 2, 7, 40):
+        got = {r.id: r.shard for r in sharding.split_points(frame, ["a", "b", "c"], n, tolerance=0.0).collect()}
+        assert got == brute_shards(points, n)
+
+
+def test_shards_of_odd_rows(odd):
+    rows = sharding.shard(odd, shards=2).collect()
+    want = collections.Counter((r[0], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in ODD)
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    assert len({(r.shard, r.slot) for r in rows}) == len(ODD)
+
+
+def test_clashing_responses_of_one_id(spark):
+    """Of responses of one id the latest is carried on; a revisit without id or match keeps its own headers."""
+    kind = "record_id long, url string, ts timestamp, kind string, status int, headers map<string,string>, payload string"
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    rows = [(1, "http://a/x", at(1), "response", 200, {"etag": "1"}, "old"), (1, "http://a/x", at(2), "response", 200, {"etag": "2"}, "new"), (2, "http://a/x", at(3), "revisit", 304, {"etag": "2"}, None)]
+    rows += [(None, "http://a/x", at(4), "revisit", 304, {"etag": "9"}, None), (3, "http://a/none", at(5), "revisit", 304, None, None), (4, None, at(5), "revisit", 304, {}, None)]
+    got = sorted((r.record_id or 0, r.outcome, r.payload, r.headers) for r in warc.resolve_revisits(spark.createDataFrame(rows, kind)).collect())
+    assert got == [(0, "missing", None, {"etag": "9"}), (2, "resolved", "new", {"etag": "2"}), (3, "missing", None, None), (4, "missing", None, {})]
+
+
+# The registered queries
+
+
+def test_op1_query(spark, docs):
+    rows = docs.collect()
+    want = brute_classes([(r.doc_id, brute_fingerprint(r.text, 3)) for r in rows], 3)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.QUERIES["op1_simhash"](spark, SF).collect()}
+    assert got == {r.doc_id: (f"{brute_fingerprint(r.text, 3):016x}", want[r.doc_id]) for r in rows}
+
+
+def test_op3_query(spark, docs):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
+    windows = collections.defaultdict(set)
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = split(r.text)
+        for k in range(max(len(w) - 10, 0) + 1 if w else 0):
+            windows[tuple(w[k : k + 10])].add(str(r.item_id))
+    want = {}
+    for r in docs.collect():
+        w, hit, items = split(r.text), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    items |= windows[tuple(w[k : k + n])]
+                    hit.update(range(k, k + n))
+        want[r.doc_id] = (len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in queries.QUERIES["op3_decontamination"](spark, SF).collect()}
+    assert got == want and any(x[4] for x in want.values())
+
+
+def test_op5_query(spark, docs):
+    want = brute_removed([(r.doc_id, r.text) for r in docs.collect()], 20)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in queries.QUERIES["op5_substring_dedup"](spark, SF).collect()}
+    assert got == {r[0]: (n, gone, hashlib.sha256(kept.encode()).hexdigest()) for r, (n, gone, kept) in want.items()}
+
+
+def test_op8_query(spark):
+    own = {r.vec_id: np.floor(np.array(r.embedding, float) * 64).astype(int) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    want = set()
+    for q in own:
+        if q % 20 == 0:
+            score = {i: int(own[q] @ v) for i, v in own.items() if i != q}
+            want |= {(q, n, i, score[i]) for n, i in enumerate(sorted(score, key=lambda i: (-score[i], i))[:20], 1)}
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in queries.QUERIES["op8_top_k"](spark, SF).collect()} == want
+
+
+def test_op9_query(spark, docs):
+    tokenizer, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, set()
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1]
+        want.add((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert {(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in queries.QUERIES["op9_token_files"](spark, SF).collect()} == want
+
+
+def test_op10_query(spark, docs):
+    rows = queries.QUERIES["op10_kd_shards"](spark, SF).collect()
+    raw = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    by = collections.defaultdict(list)
+    for r in rows:
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw[r.doc_id]) + 16, zlib.crc32(raw[r.doc_id]), "bytes", None) and 0 <= r.shard < 40
+        by[r.shard].append(r.slot)
+    assert len(rows) == len(raw) and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 # The pipeline
 
 
