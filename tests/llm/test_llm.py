@@ -265,7 +265,7 @@ def test_decontamination_matches_brute_force(spark, docs, odd):
         for k in range(max(len(w) - 10, 0) + 1 if w and i is not None else 0):
             windows[tuple(w[k : k + 10])].add(str(i))
     sizes = sorted({len(w) for w in windows})
-    for frame, block in ((docs, 16 << 20), (docs, 1000), (odd, 16 << 20)):
+    for frame, bits, small in ((docs, 27, 100_000), (docs, 10, 0), (odd, 27, 100_000)):
         want = collections.Counter()
         for r in frame.collect():
             w, hit, got = split(r.text), set(), set()
@@ -275,7 +275,7 @@ def test_decontamination_matches_brute_force(spark, docs, odd):
                         got |= windows[tuple(w[k : k + n])]
                         hit.update(range(k, k + n))
             want[(r.doc_id, len(w), len(hit), ",".join(sorted(got)), bool(hit))] += 1
-        rows = decontam.contamination(frame, bench, ["doc_id"], block_bytes=block).select("doc_id", "found.*").collect()
+        rows = decontam.contamination(frame, bench, ["doc_id"], max_bits=bits, small=small).select("doc_id", "found.*").collect()
         assert collections.Counter((r.doc_id, r.n_words, r.n_hit, ",".join(sorted(r["items"])), r.contaminated) for r in rows) == want
 
 
@@ -285,6 +285,9 @@ def test_decontamination_keeps_columns(spark, odd, none):
     assert kept.columns == odd.columns and kept.count() == len(ODD) - 1
     assert decontam.drop_contaminated(none, bench).count() == 0
     assert decontam.drop_contaminated(odd, bench.where("false")).count() == len(ODD)
+    assert decontam.drop_contaminated(odd, bench, small=0).count() == len(ODD) - 1
+    own = decontam.contamination(odd, bench, ["found", "key", "n_hit", "text"])
+    assert own.columns == ["found", "key", "n_hit", "text", "found"] and own.toDF("a", "b", "c", "d", "e").where("e.contaminated").count() == 1
 
 
 # 4
