@@ -21,11 +21,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back, which cuts its lineage durably."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str, replaces: DataFrame | None = None) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back, which cuts its lineage durably.
+
+    ``replaces``: a stored table that nothing but df was made from; it is deleted once df is written.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if getattr(replaces, "stored_at", None):
+        old = spark._jvm.org.apache.hadoop.fs.Path(replaces.stored_at)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return out
 
 
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:

@@ -36,7 +36,7 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
     for depth in range(1, max_depth + 1):
         front = seen.where(F.col("depth") == depth - 1)
         new = both.join(front.select("snapshot_id", "node_id"), ["snapshot_id", "node_id"]).select("snapshot_id", F.col("other").alias("node_id")).distinct()
-        seen = stored(seen.unionByName(new.join(seen, ["snapshot_id", "node_id"], "left_anti").withColumn("depth", F.lit(depth))), "bfs")
+        seen = stored(seen.unionByName(new.join(seen, ["snapshot_id", "node_id"], "left_anti").withColumn("depth", F.lit(depth))), "bfs", replaces=seen)
     near = seen.where(F.col("depth") < max_depth).select("snapshot_id", "node_id")
     met = edges.join(near.withColumnRenamed("node_id", "source_id"), ["snapshot_id", "source_id"], "left_semi").unionByName(edges.join(near.withColumnRenamed("node_id", "target_id"), ["snapshot_id", "target_id"], "left_semi"), allowMissingColumns=True)
     met = met.groupBy("snapshot_id", "source_id", "target_id", "edge_type").agg(F.max("weight").alias("weight"))
@@ -77,6 +77,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     base = known.join(out.withColumnRenamed("source_id", "node_id"), ["snapshot_id", "node_id"], "left").join(size, "snapshot_id")
     base = stored(base.select("snapshot_id", "node_id", "n", F.col("out").isNull().alias("dangling")), "pagerank-nodes")
     rank = base.select("snapshot_id", "node_id", "n", "dangling", (1 / F.col("n")).alias("rank"))
+    last = None
     for k in range(rounds):
         sent = links.join(rank.select("snapshot_id", "node_id", "rank"), ["snapshot_id", "node_id"])
         got = sent.groupBy("snapshot_id", F.col("target_id").alias("node_id")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
@@ -84,7 +85,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
         new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
         rank = base.join(got, ["snapshot_id", "node_id"], "left").join(lost, "snapshot_id").select("snapshot_id", "node_id", "n", "dangling", new.alias("rank"))
         if (k + 1) % store_every == 0:
-            rank = stored(rank, "pagerank")
+            rank = last = stored(rank, "pagerank", replaces=last)
     top = rank.groupBy("snapshot_id").agg(F.max("rank").alias("top"))
     return rank.join(top, "snapshot_id").select("snapshot_id", "node_id", (F.col("rank") / F.col("top")).alias("rank"))
 
@@ -209,7 +210,7 @@ def network_scores(vectors: DataFrame, edges: DataFrame, network: Network, histo
     current = vectors.select("snapshot_id", "node_id", "vector")
     for weights in network.layers:
         both = current.join(neighbour_mean(current, edges).withColumnRenamed("vector", "mean"), ["snapshot_id", "node_id"], "left")
-        current = stored(both.select("snapshot_id", "node_id", _layer(*weights)("vector", "mean").alias("vector")), "network")
+        current = stored(both.select("snapshot_id", "node_id", _layer(*weights)("vector", "mean").alias("vector")), "network", replaces=current)
 
     @F.pandas_udf("double")
     def logit(vector: pd.Series) -> pd.Series:
