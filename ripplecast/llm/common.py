@@ -1,42 +1,19 @@
-"""What several corpus operators share: scratch tables, components of a link graph, Arrow helpers."""
+"""What several corpus operators share: stored tables, components of a link graph, Arrow helpers."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import scratch_path, stored
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for tables between stages: spark.checkpoint.dir.
-
-    Where the setting is absent a local session gets a temporary folder of its own; on a
-    cluster that is an error, as executors would not see one another's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ripplecast-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage durably."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+materialise = stored
+__all__ = ["batch", "components", "materialise", "scratch_path", "tidied", "values"]
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -65,7 +42,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             .where("u != v")
             .distinct()
         )
-        edges = materialise(small, label)
+        edges = materialise(small, label, replaces=edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

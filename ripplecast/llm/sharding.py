@@ -48,8 +48,9 @@ def split_points(points: DataFrame, dims: list[str], shards: int, tolerance: flo
         goal = F.col("x.w") * F.floor(F.col("shards") / 2) / F.col("shards")
         cuts = wide.select("node", (-F.col("x.late")).alias("dim"), goal.alias("goal"), F.lit(0).cast("long").alias("low"), F.lit(0.0).alias("below"), F.lit(None).cast("long").alias("cut"))
         cuts = _cut(cuts, bins.join(cuts.select("node", "dim"), ["node", "dim"]).select("node", "bin", "w"), shift, allowed)
+        kept = None
         for depth in range(1, 4):
-            cuts = materialise(cuts, "shard-cuts")
+            cuts = kept = materialise(cuts, "shard-cuts", replaces=kept)
             todo = cuts.where("cut is null")
             if todo.isEmpty():
                 break
@@ -61,7 +62,7 @@ def split_points(points: DataFrame, dims: list[str], shards: int, tolerance: flo
         cuts = materialise(cuts, "shard-cuts")
         place = F.element_at(F.array(*dims), F.col("dim") + 1)
         goes = F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(place < F.col("cut"), 1).otherwise(2))
-        at = materialise(_beside(at, cuts.select("node", "dim", "cut"), n, "left").select(*points.columns, goes.alias("node")), "shard-level")
+        at = materialise(_beside(at, cuts.select("node", "dim", "cut"), n, "left").select(*points.columns, goes.alias("node")), "shard-level", replaces=at)
         half = F.floor(F.col("shards") / 2).cast("int")
         child = lambda k, own, first: F.struct((2 * F.col("node") + k).alias("node"), own.alias("shards"), first.alias("first"))
         split = nodes.where("shards > 1").select(F.inline(F.array(child(1, half, F.col("first")), child(2, F.col("shards") - half, F.col("first") + half))))

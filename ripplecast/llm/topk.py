@@ -175,7 +175,7 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col:
     held = blocks.select("block", "ids", "dists", "norms", "vectors")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     for skip, take in ((0, first), (first, None)):
-        found = materialise(found.withColumn("rank", rank).where(F.col("rank") <= k), "topk-found")
+        found = materialise(found.withColumn("rank", rank).where(F.col("rank") <= k), "topk-found")  # two rounds
         floors = found.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(_FLOOR).alias("floor"))
         wanted = asked.join(floors, "query_id", "left").select("query_id", "home", "vector", F.coalesce("floor", F.lit(_FLOOR)).alias("floor"))
         sent = wanted.mapInArrow(_sender(shared, table, width, item, skip, take), "block long, a_ids binary, a_vectors binary, a_floor binary, a_dist binary")
