@@ -18,9 +18,18 @@ _BINS = 11  # bits that one histogram resolves
 _NODES = 100_000  # of which a table of some bytes a row may be broadcast
 
 
-def _beside(rows: DataFrame, nodes: DataFrame, n: int, how: str = "inner") -> DataFrame:
-    """rows with what nodes (one row a node, n of them) says of their node."""
-    return rows.join(F.broadcast(nodes) if n <= _NODES else nodes, "node", how)
+def _beside(rows: DataFrame, said: list[tuple], kind: str, how: str = "inner") -> DataFrame:
+    """rows with what ``said`` (one tuple a node, at most as many as shards) says of their node."""
+    nodes = rows.sparkSession.createDataFrame(said, f"node long, {kind}")
+    return rows.join(F.broadcast(nodes) if len(said) <= _NODES else nodes, "node", how)
+
+
+def _first_over(bins: DataFrame) -> list:
+    """Of each node (bin, w, goal, below): the first bin with which the weight passes the goal, and the last; 2048 bins a node at most."""
+    run = F.sum("w").over(W.partitionBy("node").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))
+    seen = bins.withColumn("upto", F.col("below") + run)
+    hit = F.min(F.when(F.col("upto") > F.col("goal"), F.struct("bin", "w", "upto")))
+    return seen.groupBy("node").agg(F.first("dim").alias("dim"), F.first("goal").alias("goal"), hit.alias("hit"), F.max(F.struct("bin", "upto")).alias("last")).collect()
 
 
 def split_points(points: DataFrame, dims: list[str], shards: int, tolerance: float = 0.002) -> DataFrame:
@@ -28,65 +37,47 @@ def split_points(points: DataFrame, dims: list[str], shards: int, tolerance: flo
 
     All open nodes of a level are cut together. One aggregate gives histograms of 2048 bins and the bounds of every node and
     dimension; the widest is cut where the bins' running weight passes the goal, and where the bin with the cut outweighs the tolerance it is
-    resolved by up to three further histograms. Nodes, bins and cuts are tables; the driver gets counts of rows only.
+    resolved by up to three further histograms. Bins stay tables: the driver gets one row a node, so at most as many as shards.
     """
-    spark = points.sparkSession
     total = points.agg(F.sum("weight")).first()[0] or 0
     allowed = tolerance * total / shards
     at = points.withColumn("node", F.lit(0).cast("long"))
-    nodes = spark.createDataFrame([(0, shards, 0)], "node long, shards int, first int")
-    for level in range((shards - 1).bit_length()):
-        n = min(shards, 1 << level)  # nodes at most
-        open_ = nodes.where("shards > 1").select("node", "shards")
-        live = _beside(at, open_, n)
+    nodes = {0: (shards, 0)}  # shards that each holds, and the first of them
+    while open_ := [(k, n) for k, (n, _) in nodes.items() if n > 1]:
         shift = _BITS - _BINS
         each = F.inline(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(d).alias("place")) for i, d in enumerate(dims)]))
-        bins = live.select("node", "shards", "weight", each).groupBy("node", "shards", "dim", F.shiftright("place", shift).alias("bin"))
-        bins = materialise(bins.agg(F.sum("weight").alias("w"), F.min("place").alias("a"), F.max("place").alias("z")), "shard-bins")
-        boxes = bins.groupBy("node", "shards", "dim").agg(F.sum("w").alias("w"), (F.max("z") - F.min("a")).alias("width"))
-        wide = boxes.groupBy("node", "shards").agg(F.max(F.struct("width", (-F.col("dim")).alias("late"), "w")).alias("x"))
-        goal = F.col("x.w") * F.floor(F.col("shards") / 2) / F.col("shards")
-        cuts = wide.select("node", (-F.col("x.late")).alias("dim"), goal.alias("goal"), F.lit(0).cast("long").alias("low"), F.lit(0.0).alias("below"), F.lit(None).cast("long").alias("cut"))
-        cuts = _cut(cuts, bins.join(cuts.select("node", "dim"), ["node", "dim"]).select("node", "bin", "w"), shift, allowed)
-        kept = None
-        for depth in range(1, 4):
-            cuts = kept = materialise(cuts, "shard-cuts", replaces=kept)
-            todo = cuts.where("cut is null")
-            if todo.isEmpty():
+        bins = _beside(at, open_, "shards int").select("node", "shards", "weight", each).groupBy("node", "shards", "dim", F.shiftright("place", shift).alias("bin"))
+        bins = bins.agg(F.sum("weight").alias("w"), F.min("place").alias("a"), F.max("place").alias("z"))
+        own, axis = W.partitionBy("node"), W.partitionBy("node", "dim")
+        width = F.struct((F.max("z").over(axis) - F.min("a").over(axis)).alias("width"), (-F.col("dim")).alias("late"))
+        bins = bins.withColumn("width", width).withColumn("widest", F.max("width").over(own)).where("widest.late = -dim")
+        goal = F.sum("w").over(own) * F.floor(F.col("shards") / 2) / F.col("shards")
+        found = _first_over(bins.select("node", "dim", "bin", "w", goal.alias("goal"), F.lit(0.0).alias("below")))
+        low, cut, dim = {r.node: 0 for r in found}, {}, {r.node: r.dim for r in found}
+        for depth in range(1, 5):
+            todo = []
+            for r in found:
+                weight = r.hit.w if r.hit else 0
+                before = r.hit.upto - weight if r.hit else r.last.upto
+                edge = low[r.node] + ((r.hit.bin if r.hit else r.last.bin + 1) << shift)
+                if weight <= allowed or shift == 0:
+                    cut[r.node] = edge + (1 << shift if weight and r.goal - before > weight / 2 else 0)  # the nearer side of the bin
+                else:
+                    low[r.node] = edge
+                    todo.append((r.node, r.dim, edge, r.goal, float(before)))
+            if not todo:
                 break
             span, shift = _BITS - _BINS * depth, max(_BITS - _BINS * (depth + 1), 0)
-            place = F.element_at(F.array(*dims), F.col("dim") + 1)
-            off = _beside(at, todo, n).withColumn("off", place - F.col("low")).where((F.col("off") >= 0) & (F.col("off") < (1 << span)))
-            finer = off.groupBy("node", F.shiftright("off", shift).alias("bin")).agg(F.sum("weight").alias("w"))
-            cuts = _cut(todo, finer, shift, allowed).unionByName(cuts.where("cut is not null"))
-        cuts = materialise(cuts, "shard-cuts")
-        place = F.element_at(F.array(*dims), F.col("dim") + 1)
-        goes = F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + F.when(place < F.col("cut"), 1).otherwise(2))
-        at = materialise(_beside(at, cuts.select("node", "dim", "cut"), n, "left").select(*points.columns, goes.alias("node")), "shard-level", replaces=at)
-        half = F.floor(F.col("shards") / 2).cast("int")
-        child = lambda k, own, first: F.struct((2 * F.col("node") + k).alias("node"), own.alias("shards"), first.alias("first"))
-        split = nodes.where("shards > 1").select(F.inline(F.array(child(1, half, F.col("first")), child(2, F.col("shards") - half, F.col("first") + half))))
-        nodes = materialise(nodes.where("shards = 1").unionByName(split), "shard-nodes")
-    return _beside(at, nodes.select("node", F.col("first").alias("shard")), shards).drop("node")
-
-
-def _cut(cuts: DataFrame, bins: DataFrame, shift: int, allowed: float) -> DataFrame:
-    """cuts (node, dim, goal, low, below, cut) after a look at the bins (node, bin, w) of each from its ``low`` on.
-
-    The cut lies in the first bin with which the weight passes the goal, else behind the last; it is made on the nearer side where the
-    bin weighs little or cannot be resolved, else low and below go on to the bin.
-    """
-    run = F.sum("w").over(W.partitionBy("node").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))  # 2048 bins a node at most
-    seen = bins.join(cuts.select("node", "goal", "below"), "node").withColumn("upto", F.col("below") + run)
-    over = F.col("upto") > F.col("goal")
-    first = seen.groupBy("node").agg(F.min(F.when(over, F.struct("bin", "w", "upto"))).alias("hit"), F.max(F.struct("bin", "upto")).alias("last"))
-    rows = cuts.join(first, "node", "left")
-    edge = F.col("low") + F.shiftleft(F.coalesce("hit.bin", F.col("last.bin") + 1, F.lit(0).cast("long")), shift)
-    before = F.coalesce(F.col("hit.upto") - F.col("hit.w"), F.col("last.upto"), F.col("below"))
-    weight = F.coalesce(F.col("hit.w"), F.lit(0))
-    done = (weight <= allowed) | F.lit(shift == 0)
-    nearer = F.when((weight > 0) & (F.col("goal") - before > weight / 2), 1 << shift).otherwise(0)
-    return rows.select("node", "dim", "goal", F.when(done, F.col("low")).otherwise(edge).alias("low"), F.when(done, F.col("below")).otherwise(before).cast("double").alias("below"), F.when(done, edge + nearer).alias("cut"))
+            rows = _beside(at, todo, "dim int, low long, goal double, below double").withColumn("off", F.element_at(F.array(*dims), F.col("dim") + 1) - F.col("low"))
+            finer = rows.where((F.col("off") >= 0) & (F.col("off") < (1 << span))).groupBy("node", "dim", "goal", "below", F.shiftright("off", shift).alias("bin"))
+            found = _first_over(finer.agg(F.sum("weight").alias("w")))
+        goes = 2 * F.col("node") + F.when(F.element_at(F.array(*dims), F.col("dim") + 1) < F.col("cut"), 1).otherwise(2)
+        cuts = _beside(at, [(k, dim[k], c) for k, c in cut.items()] or [(-1, 0, 0)], "dim int, cut long", "left")
+        at = materialise(cuts.select(*points.columns, F.when(F.col("cut").isNull(), F.col("node")).otherwise(goes).alias("node")), "shard-level", replaces=at)
+        for k, n in open_:
+            _, first = nodes.pop(k)
+            nodes |= {2 * k + 1: (n // 2, first), 2 * k + 2: (n - n // 2, first + n // 2)}
+    return _beside(at, [(k, first) for k, (_, first) in nodes.items()], "shard int").drop("node")
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", metadata: tuple[str, ...] = ("lang", "source")) -> DataFrame:
