@@ -188,14 +188,14 @@ ATTR = f"""WITH {PAST}, {FEATS}, v AS (SELECT change_id, unnest(['{"', '".join(K
 a AS (SELECT change_id, feature, value, w * value AS contribution, row_number() OVER (PARTITION BY change_id ORDER BY round(w * value, 9) DESC, feature) AS rank FROM v) """
 
 
-@query("x1_attributions", ATTR + "SELECT change_id, feature, round(contribution, 6) AS contribution, round(8 + sum(contribution) OVER (PARTITION BY change_id), 5) AS output FROM a")
+@query("x1_attributions", ATTR + "SELECT change_id, feature, round(contribution, 9) AS contribution, round(8 + sum(contribution) OVER (PARTITION BY change_id), 9) AS output FROM a")
 def _x1(s, d):
-    return K.attributions(_featured(s, d)).select("change_id", "feature", r(F.col("contribution")).alias("contribution"), F.round("output", 5).alias("output"))
+    return K.attributions(_featured(s, d)).select("change_id", "feature", F.round("contribution", 9).alias("contribution"), F.round("output", 9).alias("output"))
 
 
-@query("x2_top_drivers", ATTR + "SELECT change_id, count(*) AS n, round(sum(contribution), 5) AS total FROM a WHERE rank <= 3 AND contribution > 0.01 GROUP BY change_id")
+@query("x2_top_drivers", ATTR + "SELECT change_id, count(*) AS n, round(sum(contribution), 9) AS total FROM a WHERE rank <= 3 AND contribution > 0.01 GROUP BY change_id")
 def _x2(s, d):
-    return K.top_drivers(K.attributions(_featured(s, d))).groupBy("change_id").agg(F.count("*").alias("n"), F.round(F.sum("contribution"), 5).alias("total"))
+    return K.top_drivers(K.attributions(_featured(s, d))).groupBy("change_id").agg(F.count("*").alias("n"), F.round(F.sum("contribution"), 9).alias("total"))
 
 
 @query("x5_b5_reports", ATTR + """SELECT change_id, round(8 + sum(contribution), 9) AS output, count(*) AS n, string_agg(feature || ' ' || CAST(round(contribution, 9) AS DECIMAL(14, 9)), ', ' ORDER BY rank) AS items FROM a GROUP BY change_id""")
@@ -282,11 +282,12 @@ cand AS (SELECT change_id, v.* FROM (SELECT DISTINCT change_id, repository_id FR
 sc AS (SELECT c.change_id, username, c.user_id, expertise_area, ownership_score, coalesce(n_owned, 0) AS n_owned, coalesce(overlap, 0) AS overlap, ar.area IS NOT NULL AS expert,
   least(0.3 * ownership_score + 0.5 * coalesce(overlap, 0) + CASE WHEN ar.area IS NOT NULL THEN 0.2 ELSE 0 END, 1) AS score
   FROM cand c LEFT JOIN own USING (change_id, user_id) LEFT JOIN ov USING (change_id, user_id) LEFT JOIN areas ar ON ar.change_id = c.change_id AND ar.area = lower(expertise_area))
-SELECT change_id, username, round(score, 4) AS score, n_owned, n AS rank, CASE WHEN n_owned > 0 THEN 'Owns ' || n_owned || ' affected file(s); overlap=' WHEN expert THEN 'Expertise match in ' || expertise_area ELSE 'Repository contributor (ownership=' END AS reason
+SELECT change_id, username, round(score, 9) AS score, true AS shown, n_owned, n AS rank, CASE WHEN n_owned > 0 THEN 'Owns ' || n_owned || ' affected file(s); overlap=' WHEN expert THEN 'Expertise match in ' || expertise_area ELSE 'Repository contributor (ownership=' END AS reason
 FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY round(score, 9) DESC, user_id) AS n FROM sc) x WHERE n <= 5""")
 def _w1(s, d):
     rows = W.recommend(fixture(s, d, "reviewers"), fixture(s, d, "ownership"), sql(s, d, TARGETS))
-    return rows.select("change_id", "username", "score", "n_owned", "rank", F.regexp_replace("rationale", r"(?<==)[0-9.]+\)?$", "").alias("reason"))
+    shown = F.abs(F.col("score") - F.col("exact")) <= 0.00005 + 1e-9  # a tie at the fourth place may round either way
+    return rows.select("change_id", "username", F.round("exact", 9).alias("score"), shown.alias("shown"), "n_owned", "rank", F.regexp_replace("rationale", r"(?<==)[0-9.]+\)?$", "").alias("reason"))
 
 
 LINES = "SELECT path, o_custkey % 50 AS author, added AS lines FROM {changed_files} JOIN (SELECT DISTINCT o_orderkey, o_custkey FROM {orders}) o ON change_id = o_orderkey"
