@@ -402,7 +402,7 @@ def word_groups(both: np.ndarray, n: int, width: int) -> list[tuple[int, ...]]:
     return out
 
 
-def similarity_plan(distinct: DataFrame, similarity: float, miss: float, widths: tuple[int, ...] = (8, 10, 12, 14, 16, 18, 20, 24), probe: float = 20.0) -> tuple[Plan, float]:
+def similarity_plan(distinct: DataFrame, similarity: float, miss: float, widths: tuple[int, ...] = (8, 10, 12, 14, 16, 18, 20, 24), probe: float = 200.0) -> tuple[Plan, float]:
     """Bit groups and thresholds of least estimated work that leave out a pair at ``similarity`` with a probability of
     ``miss`` at most; and a bound on the rows of a bucket.
 
@@ -470,7 +470,7 @@ def _near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32) <= limit
 
 
-def bucket_candidates(key: np.ndarray, node: np.ndarray, n: np.ndarray, check: np.ndarray, similarity: float, wide: int = 512, dense: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_candidates(key: np.ndarray, node: np.ndarray, n: np.ndarray, check: np.ndarray, similarity: float, wide: int = 2048, dense: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bucket, u, v) of rows sorted by key: pairs of a bucket that are near in their check words and in size; bucket is 0.
 
     A bucket of over ``wide`` rows, or with more than ``dense`` such pairs a row, gives instead a star for
