@@ -62,7 +62,7 @@ class Vocabulary:
     lengths: tuple[int, ...]
     of_byte: np.ndarray
     table: list[bytes]  # of each id
-    bytes: np.ndarray  # of each hash, padded
+    eights: np.ndarray  # the bytes of each hash, padded, eight to a number
 
 
 @cache
@@ -83,7 +83,7 @@ def vocabulary(path: str) -> Vocabulary:
     seen = np.zeros(1 << _FILTER_BITS, bool)
     seen[hashes >> np.uint64(64 - _FILTER_BITS)] = True
     known = {t: (i, rank) for rank, (i, t) in enumerate(text.items())}
-    return Vocabulary(known, hashes[by], np.array(plain, np.int32)[by], by, seen, tuple(np.unique(sizes).tolist()), np.array([of_byte[b] for b in range(256)], np.int32), table, x[by])
+    return Vocabulary(known, hashes[by], np.array(plain, np.int32)[by], by, seen, tuple(np.unique(sizes).tolist()), np.array([of_byte[b] for b in range(256)], np.int32), table, np.pad(x[by], ((0, 0), (0, -x.shape[1] % 8))).view(np.uint64))
 
 
 class Lattices:
@@ -124,6 +124,8 @@ class Lattices:
         lead = ((x & 0xC0) != 0x80) & inside
         wide = 1 + (x >= 0xC0) + (x >= 0xE0) + (x >= 0xF0)
         bare = lead.copy()  # characters without a piece
+        padded = np.pad(x, ((0, 0), (0, 8)))
+        eight = np.ndarray((len(x), x.shape[1] + 1), np.uint64, padded, strides=(padded.shape[1], 1))  # the eight bytes from each place on
         found = []
         for size in v.lengths:
             if size > x.shape[1]:
@@ -135,8 +137,9 @@ class Lattices:
             hit = (v.hashes[k] == h) & (at + size <= sizes[row])
             row, at, k = row[hit], at[hit], k[hit]
             same = np.ones(len(row), bool)
-            for j in range(size):  # a hash may collide, bytes cannot
-                same &= x[row, at + j] == v.bytes[k, j]
+            for j in range(0, size, 8):  # a hash may collide, bytes cannot
+                rest = np.uint64((1 << 8 * min(8, size - j)) - 1)
+                same &= (eight[row, at + j] & rest) == v.eights[k, j // 8]
             if not same.all():
                 row, at, k = row[same], at[same], k[same]
             found.append((row, at, at + size, v.ids[k], -self.alpha * np.log(v.ranks[k] + 2.0)))
