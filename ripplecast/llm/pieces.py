@@ -238,28 +238,29 @@ class Lattices:
 
 
 @cache
-def _lattices(path: str, alpha: float) -> Lattices:
+def _lattices(path: str, alpha: float, cache_nodes: int = 300_000) -> Lattices:
     """One a worker process, so that tasks share what is filtered."""
-    return Lattices(path, alpha)
+    return Lattices(path, alpha, cache_nodes)
 
 
-def encode(docs: DataFrame, path: str | None = None, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, alpha: float = 1.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, cache_nodes: int = 300_000, at_once: int = 200) -> DataFrame:
     """(doc_id, pieces array<int>, n_pieces, lossless) of every row; with digest ids_crc32 in place of pieces.
 
     A segmentation is drawn with probability in proportion to its pieces' weights, from random numbers fixed
     by seed, id and place in the text: the same row gets the same pieces on any cluster.
     lossless: the pieces, decoded, give back the text's bytes. Null and empty texts have no
     pieces. Rows without id share the id's place in the seed. Repeated rows get equal
-    pieces. Further columns are not read. An empty table gives no rows.
+    pieces. Further columns are not read. An empty table gives no rows. A worker keeps about cache_nodes nodes of lattices and
+    takes ``at_once`` texts together; neither changes a result.
     """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     last = "ids_crc32 long" if digest else "pieces array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = _lattices(path, alpha)
+        lattices = _lattices(path, alpha, cache_nodes)
         for b in batches:
-            for k in range(0, b.num_rows, 200):
-                part = b.slice(k, 200)
+            for k in range(0, b.num_rows, at_once):
+                part = b.slice(k, at_once)
                 texts = [t.as_py() or b"" for t in part.column(1)]
                 ids = lattices.encode(texts, [xxhash.xxh64_intdigest(str(x).encode(), seed) for x in part.column(0).to_pylist()])
                 same = [lattices.decode(x) == t for x, t in zip(ids, texts, strict=True)]

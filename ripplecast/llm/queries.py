@@ -17,7 +17,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(_table(spark, sf_dir, "documents"), alpha=1.0, seed=0, digest=True)
+    return pieces.encode(_table(spark, sf_dir, "documents"), alpha=1.0, seed=0, digest=True, cache_nodes=900_000, at_once=400)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
