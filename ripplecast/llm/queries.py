@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, pieces, quality, sharding, simhash, substring, tokenfiles, topk, warc
+from . import decontam, linededup, periods, phrases, pieces, quality, sharding, simhash, substring, tokenfiles, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,6 +164,41 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.collapse_runs(periods.with_planted_runs(_table(spark, sf_dir, "documents")), min_length=6, min_repeats=4, digest=True)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, absorbed=100)
+
+
+OP13_SQL = r"""
+WITH rows AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\f\r]')) AS piece
+  FROM documents),
+pieces AS (SELECT lang, row_number() OVER () AS p, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM rows),
+total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces),
+grams AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM starts, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w)),
+every AS (SELECT lang, phrase, m, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cand AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM every WHERE m > 1),
+cuts AS (
+  SELECT lang, phrase, m, a, k, array_to_string(w[1:k], ' ') AS fst, array_to_string(w[k + 1:m], ' ') AS rest
+  FROM cand, (SELECT unnest(range(1, 5)) AS k) WHERE k < m),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, n, ((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN every x ON x.lang = c.lang AND x.phrase = c.fst JOIN every y ON y.lang = c.lang AND y.phrase = c.rest JOIN total t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[s:s + z - 1], ' ') AS phrase, max(a) AS longer
+  FROM cand, (SELECT unnest(range(1, 5)) AS s), (SELECT unnest(range(2, 5)) AS z) WHERE z < m AND s + z - 1 <= m GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase))::BIGINT AS rank, phrase, a, l, r, n, score
+FROM scored LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+QUALIFY rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_sentencepiece": op2_sentencepiece,
@@ -175,5 +210,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_token_files": op9_token_files,
     "op10_kd_shards": op10_kd_shards,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_collocations": op13_collocations,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_warc_revisits": OP6_SQL}
+ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_warc_revisits": OP6_SQL, "op13_collocations": OP13_SQL}
