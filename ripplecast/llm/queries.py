@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, periods, phrases, pieces, quality, sharding, simhash, substring, tokenfiles, topk, warc
+from . import bwt, decontam, linededup, periods, phrases, pieces, quality, sharding, simhash, substring, tokenfiles, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -164,6 +164,10 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.remove_repeated_bytes(_table(spark, sf_dir, "documents"), length=400, digest=True)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.collapse_runs(periods.with_planted_runs(_table(spark, sf_dir, "documents")), min_length=6, min_repeats=4, digest=True)
 
@@ -210,6 +214,7 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_token_files": op9_token_files,
     "op10_kd_shards": op10_kd_shards,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_collocations": op13_collocations,
 }
