@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,10 +127,10 @@ def complexity_delta(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", "before", "after", delta.alias("delta"))
 
 
-def source_lines(sources: DataFrame) -> DataFrame:
-    """(path, language, line_no from 1, text trimmed) of files (path, content)."""
-    rows = sources.select("path", C.language(F.col("path")).alias("language"), F.posexplode(F.split("content", "\n")).alias("at", "line"))
-    return rows.select("path", "language", (F.col("at") + 1).alias("line_no"), F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("text"))
+def source_lines(sources: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(path, language, line_no from 1, text trimmed) of files (path, content), with ``keys``, columns that tell repositories apart."""
+    rows = sources.select(*keys, "path", C.language(F.col("path")).alias("language"), F.posexplode(F.split("content", "\n")).alias("at", "line"))
+    return rows.select(*keys, "path", "language", (F.col("at") + 1).alias("line_no"), F.trim(F.regexp_replace("line", r"^\s+|\s+$", "")).alias("text"))
 
 
 def symbols(sources: DataFrame) -> DataFrame:
@@ -136,7 +138,7 @@ def symbols(sources: DataFrame) -> DataFrame:
     return symbols_of(source_lines(sources))
 
 
-def symbols_of(rows: DataFrame) -> DataFrame:
+def symbols_of(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     python = F.col("language") == "python"
     found = lambda a, b: F.when(python, F.regexp_extract("text", a, 1)).otherwise(F.regexp_extract("text", b, 1))
     imports = F.when(F.col("text").startswith("import ") | (python & F.col("text").startswith("from ")), F.col("text")).otherwise("")
@@ -145,7 +147,7 @@ def symbols_of(rows: DataFrame) -> DataFrame:
         F.struct(F.lit("class").alias("kind"), found(PYTHON_CLASS, OTHER_CLASS).alias("name")),
         F.struct(F.lit("import").alias("kind"), imports.alias("name")),
     )
-    return rows.select("path", "line_no", F.inline(F.filter(kinds, lambda x: x["name"] != "")))
+    return rows.select(*keys, "path", "line_no", F.inline(F.filter(kinds, lambda x: x["name"] != "")))
 
 
 def function_complexity(sources: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.storage import stored
+from .versions import bucket, change, current, read
 
 SUITE = "name string, description string, samples array<struct<id:string,description:string,diff:string,ground_truth:struct<risk_score:double,is_regression:boolean,affected_files:array<string>>>>"
 SNAPSHOT = "repository_id string, sha string, nodes array<struct<node_id:string,node_type:string,name:string,file_path:string,properties:map<string,string>>>, edges array<struct<source_id:string,target_id:string,edge_type:string,weight:double,properties:map<string,string>>>"
@@ -28,21 +28,21 @@ def read_suites(spark: SparkSession, path: str) -> DataFrame:
 def write_snapshot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Nodes and edges (each with repository_id, sha) by repository and sha12; snapshots in the data replace theirs, others stay.
 
-    A snapshot that one of the tables has no rows of gets a row of nulls there, which takes the place of what stood before;
-    ``read_snapshot`` leaves it out.
+    A snapshot that only one of the tables has rows of loses those it had in the other. Both tables change at once.
     """
+    key = ["repository_id", "sha12"]
     keyed = [df.withColumn("sha12", F.substring("sha", 1, 12)).drop("sha") for df in (nodes, edges)]
-    headers = keyed[0].select("repository_id", "sha12").unionByName(keyed[1].select("repository_id", "sha12")).distinct()
-    for name, rows in zip(("nodes", "edges"), keyed, strict=True):
-        bare = headers.join(rows.select("repository_id", "sha12").distinct(), ["repository_id", "sha12"], "left_anti")
-        both = rows.unionByName(bare, allowMissingColumns=True)
-        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id", "sha12").parquet(f"{path}/{name}")
+    owners = stored(keyed[0].select(*key).unionByName(keyed[1].select(*key)).distinct(), "snapshot-owners")
+    keyed = [df.where(F.coalesce(*[F.col(c).cast("string") for c, kind in df.dtypes if c not in key and not kind.startswith("map")]).isNotNull()) for df in keyed]
+    change(nodes.sparkSession, path, ["repository_id"], {"nodes": (keyed[0], owners), "edges": (keyed[1], owners)})
 
 
 def read_snapshot(spark: SparkSession, path: str, name: str, repository_id: str | None = None, sha: str | None = None) -> DataFrame:
-    """Nodes or edges; repository and sha prune partitions. A stored sha12 that is a prefix of sha also answers."""
-    rows = spark.read.parquet(f"{path}/{name}")
-    rows = rows.where(F.coalesce(*[F.col(c).cast("string") for c, kind in rows.dtypes if c not in ("repository_id", "sha12") and not kind.startswith("map")]).isNotNull())
+    """Nodes or edges; of a repository only its bucket is read. A stored sha12 that is a prefix of sha also answers."""
+    manifest, only = current(spark, path), None
+    if repository_id is not None and manifest["parts"]:
+        only = [spark.range(1).select(F.lit(repository_id).alias("repository_id")).select(bucket(["repository_id"], manifest["parts"])).first()[0]]
+    rows = read(spark, path, name, only, manifest)
     if repository_id is not None:
         rows = rows.where(F.col("repository_id") == repository_id)
     if sha is not None:
@@ -70,33 +70,13 @@ def list_reports(spark: SparkSession, path: str, n: int = 20) -> DataFrame:
 
 
 def write_predictions(predictions: DataFrame, files: DataFrame, path: str) -> None:
-    """Predictions (change_id, repository_id ...) with a JSON payload, and their files; both by repository.
+    """Predictions (change_id ...) with a JSON payload, and their files (change_id ...).
 
-    A prediction takes the place of the one of its id, and its files of that one's files; others stay. The partitions of the
-    repositories in the data are merged into a table of their own before they are replaced.
+    A prediction takes the place of the one of its id, and its files of that one's files; others stay, and both tables change
+    at once. So a pending or failed prediction is later replaced by a completed one.
     """
-    spark = predictions.sparkSession
-    touched = predictions.select("repository_id").distinct()
-    ids = predictions.select("change_id").distinct()
-    merged = {}
-    for name, df in (("predictions", predictions), ("files", files)):
-        before = _read(spark, f"{path}/{name}")
-        if before is not None:
-            before = before.withColumn("repository_id", F.col("repository_id").cast(predictions.schema["repository_id"].dataType))
-            old = before.join(touched, "repository_id", "left_semi").join(ids, "change_id", "left_anti")
-            df = df.unionByName(old, allowMissingColumns=True)
-        merged[name] = stored(df, f"merged-{name}")
-    for name, df in merged.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository_id").parquet(f"{path}/{name}")
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+    owners = stored(predictions.select("change_id").distinct(), "prediction-owners")
+    change(predictions.sparkSession, path, ["change_id"], {"predictions": (predictions, owners), "files": (files, owners)})
 
 
 def read_payload(predictions: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from ripplecast.operators import risk as K
 from ripplecast.operators import scoring as P
 from ripplecast.operators import vectors as V
 from ripplecast.sources import tables as S
+from ripplecast.sources import versions
 from ripplecast.streaming import events as T
 from ripplecast.streaming import ingest as I
 
@@ -263,7 +264,7 @@ def test_sources_round_trip(spark, tmp_path):
     S.write_snapshot(snap("a" * 40, "n1"), snap("a" * 40, "e1"), f"{tmp_path}/snap")
     S.write_snapshot(snap("b" * 40, "n2"), snap("b" * 40, "e2"), f"{tmp_path}/snap")
     S.write_snapshot(snap("a" * 40, "n3"), snap("a" * 40, "e3"), f"{tmp_path}/snap")
-    assert sorted(r.node_id for r in spark.read.parquet(f"{tmp_path}/snap/nodes").collect()) == ["n2", "n3"]
+    assert sorted(r.node_id for r in S.read_snapshot(spark, f"{tmp_path}/snap", "nodes").collect()) == ["n2", "n3"]
     assert [r.node_id for r in S.read_snapshot(spark, f"{tmp_path}/snap", "nodes", "r", "a" * 40).collect()] == ["n3"]
     (tmp_path / "graph.json").write_text(json.dumps({"repository_id": "r", "sha": "c", "nodes": [{"node_id": "n"}], "edges": [{"source_id": "n", "target_id": "m", "edge_type": "call"}]}))
     nodes, edges = S.import_snapshots(spark, f"{tmp_path}/graph.json")
@@ -275,10 +276,10 @@ def test_sources_round_trip(spark, tmp_path):
     S.write_predictions(p.where("change_id = 1"), p.where("change_id = 1").select("change_id", "repository_id"), f"{tmp_path}/out")
     S.write_predictions(p.where("change_id = 2"), p.where("change_id = 2").select("change_id", "repository_id"), f"{tmp_path}/out")
     S.write_predictions(p.where("change_id = 1"), p.where("false").select("change_id", "repository_id"), f"{tmp_path}/out")
-    assert [r.change_id for r in spark.read.parquet(f"{tmp_path}/out/files").collect()] == [2]
+    assert [r.change_id for r in versions.read(spark, f"{tmp_path}/out", "files").collect()] == [2]
     S.write_snapshot(snap("a" * 40, "n4"), snap("a" * 40, "e4").where("false"), f"{tmp_path}/snap")
     assert [r.node_id for r in S.read_snapshot(spark, f"{tmp_path}/snap", "edges").collect()] == ["e2"]
-    rows = S.read_payload(spark.read.parquet(f"{tmp_path}/out/predictions")).orderBy("change_id").collect()
+    rows = S.read_payload(versions.read(spark, f"{tmp_path}/out", "predictions")).orderBy("change_id").collect()
     assert rows[0].similar_commits[0].is_regression is False and rows[1].reviewers == []
 
 
@@ -325,11 +326,11 @@ def test_webhooks_and_commit_stream(spark, tmp_path):
     commit = {"repository_id": 1, "sha": "a", "day_s": 1, "message": "m", "author": "x", "is_regression": False, "files": [{"path": "a.py", "content": "def f(x):"}]}
     (tmp_path / "commits/a.json").write_text(json.dumps(commit) + "\n" + json.dumps(commit))
     I.process(I.commit_stream(spark, f"{tmp_path}/commits"), f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out/commits").count() == 1
-    assert len(spark.read.parquet(f"{tmp_path}/out/vectors").first().vector) == 384
+    table = lambda name: versions.read(spark, f"{tmp_path}/out", name)
+    assert table("commits").count() == 1 and len(table("vectors").first().vector) == 384
     # a later batch: one commit is stored already, another repository has a file of the same name
     (tmp_path / "commits/b.json").write_text("\n".join(json.dumps(commit | x) for x in ({}, {"repository_id": 2, "sha": "b"}, {"repository_id": 3, "sha": "c"})))
     I.process(I.commit_stream(spark, f"{tmp_path}/commits"), f"{tmp_path}/out", f"{tmp_path}/c2").awaitTermination()
-    assert sorted((r.repository_id, r.sha) for r in spark.read.parquet(f"{tmp_path}/out/commits").collect()) == [(1, "a"), (2, "b"), (3, "c")]
-    files = spark.read.parquet(f"{tmp_path}/out/nodes").where("node_type = 'file'")
+    assert sorted((r.repository_id, r.sha) for r in table("commits").collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    files = table("nodes").where("node_type = 'file'")
     assert sorted((r.repository_id, r.file_path) for r in files.collect()) == [(1, "a.py"), (2, "a.py"), (3, "a.py")]
