@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,13 +27,28 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends, not when the driver's garbage is collected."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame, label: str, replaces: DataFrame | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back, which cuts its lineage durably.
 
     ``replaces``: a stored table that nothing but df was made from; it is deleted once df is written.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     if getattr(replaces, "stored_at", None):
@@ -40,6 +57,15 @@ def stored(df: DataFrame, label: str, replaces: DataFrame | None = None) -> Data
     return out
 
 
+def bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """As ``stored``, in as many buckets of ``keys`` as a shuffle has partitions, so that joins on these keys read it without a shuffle."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    with shuffles_dropped(spark):
+        df.repartition(n, *keys).write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    return spark.table(name)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """df with each row's place from 1 in the order of its key, by ranges: no task gets more than a range of a key.
 

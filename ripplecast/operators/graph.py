@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.storage import numbered, stored
+from ..functions.storage import bucketed, numbered, stored
 
 NODE_TYPES = ("file", "class", "function", "module", "service")
 
@@ -60,32 +61,49 @@ def max_degree(degree: DataFrame) -> DataFrame:
     return degree.groupBy("snapshot_id").agg(F.greatest(F.max("in_degree"), F.max("out_degree"), F.lit(1)).alias("max_degree"))
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, store_every: int = 5) -> DataFrame:
+def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, hub: int = 100_000) -> DataFrame:
     """(snapshot_id, node_id, rank): fixed rounds, dangling mass spread over all nodes, divided by the largest.
 
-    Edges with an unknown end are skipped; parallel ones count. All snapshots at once: a round is one join
-    of ranks with out-edges and one aggregate; the dangling mass is a sum a snapshot.
+    Edges with an unknown end are skipped; parallel ones count. All snapshots at once. What dangling nodes lose returns to all nodes of a
+    snapshot alike, so the rank is a weighted sum of the powers of the damped links applied to the even start: a round is one
+    join of the last power with the links and one aggregate, stored, and the weights follow, a row a snapshot, from what each power
+    has on dangling nodes. Links lie bucketed by source and are never shuffled again; those of a source with over ``hub`` are dealt over
+    several buckets, to each of which its share is sent.
     """
     known = nodes.select("snapshot_id", "node_id").distinct()
     inner = edges.select("snapshot_id", "source_id", "target_id")
     for end in ("source_id", "target_id"):
         inner = inner.join(known.withColumnRenamed("node_id", end), ["snapshot_id", end], "left_semi")
-    links = inner.groupBy("snapshot_id", "source_id", "target_id").agg(F.count("*").alias("n"))
-    out = links.groupBy("snapshot_id", "source_id").agg(F.sum("n").alias("out"))
-    links = stored(links.join(out, ["snapshot_id", "source_id"]).select("snapshot_id", F.col("source_id").alias("node_id"), "target_id", (F.col("n") / F.col("out")).alias("part")), "pagerank-links")
-    size = known.groupBy("snapshot_id").agg(F.count("*").alias("n"))
-    base = known.join(out.withColumnRenamed("source_id", "node_id"), ["snapshot_id", "node_id"], "left").join(size, "snapshot_id")
-    base = stored(base.select("snapshot_id", "node_id", "n", F.col("out").isNull().alias("dangling")), "pagerank-nodes")
-    rank = base.select("snapshot_id", "node_id", "n", "dangling", (1 / F.col("n")).alias("rank"))
-    last = None
-    for k in range(rounds):
-        sent = links.join(rank.select("snapshot_id", "node_id", "rank"), ["snapshot_id", "node_id"])
-        got = sent.groupBy("snapshot_id", F.col("target_id").alias("node_id")).agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
-        lost = rank.groupBy("snapshot_id").agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("lost"))
-        new = (1 - damping) / F.col("n") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.col("n"))
-        rank = base.join(got, ["snapshot_id", "node_id"], "left").join(lost, "snapshot_id").select("snapshot_id", "node_id", "n", "dangling", new.alias("rank"))
-        if (k + 1) % store_every == 0:
-            rank = last = stored(rank, "pagerank", replaces=last)
+    links = inner.groupBy("snapshot_id", F.col("source_id").alias("node_id"), "target_id").agg(F.count("*").alias("n"))
+    out = stored(links.groupBy("snapshot_id", "node_id").agg(F.sum("n").alias("out"), F.ceil(F.count("*") / hub).cast("int").alias("salts")), "pagerank-out")
+    size = known.groupBy("snapshot_id").agg(F.count("*").alias("size"))
+    base = stored(known.join(out, ["snapshot_id", "node_id"], "left").join(size, "snapshot_id").select("snapshot_id", "node_id", (1 / F.col("size")).alias("v"), F.col("out").isNull().alias("dangling")), "pagerank-nodes")
+    salt = F.pmod(F.hash("target_id"), F.col("salts"))
+    parts = links.join(out, ["snapshot_id", "node_id"]).select("snapshot_id", "node_id", salt.alias("salt"), "target_id", (damping * F.col("n") / F.col("out")).alias("part"))
+    key = ["snapshot_id", "node_id", "salt"]
+    parts, hubs = bucketed(parts, "pagerank-links", key), out.where("salts > 1").select("snapshot_id", "node_id", "salts")
+    powers = [base.select("snapshot_id", "node_id", "v")]
+    for _ in range(rounds):
+        dealt = powers[-1].join(hubs, ["snapshot_id", "node_id"], "left").select("snapshot_id", "node_id", "v", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        got = parts.join(dealt, key).groupBy("snapshot_id", F.col("target_id").alias("node_id")).agg(F.sum(F.col("v") * F.col("part")).alias("v"))
+        powers.append(stored(got, "pagerank"))
+    every = reduce(DataFrame.unionByName, [x.select("snapshot_id", "node_id", "v", F.lit(k).alias("power")) for k, x in enumerate(powers)])
+    held = every.join(base.where("dangling").select("snapshot_id", "node_id"), ["snapshot_id", "node_id"], "left_semi").groupBy("snapshot_id", "power").agg(F.sum("v").alias("held"))
+    held = held.groupBy("snapshot_id").agg(F.map_from_entries(F.collect_list(F.struct("power", "held"))).alias("held"))
+
+    @F.pandas_udf("array<double>")
+    def weights(held: pd.Series) -> pd.Series:
+        def one(own: dict | None) -> list[float]:
+            own, back = dict(own or {}), []  # back: what each round adds to the even start
+            for k in range(rounds):
+                back.append(1 - damping + damping * (own.get(k, 0.0) + sum(back[k - 1 - j] * own.get(j, 0.0) for j in range(k))))
+            return [*back[::-1], 1.0]
+
+        return held.map(one, na_action=None)
+
+    weight = base.select("snapshot_id").distinct().join(held, "snapshot_id", "left").select("snapshot_id", weights("held").alias("weights"))
+    rank = every.join(stored(weight, "pagerank-weights"), "snapshot_id").groupBy("snapshot_id", "node_id").agg(F.sum(F.col("v") * F.get("weights", F.col("power"))).alias("rank"))
+    rank = stored(rank, "pagerank")
     top = rank.groupBy("snapshot_id").agg(F.max("rank").alias("top"))
     return rank.join(top, "snapshot_id").select("snapshot_id", "node_id", (F.col("rank") / F.col("top")).alias("rank"))
 
