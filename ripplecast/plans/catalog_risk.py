@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.storage import shared_dir
 from ..operators import graph as R
 from ..operators import history as H
 from ..operators import metrics as M
 from ..operators import reviewers as W
 from ..operators import risk as K
 from ..operators import vectors as V
+from ..sources.versions import read
 from ..streaming import events as T
+from ..streaming import rules as L
 from .fixtures import duck, fixture, sql
 
 QUERIES, ORACLES = {}, {}
@@ -439,19 +444,51 @@ def _events(s, d) -> DataFrame:
     return fixture(s, d, "event_log").withColumn("at", F.timestamp_seconds("at_s"))
 
 
-@query("t1_s11_request_events", "SELECT handler, count(*) AS n FROM {event_log} WHERE action IN ('opened', 'synchronize', 'reopened') GROUP BY handler")
+ASKED = """SELECT CASE WHEN event_id % 2 = 0 THEN 'github' ELSE 'gitlab' END AS provider, concat('o/r', user_id % 5) AS repo, concat('http://Host/', user_id % 5, '.git') AS url, event_id AS number, handler AS title,
+  concat('by ', user_id) AS body, concat('sha', event_id) AS sha FROM {event_log} WHERE action IN ('opened', 'synchronize', 'reopened')"""
+
+
+def _payloads(s, d) -> DataFrame:
+    """The event log as webhooks of both providers."""
+    repo, url, title = F.concat(F.lit("o/r"), F.col("user_id") % 5), F.concat(F.lit("http://Host/"), F.col("user_id") % 5, F.lit(".git")), F.col("handler")
+    body, sha, number = F.concat(F.lit("by "), "user_id"), F.concat(F.lit("sha"), "event_id"), F.col("event_id")
+    github = F.to_json(F.struct("action", F.struct(number.alias("number"), title.alias("title"), body.alias("body"), F.struct(sha.alias("sha")).alias("head")).alias("pull_request"), F.struct(repo.alias("full_name"), url.alias("clone_url")).alias("repository")))
+    said = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for x in ("opened", "open", "synchronize", "update", "reopened", "reopen")]), F.col("action")), F.col("action"))
+    what = F.struct(said.alias("action"), number.alias("iid"), title.alias("title"), body.alias("description"), F.struct(sha.alias("id")).alias("last_commit"))
+    gitlab = F.to_json(F.struct(F.lit("merge_request").alias("object_kind"), F.struct(repo.alias("path_with_namespace"), url.alias("git_http_url")).alias("project"), what.alias("object_attributes")))
+    even = F.col("event_id") % 2 == 0
+    return _events(s, d).select(F.when(even, "github").otherwise("gitlab").alias("provider"), "at", F.when(even, github).otherwise(gitlab).alias("payload"))
+
+
+@query("t1_s11_request_events", ASKED)
 def _t1(s, d):
-    payload = F.to_json(F.struct("action", F.struct(F.col("event_id").alias("number"), F.col("handler").alias("title")).alias("pull_request"), F.struct(F.lit("o/r").alias("full_name"), F.lit("http://x/o/r.git").alias("clone_url")).alias("repository")))
-    rows = _events(s, d).select(F.lit("github").alias("provider"), "at", payload.alias("payload"))
-    return T.request_events(rows).groupBy(F.col("title").alias("handler")).agg(F.count("*").alias("n"))
+    return T.request_events(_payloads(s, d)).drop("at")
+
 
+_PLACE = "concat('webhook/', replace(repo, '/', '_'), '/pr-', number, '.md')"
+SYNTHETIC = f"concat('diff --git a/', {_PLACE}, ' b/', {_PLACE}, chr(10), '--- a/', {_PLACE}, chr(10), '+++ b/', {_PLACE}, chr(10), '@@ -0,0 +1,1 @@', chr(10), '+', body, chr(10))"
 
-@query("t2_pending_predictions", "SELECT count(*) FILTER (WHERE user_id % 3 <> 0) AS matched, count(*) FILTER (WHERE user_id % 3 = 0) AS dead FROM {event_log}")
+
+@query("t2_pending_predictions", f"""
+SELECT CASE WHEN n IS NULL THEN 'dead' ELSE 'pending' END AS what, number, repo, title, n AS repository_id, CASE WHEN n IS NOT NULL THEN md5({SYNTHETIC}) END AS diff
+FROM ({ASKED}) a LEFT JOIN (SELECT n_nationkey AS n, concat('http://host/', n_nationkey) AS u FROM {{nation}} WHERE n_nationkey BETWEEN 1 AND 3) k ON u = lower(regexp_replace(url, '\\.git$', ''))""")
 def _t2(s, d):
-    events = _events(s, d).select(F.concat(F.lit("http://Host/"), (F.col("user_id") % 3).cast("string"), F.lit(".git")).alias("url"), F.lit("o/r").alias("repo"), F.col("event_id").alias("number"), F.col("handler").alias("title"), F.lit("").alias("body"))
-    known = sql(s, d, "SELECT n_nationkey AS repository_id, concat('http://host/', n_nationkey, '/') AS url FROM {nation} WHERE n_nationkey BETWEEN 1 AND 2")
-    matched, dead = T.pending(events, known)
-    return matched.select(F.lit(1).alias("m")).unionByName(dead.select(F.lit(0).alias("m"))).agg(F.sum("m").alias("matched"), F.sum(1 - F.col("m")).alias("dead"))
+    path = f"{shared_dir(s)}/webhooks-{uuid.uuid4().hex}"
+    _payloads(s, d).write.json(f"{path}/in")
+    known = sql(s, d, "SELECT n_nationkey AS repository_id, concat('http://host/', n_nationkey, '/') AS url FROM {nation} WHERE n_nationkey BETWEEN 1 AND 3")
+    T.store_pending(T.request_events(T.webhook_stream(s, f"{path}/in")), known, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    matched, dead = (read(s, f"{path}/out", name) for name in ("predictions", "dead_letters"))
+    one = matched.select(F.col("status").alias("what"), "number", "repo", "title", F.col("repository_id").cast("long").alias("repository_id"), F.md5("diff").alias("diff"))
+    return one.unionByName(dead.select(F.lit("dead").alias("what"), "number", "repo", "title", F.lit(None).cast("long").alias("repository_id"), F.lit(None).cast("string").alias("diff")))
+
+
+@query("t4_first_hit_windows", """
+WITH RECURSIVE w AS (SELECT user_id, min(at_s) AS opened FROM {event_log} GROUP BY user_id UNION ALL
+  SELECT w.user_id, min(e.at_s) FROM w JOIN {event_log} e ON e.user_id = w.user_id AND e.at_s >= w.opened + 86400 GROUP BY w.user_id)
+SELECT w.user_id, opened, count(*) AS hits, count(*) > 2 AS limited FROM w JOIN {event_log} e ON e.user_id = w.user_id AND e.at_s >= opened AND e.at_s < opened + 86400 GROUP BY ALL""")
+def _t4b(s, d):
+    """Windows of a day and two hits, as a user of the event log has a few hits a day."""
+    return L.first_hit_windows(_events(s, d), span_s=86400, most=2, bin_s=7 * 86400)
 
 
 @query("t4_fixed_windows", "SELECT user_id, at_s - at_s % 60 AS start_s, count(*) AS hits, count(*) > 100 AS limited FROM {event_log} GROUP BY ALL")
@@ -459,9 +496,15 @@ def _t4(s, d):
     return T.fixed_window_limits(_events(s, d)).select("user_id", F.unix_timestamp(F.col("window.start")).alias("start_s"), "hits", "limited")
 
 
-@query("t5_sliding_log", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY at_s RANGE BETWEEN 59 PRECEDING AND 1 PRECEDING) AS recent FROM {event_log}")
+@query("t5_sliding_log", """
+WITH RECURSIVE e AS (SELECT user_id, event_id, at_s, row_number() OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS k FROM {event_log}),
+w AS (SELECT user_id, event_id, k, 0 AS recent, [at_s] AS log FROM e WHERE k = 1 UNION ALL
+  SELECT user_id, event_id, k, len(live), CASE WHEN len(live) < 2 THEN list_append(live, at_s) ELSE live END
+  FROM (SELECT e.user_id, e.event_id, e.k, e.at_s, list_filter(w.log, lambda t: t > e.at_s - 86400) AS live FROM w JOIN e ON e.user_id = w.user_id AND e.k = w.k + 1) x)
+SELECT event_id, recent, recent >= 2 AS limited FROM w""")
 def _t5(s, d):
-    return T.sliding_log(_events(s, d)).select("event_id", "recent")
+    """Two hits a day; rejected hits are not logged."""
+    return L.sliding_log(_events(s, d), span_s=86400, most=2).select("event_id", "recent", "limited")
 
 
 RATIO = "SELECT start_s, count(*) AS n, round(avg(CAST(status >= 500 AS INT)), 6) AS ratio FROM (SELECT status, at_s - at_s % 60 - 60 * unnest(range(5)) AS start_s FROM {event_log}) x GROUP BY start_s"
@@ -474,7 +517,7 @@ def _t6(s, d):
 
 @query("t6_sustained_alerts", f"SELECT min(start_s) AS first_s, max(start_s) AS last_s, count(*) AS n FROM (SELECT start_s, start_s - 60 * row_number() OVER (ORDER BY start_s) AS run FROM ({RATIO}) a WHERE ratio > 0.05) b GROUP BY run HAVING count(*) >= 5")
 def _t6b(s, d):
-    return T.sustained(T.error_ratio(_events(s, d)))
+    return L.sustained(L.ratio_over(T.error_ratio(_events(s, d))))
 
 
 @query("t7_latency_percentiles", "SELECT at_s - at_s % 3600 AS start_s, round(quantile_cont(latency_s, 0.5), 6) AS p50, round(quantile_cont(latency_s, 0.95), 6) AS p95, round(quantile_cont(latency_s, 0.99), 6) AS p99 FROM {event_log} GROUP BY 1")
@@ -487,6 +530,23 @@ def _t8(s, d):
     return T.rates(_events(s, d)).select("handler", F.unix_timestamp(F.col("window.start")).alias("start_s"), r(F.col("rate")).alias("rate"))
 
 
-@query("t9_targets_down", "SELECT handler, last_s, at_s AS next_s FROM (SELECT handler, at_s, lag(at_s) OVER (PARTITION BY handler ORDER BY at_s) AS last_s FROM {event_log}) x WHERE at_s - last_s > 3600")
+#: Windows of few values, whose sketches hold them all: the quantile is the least value at or over the rank.
+SLOW = "SELECT start_s, quantile_disc(latency_s, 0.95) AS value FROM (SELECT latency_s, at_s - at_s % 60 - 60 * unnest(range(5)) AS start_s FROM {event_log}) x GROUP BY start_s"
+
+
+@query("t7_latency_windows", f"SELECT start_s, round(value, 6) AS value, value > 2 AS over FROM ({SLOW}) a")
+def _t7b(s, d):
+    return L.latency_over(L.latency_sketches(_events(s, d))).select("start_s", r(F.col("value")).alias("value"), "over")
+
+
+@query("t7_latency_alerts", f"SELECT min(start_s) AS first_s, max(start_s) AS last_s, count(*) AS n FROM (SELECT start_s, start_s - 60 * row_number() OVER (ORDER BY start_s) AS run FROM ({SLOW}) a WHERE value > 2) b GROUP BY run HAVING count(*) >= 5")
+def _t7c(s, d):
+    return L.sustained(L.latency_over(L.latency_sketches(_events(s, d))))
+
+
+@query("t9_targets_down", """
+WITH b AS (SELECT handler, at_s, lead(at_s) OVER (PARTITION BY handler ORDER BY at_s) AS next_s FROM (SELECT DISTINCT handler, at_s FROM {event_log}) e)
+SELECT handler, at_s AS last_s, next_s FROM b WHERE coalesce(next_s, 1707000000) - at_s > 3600""")
 def _t9(s, d):
-    return T.target_down(_events(s, d), 3600)
+    """Silences of an hour, up to a time after the last event."""
+    return L.target_down(_events(s, d), 3600, end_s=1_707_000_000)

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 from ..functions import columns as C
 from ..operators.diffs import synthetic_diff
+from ..sources.versions import change
 
 GITHUB = "action string, pull_request struct<number:long,title:string,body:string,head:struct<sha:string>>, repository struct<full_name:string,clone_url:string>"
 GITLAB = "object_kind string, project struct<path_with_namespace:string,git_http_url:string>, object_attributes struct<action:string,iid:long,title:string,description:string,last_commit:struct<id:string>>"
@@ -56,13 +51,6 @@ def error_ratio(events: DataFrame, span: str = "5 minutes", step: str = "1 minut
     return events.withWatermark("at", late).groupBy(F.window("at", span, step)).agg(F.count("*").alias("n"), F.avg((F.col("status") >= 500).cast("double")).alias("ratio"))
 
 
-def sustained(ratios: DataFrame, over: float = 0.05, steps: int = 5, step_s: int = 60) -> DataFrame:
-    """First and last start of runs of at least ``steps`` windows in a row over the limit. Batch: gaps and islands."""
-    rows = ratios.where(F.col("ratio") > over).select(F.unix_timestamp(F.col("window.start")).alias("s"))
-    rows = rows.withColumn("run", F.col("s") - F.row_number().over(W.partitionBy(F.lit(0)).orderBy("s")) * step_s)  # one row a window, not an event
-    return rows.groupBy("run").agg(F.min("s").alias("first_s"), F.max("s").alias("last_s"), F.count("*").alias("n")).where(F.col("n") >= steps).drop("run")
-
-
 def latency(events: DataFrame, span: str = "5 minutes", exact: bool = False) -> DataFrame:
     """p50, p95, p99 of latency_s a window; exact in batch, sketched in a stream."""
     at = F.expr("percentile(latency_s, array(0.5, 0.95, 0.99))") if exact else F.percentile_approx("latency_s", [0.5, 0.95, 0.99], 10_000)
@@ -80,48 +68,12 @@ def fixed_window_limits(events: DataFrame, span: str = "60 seconds", most: int =
     return events.withWatermark("at", "10 minutes").groupBy("user_id", F.window("at", span)).agg(F.count("*").alias("hits")).withColumn("limited", F.col("hits") > most)
 
 
-def first_hit_limits(events: DataFrame, span_s: int = 60, most: int = 100, late: str = "10 minutes") -> DataFrame:
-    """T4: (user_id, opened, hits, limited), a row a hit, with windows that open at a key's first hit, as state of the key.
-
-    Streaming, by event time (at, and at_s in seconds). The state of a key goes once the watermark, ``late`` behind, has passed its
-    window; hits of one batch are taken in order, and one of an earlier batch's window counts there.
-    """
-
-    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        opened, hits = state.get if state.exists else (None, 0)
-        at = np.sort(np.concatenate([p["at_s"].to_numpy() for p in parts]))
-        opens, counts, done = [], [], 0
-        while done < len(at):  # a window at a time
-            if opened is None or at[done] >= opened + span_s:
-                opened, hits = int(at[done]), 0
-            n = int(np.searchsorted(at, opened + span_s)) - done
-            opens.append(np.full(n, opened))
-            counts.append(hits + 1 + np.arange(n))
-            hits, done = hits + n, done + n
-        state.update((opened, hits))
-        state.setTimeoutTimestamp(max((opened + span_s) * 1000, state.getCurrentWatermarkMs() + 1))
-        counts = np.concatenate(counts)
-        yield pd.DataFrame({"user_id": key[0], "opened": np.concatenate(opens), "hits": counts, "limited": counts > most})
-
-    own = events.withWatermark("at", late).groupBy("user_id")
-    return own.applyInPandasWithState(update, "user_id long, opened long, hits long, limited boolean", "opened long, hits long", "append", "EventTimeTimeout")
-
-
-def sliding_log(events: DataFrame, span_s: int = 60, most: int = 100) -> DataFrame:
-    """T5: hits of the key in the last span_s seconds before each event, flagged where these reach ``most``. Batch."""
-    before = F.count("*").over(W.partitionBy("user_id").orderBy("at_s").rangeBetween(-span_s + 1, -1))
-    return events.withColumn("recent", before).withColumn("limited", F.col("recent") >= most)
-
-
-def target_down(events: DataFrame, gap_s: int = 60) -> DataFrame:
-    """(handler, last_s, next_s): silences of a target longer than gap_s. Batch: lag; a stream uses sessions below."""
-    prev = F.lag("at_s").over(W.partitionBy("handler").orderBy("at_s"))
-    return events.withColumn("last_s", prev).where(F.col("at_s") - F.col("last_s") > gap_s).select("handler", "last_s", F.col("at_s").alias("next_s"))
+def store_pending(events: DataFrame, repositories: DataFrame, out: str, checkpoint: str):
+    """A stream of request events into two tables below ``out``: pending predictions, and the events of unknown repositories, which are
+    kept as dead letters. Both get a batch's rows at once, and a batch that is run again adds none."""
 
+    def apply(batch: DataFrame, number: int) -> None:
+        matched, dead = pending(batch, repositories)
+        change(batch.sparkSession, out, ["key"], appends={"predictions": matched, "dead_letters": dead}, batch=number)
 
-def heartbeat_sessions(events: DataFrame, gap: str = "1 minute") -> DataFrame:
-    """Sessions of heartbeats of each target; a session that closes is a target that went silent."""
-    return events.groupBy("handler", F.session_window("at", gap)).agg(F.count("*").alias("beats"))
+    return events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
