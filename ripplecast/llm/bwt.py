@@ -102,12 +102,15 @@ def phrases(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(x) for x in arrays], "<i8").tobytes(), *(np.ascontiguousarray(x).tobytes() for x in arrays)])
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+    return np.array([len(raw), *map(len, arrays)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _unpack(raw: bytes, kinds: str) -> list[np.ndarray]:
-    sizes, at, out = np.frombuffer(raw, "<i8", len(kinds.split())), 8 * len(kinds.split()), []
-    for kind, n in zip(kinds.split(), sizes.tolist(), strict=True):
+def _unpack(packed: bytes, kinds: str) -> list[np.ndarray]:
+    own = kinds.split()
+    size, *lengths = np.frombuffer(packed, "<i8", len(own) + 1).tolist()
+    raw, at, out = pa.decompress(packed[8 * len(own) + 8 :], size, "zstd", asbytes=True), 0, []
+    for kind, n in zip(own, lengths, strict=True):
         out.append(np.frombuffer(raw, kind, n, at))
         at += out[-1].nbytes
     return out
@@ -136,7 +139,7 @@ def _answered(a: np.ndarray, replies: dict[int, bytes], buckets: int) -> np.ndar
     by = np.argsort(to, kind="stable")
     for part in np.split(by, np.flatnonzero(np.diff(to[by])) + 1):
         if len(part):
-            out[part] = np.frombuffer(replies[int(to[part[0]])], "<i8")
+            out[part] = _unpack(replies[int(to[part[0]])], "<i8")[0]
     return out
 
 
@@ -165,20 +168,21 @@ def exchanged(table: DataFrame, buckets: int, shards: int) -> DataFrame:
             total = np.empty(len(a), "<i8")
             total[by] = np.repeat(np.add.reduceat(sizes[by], at), np.diff(np.r_[at, len(a)]))
             for s, part in zip(shard, np.split(total, np.cumsum([len(x) for x, _, _ in asked])[:-1]), strict=True):
-                yield _row(s, bucket, part.tobytes())
+                yield _row(s, bucket, _pack(part))
 
     replies = table.where("bucket >= 0").repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(settle), _KIND)
     return table.where(f"bucket = {STATE}").unionByName(replies).repartition(shards, "shard").sortWithinPartitions("shard", "bucket")
 
 
-_SHARD = "<i4 <u8 <u4 <u8 <u4 <i4 <u1"
+_FIRST, _SHARD = "<i4 <u8 <u4 <i4 <u1 <i4", "<i4 <u8 <u4 <u8 <u4 <i4 <u1"
 
 
 def transform(a: np.ndarray, b: np.ndarray, need: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """A shard's Burrows-Wheeler transform, ready to be merged, at depth one.
 
     In the order of suffixes: the suffix and the hash of the phrase before it (zero: none). By block of suffixes that
-    begin alike: the hash of the phrase and the number of suffixes. By suffix: the depth it is needed to. first: where texts begin. Suffixes are sorted, by doubling, as far as any is needed.
+    begin alike: the hash of the phrase and the number of suffixes. By suffix: the depth it is needed to. first: where texts begin.
+    Phrases before suffixes follow from the blocks, so ``with_phrases_before`` adds them when the state has travelled. Suffixes are sorted, by doubling, as far as any is needed.
     """
     n, end = len(a), np.repeat(np.r_[first[1:], len(a)], np.diff(np.r_[first, len(a)]))
     rank, size = np.unique(a ^ b.astype(np.uint64) * np.uint64(_ODD[1]), return_inverse=True)[1], 1
@@ -187,11 +191,16 @@ def transform(a: np.ndarray, b: np.ndarray, need: np.ndarray, first: np.ndarray)
         then = np.where(after < end, rank[np.minimum(after, n - 1)] + 1, 0)
         rank, size = np.unique(rank * (n + 1) + then, return_inverse=True)[1], size * 2
     suffix = np.argsort(rank, kind="stable").astype(np.int32)
-    starts = np.zeros(n, bool)
+    return [suffix, *_blocks(a[suffix], b[suffix]), need, first.astype(np.int32)]
+
+
+def with_phrases_before(suffix: np.ndarray, block_a: np.ndarray, block_b: np.ndarray, sizes: np.ndarray, need: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    own_a, own_b = np.empty(len(need), np.uint64), np.empty(len(need), np.uint32)
+    own_a[suffix], own_b[suffix] = np.repeat(block_a, sizes), np.repeat(block_b, sizes)
+    starts = np.zeros(len(need), bool)
     starts[first] = True
-    before = np.where(starts[suffix], 0, suffix - 1)
-    before_a, before_b = np.where(starts[suffix], np.uint64(0), a[before]), np.where(starts[suffix], np.uint32(0), b[before])
-    return [suffix, before_a, before_b, *_blocks(a[suffix], b[suffix]), need]
+    starts = starts[suffix]
+    return [suffix, np.where(starts, np.uint64(0), own_a[suffix - 1]), np.where(starts, np.uint32(0), own_b[suffix - 1]), block_a, block_b, sizes, need]
 
 
 def _blocks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -239,7 +248,7 @@ def merged(docs: DataFrame, length: int, shard_bytes: int, buckets: int) -> Data
             state = transform(a, b, need, np.cumsum(sizes) - sizes)
             yield _row(shard, DOCS, _pack(np.frombuffer(b"".join(keys), np.uint8), sizes, np.array([x[3] for x in held], bool)))
             yield _row(shard, STATE, _pack(*state))
-            yield from _questions(shard, *state[3:6], buckets)
+            yield from _questions(shard, *state[1:4], buckets)
 
         for rows in batches:
             for key, text in zip(*rows.columns, strict=True):
@@ -257,7 +266,8 @@ def merged(docs: DataFrame, length: int, shard_bytes: int, buckets: int) -> Data
     def step(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for shard, rows in _grouped(batches, 0):
-                state = _unpack(next(rows)[2], _SHARD)
+                packed = next(rows)[2]
+                state = _unpack(packed, _SHARD) if depth > 1 else with_phrases_before(*_unpack(packed, _FIRST))
                 state, counts = refined(state, _answered(state[3], {k: x for _, k, x in rows}, buckets), depth)
                 yield _row(shard, DOCS - depth, counts)
                 yield _row(shard, STATE, _pack(*state))
@@ -328,7 +338,7 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, buckets: int,
             of = np.empty(len(a), "<i4")
             of[by] = np.repeat(np.arange(len(sizes)), sizes)
             lengths = [np.array([len(x) for x in y], "<i4") for y in (sure, may)]
-            yield _row(shard, STATE, _pack(np.frombuffer(b"".join(keys), np.uint8), *lengths, np.concatenate(sure), np.concatenate(may), of, one_a))
+            yield _row(shard, STATE, _pack(np.frombuffer(b"".join(keys), np.uint8), *lengths, np.concatenate(sure), np.concatenate(may), of))
             yield from _questions(shard, one_a, one_b, sizes, buckets)
 
         for rows in batches:
@@ -350,8 +360,10 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, buckets: int,
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _grouped(batches, 0):
-            keys, n_sure, n_may, sure, may, of, one_a = _unpack(next(rows)[2], "<u1 <i4 <i4 <i4 <i4 <i4 <u8")
-            hit = _answered(one_a, {k: x for _, k, x in rows}, buckets)[of] > 1
+            keys, n_sure, n_may, sure, may, of = _unpack(next(rows)[2], "<u1 <i4 <i4 <i4 <i4 <i4")
+            # strings were asked about in the order of their hashes, which is that of buckets
+            places = np.concatenate([np.zeros(0, np.int64), *(_unpack(x, "<i8")[0] for _, _, x in rows)])
+            hit = places[of] > 1
             names, spans = [], []
             for k, (s, at, yes) in enumerate(zip(*(np.split(x, np.cumsum(n)[:-1]) for x, n in ((sure, n_sure), (may, n_may), (hit, n_may))), strict=True)):
                 more = _stretches(at[yes])
