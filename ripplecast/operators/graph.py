@@ -7,6 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -164,22 +166,22 @@ def node_targets(nodes: DataFrame, affected: DataFrame) -> DataFrame:
 def neighbour_mean(vectors: DataFrame, edges: DataFrame) -> DataFrame:
     """(snapshot_id, node_id, vector): mean of the vectors of in-neighbours; nodes without any don't appear.
 
-    vectors: snapshot_id, node_id, vector. Summed per dimension, so partial sums leave each task.
+    vectors: snapshot_id, node_id, vector.
     """
     sent = edges.join(vectors.withColumnRenamed("node_id", "source_id"), ["snapshot_id", "source_id"])
-    dims = sent.select("snapshot_id", F.col("target_id").alias("node_id"), F.posexplode("vector").alias("dim", "x"))
-    return _gather(dims.groupBy("snapshot_id", "node_id", "dim").agg(F.avg("x").alias("x")), ["snapshot_id", "node_id"])
+    return _vector_mean(sent.select("snapshot_id", F.col("target_id").alias("node_id"), "vector"), ["snapshot_id", "node_id"])
 
 
 def mean_pool(vectors: DataFrame) -> DataFrame:
     """(snapshot_id, vector): mean node vector."""
-    dims = vectors.select("snapshot_id", F.posexplode("vector").alias("dim", "x"))
-    return _gather(dims.groupBy("snapshot_id", "dim").agg(F.avg("x").alias("x")), ["snapshot_id"])
+    return _vector_mean(vectors, ["snapshot_id"])
 
 
-def _gather(dims: DataFrame, keys: list[str]) -> DataFrame:
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"])
-    return dims.groupBy(*keys).agg(listed.alias("vector"))
+def _vector_mean(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean of ``vector`` by keys. Vectors are summed whole: a task sends one sum a key it meets, so a hub costs a row a task, and no
+    vector is taken apart into rows."""
+    mean = Summarizer.metrics("mean").summary(array_to_vector("vector")).alias("s")
+    return rows.groupBy(*keys).agg(mean).select(*keys, vector_to_array("s.mean").alias("vector"))
 
 
 @dataclass(frozen=True)

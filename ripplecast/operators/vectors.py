@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, Tokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.storage import stored
 
 
 def _let(value: Column, body) -> Column:
@@ -74,33 +77,68 @@ def unindexed(entities: DataFrame, manifest: DataFrame, cap: int = 500, reindex:
     return rows if reindex else rows.join(manifest.select("repository_id", "entity_id"), ["repository_id", "entity_id"], "left_anti")
 
 
-def top_k(points: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, query_rows: int = 2048, block_rows: int = 20_000) -> DataFrame:
+def _packed(rows: DataFrame, keys: list[str], id_col: str, vector_col: str, block_rows: int) -> DataFrame:
+    """(keys, block, ids, vectors): rows of a key in blocks of about block_rows, each one packed row: ids and unit vectors as bytes, ids ascending."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int"))
+    schema = dealt.select(*keys, "block").schema
+
+    def pack(table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        by = np.argsort(ids, kind="stable")
+        x = _unit(np.stack(table.column("vector").to_numpy()[by]).astype(float)) if len(ids) else np.zeros((0, 0))
+        one = {c.name: table.column(c.name)[:1] for c in schema}
+        return pa.table(one | {"ids": pa.array([ids[by].astype("<i8").tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary())})
+
+    kind = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in schema) + ", ids binary, vectors binary"
+    return dealt.select(*keys, "block", F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).groupBy(*keys, "block").applyInArrow(pack, kind)
+
+
+def top_k(points: DataFrame, queries: DataFrame, keys: list[str], k: int = 10, query_rows: int = 8192, block_rows: int = 4096, band: int = 64) -> DataFrame:
     """V9: (query_id, vec_id, similarity, rank) of the k most similar points that agree with the query on ``keys``.
 
-    The points of a key are dealt into shares of about block_rows, and its queries go to each of these; both are compared in
-    blocks of matrix products, at most query_rows queries at a time. Each share returns k rows a query, so that what meets in
-    the final ranking is k rows a query and share. Ties go to the smaller id.
+    The points of a key lie in blocks of about block_rows and its queries in blocks of query_rows, each one packed row. A block of queries
+    meets the blocks of points in bands of ``band``: a band's task holds its queries, reads its points a block at a time, compares both by a
+    matrix product and keeps the best k so far. So no task holds more than one tile, however many queries or points a key
+    has; points travel once a block of queries, and k rows a query and band meet in the final ranking. Ties go to the smaller id.
     """
-    sizes = points.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
-    dealt = points.join(sizes, keys).select(*keys, "vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
-    asked = queries.join(sizes, keys).select(*keys, "query_id", F.col("embedding").alias("wanted"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-
-    def unit(vectors: pd.Series) -> np.ndarray:
-        return _unit(np.stack(vectors).astype(float))
-
-    def compare(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(wanted):
-            own = own.sort_values("vec_id")
-            x, ids = unit(own["embedding"]), own["vec_id"].to_numpy()
-            for a in range(0, len(wanted), query_rows):
-                block = wanted.iloc[a : a + query_rows]
-                s = np.round(unit(block["wanted"]) @ x.T, 9)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                out.append(pd.DataFrame({"query_id": np.repeat(block["query_id"].to_numpy(), best.shape[1]), "vec_id": ids[best].ravel(), "similarity": np.take_along_axis(s, best, axis=1).ravel()}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-
-    found = dealt.groupBy(*keys, "part").cogroup(asked.groupBy(*keys, "part")).applyInPandas(compare, "query_id long, vec_id long, similarity double")
+    own = stored(_packed(points.select(*keys, "vec_id", "embedding"), keys, "vec_id", "embedding", block_rows).withColumn("band", F.floor(F.col("block") / band).cast("int")), "search-points")
+    asked = stored(_packed(queries.select(*keys, "query_id", "embedding"), keys, "query_id", "embedding", query_rows).withColumnRenamed("block", "query_block"), "search-queries")
+    order = [*keys, "query_block", "band"]
+    first = asked.join(own.select(*keys, "band").distinct(), keys).select(*order, F.lit(-1).alias("block"), "ids", "vectors")
+    rest = own.join(asked.select(*keys, "query_block"), keys).select(*order, "block", "ids", "vectors")
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("similarity", pa.float64())])
+
+    def better(x: np.ndarray, best: tuple[np.ndarray, np.ndarray] | None, y: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        near = np.round(x @ y.T, 9)
+        of = np.broadcast_to(ids, near.shape)
+        if near.shape[1] > 4 * k:  # the k best, and what ties with the last of them
+            floor = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            most = int((near >= floor[:, None]).sum(axis=1).max())
+            keep = np.argpartition(-near, most - 1, axis=1)[:, :most]
+            near, of = np.take_along_axis(near, keep, axis=1), np.take_along_axis(of, keep, axis=1)
+        if best is not None:
+            near, of = np.concatenate([best[0], near], axis=1), np.concatenate([best[1], of], axis=1)
+        by = np.lexsort((of, -near), axis=1)[:, :k]
+        return np.take_along_axis(near, by, axis=1), np.take_along_axis(of, by, axis=1)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (dict(zip(b.schema.names, (c[j].as_py() for c in b.columns), strict=True)) for b in batches for j in range(b.num_rows))
+        for _, tiles in itertools.groupby(rows, lambda r: tuple(r[c] for c in order)):
+            head = next(tiles)
+            ids = np.frombuffer(head["ids"], "<i8")
+            x = np.frombuffer(head["vectors"]).reshape(len(ids), -1)
+            parts = [slice(j, j + 1024) for j in range(0, len(ids), 1024)]
+            best = [None] * len(parts)
+            for tile in tiles:
+                of = np.frombuffer(tile["ids"], "<i8")
+                y = np.frombuffer(tile["vectors"]).reshape(len(of), -1)
+                best = [better(x[part], had, y, of) for part, had in zip(parts, best, strict=True)]
+            for part, (near, of) in zip(parts, best, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[part], near.shape[1])), pa.array(of.ravel()), pa.array(near.ravel())], schema=schema)
+
+    tiles = first.unionByName(rest).repartition(*order).sortWithinPartitions(*order, "block")
+    found = tiles.mapInArrow(compare, "query_id long, vec_id long, similarity double")
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
