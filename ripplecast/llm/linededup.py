@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,41 +60,43 @@ def _same(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
 
 
+def _linked(lines: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose lines agree in enough of their places."""
+    one, two = (lines.select(F.col("exact").alias(c), F.col("tokens").alias(t)) for c, t in ("ua", "vb"))
+    return pairs.distinct().join(one, "u").join(two, "v").where(_same(F.col("a"), F.col("b")) >= similarity * F.size("a")).select("u", "v")
+
+
 def others(lines: DataFrame, similarity: float, small: int = 32) -> DataFrame:
     """(node, root) of the lines (leaf, exact, tokens) that link to another of their leaf: node is exact, root the
     least of its group. Lines link where they agree in at least ``similarity`` of their places.
 
-    Two such lines differ in at most m places, so they agree in one of m + 1 runs of places. All pairs that share a run of
-    at most ``small`` lines are compared. The lines of a larger run are first compared with the least of them; of runs that then
-    still hold several groups, every line outside the main group is compared with all of another group.
+    Two such lines differ in at most m places, so of m + 1 sets of places they agree in one. Lines fall into buckets, at first their leaf. In a
+    bucket of at most ``small`` lines all pairs are compared. The lines of a larger one are compared with its least; unless that
+    puts all of them into one group, the places in which they do not all agree, the most diverse first, are dealt into m + 1 sets, and lines that
+    agree in a set are a bucket of the next round. Places that all agree in say nothing and are left out, so buckets shrink, and a bucket in which no
+    more than m places are left links to its least as a whole. A pair is compared only in a small bucket or with a least line.
     """
-    lines = materialise(lines, "lines-others")
-    n = F.size("tokens")
-    runs = (n - F.ceil(F.lit(similarity) * n) + 1).cast("int")
-    start, end = (F.floor(k * n / F.col("runs")).cast("int") for k in (F.col("k"), F.col("k") + 1))
-    keyed = lines.withColumn("runs", runs).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
-    keyed = keyed.select(F.xxhash64("leaf", "k", F.slice("tokens", start + 1, end - start)).alias("key"), "exact")
-    shared = keyed.groupBy("key").agg(F.min("exact").alias("least"), F.count("*").alias("size")).where("size > 1")
-    keyed = materialise(keyed.join(shared, "key"), "lines-runs")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        one, two = (lines.select(F.col("exact").alias(c), F.col("tokens").alias(t)) for c, t in ("ua", "vb"))
-        return pairs.distinct().join(one, "u").join(two, "v").where(_same(F.col("a"), F.col("b")) >= similarity * F.size("a")).select("u", "v")
-
-    few = keyed.where(F.col("size") <= small).select("key", F.col("exact").alias("u"))
-    pairs = few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v")
-    large = keyed.where(F.col("size") > small)
-    stars = materialise(linked(pairs.unionByName(large.where("exact != least").select(F.col("least").alias("u"), F.col("exact").alias("v")))), "lines-stars")
-    groups = components(stars, "lines-groups")
-    if not large.isEmpty():
-        rows = large.join(groups, large["exact"] == groups["node"], "left").select("key", "exact", F.coalesce("root", "exact").alias("label"))
-        rows = materialise(rows, "lines-labelled")
-        sizes = rows.groupBy("key", "label").count()
-        main = sizes.groupBy("key").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).where("labels > 1").select("key", "main")
-        outside = rows.join(main, "key").where("label != main").select("key", F.col("exact").alias("x"), F.col("label").alias("own"))
-        pairs = outside.join(rows, "key").where("label != own").select(F.least("x", "exact").alias("u"), F.greatest("x", "exact").alias("v"))
-        groups = components(stars.unionByName(linked(pairs)), "lines-groups")
-    return groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    lines = materialise(lines.withColumn("runs", (F.size("tokens") - F.ceil(F.lit(similarity) * F.size("tokens")) + 1).cast("int")).where("runs > 1"), "lines-others")
+    rows, links = lines.select(F.col("leaf").alias("bucket"), "exact"), []
+    while True:
+        sizes = rows.groupBy("bucket").agg(F.min("exact").alias("least"), F.count("*").alias("size")).where("size > 1")
+        rows = materialise(rows.join(sizes, "bucket"), "lines-buckets")
+        few = rows.where(F.col("size") <= small).select("bucket", F.col("exact").alias("u"))
+        pairs = few.join(few.withColumnRenamed("u", "v"), "bucket").where("u < v").select("u", "v")
+        large = rows.where(F.col("size") > small)
+        links.append(materialise(_linked(lines, pairs.unionByName(large.where("exact != least").select(F.col("least").alias("u"), F.col("exact").alias("v"))), similarity), "lines-links"))
+        groups = components(reduce(DataFrame.unionByName, links), "lines-groups")
+        label = large.join(groups, large["exact"] == groups["node"], "left").select("bucket", F.coalesce("root", "exact").alias("label"))
+        several = label.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("bucket")
+        still = materialise(large.join(several, "bucket", "left_semi").select("bucket", "exact").join(lines.drop("leaf"), "exact"), "lines-still")
+        if still.isEmpty():
+            return groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+        place = still.select("bucket", F.posexplode("tokens").alias("place", "token")).groupBy("bucket", "place")
+        free = place.agg((F.min("token") != F.max("token")).alias("free"), F.approx_count_distinct("token").alias("kinds")).where("free")
+        free = free.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("kinds")).alias("kinds"), "place"))), lambda x: x["place"]).alias("free"))
+        dealt = still.join(free, "bucket").where(F.size("free") >= F.col("runs")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)))
+        own = F.transform(F.filter("free", lambda x, i: i % F.col("runs") == F.col("k")), lambda x: F.get("tokens", x))
+        rows = dealt.select(F.xxhash64("bucket", "k", own).alias("bucket"), "exact")
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = 3, lead: int = 3, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -40,7 +40,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 cut AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM raw),
 plain AS (SELECT doc_id, line_no, trim(line, concat(' ', chr(9), chr(13))) AS plain FROM cut),
 masked AS (
@@ -57,9 +57,15 @@ each_tok AS (SELECT leaf, masked, unnest(string_split(masked, ' ')) AS token, un
 alike AS (
   SELECT e.leaf, e.masked, count(*) FILTER (WHERE e.token = w.token) AS same, count(*) AS n
   FROM each_tok e JOIN winner w USING (leaf, place) GROUP BY ALL),
+apart AS (SELECT leaf, masked, string_split(masked, ' ') AS w FROM alike WHERE same < 0.8 * n),
+linked AS (
+  SELECT a.leaf, a.masked AS a, b.masked AS b FROM apart a JOIN apart b ON a.leaf = b.leaf AND a.masked <> b.masked
+  WHERE len(list_filter(range(1, len(a.w) + 1), lambda i: a.w[i] = b.w[i])) >= 0.8 * len(a.w)),
+reach AS (SELECT leaf, a, a AS b FROM linked UNION SELECT r.leaf, r.a, l.b FROM reach r JOIN linked l ON l.leaf = r.leaf AND l.a = r.b),
+grouped AS (SELECT leaf, a AS masked, min(b) AS root FROM reach GROUP BY ALL),
 placed AS (
-  SELECT doc_id, line_no, CASE WHEN same >= 0.8 * a.n THEN 'centre ' || leaf ELSE 'line ' || masked END AS template
-  FROM lines l LEFT JOIN alike a USING (leaf, masked)),
+  SELECT doc_id, line_no, CASE WHEN same >= 0.8 * a.n THEN 'centre ' || leaf WHEN root IS NOT NULL THEN 'group ' || leaf || ' ' || root ELSE 'line ' || masked END AS template
+  FROM lines l LEFT JOIN alike a USING (leaf, masked) LEFT JOIN grouped g USING (leaf, masked)),
 common AS (
   SELECT template, min((doc_id, line_no)) AS first FROM placed GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
 gone AS (SELECT DISTINCT doc_id, line_no FROM placed JOIN common USING (template) WHERE (doc_id, line_no) <> first),

@@ -338,6 +338,46 @@ def test_line_groups_match_brute_force(spark):
         assert len(set(map(top, parent))) > 5 and [got.get(k, k) for k in range(len(lines))] == [top(k) for k in range(len(lines))]
 
 
+def test_unlike_lines_of_a_leaf_are_not_paired(spark, monkeypatch):
+    """Lines that share their leading tokens and a few common words: pairs compared grow with the lines, not with their square."""
+    counted, linked = [], linededup._linked
+
+    def counting(lines, pairs, similarity):
+        counted.append(pairs.count())
+        return linked(lines, pairs, similarity)
+
+    monkeypatch.setattr(linededup, "_linked", counting)
+
+    def pairs(n):
+        rng, common = np.random.default_rng(n), "a in of the to".split()
+        tail = [[common[w % 5] if w % 3 == 0 else f"v{w}" for w in row] for row in rng.integers(0, 3000, (n, 7)).tolist()]
+        frame = spark.createDataFrame([(1, k, ["one", "of", "the", *t]) for k, t in enumerate(tail)], "leaf long, exact long, tokens array<string>")
+        counted.clear()
+        linededup.others(frame, 0.8).count()
+        return sum(counted)
+
+    few, many = pairs(1500), pairs(15000)
+    assert many < 20 * few and many < 40 * 15000
+
+
+def test_op4_knows_several_templates(spark, tmp_path):
+    """The registered query and its twin on leaves with a second and third template in three documents."""
+    word = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:03d}")
+    rows = [(k, f"read more about {word(k)} in the daily news of our town\nown line {word(k)}") for k in range(9)]
+    rows += [(20 + k, f"read more about {word(k)} at a shop which sells old maps") for k in range(5)]
+    rows += [(30 + k, f"x\nread more about {word(k)} or write to the people who made it") for k in range(3)]
+    rows += [(60 + k, " ".join(["to be continued", *("new" if n < k else "old" for n in range(7))])) for k in range(8)] + [(90, None), (91, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_line_dedup(spark, str(tmp_path))
+    assert {r.doc_id for r in got.where("text_sha256 = sha2('', 256)").collect()} >= set(range(21, 25))
+    path = tmp_path / "one"
+    path.mkdir()
+    spark.createDataFrame(rows, "doc_id long, text string").toPandas().to_parquet(path / "documents.parquet")
+    for t in ("region nation customer supplier part orders lineitem events embeddings pages benchmark labels conversations").split():
+        (path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    assert differing(queries.op4_line_dedup(spark, str(path)), queries.OP4_SQL, str(path)) == 0
+
+
 def test_line_dedup_is_native_and_takes_odd_rows(odd, none):
     out = linededup.drop_recurring_lines(odd)
     assert out.columns == odd.columns and out.count() == len(ODD) and linededup.drop_recurring_lines(none).count() == 0
