@@ -51,12 +51,20 @@ def stored(df: DataFrame, label: str, replaces: DataFrame | None = None) -> Data
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
-    if getattr(replaces, "stored_at", None):
-        old = spark._jvm.org.apache.hadoop.fs.Path(replaces.stored_at)
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    if replaces is not None:
+        discard(replaces)
     return out
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        if getattr(df, "stored_at", None):
+            spark = df.sparkSession
+            old = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def bucketed(df: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """As ``stored``, in as many buckets of ``keys`` as a shuffle has partitions, so that joins on these keys read it without a shuffle."""
     spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
