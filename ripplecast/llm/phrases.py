@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.storage import numbered
-from .common import batch, materialise, tidied, values
+from .common import batch, materialise, tidied
+from .substring import _finish
 
 #: Fixed: bytes that end a piece become full stops, A-Z become lower case.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -44,13 +47,48 @@ def pair_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate([*keys, key]), np.concatenate([*counts, count])
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("tokens", pa.binary()), ("local", pa.int64()), ("word", pa.binary()), ("count", pa.int64())])
-_BLOCK_KIND = "block long, lang string, tokens binary, local long, word binary, count long"
+_ROW = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("bucket", pa.int32()), ("packed", pa.binary())])
+_KIND = "block long, lang string, bucket int, packed binary"
+STATE, KNOWN = -1, -2  # in place of a bucket
 
 
-def blocks(docs: DataFrame, size: int) -> DataFrame:
-    """Of each block of about ``size`` words of one language: a row with its words as numbers of its own, packed as
-    int32 with 0 between pieces, and a row for each of those numbers with the word and its count."""
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of 32 or 64 bit numbers, compressed."""
+    raw = b"".join(np.ascontiguousarray(x).tobytes() for x in arrays)
+    return np.array([len(raw), *map(len, arrays)], "<i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(packed: bytes, kinds: str) -> list[np.ndarray]:
+    own = kinds.split()
+    size, *lengths = np.frombuffer(packed, "<i8", len(own) + 1).tolist()
+    raw, at, out = pa.decompress(packed[8 * len(own) + 8 :], size, "zstd", asbytes=True), 0, []
+    for kind, n in zip(own, lengths, strict=True):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+def _row(block: int | None, lang: str, bucket: int, packed: bytes) -> pa.RecordBatch:
+    return batch(_ROW, block=[block], lang=[lang], bucket=[bucket], packed=[packed])
+
+
+def _parts(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The places of each value, ascending."""
+    by = np.argsort(of, kind="stable")
+    for part in np.split(by, np.flatnonzero(np.diff(of[by])) + 1):
+        if len(part):
+            yield int(of[part[0]]), part
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], *key: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    rows = (tuple(x.as_py() for x in r) for b in batches for r in zip(*b.columns, strict=True))
+    for k, group in itertools.groupby(rows, lambda r: tuple(r[j] for j in key)):
+        yield k, list(group)
+
+
+def blocks(docs: DataFrame, size: int, buckets: int) -> DataFrame:
+    """Of each block of about ``size`` words of one language: a row with its words as numbers of its own, 0 between pieces, and to each
+    bucket a row with the words it owns, their numbers and counts."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {}
@@ -62,11 +100,10 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
             block, tokens, words = next(next_block), np.concatenate(held.pop(lang)), list(number.pop(lang))
             del total[lang]
             counts = np.bincount(tokens, minlength=len(words))
-            yield batch(_BLOCK, block=[block], lang=[lang], tokens=[tokens.tobytes()], local=[None], word=[None], count=[None])
-            for k in range(1, len(words), 20_000):
-                some = words[k : k + 20_000]
-                n = len(some)
-                yield batch(_BLOCK, block=[block] * n, lang=[lang] * n, tokens=[None] * n, local=range(k, k + n), word=some, count=counts[k : k + n])
+            yield _row(block, lang, STATE, _pack(tokens))
+            to = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words[1:]), np.int64, len(words) - 1)
+            for k, part in _parts(to):
+                yield _row(block, lang, k, _pack((part + 1).astype("<i4"), counts[part + 1].astype("<i8"), np.frombuffer(b" ".join([words[j + 1] for j in part.tolist()]), np.uint8)))
 
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -85,49 +122,101 @@ def blocks(docs: DataFrame, size: int) -> DataFrame:
         for lang in list(held):
             yield from emptied(lang)
 
-    return docs.mapInArrow(tidied(cut), _BLOCK_KIND)
-
-
-def _numbers(rows: pa.Array, field: str) -> np.ndarray:
-    """A field of a list of structs as numpy; null: none."""
-    return values(rows.values.field(field)) if rows.is_valid else np.zeros(0, np.int64)
-
-
-def ranked(counts: DataFrame, least: int, label: str) -> DataFrame:
-    """(lang, key, f, id) of the keys of counts (lang, key, count) that occur ``least`` times; id: place from 0 by frequency in its language."""
-    found = materialise(counts.groupBy("lang", "key").agg(F.sum("count").alias("f")).where(F.col("f") >= least), label)
-    return numbered(found, ["lang"], [F.col("f").desc(), F.col("key")], "id").select("lang", "key", "f", (F.col("id") - 1).alias("id"))
-
-
-def replies(asked: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """(block, found): of a block's keys (lang, block, key, name) those that are known, as (name, id)."""
-    return asked.join(known, ["lang", "key"]).groupBy("block").agg(F.collect_list(F.struct(name, "id")).alias("found"))
-
+    return docs.mapInArrow(tidied(cut), _KIND)
+
+
+def _ids(counts: np.ndarray, order: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Numbers of a bucket's keys: their rank by frequency (ties: order) among its own, dealt in turn with the other buckets'. So numbers are unique,
+    and rise as frequencies fall."""
+    by = np.lexsort((order, -counts))
+    ids = np.empty(len(by), np.int64)
+    ids[by] = np.arange(len(by)) * buckets + bucket
+    return ids
+
+
+def settled_words(asked: DataFrame, least: int, buckets: int) -> DataFrame:
+    """The buckets' answers: to each block the numbers of its words that occur ``least`` times in all blocks; those words with
+    their counts and numbers; and the count of all words, as a word of number -1."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, lang), rows in _grouped(batches, 2, 1):
+            total: dict[bytes, int] = defaultdict(int)
+            for _, _, _, packed in rows:
+                _, counts, words = _unpack(packed, "<i4 <i8 u1")
+                for w, c in zip(words.tobytes().split(b" "), counts.tolist(), strict=True):
+                    total[w] += c
+            known = sorted(w for w, c in total.items() if c >= least)
+            f = np.array([total[w] for w in known], np.int64)
+            number = dict(zip(known, _ids(f, np.arange(len(f)), bucket, buckets).tolist(), strict=True))
+            yield _row(None, lang, KNOWN, _pack(np.r_[f, sum(total.values())], np.r_[np.array(list(number.values()), np.int64), -1], np.frombuffer(b" ".join([*known, b"."]), np.uint8)))
+            for block, _, _, packed in rows:
+                local, _, words = _unpack(packed, "<i4 <i8 u1")
+                ids = np.fromiter((number.get(w, -1) for w in words.tobytes().split(b" ")), np.int32, len(local))
+                yield _row(block, lang, bucket, _pack(local[ids >= 0], ids[ids >= 0]))
+
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(tidied(settle), _KIND)
+
+
+def settled_pairs(asked: DataFrame, least: int, buckets: int) -> DataFrame:
+    """As ``settled_words``, for pairs."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, lang), rows in _grouped(batches, 2, 1):
+            parts = [_unpack(packed, "<i8 <i4") for _, _, _, packed in rows]
+            keys = [np.cumsum(k) for k, _ in parts]
+            key, of = np.unique(np.concatenate(keys), return_inverse=True)
+            f = np.zeros(len(key), np.int64)
+            np.add.at(f, of, np.concatenate([c for _, c in parts]))
+            key, f = key[f >= least], f[f >= least]
+            ids = _ids(f, key, bucket, buckets)
+            if len(key):
+                yield _row(None, lang, KNOWN, _pack(f, ids, key))
+                for (block, *_), own in zip(rows, keys, strict=True):
+                    at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                    hit = key[at] == own
+                    yield _row(block, lang, bucket, _pack(np.diff(own[hit], prepend=0), ids[at[hit]].astype("<i4")))
+
+    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket", "lang").mapInArrow(tidied(settle), _KIND)
+
+
+def _known(settled: DataFrame, words: bool) -> DataFrame:
+    """(lang, key, f, id) of the frequent words or pairs that buckets found."""
+    schema = pa.schema([("lang", pa.string()), ("key", pa.string() if words else pa.int64()), ("f", pa.int64()), ("id", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                f, ids, key = _unpack(packed.as_py(), "<i8 <i8 u1" if words else "<i8 <i8 <i8")
+                key = key.tobytes().decode().split(" ") if words else key
+                for k in range(0, len(f), 20_000):
+                    n = len(f[k : k + 20_000])
+                    yield batch(schema, lang=[lang] * n, key=key[k : k + n], f=f[k : k + n], id=ids[k : k + n])
 
-_LEVEL = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("words", pa.binary()), ("grams", pa.binary())])
-_LEVEL_KIND = "block long, lang string, words binary, grams binary"
+    return settled.where(f"bucket = {KNOWN}").select("lang", "packed").mapInArrow(tidied(rows), f"lang string, key {'string' if words else 'long'}, f long, id long")
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return x.astype(np.int32).tobytes()
+def _answered(states: DataFrame, settled: DataFrame, parts: int) -> DataFrame:
+    """Each block's row, then the answers to it."""
+    both = states.unionByName(settled.where("bucket >= 0"))
+    return both.repartition(parts, "block").sortWithinPartitions("block", "bucket")
 
 
-def encoded(tokens: DataFrame, found: DataFrame) -> DataFrame:
-    """Blocks with the ranks of their words, -1 for rare words and between pieces; grams of level 1 are the words."""
+def encoded(cut: DataFrame, settled: DataFrame, parts: int) -> DataFrame:
+    """Blocks with the numbers of their frequent words, -1 for rare words and between pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                block, lang, raw, reply = (c[k] for c in b.columns)
-                own = np.frombuffer(raw.as_py(), np.int32)
-                rank = np.full(int(own.max()) + 1, -1, np.int64)
-                rank[_numbers(reply, "local")] = _numbers(reply, "id")
-                words = rank[own]
-                live, keep = _kept(words >= 0, 0)
-                words = _packed(np.where(live, words, -1)[keep])
-                yield batch(_LEVEL, block=[block.as_py()], lang=[lang.as_py()], words=[words], grams=[words])
+        for (block,), rows in _grouped(batches, 0):
+            (own,) = _unpack(rows[0][3], "<i4")
+            rank = np.full(int(own.max()) + 1, -1, np.int32)
+            for _, _, _, packed in rows[1:]:
+                local, ids = _unpack(packed, "<i4 <i4")
+                rank[local] = ids
+            words = rank[own]
+            live, keep = _kept(words >= 0, 0)
+            words = np.where(live, words, -1)[keep].astype("<i4")
+            yield _row(block, rows[0][1], STATE, _pack(words, words[:0]))
 
-    return tokens.join(found, "block", "left").select("block", "lang", "tokens", "found").mapInArrow(tidied(run), _LEVEL_KIND)
+    return _answered(cut.where(f"bucket = {STATE}"), settled, parts).mapInArrow(tidied(run), _KIND)
 
 
 def _kept(live: np.ndarray, also: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,6 +226,12 @@ def _kept(live: np.ndarray, also: int) -> tuple[np.ndarray, np.ndarray]:
     return live, live | np.r_[False, live][:-1]
 
 
+def _level(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A block's words, and the grams that start at them; grams of one word are the words."""
+    words, grams = _unpack(packed, "<i4 <i4")
+    return words, grams if len(grams) else words
+
+
 def _pairs(words: np.ndarray, grams: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of grams of ``length`` words that may be extended by a word, those grams and those words.
 
@@ -147,78 +242,128 @@ def _pairs(words: np.ndarray, grams: np.ndarray, length: int) -> tuple[np.ndarra
     return at, grams[at].astype(np.int64), words[at + length].astype(np.int64)
 
 
-_ASKED = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("key", pa.int64()), ("count", pa.int64())])
+def _cells(lang: str, left: np.ndarray, right: np.ndarray, bits: int) -> np.ndarray:
+    key = (left << 32 | right).astype(np.uint64) + np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
+    return (_finish(key) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def counted(level: DataFrame, length: int) -> DataFrame:
-    """(block, lang, key, count) of the pairs (gram of ``length`` words, next word) of each block."""
+def common_cells(level: DataFrame, length: int, least: int, bits: int) -> bytes:
+    """A bitmap of the cells, of 2**bits that pairs are hashed to, that get at least ``least`` pairs.
+
+    A pair in another cell cannot be frequent. Tasks count up to ``least`` a cell and send what they have in segments, which are summed
+    one at a time; the result has 2**bits / 8 bytes.
+    """
+    segment = min(1 << 18, 1 << bits)
+    kind = np.uint8 if least <= 255 else np.uint32
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << bits, kind)
+        for b in batches:
+            for lang, packed in zip(b.column(1).to_pylist(), b.column(3), strict=True):
+                _, left, right = _pairs(*_level(packed.as_py()), length)
+                own = np.sort(_cells(lang, left, right, bits))
+                at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+                cells[own[at]] = np.minimum(cells[own[at]] + np.diff(np.r_[at, len(own)]), least)
+        for k in range(len(cells) // segment):
+            part = cells[k * segment : (k + 1) * segment]
+            if part.any():
+                yield _row(None, "", k, pa.compress(part.tobytes(), "zstd", asbytes=True))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(b.column(2).to_pylist(), b.column(3), strict=True))
+        for k, group in itertools.groupby(rows, lambda r: r[0]):
+            total = np.zeros(segment, np.int64)
+            for _, packed in group:
+                total += np.frombuffer(pa.decompress(packed.as_py(), segment * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+            yield _row(None, "", k, np.packbits(total >= least).tobytes())
+
+    sums = level.mapInArrow(tidied(count), _KIND).repartition((1 << bits) // segment, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(add), _KIND)
+    out = bytearray((1 << bits) // 8)
+    for r in sums.collect():
+        at = r.bucket * segment // 8
+        out[at : at + segment // 8] = r.packed
+    return bytes(out)
+
+
+def asked_pairs(level: DataFrame, length: int, bits: int, cells: bytes, buckets: int) -> DataFrame:
+    """To each bucket a row with the block's pairs (gram of ``length`` words, next word) that it owns, and their counts."""
+    shared = level.sparkSession.sparkContext.broadcast(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(shared.value, np.uint8)
         for b in batches:
             for k in range(b.num_rows):
-                block, lang, words, grams = (c[k].as_py() for c in b.columns)
-                _, left, right = _pairs(np.frombuffer(words, np.int32), np.frombuffer(grams, np.int32), length)
-                key, count = pair_counts(left, right)
-                for j in range(0, len(key), 50_000):
-                    n = len(key[j : j + 50_000])
-                    yield batch(_ASKED, block=np.full(n, block), lang=[lang] * n, key=key[j : j + n], count=count[j : j + n])
+                block, lang, _, packed = (c[k].as_py() for c in b.columns)
+                _, left, right = _pairs(*_level(packed), length)
+                cell = _cells(lang, left, right, bits)
+                may = (bitmap[cell >> 3] << (cell & 7).astype(np.uint8)) & 128 > 0
+                key, count = pair_counts(left[may], right[may])
+                by = np.argsort(key)
+                key, count = key[by], count[by]
+                for j, part in _parts((_finish(key.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+                    yield _row(block, lang, j, _pack(np.diff(key[part], prepend=0), count[part].astype("<i4")))
 
-    return level.mapInArrow(tidied(run), "block long, lang string, key long, count long")
+    return level.mapInArrow(tidied(run), _KIND)
 
 
-def extended(level: DataFrame, found: DataFrame, length: int) -> DataFrame:
+def extended(level: DataFrame, settled: DataFrame, length: int, parts: int) -> DataFrame:
     """Blocks with the grams of one word more; places that belong to none of them drop out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                block, lang, words, grams, reply = (c[k] for c in b.columns)
-                words, grams = (np.frombuffer(x.as_py(), np.int32) for x in (words, grams))
-                at, left, right = _pairs(words, grams, length)
-                key, number = _numbers(reply, "key"), _numbers(reply, "id")
-                by = np.argsort(key)
-                key, number, asked = key[by], number[by], left << 32 | right
-                place = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
-                hit = key[place] == asked if len(key) else np.zeros(len(asked), bool)
-                longer = np.full(len(words), -1, np.int64)
+        for (block,), rows in _grouped(batches, 0):
+            if len(rows) == 1:
+                continue  # no pair of the block is frequent
+            words, grams = _level(rows[0][3])
+            at, left, right = _pairs(words, grams, length)
+            found = [_unpack(r[3], "<i8 <i4") for r in rows[1:]]
+            key, number = np.concatenate([np.cumsum(k) for k, _ in found]), np.concatenate([n for _, n in found])
+            by = np.argsort(key)
+            key, number, pair = key[by], number[by], left << 32 | right
+            longer = np.full(len(words), -1, "<i4")
+            if len(key):
+                place = np.minimum(np.searchsorted(key, pair), len(key) - 1)
+                hit = key[place] == pair
                 longer[at[hit]] = number[place[hit]]
-                live, keep = _kept(longer >= 0, length)
-                yield batch(_LEVEL, block=[block.as_py()], lang=[lang.as_py()], words=[_packed(np.where(live, words, -1)[keep])], grams=[_packed(longer[keep])])
+            live, keep = _kept(longer >= 0, length)
+            if keep.any():
+                yield _row(block, rows[0][1], STATE, _pack(np.where(live, words, -1)[keep].astype("<i4"), longer[keep]))
 
-    return level.join(found, "block").select("block", "lang", "words", "grams", "found").mapInArrow(tidied(run), _LEVEL_KIND)
+    return _answered(level, settled, parts).mapInArrow(tidied(run), _KIND)
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, block: int = 1_000_000, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, block: int = 1_000_000, max_bits: int = 27, lang_col: str = "lang", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, m, f) of all phrases of up to ``longest`` words that occur at least ``least`` times in pieces, and
     (lang, n), the words of each language.
 
     Level 1 ranks the frequent words by frequency; level m + 1 counts pairs of a phrase of m words and the word after it, block by block in
-    tiles, sums them over all blocks, and ranks the frequent ones anew as the phrases of m + 1 words. A block asks for its own pairs only and
-    gets their ranks by a join, so that no task holds a dictionary of the whole corpus and nothing is broadcast by hand.
+    tiles, sums them over all blocks, and ranks the frequent ones anew as the phrases of m + 1 words. Blocks send keys and counts, packed, to
+    the buckets that own the keys, and get the numbers of the frequent ones back, so no task holds a dictionary of the whole corpus. Pairs in
+    hashed cells that get too few pairs in all are not sent; there are up to 2**max_bits cells (past that more pairs are sent, none is lost).
     """
+    spark = docs.sparkSession
     base = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("binary").alias("text"))
-    cut = materialise(blocks(base, block), "phrases-blocks")
-    own = cut.where("local is not null").select("block", "lang", "local", F.col("word").alias("key"), "count")
-    total = materialise(own.groupBy("lang").agg(F.sum("count").alias("n")), "phrases-words")
-    known = ranked(own, least, "phrases-1")
-    level = materialise(encoded(cut.where("local is null"), replies(own, known, "local")), "phrases-level-1", replaces=cut)
-    words = known.select("lang", F.col("id").alias("right"), F.col("key").cast("string").alias("word"))
-    named = [known.select("lang", "id", F.col("key").cast("string").alias("phrase"), "f")]
+    words = (base.agg(F.sum(F.length("text"))).first()[0] or 0) // 6  # enough to size tables by
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, words // 3_000_000)
+    bits = min(max_bits, max(16, math.ceil(math.log2(max(words, 1) / 16))))
+    cut = materialise(blocks(base, block, buckets), "phrases-blocks")
+    settled = materialise(settled_words(cut.where("bucket >= 0"), least, buckets), "phrases-1")
+    known = _known(settled, words=True)
+    level = materialise(encoded(cut, settled, parts), "phrases-level-1", replaces=cut)
+    total = known.where("id < 0").groupBy("lang").agg(F.sum("f").alias("n"))
+    vocabulary = materialise(known.where("id >= 0").select("lang", "id", F.col("key").alias("phrase"), "f"), "phrases-named-1")
+    named, last = [vocabulary], vocabulary.select("lang", F.col("id").alias("right"), F.col("phrase").alias("word"))
     for length in range(1, longest):
-        asked = materialise(counted(level, length), f"phrases-asked-{length + 1}")
-        known = ranked(asked, least, f"phrases-{length + 1}")
+        asked = asked_pairs(level, length, bits, common_cells(level, length, least, bits), buckets)
+        settled = materialise(settled_pairs(asked, least, buckets), f"phrases-{length + 1}")
         if length + 1 < longest:
-            grown = extended(level, replies(asked, known, "key"), length)
-            level = materialise(grown, f"phrases-level-{length + 1}", replaces=level)
-        parts = known.select("lang", "id", "f", F.shiftright("key", 32).alias("left"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("right"))
+            level = materialise(extended(level, settled, length, parts), f"phrases-level-{length + 1}", replaces=level)
+        pairs = _known(settled, words=False).select("lang", "id", "f", F.shiftright("key", 32).alias("left"), F.col("key").bitwiseAND(0xFFFFFFFF).alias("right"))
         before = named[-1].select("lang", F.col("id").alias("left"), F.col("phrase").alias("start"))
-        spelt = parts.join(before, ["lang", "left"]).join(words, ["lang", "right"])
+        spelt = pairs.join(before, ["lang", "left"]).join(last, ["lang", "right"])
         named.append(materialise(spelt.select("lang", "id", F.concat_ws(" ", "start", "word").alias("phrase"), "f"), f"phrases-named-{length + 1}"))
     every = [x.select("lang", "phrase", F.lit(m + 1).alias("m"), "f") for m, x in enumerate(named)]
-    out = every[0]
-    for x in every[1:]:
-        out = out.unionByName(x)
-    return out, total
+    return reduce(DataFrame.unionByName, every), total
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, absorbed: int = 100, block: int = 1_000_000, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -233,7 +378,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     Null texts have no words; a null language is ``und``. Rows without id and repeated rows count like all others; ids and further
     columns are not read. An empty table gives no rows.
     """
-    every, total = frequent_phrases(docs, least, longest, block, lang_col, text_col)
+    every, total = frequent_phrases(docs, least, longest, block, lang_col=lang_col, text_col=text_col)
     every = materialise(every, "phrases-all")
     long = every.where("m > 1").withColumn("w", F.split("phrase", " "))
     cuts = long.select("lang", "phrase", "w", "m", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("m") - 1)).alias("k"))
