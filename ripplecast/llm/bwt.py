@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import discard
 from .common import batch, materialise, tidied
 from .substring import _ODD, _finish
 
@@ -297,7 +298,10 @@ def merged(docs: DataFrame, length: int, shard_bytes: int, buckets: int) -> Data
         now = materialise(grown, f"bwt-depth-{depth + 1}", replaces=now if depth > 1 else None)
         depth += 1
     every = about.unionByName(now.where(f"bucket < {DOCS}")).repartition(shards, "shard").sortWithinPartitions("shard")
-    return every.mapInArrow(tidied(results), "key binary, places binary")
+    found = every.mapInArrow(tidied(results), "key binary, places binary").groupBy("key").agg(F.first("places").alias("places"))
+    found = materialise(found, "bwt-places", replaces=table)
+    discard(now)
+    return found
 
 
 def decided(raw: bytes, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -323,8 +327,8 @@ def decided(raw: bytes, places: np.ndarray, length: int) -> tuple[np.ndarray, np
 
 def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, buckets: int, at_once: int = 1_000_000) -> DataFrame:
     """(key, spans) of the texts (key, text) that have a window of ``length`` bytes which starts at another place too: the bytes covered."""
-    found = merged(docs, length, shard_bytes, buckets).groupBy("key").agg(F.first("places").alias("places"))
-    held_texts = docs.join(materialise(found, "bwt-places"), "key").select("key", "text", "places")
+    found = merged(docs, length, shard_bytes, buckets)
+    held_texts = docs.join(found, "key").select("key", "text", "places")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = itertools.count(TaskContext.get().partitionId() << 32)
@@ -375,9 +379,10 @@ def repeated_spans(docs: DataFrame, length: int, shard_bytes: int, buckets: int,
             for k in range(0, len(names), 1000):
                 yield pa.RecordBatch.from_arrays([pa.array(names[k : k + 1000], pa.binary()), pa.array(spans[k : k + 1000], pa.binary())], names=["key", "spans"])
 
-    table = materialise(held_texts.mapInArrow(tidied(ask), _KIND), "bwt-windows")
+    table = materialise(held_texts.mapInArrow(tidied(ask), _KIND), "bwt-windows", replaces=found)
     shards = max(table.where(f"bucket = {STATE}").count(), 1)
-    return exchanged(table, buckets, shards).mapInArrow(tidied(resolve), "key binary, spans binary")
+    spans = exchanged(table, buckets, shards).mapInArrow(tidied(resolve), "key binary, spans binary")
+    return materialise(spans.groupBy("key").agg(F.first("spans").alias("spans")), "bwt-spans", replaces=table)
 
 
 def _stretches(starts: np.ndarray) -> np.ndarray:
@@ -410,7 +415,6 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, shard_bytes: int =
     whole = base.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), whole // (32 << 20))
     spans = repeated_spans(named.where(F.length("text") >= length).select("key", "text"), length, shard_bytes, buckets)
-    spans = materialise(spans.groupBy("key").agg(F.first("spans").alias("spans")), "bwt-spans")
     last = "kept_sha256" if digest else "kept"
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
