@@ -31,24 +31,43 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
 
     Edges are those met while nodes nearer than max_depth are expanded. Each level is one join of the
     frontier with the edges and one anti-join with what was seen; levels are stored, so
-    their plans stay short. With max_nodes only the nearest nodes stay (ties by id), and edges between them.
+    their plans stay short. With max_nodes a snapshot visits the nearest nodes only (ties by id), the known ones of which stay, with the edges
+    between them. What a level may still add is carried from level to level: a task passes on no more than that many neighbours, even of
+    a hub, and expansion ends where nothing may be added.
     """
-    known = nodes.select("snapshot_id", "node_id")
+    key = ["snapshot_id", "node_id"]
+    known = nodes.select(*key)
     both = edges.select("snapshot_id", F.col("source_id").alias("node_id"), F.col("target_id").alias("other")).unionByName(edges.select("snapshot_id", F.col("target_id").alias("node_id"), F.col("source_id").alias("other")))
-    seen = stored(seeds.select("snapshot_id", "node_id").distinct().join(known, ["snapshot_id", "node_id"], "left_semi").withColumn("depth", F.lit(0)), "bfs")
+    by_id = W.partitionBy("snapshot_id").orderBy("node_id")
+
+    def within(new: DataFrame, seen: DataFrame | None) -> DataFrame:
+        """The first new nodes of each snapshot that it has room for; a dense rank under a constant is cut in each task, before the shuffle."""
+        if max_nodes is None:
+            return new.distinct()
+        new = new.withColumn("__n", F.dense_rank().over(by_id)).where(F.col("__n") <= max_nodes).select(*key).distinct()
+        if seen is not None:
+            room = seen.groupBy("snapshot_id").agg((max_nodes - F.count("*")).alias("__room"))
+            new = new.withColumn("__n", F.row_number().over(by_id)).join(room, "snapshot_id").where(F.col("__n") <= F.col("__room")).select(*key)
+        return new
+
+    seen = stored(within(seeds.select(*key).join(known, key, "left_semi"), None).withColumn("depth", F.lit(0)), "bfs")
     for depth in range(1, max_depth + 1):
-        front = seen.where(F.col("depth") == depth - 1)
-        new = both.join(front.select("snapshot_id", "node_id"), ["snapshot_id", "node_id"]).select("snapshot_id", F.col("other").alias("node_id")).distinct()
-        seen = stored(seen.unionByName(new.join(seen, ["snapshot_id", "node_id"], "left_anti").withColumn("depth", F.lit(depth))), "bfs", replaces=seen)
-    near = seen.where(F.col("depth") < max_depth).select("snapshot_id", "node_id")
+        front = seen.where(F.col("depth") == depth - 1).select(*key)
+        if max_nodes is not None:
+            open_ = seen.groupBy("snapshot_id").count().where(F.col("count") < max_nodes).select("snapshot_id")
+            front = front.join(open_, "snapshot_id", "left_semi")
+        if front.isEmpty():
+            break
+        new = both.join(front, key).select("snapshot_id", F.col("other").alias("node_id")).join(seen, key, "left_anti")
+        seen = stored(seen.unionByName(within(new, seen).withColumn("depth", F.lit(depth))), "bfs", replaces=seen)
+    near = seen.where(F.col("depth") < max_depth).select(*key)
     met = edges.join(near.withColumnRenamed("node_id", "source_id"), ["snapshot_id", "source_id"], "left_semi").unionByName(edges.join(near.withColumnRenamed("node_id", "target_id"), ["snapshot_id", "target_id"], "left_semi"), allowMissingColumns=True)
-    met = met.groupBy("snapshot_id", "source_id", "target_id", "edge_type").agg(F.max("weight").alias("weight"))
-    found = seen.join(known, ["snapshot_id", "node_id"], "left_semi")
+    found = seen.join(known, key, "left_semi")
     if max_nodes is not None:
-        found = found.withColumn("__n", F.row_number().over(W.partitionBy("snapshot_id").orderBy("depth", "node_id"))).where(F.col("__n") <= max_nodes).drop("__n")
         found = stored(found, "bfs-cut")
         for end in ("source_id", "target_id"):
             met = met.join(found.select("snapshot_id", F.col("node_id").alias(end)), ["snapshot_id", end], "left_semi")
+    met = met.groupBy("snapshot_id", "source_id", "target_id", "edge_type").agg(F.max("weight").alias("weight"))
     return found, met.select("snapshot_id", "source_id", "target_id", "edge_type", "weight")
 
 

@@ -339,7 +339,7 @@ def _r2_edges(s, d):
     return _reach(s, d)[1].drop("snapshot_id")
 
 
-@query("r2_nearest_500", f"WITH {REACH}, k AS (SELECT node_id, depth, row_number() OVER (ORDER BY depth, node_id) AS n FROM f) SELECT 'node' AS what, node_id AS a, CAST(depth AS STRING) AS b FROM k WHERE n <= 500 UNION ALL SELECT 'edge', source_id, target_id FROM m WHERE source_id IN (SELECT node_id FROM k WHERE n <= 500) AND target_id IN (SELECT node_id FROM k WHERE n <= 500)")
+@query("r2_nearest_500", f"WITH {REACH}, k AS (SELECT * FROM (SELECT node_id, depth, row_number() OVER (ORDER BY depth, node_id) AS n FROM s2) v WHERE node_id IN (SELECT node_id FROM {{nodes}})) SELECT 'node' AS what, node_id AS a, CAST(depth AS STRING) AS b FROM k WHERE n <= 500 UNION ALL SELECT 'edge', source_id, target_id FROM m WHERE source_id IN (SELECT node_id FROM k WHERE n <= 500) AND target_id IN (SELECT node_id FROM k WHERE n <= 500)")
 def _r2_cut(s, d):
     nodes, edges = _reach(s, d, 500)
     return nodes.select(F.lit("node").alias("what"), F.col("node_id").alias("a"), F.col("depth").cast("string").alias("b")).unionByName(edges.select(F.lit("edge").alias("what"), F.col("source_id").alias("a"), F.col("target_id").alias("b")))

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.storage import shared_dir
+from ..functions.storage import shared_dir, stored
 from ..operators import graph as R
 from ..operators import history as H
 from ..operators import metrics as M
 from ..operators import reviewers as W
 from ..operators import risk as K
+from ..operators import training as J
 from ..operators import vectors as V
 from ..sources.versions import read
 from ..streaming import events as T
@@ -179,6 +180,21 @@ def _k12(s, d):
     return K.trained(_learnable(s, d))
 
 
+@query("k12_joint_network")
+def _k12_joint(s, d):
+    """A sample a change: its files and their directories, joined both ways; renamed files are the affected ones."""
+    files = sql(s, d, "SELECT change_id AS snapshot_id, path, regexp_extract(path, '^(.*)/', 1) AS dir, max(added) AS added, max(deleted) AS deleted, max(CASE WHEN change_type = 'deleted' THEN 1 ELSE 0 END) AS gone, max(CASE WHEN change_type = 'renamed' THEN 1 ELSE 0 END) AS renamed FROM {changed_files} GROUP BY change_id, path")
+    files, one, zero = stored(files, "sample-files"), F.lit(1.0), F.lit(0.0)
+    own = files.select("snapshot_id", F.col("path").alias("node_id"), F.array(one, F.col("added") / 50, F.col("deleted") / 20, F.col("gone") * 1.0, one).alias("vector"), F.lit(True).alias("is_file"), (F.col("renamed") * 1.0).alias("target"))
+    dirs = files.select("snapshot_id", "dir").distinct().select("snapshot_id", F.col("dir").alias("node_id"), F.array(zero, zero, zero, zero, one).alias("vector"), F.lit(False).alias("is_file"), zero.alias("target"))
+    nodes = own.unionByName(dirs)
+    up = files.select("snapshot_id", F.col("path").alias("source_id"), F.col("dir").alias("target_id"))
+    edges = up.unionByName(up.select("snapshot_id", F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id")))
+    labels = _learnable(s, d).select(F.col("change_id").alias("snapshot_id"), "split", F.array(*[F.col(f"f_{n}") for n in K.FEATURES[:4]]).alias("history"), "risk_label", F.col("is_regression").cast("double").alias("regression_label"))
+    graphs = J.pack_graphs(nodes.select("snapshot_id", "node_id", "vector"), edges, nodes.select("snapshot_id", "node_id", "is_file", "target"), labels)
+    return J.predict_graphs(graphs, J.train_network(graphs, epochs=15, rate=0.02))
+
+
 @query("k12_trained_nodes")
 def _k12_nodes(s, d):
     nodes, edges = fixture(s, d, "nodes"), fixture(s, d, "edges")

@@ -98,7 +98,7 @@ FROM {changed_files} GROUP BY change_id
 
 MATCHES = """
 SELECT o_orderkey AS change_id, vec_id, concat('commit ', vec_id) AS sha, round(abs(CAST(embedding[1] AS DOUBLE)) * 2, 4) AS similarity, vec_id % 7 = 0 AS is_regression, (vec_id * 31 + o_orderkey) % 97 AS place
-FROM {orders} JOIN {embeddings} ON vec_id // 5 = o_orderkey // 50
+FROM (SELECT o_orderkey, o_orderkey // 50 % (SELECT CAST(floor(count(*) / 5) AS BIGINT) FROM {embeddings}) AS grp FROM {orders}) o JOIN {embeddings} ON vec_id // 5 = grp
 """
 
 PREDICTIONS = """

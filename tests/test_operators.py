@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 from conftest import SF
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ripplecast.functions import columns as C
@@ -128,6 +129,19 @@ def test_subgraph_of_three_and_its_cut(spark):
         assert ("".join(sorted(r.node_id for r in found.collect())), met.count()) == want
 
 
+def test_a_hub_sends_no_more_than_the_budget(spark):
+    """A hub of many neighbours: the nearest stay, and what a level passes on to its ranking is cut in the tasks."""
+    n = 20_000
+    nodes = spark.range(n).select(F.lit(0).alias("snapshot_id"), F.format_string("n%05d", "id").alias("node_id"))
+    edges = spark.range(1, n).select(F.lit(0).alias("snapshot_id"), F.lit("n00000").alias("source_id"), F.format_string("n%05d", "id").alias("target_id"), F.lit("call").alias("edge_type"), F.lit(1.0).alias("weight"))
+    edges = edges.unionByName(edges.limit(1).select("snapshot_id", F.lit("n00001").alias("source_id"), F.lit("n19999").alias("target_id"), "edge_type", "weight"))
+    seeds = spark.createDataFrame([(0, "n00000")], "snapshot_id int, node_id string")
+    found, met = R.subgraph(nodes, edges, seeds, 5, 50)
+    assert sorted(r.node_id for r in found.collect()) == [f"n{k:05d}" for k in range(50)] and met.count() == 49
+    ranked = nodes.withColumn("k", F.dense_rank().over(Window.partitionBy("snapshot_id").orderBy("node_id"))).where("k <= 50")
+    assert "WindowGroupLimit" in ranked._jdf.queryExecution().toString()
+
+
 def test_network_matches_numpy(spark):
     rng = np.random.default_rng(1)
     vectors = {(g, n): rng.normal(size=3) for g in (0, 1) for n in "abcd"}
