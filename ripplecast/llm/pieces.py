@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,6 +26,7 @@ _STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 _BASE = np.uint64(0x100000001B3)
 _FILTER_BITS = 20
+_FEW = 4  # chunks that are better taken one by one
 _UNIT = 2.0**28  # of a probability: coarse enough that rounding of sums can't move a draw
 
 
@@ -151,19 +153,12 @@ class Lattices:
             found.append((row, at, at + 1, v.of_byte[x[row, at]], np.full(len(row), -self.alpha * np.log(len(v.hashes) + 2.0))))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def _filter(self, chunks: list[bytes]) -> None:
-        """The summed weight of all segmentations up to each place, in logarithms, and each edge's share of it."""
-        x, sizes = _padded(chunks)
-        row, start, end, piece, weight = self._lattice(x, sizes)
-        by = np.lexsort((start, row, end))
-        row, start, end, piece, weight = row[by], start[by], end[by], piece[by], weight[by]
-        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (end[1:] != end[:-1])])
-        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(row)]))
-        total = np.zeros((len(chunks), x.shape[1] + 1))
-        node = np.zeros((len(chunks), x.shape[1] + 1), np.int64)
-        node[row[first], end[first]] = self.nodes + 1 + np.arange(len(first))
+    @staticmethod
+    def _shares(first: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Each edge's share of its node's weight, for all chunks at once, place by place; total gets the weights of all places."""
         share = np.zeros(len(row))
-        cuts = np.searchsorted(end[first], np.arange(1, x.shape[1] + 2))
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(row)]))
+        cuts = np.searchsorted(end[first], np.arange(1, total.shape[1] + 1))
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # nodes of one end
             if a == z:
                 continue
@@ -175,6 +170,40 @@ class Lattices:
             mass = np.add.reduceat(odds, heads)
             total[row[first[a:z]], end[first[a:z]]] = top + np.log(mass)
             share[e:f] = odds / mass[own]
+        return share
+
+    @staticmethod
+    def _shares_one_by_one(first: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """The same for a few long chunks, where a place has too few edges to be worth an array: a few microseconds a byte."""
+        share = [0.0] * len(row)
+        bounds, own, ends, sums = np.r_[first, len(row)].tolist(), row[first].tolist(), end[first].tolist(), total.tolist()
+        starts, weights = start.tolist(), weight.tolist()
+        for r, at, e, f in zip(own, ends, bounds[:-1], bounds[1:], strict=True):  # nodes by their end
+            so_far = sums[r]
+            value = [so_far[s] + w for s, w in zip(starts[e:f], weights[e:f], strict=True)]
+            top = max(value)
+            odds = [math.exp(x - top) for x in value]
+            mass = math.fsum(odds)
+            so_far[at] = top + math.log(mass)
+            for k, x in enumerate(odds, e):
+                share[k] = x / mass
+        return np.array(share)
+
+    def _filter(self, chunks: list[bytes]) -> None:
+        """The summed weight of all segmentations up to each place, in logarithms, and each edge's share of it."""
+        x, sizes = _padded(chunks)
+        row, start, end, piece, weight = self._lattice(x, sizes)
+        by = np.lexsort((start, row, end))
+        row, start, end, piece, weight = row[by], start[by], end[by], piece[by], weight[by]
+        first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (end[1:] != end[:-1])])
+        of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(row)]))
+        total = np.zeros((len(chunks), x.shape[1] + 1))
+        node = np.zeros((len(chunks), x.shape[1] + 1), np.int64)
+        node[row[first], end[first]] = self.nodes + 1 + np.arange(len(first))
+        if len(chunks) <= _FEW:
+            share = self._shares_one_by_one(first, row, start, end, weight, total)
+        else:
+            share = self._shares(first, row, start, end, weight, total)
         by = np.lexsort((-share, of))
         run, piece, before = share[by], piece[by], node[row, start][by].astype(np.int32)
         order = np.arange(len(row)) - first[of]
@@ -211,7 +240,14 @@ class Lattices:
         place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         state = np.repeat(np.array(seeds, np.uint64), sizes) + place.astype(np.uint64) * _STEPS[0]
         live, drawn, lengths = np.arange(len(at)), [], np.zeros(len(at), np.int64)
+        alone: list[tuple[int, int, list[int]]] = []  # chunk, steps before, pieces
         while len(live):
+            if len(live) <= _FEW:
+                for c in live.tolist():
+                    ids = _drawn(int(state[c]), int(at[c]), cumulated, piece, before, first)
+                    alone.append((c, len(drawn), ids))
+                    lengths[c] += len(ids)
+                break
             state[live] += _STEPS[1]
             u = state[live]
             u = (u ^ (u >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -230,6 +266,9 @@ class Lattices:
         out = np.empty(int(last[-1]) if len(last) else 0, np.int32)
         for step, (rows, ids) in enumerate(drawn):  # drawn from the end backwards
             out[last[rows] - 1 - step] = ids
+        for c, step, ids in alone:
+            end = int(last[c]) - step
+            out[end - len(ids) : end] = ids[::-1]
         upto = np.r_[0, last][np.cumsum(np.r_[0, sizes])] if len(last) else np.zeros(len(sizes) + 1, np.int64)
         return [out[a:z] for a, z in zip(upto[:-1], upto[1:], strict=True)]
 
@@ -237,6 +276,22 @@ class Lattices:
         return b"".join(map(self.pieces.table.__getitem__, ids.tolist()))[1:]
 
 
+def _drawn(state: int, at: int, cumulated: np.ndarray, piece: np.ndarray, before: np.ndarray, first: np.ndarray) -> list[int]:
+    """The pieces of one chunk from its end backwards, drawn as ``Lattices.encode`` draws those of many."""
+    ids, whole = [], (1 << 64) - 1
+    while at > 0:
+        state = (state + int(_STEPS[1])) & whole
+        u = (state ^ (state >> 30)) * 0xBF58476D1CE4E5B9 & whole
+        u = (u ^ (u >> 27)) * 0x94D049BB133111EB & whole
+        draw = ((u ^ (u >> 31)) >> 36) / _UNIT
+        edge = int(first[at])
+        while cumulated[edge] <= draw:
+            edge += 1
+        ids.append(int(piece[edge]))
+        at = int(before[edge])
+    return ids
+
+
 @cache
 def _lattices(path: str, alpha: float, cache_nodes: int = 300_000) -> Lattices:
     """One a worker process, so that tasks share what is filtered."""
