@@ -425,6 +425,44 @@ def _r11(s, d):
     return rows.select(*[C.rounded(F.col("vector")[i]).alias(f"m{i}") for i in range(4)])
 
 
+#: A small network with weights from a seed, and its layers and node head as SQL over columns v0, v1 ...
+NET = R.seeded_network(4, hidden=3, out=2, layers=2, seed=5)
+
+
+def _weighted(names: str, w, j: int) -> str:
+    return " + ".join(f"{names}{i} * ({float(w[i, j])!r})" for i in range(len(w)))
+
+
+def _network_sql() -> str:
+    parts = [f"x0 AS (SELECT node_id, vector[1] AS v0, vector[2] AS v1, vector[3] AS v2, vector[4] AS v3 FROM ({VECTORS}) v)"]
+    for k, (own, other, bias, scale, shift) in enumerate(NET.layers):
+        width = len(own)
+        means = ", ".join(f"avg(v{i}) AS m{i}" for i in range(width))
+        parts.append(f"m{k} AS (SELECT target_id AS node_id, {means} FROM {{edges}} JOIN x{k} ON node_id = source_id GROUP BY target_id)")
+        both = ", ".join(f"v{i}, coalesce(m{i}, 0) AS m{i}" for i in range(width))
+        parts.append(f"b{k} AS (SELECT node_id, {both} FROM x{k} LEFT JOIN m{k} USING (node_id))")
+        out = ", ".join(f"greatest(({_weighted('v', own, j)} + {_weighted('m', other, j)} + ({float(bias[j])!r})) * ({float(scale[j])!r}) + ({float(shift[j])!r}), 0) AS v{j}" for j in range(own.shape[1]))
+        parts.append(f"x{k + 1} AS (SELECT node_id, {out} FROM b{k})")
+    w1, b1, w2, b2 = NET.node
+    hidden = ", ".join(f"greatest({_weighted('v', w1, j)} + ({float(b1[j])!r}), 0) AS h{j}" for j in range(w1.shape[1]))
+    return f"WITH {', '.join(parts)}, h AS (SELECT node_id, {hidden} FROM x{len(NET.layers)}) SELECT node_id, round({_weighted('h', w2, 0)} + ({float(b2[0])!r}), 6) AS logit FROM h"
+
+
+@query("r12_node_logits", _network_sql())
+def _r12_logits(s, d):
+    logits, _ = R.network_scores(sql(s, d, VECTORS), fixture(s, d, "edges"), NET)
+    return logits.select("node_id", C.rounded(F.col("logit")).alias("logit"))
+
+
+LOGITS = "SELECT snapshot_id, node_id, (length(node_id) % 7 - 3) * 0.5E0 AS logit FROM {nodes}"
+
+
+@query("k7_ranked_files", f"SELECT file_path, round(1 / (1 + exp(-logit)), 6) AS p, round(least(abs(logit), 1), 6) AS importance, row_number() OVER (ORDER BY logit DESC, node_id) AS rank FROM ({LOGITS}) l JOIN (SELECT node_id, file_path FROM {{nodes}} WHERE node_type = 'file') f USING (node_id) QUALIFY rank <= 10")
+def _k7(s, d):
+    rows = R.ranked_files(fixture(s, d, "nodes"), sql(s, d, LOGITS))
+    return rows.select("file_path", C.rounded(F.col("p")).alias("p"), C.rounded(F.col("importance")).alias("importance"), "rank")
+
+
 @query("r12_k7_network_files")
 def _r12(s, d):
     logits, _ = R.network_scores(sql(s, d, VECTORS), fixture(s, d, "edges"), R.seeded_network(4))
