@@ -209,7 +209,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, length: int, item_col: str, it
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], length: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_bits: int = 27, small: int = 100_000) -> DataFrame:
-    """Columns ``keep`` of each row with struct ``found``: (n_words, n_hit, items, contaminated).
+    """Columns ``keep`` of each row with struct ``found``: (n_words, n_hit, items, contaminated). Where keep holds a column ``found``, the
+    struct's name gets as many underscores behind it as it takes to be another.
 
     Words are runs of ASCII letters (folded), digits and non-ASCII characters. A window is
     ``length`` consecutive words of an item, or all of a shorter item. A document word inside
@@ -234,7 +235,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], length
     met = rows.join(found, "key", "left")
     none = F.array().cast("array<string>")
     out = F.struct(F.col("seen.n_words").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"), F.col("n_hit").isNotNull().alias("contaminated"))
-    return met.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], out.alias("found"))
+    name = "found"
+    while name in keep:
+        name += "_"
+    return met.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], out.alias(name))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, length: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_bits: int = 27, small: int = 1_000_000) -> DataFrame:

@@ -251,6 +251,64 @@ def test_piece_sampling_follows_the_lattice():
     assert all(abs(drawn[p] / 40_000 - math.exp(w) / total) < 0.015 for p, w in paths)
 
 
+def plain_pieces(known, text, seed):
+    """One text's pieces by plain loops: forward weights of each chunk, then draws from its end backwards."""
+    out, step, step0, whole = [], 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, (1 << 64) - 1
+    longest = max(map(len, known[0]))
+    for place, chunk in enumerate(re.findall(rb" +[^ \n]*|\n|[^ \n]+", b" " + text) if text else []):
+        edges, start = [[] for _ in range(len(chunk) + 1)], 0
+        while start < len(chunk):
+            wide = 1 + sum(chunk[start] >= b for b in (0xC0, 0xE0, 0xF0))
+            hits = [(start + n, *known[0][chunk[start : start + n]]) for n in range(1, longest + 1) if start + n <= len(chunk) and chunk[start : start + n] in known[0]]
+            for end, i, rank in hits:
+                edges[end].append((start, i, -math.log(rank + 2.0)))
+            if not any(end == start + wide for end, *_ in hits):
+                for k in range(start, start + wide):
+                    edges[k + 1].append((k, known[1][chunk[k]], -math.log(len(known[0]) + 2.0)))
+            start += wide
+        total, cumulated = [0.0] * (len(chunk) + 1), [[]] * (len(chunk) + 1)
+        for end in range(1, len(chunk) + 1):
+            if not edges[end]:
+                continue
+            own = sorted(edges[end])
+            value = [total[s] + w for s, _, w in own]
+            top = max(value)
+            odds = [math.exp(v - top) for v in value]
+            total[end] = top + math.log(sum(odds))
+            ranked = sorted(range(len(own)), key=lambda k: -odds[k])
+            upto = list(itertools.accumulate(odds[k] / sum(odds) for k in ranked))
+            cumulated[end] = [(math.floor(min(1.0 if n == len(ranked) - 1 else upto[n], 1) * 2**28) / 2**28, own[k]) for n, k in enumerate(ranked)]
+        state, at, ids = (seed + place * step0) & whole, len(chunk), []
+        while at:
+            state = (state + step) & whole
+            u = (state ^ (state >> 30)) * 0xBF58476D1CE4E5B9 & whole
+            u = (u ^ (u >> 27)) * 0x94D049BB133111EB & whole
+            draw = ((u ^ (u >> 31)) >> 36) / 2**28
+            at, i, _ = next(e for c, e in cumulated[at] if c > draw)
+            ids.append(i)
+        out += ids[::-1]
+    return out
+
+
+def test_op2_matches_plain_loops(spark, odd):
+    """The registered query, with its larger cache and slices, and a long text without a space."""
+    v = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    known = (v.known, v.of_byte.tolist())
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: (r.n_pieces, r.ids_crc32, r.lossless) for r in queries.op2_sentencepiece(spark, SF).collect()}
+    assert len(got) == len(docs)
+    for r in docs[:60]:
+        ids = plain_pieces(known, (r.text or "").encode(), xxhash.xxh64_intdigest(str(r.doc_id).encode(), 0))
+        assert got[r.doc_id] == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+    blob = "".join("abcdefghijklmnopqrstuvwxyzżä😀"[k * k % 29] for k in range(30_000))
+    frame = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(77, blob)], "doc_id long, text string"))
+    rows = frame.collect()
+    for shape in ({}, {"cache_nodes": 10, "at_once": 1}):
+        found = collections.Counter((r.doc_id, tuple(r.pieces)) for r in pieces.encode(frame, **shape).collect())
+        want = [(r.doc_id, tuple(plain_pieces(known, (r.text or "").encode(), xxhash.xxh64_intdigest(str(r.doc_id).encode(), 0)))) for r in rows]
+        assert found == collections.Counter(want)
+
+
 # 3
 
 
@@ -287,7 +345,7 @@ def test_decontamination_keeps_columns(spark, odd, none):
     assert decontam.drop_contaminated(odd, bench.where("false")).count() == len(ODD)
     assert decontam.drop_contaminated(odd, bench, small=0).count() == len(ODD) - 1
     own = decontam.contamination(odd, bench, ["found", "key", "n_hit", "text"])
-    assert own.columns == ["found", "key", "n_hit", "text", "found"] and own.toDF("a", "b", "c", "d", "e").where("e.contaminated").count() == 1
+    assert own.columns == ["found", "key", "n_hit", "text", "found_"] and own.where("found_.contaminated").count() == 1
 
 
 # 4
@@ -692,4 +750,35 @@ def test_pipeline_stages(spark, odd, docs):
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, odd, SF).columns == odd.columns, name
     assert corpus_pipeline.sentencepiece(spark, odd, SF).count() == len(ODD)
-    assert hashlib is not None
+
+
+def test_pipeline_rows_match_plain_python(spark, docs):
+    """Each stage on all that the one before kept: rejected scores, one of each class of near copies, no window of an item."""
+    stages = dict(corpus_pipeline.STAGES)
+    scores = {r.doc_id: r.score for r in queries.op7_quality(spark, SF).collect()}
+    good = corpus_pipeline.materialise(stages["quality_classifier"](spark, docs, SF), "test-good")
+    assert {r.doc_id for r in good.select("doc_id").collect()} == {i for i, s in scores.items() if s >= 0.3}
+    lines = corpus_pipeline.materialise(stages["line_dedup"](spark, good, SF), "test-lines")
+    assert lines.count() == good.count()
+    texts = {r.doc_id: r.text for r in lines.collect()}
+    sets = {i: set(simhash.shingles((t or "").encode(), 5).tolist()) for i, t in texts.items()}
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    parent = {i: i for i in sets}
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in near:
+        parent[max(top(a), top(b))] = min(top(a), top(b))
+    one = corpus_pipeline.materialise(stages["simhash_near_dedup"](spark, lines, SF), "test-one")
+    kept = [r.doc_id for r in one.select("doc_id").collect()]
+    assert len(near) > 3 and sorted(map(top, kept)) == sorted(set(map(top, sets)))
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
+    items = [split(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + 10]) for w in items for k in range(max(len(w) - 10, 0) + 1) if w}
+    sizes = {len(w) for w in windows}
+    clean = {i for i in kept for w in [split(texts[i])] if not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))}
+    got = {r.doc_id for r in stages["benchmark_decontamination"](spark, one, SF).select("doc_id").collect()}
+    assert got == clean and clean < set(kept)
