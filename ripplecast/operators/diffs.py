@@ -52,6 +52,19 @@ def _file(section: Column) -> Column:
     )
 
 
+def broken_hunks(diff: Column) -> Column:
+    """Whether a hunk of a diff has fewer lines of either side than its header says, or a header that says nothing."""
+    header = r"^@@ -\d+(?:,(\d+))? \+\d+(?:,(\d+))? @@"
+
+    def short(hunk: Column) -> Column:
+        head, lines = F.substring_index(hunk, "\n", 1), F.slice(F.split(hunk, "\n"), 2, 1 << 30)
+        said = lambda k: F.coalesce(F.nullif(F.regexp_extract(head, header, k), F.lit("")).cast("int"), F.lit(1))
+        held = lambda mark: F.size(F.filter(lines, lambda x: (x == "") | x.startswith(" ") | x.startswith(mark)))
+        return ~head.rlike(header) | (held("-") < said(1)) | (held("+") < said(2))
+
+    return F.exists(F.flatten(F.transform(_sections(diff), lambda x: F.slice(F.split(x, r"\n(?=@@ )"), 2, 1 << 30))), short)
+
+
 def diff_lines(diffs: DataFrame) -> DataFrame:
     """A1: (change_id, line_no, file_ord, hunk_ord, kind, text, file) of diffs (change_id, diff); blank diffs give no rows.
 

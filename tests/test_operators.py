@@ -249,13 +249,13 @@ def test_trained_models(spark):
 
 
 def test_failed_and_blank_changes(spark):
-    pending = spark.createDataFrame([(1, 1, DIFF), (2, 1, ""), (3, 2, "@@ -1 +1 @@\n-x\n+y"), (4, 2, None)], "change_id long, repository_id int, diff string")
+    pending = spark.createDataFrame([(1, 1, DIFF), (2, 1, ""), (3, 2, "@@ -1 +1 @@\n-x\n+y"), (4, 2, None), (5, 1, DIFF + "\ndiff --git a/c.py b/c.py\n--- a/c.py\n+++ b/c.py\n@@ -1,5 +1,5 @@\n-x\n+y")], "change_id long, repository_id int, diff string")
     points = spark.createDataFrame([(7, 1, "commit", 7, "f" * 40, "m", True, [1.0] * 8), (8, 1, "issue", 8, None, "t", False, [1.0] * 8)], "vec_id long, repository_id int, entity_type string, entity_id long, commit_sha string, title string, is_regression boolean, embedding array<double>")
     files = spark.createDataFrame([(1, "a.py"), (1, "z.py")], "repository_id int, path string")
     profiles = spark.createDataFrame([(1, 5, "ann", "a.py", 0.5), (2, 6, "bob", "", 0.9)], "repository_id int, user_id long, username string, expertise_area string, ownership_score double")
     own = spark.createDataFrame([(1, 5, "b.py", 1.0)], "repository_id int, user_id long, path string, weight double")
     got = {r.change_id: r for r in P.predict(pending, points, files, profiles, own, dims=8).collect()}
-    assert (got[3].status, got[3].error) == ("failed", "Invalid unified diff") and [got[k].status for k in (1, 2, 4)] == ["completed"] * 3
+    assert [(got[k].status, got[k].error) for k in (3, 5)] == [("failed", "Invalid unified diff")] * 2 and [got[k].status for k in (1, 2, 4)] == ["completed"] * 3
     assert sorted(f.path for f in got[1].affected_files) == ["a.py", "b.py", "z.py"] and got[1].suggested_reviewers[0].username == "ann"
     assert got[1].similar_commits[0].sha == "f" * 40 and got[1].similar_bugs[0].title == "t" and "1 similar past commit(s)" in got[1].risk_text
     assert got[4].affected_files is None and got[4].similar_commits is None and json.loads(got[1].context)["diff_summary"]["added_lines"] == 2
