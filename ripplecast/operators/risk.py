@@ -61,6 +61,14 @@ def graph_score(rows: DataFrame, has_graph: bool | Column = True) -> DataFrame:
     return rows.withColumns({"graph_risk": risk, "graph_p": F.least(risk / 100 + 0.2 * ratio, F.lit(0.95)), "graph_confidence": F.when(F.lit(has_graph) if isinstance(has_graph, bool) else has_graph, 0.55).otherwise(0.35)})
 
 
+def learned_score(rows: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Rows of ``graph_score`` with the scores of a trained network in their place, for changes that graphs (change_id, risk,
+    regression_logit, confidence; as ``graph.network_scores`` gives them) has."""
+    own = graphs.select("change_id", C.clip(F.col("risk"), 0, 100).alias("__risk"), (1 / (1 + F.exp(-F.col("regression_logit")))).alias("__p"), C.clip(F.col("confidence"), 0, 1).alias("__confidence"))
+    both = rows.join(own, "change_id", "left")
+    return both.withColumns({f"graph_{n}": F.coalesce(f"__{n}", f"graph_{n}") for n in ("risk", "p", "confidence")}).drop("__risk", "__p", "__confidence")
+
+
 def _variance(columns: list[Column]) -> Column:
     mean = sum(columns[1:], columns[0]) / len(columns)
     squares = [(c - mean) * (c - mean) for c in columns]

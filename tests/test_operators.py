@@ -261,6 +261,19 @@ def test_failed_and_blank_changes(spark):
     assert got[4].affected_files is None and got[4].similar_commits is None and json.loads(got[1].context)["diff_summary"]["added_lines"] == 2
 
 
+def test_a_trained_network_takes_the_place_of_the_heuristic(spark):
+    pending = spark.createDataFrame([(1, 1, DIFF), (2, 1, DIFF)], "change_id long, repository_id int, diff string")
+    none = lambda kind: spark.createDataFrame([], kind)
+    points = none("vec_id long, repository_id int, entity_type string, entity_id long, commit_sha string, title string, is_regression boolean, embedding array<double>")
+    graphs = spark.createDataFrame([(1, 77.0, 0.0, 0.9)], "change_id long, risk double, regression_logit double, confidence double")
+    files = spark.createDataFrame([(1, "hit.py", 0.8, 1.0, 1), (1, "a.py", 0.3, 0.5, 2)], "change_id long, path string, p double, importance double, rank int")
+    profiles, own = none("repository_id int, user_id long, username string, expertise_area string, ownership_score double"), none("repository_id int, user_id long, path string, weight double")
+    got = {r.change_id: r for r in P.predict(pending, points, none("repository_id int, path string"), profiles, own, dims=8, learned=(graphs, files)).collect()}
+    assert "GNN contributed 77.0" in got[1].risk_text and "GNN contributed 77.0" not in got[2].risk_text
+    assert [f.path for f in got[1].affected_files] == ["hit.py", "a.py"] and "hit.py" not in [f.path for f in got[2].affected_files]
+    assert json.loads(got[1].context)["ml_predictions"]["gnn_regression_probability"] == 0.5 and got[1].confidence > got[2].confidence
+
+
 def test_reviewers_by_hand(spark):
     """Profiles of another repository do not compete; exact scores rank."""
     profiles = spark.createDataFrame([(1, 1, "alice", "src", 0.8), (1, 2, "bob", "docs", 0.3), (2, 3, "eve", "src", 1.0)], "repository_id int, user_id long, username string, expertise_area string, ownership_score double")
