@@ -13,9 +13,9 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.storage import numbered
 from .common import batch, materialise, tidied
 from .substring import _finish
 
@@ -394,5 +394,5 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     inner = inner.groupBy("lang", F.array_join(F.slice("w", F.col("from"), F.col("size")), " ").alias("phrase")).agg(F.max("f").alias("longer"))
     alone = best.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < absorbed * F.col("a")))
     rows = alone.select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    placed = numbered(rows, ["lang"], [F.col("score").desc(), F.col("a").desc(), F.col("phrase")], "rank")  # by ranges: a language may have most of all candidates
+    return placed.where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
