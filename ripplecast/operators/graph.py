@@ -7,14 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.storage import bucketed, numbered, stored
+from ..functions.storage import bucketed, discard, numbered, stored
 
 NODE_TYPES = ("file", "class", "function", "module", "service")
 
@@ -182,25 +180,33 @@ def node_targets(nodes: DataFrame, affected: DataFrame) -> DataFrame:
     return nodes.join(hit, "file_path", "left").select("snapshot_id", "node_id", is_file.alias("is_file"), F.when(is_file, F.coalesce("hit", F.lit(0.0))).otherwise(0.0).alias("target"))
 
 
-def neighbour_mean(vectors: DataFrame, edges: DataFrame) -> DataFrame:
+def neighbour_mean(vectors: DataFrame, edges: DataFrame, width: int | None = None) -> DataFrame:
     """(snapshot_id, node_id, vector): mean of the vectors of in-neighbours; nodes without any don't appear.
 
-    vectors: snapshot_id, node_id, vector.
+    vectors: snapshot_id, node_id, vector, all of ``width`` numbers (looked up where it isn't given).
     """
-    sent = edges.join(vectors.withColumnRenamed("node_id", "source_id"), ["snapshot_id", "source_id"])
-    return _vector_mean(sent.select("snapshot_id", F.col("target_id").alias("node_id"), "vector"), ["snapshot_id", "node_id"])
+    sent = edges.select("snapshot_id", "source_id", F.col("target_id").alias("node_id")).join(vectors.select("snapshot_id", F.col("node_id").alias("source_id"), "vector"), ["snapshot_id", "source_id"])
+    return _vector_mean(sent, ["snapshot_id", "node_id"], width or _width(vectors))
 
 
-def mean_pool(vectors: DataFrame) -> DataFrame:
+def mean_pool(vectors: DataFrame, width: int | None = None) -> DataFrame:
     """(snapshot_id, vector): mean node vector."""
-    return _vector_mean(vectors, ["snapshot_id"])
+    return _vector_mean(vectors, ["snapshot_id"], width or _width(vectors))
 
 
-def _vector_mean(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Mean of ``vector`` by keys. Vectors are summed whole: a task sends one sum a key it meets, so a hub costs a row a task, and no
-    vector is taken apart into rows."""
-    mean = Summarizer.metrics("mean").summary(array_to_vector("vector")).alias("s")
-    return rows.groupBy(*keys).agg(mean).select(*keys, vector_to_array("s.mean").alias("vector"))
+def _width(vectors: DataFrame) -> int:
+    """The length of the vectors, which have one length."""
+    short, wide = vectors.agg(F.min(F.size("vector")), F.max(F.size("vector"))).first()
+    if short != wide:
+        raise ValueError(f"vectors have {short} to {wide} numbers")
+    return wide or 0
+
+
+def _vector_mean(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Mean of ``vector`` by keys. A key has one row of ``width`` sums, which generated code adds up in place: a task sends one a key it meets, so a hub
+    costs a row a task, and no vector is taken apart into rows."""
+    means = rows.groupBy(*keys).agg(*[F.avg(F.get("vector", F.lit(i)).cast("double")).alias(f"__{i}") for i in range(width)])
+    return means.select(*keys, F.array(*[f"__{i}" for i in range(width)]).cast("array<double>").alias("vector"))
 
 
 @dataclass(frozen=True)
@@ -247,9 +253,11 @@ def network_scores(vectors: DataFrame, edges: DataFrame, network: Network, histo
     array), zeros where there is none.
     """
     current = vectors.select("snapshot_id", "node_id", "vector")
+    edges = stored(edges.select("snapshot_id", "source_id", "target_id"), "network-edges")  # made once, not by every layer
     for weights in network.layers:
-        both = current.join(neighbour_mean(current, edges).withColumnRenamed("vector", "mean"), ["snapshot_id", "node_id"], "left")
+        both = current.join(neighbour_mean(current, edges, len(weights[0])).withColumnRenamed("vector", "mean"), ["snapshot_id", "node_id"], "left")
         current = stored(both.select("snapshot_id", "node_id", _layer(*weights)("vector", "mean").alias("vector")), "network", replaces=current)
+    discard(edges)
 
     @F.pandas_udf("double")
     def logit(vector: pd.Series) -> pd.Series:
@@ -261,7 +269,7 @@ def network_scores(vectors: DataFrame, edges: DataFrame, network: Network, histo
         risk, sigmoid = _head(x, network.risk), lambda v: 1 / (1 + np.exp(-v))
         return pd.DataFrame({"risk": 100 * sigmoid(risk[:, 0]), "regression_logit": risk[:, 1], "confidence": sigmoid(_head(x, network.confidence)[:, 0])})
 
-    graphs = mean_pool(current)
+    graphs = mean_pool(current, network.layers[-1][0].shape[1])
     graphs = graphs.join(history, "snapshot_id", "left") if history is not None else graphs.withColumn("history", F.lit(None).cast("array<double>"))
     return current.select("snapshot_id", "node_id", logit("vector").alias("logit")), graphs.select("snapshot_id", graph("vector", "history").alias("g")).select("snapshot_id", "g.*")
 

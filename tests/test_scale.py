@@ -1,9 +1,11 @@
 """Steps that many queries share: what they shuffle, and that their short ways give the same rows as the long ones."""
 
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from ripplecast.operators import diffs as A
+from ripplecast.operators import graph as R
 from ripplecast.plans.fixtures import diffs, fixture
 
 ODD = [
@@ -31,3 +33,13 @@ def test_diffs_are_shuffled_before_they_are_rendered(spark):
     assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
     summary = A.change_summary(A.file_changes(A.diff_files(got)))
     assert summary._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_vector_means_are_summed_in_place(spark):
+    vectors = spark.createDataFrame([(0, "a", [1.0, 2.0]), (0, "b", [3.0, 6.0]), (1, "a", [5.0, 5.0])], "snapshot_id int, node_id string, vector array<double>")
+    edges = spark.createDataFrame([(0, "a", "c"), (0, "b", "c"), (0, "b", "c"), (0, "x", "c"), (1, "a", "a")], "snapshot_id int, source_id string, target_id string")
+    means = R.neighbour_mean(vectors, edges)
+    assert sorted(map(tuple, means.collect())) == [(0, "c", [7 / 3, 14 / 3]), (1, "a", [5.0, 5.0])]
+    assert "ObjectHashAggregate" not in means._jdf.queryExecution().executedPlan().toString()  # which sorts all rows beyond 128 keys
+    with pytest.raises(ValueError):
+        R.mean_pool(vectors.unionByName(spark.createDataFrame([(0, "d", [1.0])], vectors.schema)))
