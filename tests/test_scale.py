@@ -1,5 +1,7 @@
 """Steps that many queries share: what they shuffle, and that their short ways give the same rows as the long ones."""
 
+import os
+
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from ripplecast.operators import diffs as A
 from ripplecast.operators import graph as R
 from ripplecast.plans.fixtures import diffs, fixture
+from ripplecast.streaming import ingest as I
 
 ODD = [
     (1, "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,2 @@ def head(\n-def gone(a):\n+  class Kept:\n def context(\n+x = undef (1)\n+export default function shown(b)\n@@ -9 +9 @@\n-- x\n+++ y\n+def gone(a):\n"),
@@ -43,3 +46,16 @@ def test_vector_means_are_summed_in_place(spark):
     assert "ObjectHashAggregate" not in means._jdf.queryExecution().executedPlan().toString()  # which sorts all rows beyond 128 keys
     with pytest.raises(ValueError):
         R.mean_pool(vectors.unionByName(spark.createDataFrame([(0, "d", [1.0])], vectors.schema)))
+
+
+def test_a_batch_of_commits_leaves_only_its_tables(spark, tmp_path):
+    from ripplecast.functions.storage import shared_dir
+    from ripplecast.sources.versions import read
+
+    rows = [(1, f"s{k}", k, "m", "a", False, [("x.py", "def f(): pass")]) for k in range(5)]
+    before = set(os.listdir(shared_dir(spark).removeprefix("file:")))
+    I.apply_commits(spark.createDataFrame(rows, I.COMMIT), 0, str(tmp_path / "out"))
+    left = set(os.listdir(shared_dir(spark).removeprefix("file:"))) - before
+    assert not [x for x in left if x.startswith("commit")]
+    vectors = read(spark, str(tmp_path / "out"), "vectors")
+    assert vectors.columns == ["repository_id", "sha", "vector"] and vectors.count() == 5 and {len(r.vector) for r in vectors.collect()} == {384}
