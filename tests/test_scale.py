@@ -1,13 +1,16 @@
 """Steps that many queries share: what they shuffle, and that their short ways give the same rows as the long ones."""
 
 import os
+import random
 
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from ripplecast.functions.storage import shared_dir
 from ripplecast.operators import diffs as A
 from ripplecast.operators import graph as R
+from ripplecast.operators import reviewers as W
 from ripplecast.plans.fixtures import diffs, fixture
 from ripplecast.streaming import ingest as I
 
@@ -59,3 +62,34 @@ def test_a_batch_of_commits_leaves_only_its_tables(spark, tmp_path):
     assert not [x for x in left if x.startswith("commit")]
     vectors = read(spark, str(tmp_path / "out"), "vectors")
     assert vectors.columns == ["repository_id", "sha", "vector"] and vectors.count() == 5 and {len(r.vector) for r in vectors.collect()} == {384}
+
+
+def test_reviewers_are_ranked_without_pairs_of_changes_and_candidates(spark):
+    """Against brute force; and no table between the steps has more rows than ownership and targets have."""
+    rng = random.Random(4)
+    profiles = [(u % 2, u, f"u{u}", rng.choice([None, "", "M1", "m2", "zz"]), rng.choice([0.2, 0.4, 0.9, 2.9, 3.1])) for u in range(60)]
+    paths = [f"src/m{m}/d{d}/f{f}.py" for m in range(3) for d in range(2) for f in range(4)] + ["root.py"]
+    ownership = [(u % 2, u, p, rng.choice([0.0, 0.25, 1.0])) for u in range(62) for p in rng.sample(paths, 5)]
+    targets = [(c % 2, c, p) for c in range(300) for p in rng.sample(paths, rng.randint(1, 3))]
+    df = lambda rows, kind: spark.createDataFrame(rows, kind)
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = W.recommend(
+        df(profiles, "repository_id int, user_id long, username string, expertise_area string, ownership_score double"), df(ownership, "repository_id int, user_id long, path string, weight double"), df(targets, "repository_id int, change_id long, path string")
+    ).collect()
+    want = set()
+    for c in range(300):
+        own = {p for _, d, p in targets if d == c}
+        dirs = {p.rpartition("/")[0] for p in own}
+        rows = []
+        for repo, u, _, area, score in profiles:
+            if repo == c % 2:
+                near = sum(w > 0 and p.rpartition("/")[0] in dirs for _, v, p, w in ownership if v == u)
+                overlap = min(sum(w for _, v, p, w in ownership if v == u and p in own) / len(own), 1)
+                expert = bool(area) and any(area.lower() in p for p in own)
+                if near or area:
+                    rows.append((-round(min(0.3 * score + 0.5 * overlap + 0.2 * expert, 1), 9), u, near))
+        want |= {(c, u, near, -score, k) for k, (score, u, near) in enumerate(sorted(rows)[:5], 1)}
+    assert {(r.change_id, r.user_id, r.n_owned, round(r.exact, 9), r["rank"]) for r in got} == want and len(got) == len(want)
+    tables = [x for x in set(os.listdir(folder)) - before if x.startswith("reviewers")]
+    assert tables and max(spark.read.parquet(f"{folder}/{x}").count() for x in tables) <= max(len(ownership), len(targets))
