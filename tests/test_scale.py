@@ -93,3 +93,18 @@ def test_reviewers_are_ranked_without_pairs_of_changes_and_candidates(spark):
     assert {(r.change_id, r.user_id, r.n_owned, round(r.exact, 9), r["rank"]) for r in got} == want and len(got) == len(want)
     tables = [x for x in set(os.listdir(folder)) - before if x.startswith("reviewers")]
     assert tables and max(spark.read.parquet(f"{folder}/{x}").count() for x in tables) <= max(len(ownership), len(targets))
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_owned_files_are_counted_without_their_product(spark, scoped):
+    """As counting the rows of owned_files, over two blocks of users, by bits and by places, with all directories unpacked or a few."""
+    rng = random.Random(6)
+    own = [(rng.randrange(2), rng.randrange(40_000), f"d{min(rng.randrange(60), 20)}/f{rng.randrange(50)}", rng.choice([0.0, 0.5])) for _ in range(3000)] + [(0, None, "d1/none", 1.0), (0, u := 7, "top.py", 1.0), (1, u, "d1/f1", 1.0)]
+    own += [(u % 2, u, "d3/shared", 1.0) for u in range(36_000)]
+    asked = [(c % 2, c, f"d{rng.randrange(25)}/x{k}") for c in range(400) for k in range(rng.randint(1, 5))] + [(0, 1000, "top.py"), (0, 1001, "gone/x")]
+    drop = () if scoped else ("repository_id",)
+    ownership = spark.createDataFrame(own, "repository_id int, user_id long, path string, weight double").drop(*drop)
+    targets = spark.createDataFrame(asked, "repository_id int, change_id long, path string").drop(*drop)
+    plain = W.owned_files(ownership, targets).groupBy("change_id").agg(F.count("*"), F.countDistinct("user_id"), F.max("path")).collect()
+    for most in (4096, 3):
+        assert sorted(map(tuple, W.owned_counts(ownership, targets, width=100, most=most).collect())) == sorted(map(tuple, plain))
