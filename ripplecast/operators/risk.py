@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.storage import stored
 
 # Features in order, what each is divided by, and the weight of each in the linear model.
 FEATURES = ("n_files", "added", "deleted", "complexity_delta", "deleted_ratio", "n_functions", "renames", "regression_rate", "max_similarity", "surface")
@@ -167,7 +168,9 @@ def trained(rows: DataFrame) -> DataFrame:
 
     rows: the features, risk_label, is_regression, split. Only rows of split 'train' are learned from.
     """
-    data = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="x").transform(rows.withColumn("y", F.col("is_regression").cast("double")))
+    # made once: each fit, and each of their passes that is not cached, would make the features again
+    rows = stored(rows.select("change_id", "split", "risk_label", *[f"f_{n}" for n in FEATURES], F.col("is_regression").cast("double").alias("y")), "training-rows")
+    data = VectorAssembler(inputCols=[f"f_{n}" for n in FEATURES], outputCol="x").transform(rows)
     own = data.where("split = 'train'")
     risk = LinearRegression(featuresCol="x", labelCol="risk_label", predictionCol="risk_hat", solver="normal", regParam=0.0).fit(own)
     flag = LogisticRegression(featuresCol="x", labelCol="y", probabilityCol="pr", rawPredictionCol="raw", predictionCol="yes", maxIter=20).fit(own)
@@ -179,7 +182,8 @@ def trained(rows: DataFrame) -> DataFrame:
 def trained_nodes(features: DataFrame, targets: DataFrame, weight: float = 0.5) -> DataFrame:
     """(snapshot_id, node_id, p_hat): logistic regression of affected files on node features (features array); nodes that
     are no files have weight 0."""
-    rows = features.join(targets, ["snapshot_id", "node_id"]).select("snapshot_id", "node_id", array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("x"), F.col("target").alias("y"), F.when(F.col("is_file"), weight).otherwise(0.0).alias("w"))
+    rows = features.join(targets, ["snapshot_id", "node_id"]).select("snapshot_id", "node_id", "features", F.col("target").alias("y"), F.when(F.col("is_file"), weight).otherwise(0.0).alias("w"))
+    rows = stored(rows, "training-nodes").withColumn("x", array_to_vector(F.transform("features", lambda x: x.cast("double"))))  # made once for the fit and the scores
     model = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", probabilityCol="pr", rawPredictionCol="raw", predictionCol="yes", maxIter=20, regParam=1e-4).fit(rows)
     return model.transform(rows).select("snapshot_id", "node_id", vector_to_array("pr")[1].alias("p_hat"))
 
