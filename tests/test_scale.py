@@ -11,6 +11,7 @@ from ripplecast.functions.storage import shared_dir
 from ripplecast.operators import diffs as A
 from ripplecast.operators import graph as R
 from ripplecast.operators import reviewers as W
+from ripplecast.operators import risk as K
 from ripplecast.plans.fixtures import diffs, fixture
 from ripplecast.streaming import ingest as I
 
@@ -108,3 +109,13 @@ def test_owned_files_are_counted_without_their_product(spark, scoped):
     plain = W.owned_files(ownership, targets).groupBy("change_id").agg(F.count("*"), F.countDistinct("user_id"), F.max("path")).collect()
     for most in (4096, 3):
         assert sorted(map(tuple, W.owned_counts(ownership, targets, width=100, most=most).collect())) == sorted(map(tuple, plain))
+
+
+def test_edges_and_learned_rows_are_made_once(spark):
+    nodes = spark.createDataFrame([(0, f"n{k}") for k in range(20)], "snapshot_id int, node_id string")
+    edges = spark.range(19).select(F.lit(0).alias("snapshot_id"), F.concat(F.lit("n"), "id").alias("source_id"), F.concat(F.lit("n"), F.col("id") + 1).alias("target_id"), F.lit("call").alias("edge_type"), F.lit(1.0).alias("weight"))
+    found, met = R.subgraph(nodes, edges, nodes.where("node_id = 'n5'"))
+    assert (found.count(), met.count()) == (5, 4) and "Range (" not in met._jdf.queryExecution().executedPlan().toString()
+    rows = spark.range(60).select(F.col("id").alias("change_id"), F.when(F.col("id") % 5 > 0, "train").otherwise("test").alias("split"), *[(F.col("id") * (k + 3) % 11 / 11).alias(f"f_{n}") for k, n in enumerate(K.FEATURES)])
+    trained = K.trained(rows.withColumn("risk_label", F.col("f_" + K.FEATURES[0]) * 50).withColumn("is_regression", F.col("change_id") % 3 == 0))
+    assert trained.count() == 60 and "Range (" not in trained._jdf.queryExecution().executedPlan().toString()
