@@ -33,6 +33,28 @@ def test_files_and_lines_tell_the_same(spark):
     assert seen(counted) == seen(A.file_changes(files).select("change_id", "file_ord", "added", "deleted"))
 
 
+def test_changes_are_parsed_in_one_pass(spark):
+    """As the steps one by one; a diff is made once, where a join of the steps made it three times."""
+    more = [
+        (8, "diff --git a/c b/c\r\n--- a/c\n+++ b/c\n@@ -1,2 +1,2 @@\n ctx\n\n@@ -9,3 +9 @@\n-def cut\n+  class  C :\n"), (9, "no file\n@@ -1 +1 @@\n-a\n+b\n"), (10, "diff --git a/d b/d\n--- a/d\n+++ b/d\n@@ what @@\n+x\n\r\n"),
+        (11, "diff --git a/e b/e\n--- a/e\n+++ b/e\n@@ -1,2 +1,1 @@\n+def twice(a)\n-def twice(b)\n\ndiff --git a/f b/f\n--- a/f\n+++ b/f\n@@ -1,4 +1,4 @@\n \n-x\n\n+  @@ -1 +1 @@ def marked\n"), (12, ""),
+    ]
+    rows = spark.createDataFrame(ODD + more, "change_id long, diff string")
+    files = A.diff_files(rows)
+    summary = {r.change_id: r for r in A.change_summary(A.file_changes(files)).collect()}
+    symbols = A.modified_symbols(files).groupBy("change_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "symbol"))), lambda x: x["symbol"]).alias("s"))
+    symbols = {r.change_id: r.s for r in symbols.collect()}
+    broken = {r.change_id: bool(r.b) or (bool(r.h) and r.change_id not in summary) for r in rows.select("change_id", A.broken_hunks(F.col("diff")).alias("b"), F.col("diff").rlike(r"(?m)^@@ ").alias("h")).collect()}
+    got = {r.change_id: r for r in A.parsed_changes(rows.withColumn("own", F.col("change_id") * 2)).collect()}
+    assert sorted(got) == [r[0] for r in ODD + more] and {k for k, v in broken.items() if v} == {8, 9, 10, 11}
+    for k, r in got.items():
+        want = summary.get(k)
+        assert (r.changed_files, r.added, r.deleted, r.renamed_files) == ((want.changed_files, want.added, want.deleted, want.renamed_files) if want else ([], 0, 0, {})), k
+        assert (r.symbols, r.broken, r.own) == (symbols.get(k, []), broken[k], 2 * k), k
+    plan = A.parsed_changes(diffs(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange") == 1
+
+
 def test_diffs_are_shuffled_before_they_are_rendered(spark):
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "part"))), lambda x: x["part"])
     plain = fixture(spark, SF, "file_diffs").groupBy("change_id").agg(F.array_join(parts, "").alias("diff"))
