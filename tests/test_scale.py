@@ -141,3 +141,12 @@ def test_edges_and_learned_rows_are_made_once(spark):
     rows = spark.range(60).select(F.col("id").alias("change_id"), F.when(F.col("id") % 5 > 0, "train").otherwise("test").alias("split"), *[(F.col("id") * (k + 3) % 11 / 11).alias(f"f_{n}") for k, n in enumerate(K.FEATURES)])
     trained = K.trained(rows.withColumn("risk_label", F.col("f_" + K.FEATURES[0]) * 50).withColumn("is_regression", F.col("change_id") % 3 == 0))
     assert trained.count() == 60 and "Range (" not in trained._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    from ripplecast.sources.versions import change
+
+    rows = spark.range(0, 400_000, 1, 8).select(F.lit(1).alias("repository_id"), F.sha2(F.col("id").cast("string"), 256).alias("node_id"))  # 26 MB
+    manifest = change(spark, str(tmp_path / "out"), ["repository_id"], {"nodes": (rows, rows.select("repository_id").distinct())})
+    [[folder]] = manifest["tables"]["nodes"].values()
+    assert len([x for x in os.listdir(tmp_path / "out" / folder) if x.endswith(".parquet")]) > 1
