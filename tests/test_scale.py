@@ -150,3 +150,20 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     manifest = change(spark, str(tmp_path / "out"), ["repository_id"], {"nodes": (rows, rows.select("repository_id").distinct())})
     [[folder]] = manifest["tables"]["nodes"].values()
     assert len([x for x in os.listdir(tmp_path / "out" / folder) if x.endswith(".parquet")]) > 1
+
+
+def test_only_the_diffs_of_samples_are_made(spark):
+    from ripplecast.operators import scoring as P
+
+    commits = spark.createDataFrame([(1, f"{k:040d}", f"{k - 1:040d}" if k else None, k, f"Update {k}", False) for k in range(9)], "repository_id int, sha string, parent_sha string, day_s long, message string, is_regression boolean")
+    text = lambda df: df.withColumn("diff", F.concat(F.lit("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+"), "sha", F.lit("\n")))
+    asked = []
+
+    def made(wanted):
+        asked.extend(r.sha for r in wanted.collect())
+        return text(wanted)
+
+    snapshots = commits.select("repository_id", "sha")
+    got = P.samples(commits, made, snapshots, cap=4, dims=8)
+    want = P.samples(commits, text(snapshots), snapshots, cap=4, dims=8)
+    assert sorted(asked) == [f"{k:040d}" for k in range(5, 9)] and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4
