@@ -167,3 +167,12 @@ def test_only_the_diffs_of_samples_are_made(spark):
     got = P.samples(commits, made, snapshots, cap=4, dims=8)
     want = P.samples(commits, text(snapshots), snapshots, cap=4, dims=8)
     assert sorted(asked) == [f"{k:040d}" for k in range(5, 9)] and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 4
+
+
+def test_reports_and_drivers_are_made_in_their_rows(spark):
+    rows = spark.range(40).select(F.col("id").alias("change_id"), *[((F.col("id") * (k + 2)) % 5 / 5).alias(f"f_{n}") for k, n in enumerate(K.FEATURES)])
+    got, long = K.attributed_changes(rows), K.attributions(rows)
+    assert sorted(map(tuple, K.report(got).collect())) == sorted(map(tuple, K.report(long).collect()))
+    names = K.top_drivers(long).groupBy("change_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]).alias("drivers"))
+    assert sorted((k, d) for k, d in K.driver_names(got).collect() if d) == sorted(map(tuple, names.collect()))
+    assert not any("Exchange" in f(got)._jdf.queryExecution().executedPlan().toString() for f in (K.report, K.driver_names))
