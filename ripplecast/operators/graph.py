@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.storage import bucketed, discard, numbered, stored
+from ..functions.storage import bucketed, discard, numbered, small_tasks, stored
 
 NODE_TYPES = ("file", "class", "function", "module", "service")
 
@@ -71,9 +71,13 @@ def subgraph(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: in
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """(snapshot_id, node_id, in_degree, out_degree) of every endpoint, known or not. One aggregate over both ends."""
+    """(snapshot_id, node_id, in_degree, out_degree) of every endpoint, known or not. One aggregate over both ends.
+
+    It is stored by small tasks, as a task that makes edges distinct and counts their ends holds both in memory.
+    """
     ends = edges.select("snapshot_id", F.inline(F.array(F.struct(F.col("source_id").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")), F.struct(F.col("target_id").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))))
-    return ends.groupBy("snapshot_id", "node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
+    with small_tasks(edges.sparkSession, reads=edges):
+        return stored(ends.groupBy("snapshot_id", "node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree")), "degrees")
 
 
 def max_degree(degree: DataFrame) -> DataFrame:

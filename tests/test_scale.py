@@ -176,3 +176,14 @@ def test_reports_and_drivers_are_made_in_their_rows(spark):
     names = K.top_drivers(long).groupBy("change_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "feature"))), lambda x: x["feature"]).alias("drivers"))
     assert sorted((k, d) for k, d in K.driver_names(got).collect() if d) == sorted(map(tuple, names.collect()))
     assert not any("Exchange" in f(got)._jdf.queryExecution().executedPlan().toString() for f in (K.report, K.driver_names))
+
+
+def test_degrees_are_counted_by_small_tasks(spark, tmp_path):
+    """More tasks than a shuffle has partitions, as their number follows the files that are read; settings are as before afterwards."""
+    names, end = ("advisoryPartitionSizeInBytes", "coalescePartitions.initialPartitionNum"), lambda k: F.sha2((F.col("id") + k).cast("string"), 256)
+    now = lambda: [spark.conf.get(f"spark.sql.adaptive.{n}", None) for n in names] + [spark.conf.get("spark.sql.files.maxPartitionBytes")]
+    before = now()
+    spark.range(0, 1_000_000, numPartitions=4).select(F.lit(0).alias("snapshot_id"), end(0).alias("source_id"), end(1).alias("target_id")).write.parquet(f"{tmp_path}/edges")
+    got = R.degrees(spark.read.parquet(f"{tmp_path}/edges"))
+    assert len(got.inputFiles()) > 4 and now() == before
+    assert sorted(map(tuple, got.groupBy("in_degree", "out_degree").count().collect())) == [(0, 1, 1), (1, 0, 1), (1, 1, 999_999)]
