@@ -187,3 +187,11 @@ def test_degrees_are_counted_by_small_tasks(spark, tmp_path):
     got = R.degrees(spark.read.parquet(f"{tmp_path}/edges"))
     assert len(got.inputFiles()) > 4 and now() == before
     assert sorted(map(tuple, got.groupBy("in_degree", "out_degree").count().collect())) == [(0, 1, 1), (1, 0, 1), (1, 1, 999_999)]
+
+
+def test_overlaps_are_counted_by_small_tasks(spark, tmp_path):
+    path = lambda k: F.sha2((F.col("id") - F.col("id") % 2 + k).cast("string"), 256).alias("path")
+    spark.range(0, 500_000, numPartitions=1).select(F.sha2((F.col("id") % 250_000).cast("string"), 256).alias("user_id"), path(0), F.lit(0.5).alias("weight")).write.parquet(f"{tmp_path}/ownership")
+    spark.range(0, 500_000, numPartitions=1).select(F.sha2(F.col("id").cast("string"), 256).alias("change_id"), path(0)).write.parquet(f"{tmp_path}/targets")
+    got = W.overlap(*(spark.read.parquet(f"{tmp_path}/{x}") for x in ("ownership", "targets")))
+    assert len(got.inputFiles()) > 4 and got.where("overlap = 0.5").count() == got.count() == 1_000_000
