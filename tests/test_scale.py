@@ -195,3 +195,32 @@ def test_overlaps_are_counted_by_small_tasks(spark, tmp_path):
     spark.range(0, 500_000, numPartitions=1).select(F.sha2(F.col("id").cast("string"), 256).alias("change_id"), path(0)).write.parquet(f"{tmp_path}/targets")
     got = W.overlap(*(spark.read.parquet(f"{tmp_path}/{x}") for x in ("ownership", "targets")))
     assert len(got.inputFiles()) > 4 and got.where("overlap = 0.5").count() == got.count() == 1_000_000
+
+
+def test_texts_meet_patterns_only_if_they_hold_their_words(spark):
+    """The same systems and facts as by the patterns alone; a rebuild reads stored nodes."""
+    import re
+
+    from ripplecast.operators import code_graph as G
+
+    some = [
+        "httpx.get", "requests.post", "fetch (", "axios.put", "urllib.request", "aiohttp.request", "session.add", "SQLAlchemy", "asyncpg.connect", "psycopg.cursor", "psycopg2.connect", "pymongo.collection", "pymongo.MongoClient", "x.get(", "x.set (", "x.hget(", "x.hset(",
+        "x.lpush(", "x.rpush\t(", "prisma.user.find", "mongoose.connect", "x.delay", "x.apply_async", "a@task", "a@shared_task", "a@celery_app.task", "KafkaProducer", "KafkaConsumer", "pika.URLParameters", "pika.BlockingConnection", "x.publish(", "x.subscribe (", "boto3.client('sqs'",
+        "boto3.resource( \"sqs\"", "plain text", "requests.", "prisma.x", "fetching", "a @ b",
+    ]
+    texts = [*some, *(f"é {a}\n{b} " for a, b in zip(some, some[7:], strict=False)), ""]
+    sources = spark.createDataFrame([(f"src/f{k}.py", t) for k, t in enumerate([*texts, None])], "path string, content string")
+    found = G.external_systems(sources)
+    want = {(f"src/f{k}.py", kind, name) for k, t in enumerate(texts) for kind, own in G.EXTERNAL.items() for name, p in own.items() if re.search(p, t)}
+    assert set(map(tuple, found.collect())) == want and {n for _, _, n in want} == set(G.HOLDS)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Contains(") >= len(G.HOLDS)
+
+    lines = [" \timport os \t", "from a import b\r", "xx def f(a)", "\xa0def g(a)", "\tclass K(B):", " export  x", "import", "importx y", "function h", "async z", "call(1)", "none here", "", "from a\u2028", "def\u2028"]
+    text = spark.createDataFrame([("a.py", "\n".join(lines)), ("b.js", "\n".join(reversed(lines))), ("c.py", None)], "path string, content string")
+    words = ("(", "import", "from", "class", "export", "def", "async", "function")
+    shown = lambda df: sorted(map(str, df.where(F.col("text").contains("(") | F.col("text").rlike(rf"^({'|'.join(words[1:])})\s")).collect()))
+    assert shown(A.source_lines(text, holding=words)) == shown(A.source_lines(text)) and A.source_lines(text, holding=words).count() < A.source_lines(text).count()
+
+    nodes, edges = G.build(text)
+    plan = G.rebuild(nodes, edges, text.where("path = 'a.py'"), text.where("path = 'b.js'").select("path"))[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "left_anti" not in plan.lower() and "leftanti" not in plan.lower()
