@@ -12,6 +12,7 @@ from ripplecast.operators import diffs as A
 from ripplecast.operators import graph as R
 from ripplecast.operators import reviewers as W
 from ripplecast.operators import risk as K
+from ripplecast.operators import scoring as P
 from ripplecast.plans.fixtures import diffs, fixture
 from ripplecast.streaming import ingest as I
 
@@ -224,3 +225,23 @@ def test_texts_meet_patterns_only_if_they_hold_their_words(spark):
     nodes, edges = G.build(text)
     plan = G.rebuild(nodes, edges, text.where("path = 'a.py'"), text.where("path = 'b.js'").select("path"))[0]._jdf.queryExecution().optimizedPlan().toString()
     assert "left_anti" not in plan.lower() and "leftanti" not in plan.lower()
+
+
+def test_predictions_pack_queries_once_and_meet_no_row_twice(spark):
+    """Both searches read one set of packed queries; drivers and context stay in the row of their change, and what is stored is dealt into small tasks."""
+    none = lambda schema: spark.createDataFrame([], schema)
+    pending = diffs(spark, SF, spark.range(40).withColumnRenamed("id", "change_id")).withColumn("repository_id", F.col("change_id") % 2)
+    points = spark.createDataFrame([(k, k % 2, ("commit", "issue")[k // 2 % 2], k, f"s{k}", f"t{k}", k % 3 == 0, [float(k), 1.0, -2.0, 3.0, 0.5, 1.0, 1.0, 2.0]) for k in range(16)], "vec_id long, repository_id long, entity_type string, entity_id long, commit_sha string, title string, is_regression boolean, embedding array<double>")
+    made = lambda label: {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith(label)}
+    before, sizes = made("search-queries"), []
+    merged, spark_size = K.merge_files, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    try:
+        K.merge_files = lambda *a: sizes.append(spark.conf.get(spark_size)) or merged(*a)
+        rows = P.predict(pending, points, none("repository_id long, path string"), none("repository_id long, user_id long, username string, expertise_area string, ownership_score double"), none("repository_id long, user_id long, path string, weight double"), dims=8)
+    finally:
+        K.merge_files = merged
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("/scored-") == 1 and len(made("search-queries") - before) == 1 and sizes == ["8m"]
+    got = rows.collect()
+    assert len(got) == pending.count() and all(r.status == "completed" and r.context and len(r.similar_commits) == 4 for r in got)
