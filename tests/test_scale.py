@@ -260,3 +260,13 @@ def test_predictions_pack_queries_once_and_meet_no_row_twice(spark):
     assert plan.count("/scored-") == 1 and len(made("search-queries") - before) == 1 and sizes == ["8m"]
     got = rows.collect()
     assert len(got) == pending.count() and all(r.status == "completed" and r.context and len(r.similar_commits) == 4 for r in got)
+
+
+def test_reviewers_are_ranked_in_stored_steps(spark):
+    """Shuffle files of one plan live together: what the last plan shuffles is the picks and what users own, not all that was made before."""
+    targets = spark.createDataFrame([(1, 0, "a/x.py"), (1, 0, "b/y.py"), (2, 1, "a/x.py"), (3, 0, "c/z.py")], "change_id long, repository_id int, path string")
+    profiles = spark.createDataFrame([(0, k, f"u{k}", ("", "a", "zz")[k % 3], k / 10) for k in range(6)], "repository_id int, user_id long, username string, expertise_area string, ownership_score double")
+    own = spark.createDataFrame([(0, 0, "a/x.py", 0.5), (0, 0, "a/w.py", 1.0), (0, 1, "b/q.py", 1.0), (0, 3, "d/r.py", 1.0)], "repository_id int, user_id long, path string, weight double")
+    rows = W.recommend(profiles, own, targets)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
+    assert {(r.change_id, r.user_id): r.n_owned for r in rows.collect() if r.n_owned} == {(1, 0): 2, (1, 1): 1}
