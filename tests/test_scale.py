@@ -270,3 +270,17 @@ def test_reviewers_are_ranked_in_stored_steps(spark):
     rows = W.recommend(profiles, own, targets)
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 8
     assert {(r.change_id, r.user_id): r.n_owned for r in rows.collect() if r.n_owned} == {(1, 0): 2, (1, 1): 1}
+
+
+def test_bitmaps_are_sent_to_few_chunks(spark):
+    """Each chunk of sets gets a copy of the bitmaps, so chunks follow the cores and the sets, not the number of shuffle partitions."""
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        made = lambda: {f for f in os.listdir(shared_dir(spark).removeprefix("file:")) if f.startswith("owned-sets")}
+        before = made()
+        rows = W.owned_counts(fixture(spark, SF, "ownership"), fixture(spark, SF, "ranked").select("change_id", "path"))
+        dealt = [t for t in (spark.read.parquet(f"{shared_dir(spark)}/{f}") for f in made() - before) if "chunk" in t.columns]
+        assert len(dealt) == 1 and dealt[0].agg(F.max("chunk")).first()[0] < 2 * spark.sparkContext.defaultParallelism
+        assert rows.count() == fixture(spark, SF, "ranked").select("change_id").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
